@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import re
+import itertools
 import uuid
 
 import numpy as np
@@ -13,9 +13,6 @@ from pyspark.sql import functions as F
 #: Rows of an Arrow batch: texts can be long, so batches are short.
 ARROW_ROWS = 512
 
-#: Characters that end a word: blank and \t \n \v \f \r.
-WORD = re.compile("[^\x20\x09-\x0d]+")
-LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,20 +52,40 @@ def salts(n, rows_each: int):
 class WordHashes(dict):
     """Word -> signed 64-bit hash, remembering at most `most` words."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, strip: bytes = b"", most: int = 300_000):
         super().__init__()
-        self.most = most
+        self.strip, self.most = strip, most
 
-    def __missing__(self, word: str) -> int:
-        h = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"), seed=7)
+    def __missing__(self, word: bytes) -> int:
+        h = xxhash.xxh3_64_intdigest(word.strip(self.strip) if self.strip else word, seed=7)
         h -= (h >> 63) << 64
-        if len(self) >= self.most:
-            self.clear()
-        self[word] = h
+        if len(word) <= 64:
+            if len(self) >= self.most:
+                self.clear()
+            self[word] = h
         return h
 
-    def of(self, words: list[str]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+
+#: Signs that a bare word sheds at its edges.
+EDGE_SIGNS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+_whole, _bare = WordHashes(), WordHashes(EDGE_SIGNS)
+
+
+def words_of(text: str | None) -> list[bytes]:
+    """Words in UTF-8: A-Z lower-cased, cut at blank and \\t \\n \\v \\f \\r (what bytes.split takes as white space)."""
+    return (text or "").encode("utf-8", "replace").lower().split()
+
+
+def word_hashes(texts: list[str | None], bare: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """uint64 hashes of the words of all texts, one after the other, and the number of words of each.
+
+    bare: words without the signs at their edges (a word of signs alone is an empty word).
+    """
+    known = _bare if bare else _whole
+    words = [words_of(t) for t in texts]
+    counts = np.array([len(w) for w in words], np.int64)
+    flat = itertools.chain.from_iterable(words)
+    return np.fromiter(map(known.__getitem__, flat), np.int64, int(counts.sum())).view(np.uint64), counts
 
 
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -95,8 +112,75 @@ def ngram_hashes(h: np.ndarray, n: int) -> np.ndarray:
     return mixed(out)
 
 
-def words_of(text: str) -> list[str]:
-    return WORD.findall(text.translate(LOWER))
+def components(edges: DataFrame, name: str) -> DataFrame:
+    """(node, root) of every node of the edges (a, b): root is the smallest node that can be reached.
+
+    Every turn points each node to its smallest neighbour, follows the pointers to their ends and goes on with the edges
+    between different ends, all as joins over tables in the shared folder; a turn at least halves the nodes.
+    """
+    e = stored(edges.select("a", "b").filter("a != b").distinct(), name)
+    turns = []
+    while not e.isEmpty():
+        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        up = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root"))
+        while True:
+            y = up.select(F.col("node").alias("root"), F.col("root").alias("next"))
+            up = stored(up.join(y, "root").select("node", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")), name)
+            if up.filter("moved").isEmpty():
+                break
+            up = up.drop("moved")
+        up = up.drop("moved")
+        turns.append(up)
+        a, b = (up.select(F.col("node").alias(x), F.col("root").alias(f"r{x}")) for x in "ab")
+        e = stored(e.join(a, "a").join(b, "b").filter("ra != rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct(), name)
+    if not turns:
+        return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    out = turns[0]
+    for up in turns[1:]:
+        y = up.select(F.col("node").alias("root"), F.col("root").alias("next"))
+        out = out.join(y, "root", "left").select("node", F.coalesce("next", "root").alias("root"))
+    return stored(out, name) if len(turns) > 1 else out
+
+
+def doc_places(counts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts laid end to end: the places where n values begin that lie within one text, their text and their place in it."""
+    first = np.cumsum(counts) - counts
+    fit = np.maximum(counts - n + 1, 0)
+    who = np.repeat(np.arange(len(counts)), fit)
+    within = np.arange(int(fit.sum())) - np.repeat(np.cumsum(fit) - fit, fit)
+    return first[who] + within, who, within
+
+
+def passing(bits: np.ndarray | None, keys: np.ndarray) -> np.ndarray:
+    """True for keys whose low bits are set in a key_filter: it never misses a key and passes about 1 in 16 others."""
+    if bits is None:
+        return np.ones(len(keys), bool)
+    at = keys & np.uint64(len(bits) * 8 - 1)
+    return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
+def key_filter(keys: DataFrame, n: int, most_bytes: int = 48 << 20):
+    """A broadcast bitmap of the long column `key` (n rows) for passing(); None, which passes all, where it would be larger
+    than most_bytes. Parts of the filter are built by Spark and no part holds more than 2**19 bits."""
+    spark = session_of(keys)
+    size = 1 << max(16, (n * 16 - 1).bit_length()) if n else 1 << 16
+    if size // 8 > most_bytes:
+        return spark.sparkContext.broadcast(None)
+    part = min(size, 1 << 19)
+
+    def run(table):
+        import pandas as pd
+
+        at = table["key"].to_numpy().astype(np.int64).view(np.uint64) & np.uint64(size - 1)
+        bits = np.zeros(part, np.uint8)
+        bits[(at & np.uint64(part - 1)).astype(np.int64)] = 1
+        return pd.DataFrame({"part": [int(at[0]) // part], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
+
+    parts = keys.withColumn("part", F.expr(f"shiftright(key & {size - 1}L, {part.bit_length() - 1})")).groupBy("part").applyInPandas(run, "part long, bits binary")
+    out = np.zeros(size // 8, np.uint8)
+    for r in parts.toLocalIterator():
+        out[r["part"] * part // 8 : (r["part"] + 1) * part // 8] = np.frombuffer(r["bits"], np.uint8)
+    return spark.sparkContext.broadcast(out)
 
 
 def sliding(x: np.ndarray, width: int, best=np.minimum) -> np.ndarray:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracelens.llm import exact_dedup, pii, quality, sentencepiece_codec, token_store, url_filter
+from tracelens.llm import decontaminate, exact_dedup, ngram_join, pii, quality, sentencepiece_codec, token_store, url_filter
 from tracelens.llm.common import table
 
 
@@ -36,6 +36,14 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(table(spark, sf_dir, "documents"))
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.linked(table(spark, sf_dir, "documents"))
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -46,6 +54,8 @@ QUERIES = {
     "op4_exact_dedup": op4_exact_dedup,
     "op5_token_store": op5_token_store,
     "op7_pii": op7_pii,
+    "op8_ngram_join": op8_ngram_join,
+    "op9_decontamination": op9_decontamination,
     "op10_quality": op10_quality,
 }
 
