@@ -47,12 +47,20 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return alone.unionByName(grouped).select(F.col("_id").alias(id_col), "keep_id", "group_size", F.col("_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("_sha").alias("text_sha256"))
 
 
-def without_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max") -> DataFrame:
+def without_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """The rows of docs that stay, with all their columns; of rows that repeat both id and text, one."""
-    gone = duplicate_groups(docs, id_col, text_col, keep).filter(~F.col("kept")).select(F.col(id_col).alias("_gone"), F.col("text_sha256").alias("_gone_sha"))
-    twice = docs.groupBy(id_col).agg(F.count("*").alias("_n")).filter("_n > 1").select(F.col(id_col).alias("_twice"))
-    left = docs.withColumn("_sha", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
-    left = left.join(gone, F.col(id_col).eqNullSafe(F.col("_gone")) & (F.col("_sha") == F.col("_gone_sha")), "left_anti")
-    once = left.join(twice, F.col(id_col).eqNullSafe(F.col("_twice")), "left_anti")
-    again = left.join(twice, F.col(id_col).eqNullSafe(F.col("_twice")), "left_semi").dropDuplicates([id_col, "_sha"])
-    return once.unionByName(again).drop("_sha")
+    judged = duplicate_groups(docs, id_col, text_col, keep).filter("group_size > 1").select(F.col(id_col).alias("_gone"), F.col("text_sha256").alias("_gone_sha"), "kept")
+    judged = stored(judged, "exact-copies")
+    gone = judged.filter("NOT kept").distinct()
+    again = judged.filter("kept").groupBy("_gone", "_gone_sha").count().filter("count > 1").drop("count")
+    n = judged.count()
+
+    def same(right: DataFrame):
+        return F.col(id_col).eqNullSafe(right["_gone"]) & (F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256) == right["_gone_sha"])
+
+    gone = sized_broadcast(gone.drop("kept"), n, 160, broadcast_bytes)
+    left = docs.join(gone, same(gone), "left_anti")
+    if again.isEmpty():
+        return left
+    again = sized_broadcast(again, n, 160, broadcast_bytes)
+    return left.join(again, same(again), "left_anti").unionByName(left.join(again, same(again), "left_semi").dropDuplicates([id_col, text_col]))

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelens.llm.common import components, doc_places, key_filter, mixed, ngram_hashes, passing, session_of, stored, word_hashes
+from tracelens.llm.common import components, doc_places, key_filter, mixed, ngram_hashes, passing, session_of, sized_broadcast, stored, word_hashes
 
 N, PERCENT = 5, 75
 #: Counters of the sketch, and how many travel in one row.
@@ -215,6 +215,8 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs of which no similar document has a smaller id, with all their columns."""
+    """The rows of docs that are not linked, by however many links, with one of a smaller id; with all their columns."""
     gone = linked(docs, id_col, text_col).filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct()
+    gone = stored(gone, "ngram-gone")
+    gone = sized_broadcast(gone, gone.count(), 16, 32 << 20)
     return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")

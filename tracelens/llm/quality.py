@@ -188,3 +188,17 @@ def classified(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD,
     model = train(docs, labels.filter(~held_out(id_col)), "quality", id_col, text_col, rows)
     out = score(docs, model, id_col, text_col)
     return out.select(id_col, held_out(id_col).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def good_only(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs with a score of at least `threshold`, with all their columns; learned as for classified()."""
+    session_of(docs)
+    model = train(docs, labels.filter(~held_out(id_col)), "quality", id_col, text_col)
+    if not isinstance(model, Network):
+        return docs.filter(F.lit(float(model)) >= threshold)
+
+    def run(batches):
+        for b in batches:
+            yield b[model.scores([padded(t) for t in b[text_col]]) >= threshold]
+
+    return docs.mapInPandas(run, docs.schema)

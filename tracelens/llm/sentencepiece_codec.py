@@ -361,9 +361,10 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     return rows.mapInPandas(run, f"_id {kind}, ids array<int>, begins array<int>, ends array<int>, decoded string").withColumnRenamed("_id", id_col)
 
 
-def digests(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, n_tokens, ids_sha256, decoded_sha256, n_bytes (source bytes), covered_bytes (bytes that the pieces' spans cover)."""
+def digests(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """id_col, n_tokens, ids_sha256, decoded_sha256, n_bytes (source bytes), covered_bytes (bytes that the pieces' spans cover); with_ids: and ids array<int>."""
     session_of(docs)
+    names = ["n_tokens", "ids_sha256", "decoded_sha256", "n_bytes", "covered_bytes", *["ids"] * with_ids]
 
     def run(batches):
         m = load(model_path)
@@ -374,11 +375,11 @@ def digests(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col:
                 s = m.spans(t, ids)
                 listed = ids.tolist()
                 back = m.decoded(listed)
-                rows.append((len(ids), hashlib.sha256(m.text_of(listed)).hexdigest(), hashlib.sha256(back.encode()).hexdigest(), len(t.encode()), int((s[:, 1] - s[:, 0]).sum())))
-            out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", "n_bytes", "covered_bytes"])
+                rows.append((len(ids), hashlib.sha256(m.text_of(listed)).hexdigest(), hashlib.sha256(back.encode()).hexdigest(), len(t.encode()), int((s[:, 1] - s[:, 0]).sum()), *[ids] * with_ids))
+            out = pd.DataFrame(rows, columns=names)
             out.insert(0, "_id", b["_id"].array)
             yield out
 
     kind = dict(docs.dtypes)[id_col]
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
-    return rows.mapInPandas(run, f"_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, n_bytes long, covered_bytes long").withColumnRenamed("_id", id_col)
+    return rows.mapInPandas(run, f"_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, n_bytes long, covered_bytes long" + ", ids array<int>" * with_ids).withColumnRenamed("_id", id_col)
