@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from tracelens.plans import queries_activity, queries_data, queries_persons, queries_places, queries_streams  # noqa: F401
+from tracelens.plans.registry import ORACLE_SQL, QUERIES
+from tracelens.plans.report import flagship_report
+
+__all__ = ["ORACLE_SQL", "QUERIES", "flagship"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet")
+    return flagship_report(spark, sf_dir)
