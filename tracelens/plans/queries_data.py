@@ -106,10 +106,10 @@ def g08(spark, d):
     return E.latest(s.withColumn("province", F.col("variables")["Provincias"]), "province", "value", "fecha")
 
 
-@query("g09_label_segments", "SELECT p_partkey, string_split(p_type, ' ')[2] AS second FROM part WHERE len(string_split(p_type, ' ')) >= 2 AND starts_with(p_type, 'S')")
+@query("g09_label_segments", "SELECT p_partkey, string_split(p_name, ' ')[2] AS second FROM part WHERE len(string_split(p_name, ' ')) >= 2 AND starts_with(p_name, 's')")
 def g09(spark, d):
-    parts = F.split("p_type", " ")
-    return read(spark, d, "part").filter((F.size(parts) >= 2) & F.startswith("p_type", F.lit("S"))).select("p_partkey", F.element_at(parts, 2).alias("second"))
+    parts = F.split("p_name", " ")
+    return read(spark, d, "part").filter((F.size(parts) >= 2) & F.startswith("p_name", F.lit("s"))).select("p_partkey", F.element_at(parts, 2).alias("second"))
 
 
 @query("g10_plausible_range", "SELECT round(avg(l_discount)::DOUBLE, 6) AS rate FROM lineitem")
@@ -130,9 +130,9 @@ def a27(spark, d):
     return E.shares(n, "n")
 
 
-@query("a28_sum_by_category", "SELECT CASE WHEN contains(p_type, 'BRASS') THEN 'brass' WHEN contains(p_type, 'TIN') THEN 'tin' ELSE 'other' END AS category, sum(l_quantity)::DOUBLE AS quantity FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1")
+@query("a28_sum_by_category", "SELECT CASE WHEN contains(p_type, 'ARGE') THEN 'large' WHEN contains(p_type, 'SMA') THEN 'small' ELSE 'other' END AS category, sum(l_quantity)::DOUBLE AS quantity FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1")
 def a28(spark, d):
-    kind = F.when(F.contains("p_type", F.lit("BRASS")), "brass").when(F.contains("p_type", F.lit("TIN")), "tin").otherwise("other")
+    kind = F.when(F.contains("p_type", F.lit("ARGE")), "large").when(F.contains("p_type", F.lit("SMA")), "small").otherwise("other")
     q = read(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.sum("l_quantity").alias("q"))
     return q.join(read(spark, d, "part").select("p_partkey", kind.alias("category")), "p_partkey").groupBy("category").agg(F.sum("q").cast("double").alias("quantity"))
 
@@ -218,9 +218,9 @@ def a41(spark, d):
     return read(spark, d, "embeddings").select("vec_id", F.round(F.aggregate(v, F.lit(0.0), lambda s, x: s + x) / F.size(v), 6).alias("mean"))
 
 
-@query("a43_labels_known", "SELECT DISTINCT p_brand AS label, p_brand IN ('Brand#11', 'Brand#22') AS known FROM part")
+@query("a43_labels_known", "SELECT DISTINCT p_brand AS label, p_brand IN ('Brand#1', 'Brand#2') AS known FROM part")
 def a43(spark, d):
-    return read(spark, d, "part").select(F.col("p_brand").alias("label"), F.col("p_brand").isin("Brand#11", "Brand#22").alias("known")).distinct()
+    return read(spark, d, "part").select(F.col("p_brand").alias("label"), F.col("p_brand").isin("Brand#1", "Brand#2").alias("known")).distinct()
 
 
 @query("a44_duplicate_series", "SELECT p_name AS name, count(*) AS n FROM part GROUP BY 1 HAVING count(*) > 1")
@@ -262,16 +262,16 @@ def s20(spark, d):
     return E.upserted(old, n.select((F.col("k") + 20).alias("k"), (-F.col("k")).alias("v")), "k", "v")
 
 
-@query("j14_canonical_names", "SELECT n_nationkey, CASE n_name WHEN 'FRANCE' THEN 'francia' WHEN 'GERMANY' THEN 'alemania' ELSE lower(n_name) END AS name FROM nation")
+@query("j14_canonical_names", "SELECT n_nationkey, CASE n_name WHEN 'NATION_0' THEN 'cero' WHEN 'NATION_1' THEN 'uno' ELSE lower(n_name) END AS name FROM nation")
 def j14(spark, d):
-    m = spark.createDataFrame([("FRANCE", "francia"), ("GERMANY", "alemania")], "n_name string, own string")
+    m = spark.createDataFrame([("NATION_0", "cero"), ("NATION_1", "uno")], "n_name string, own string")
     return read(spark, d, "nation").join(F.broadcast(m), "n_name", "left").select("n_nationkey", F.coalesce("own", F.lower("n_name")).alias("name"))
 
 
-@query("f31_multi_label", r"SELECT p_partkey, unnest([x FOR x IN [CASE WHEN regexp_matches(p_type, 'STEEL|TIN') THEN 'metal' END, CASE WHEN regexp_matches(p_type, '^(LARGE|ECONOMY)') THEN 'size' END, CASE WHEN contains(p_type, 'PLATED') THEN 'plated' END] IF x IS NOT NULL]) AS label FROM part")
+@query("f31_multi_label", r"SELECT p_partkey, unnest([x FOR x IN [CASE WHEN regexp_matches(p_name, 'bolt|gear') THEN 'metal' END, CASE WHEN regexp_matches(p_type, '^(LARGE|ECONOMY)') THEN 'size' END, CASE WHEN contains(p_name, 'red') THEN 'red' END] IF x IS NOT NULL]) AS label FROM part")
 def f31(spark, d):
-    rules = (("metal", "STEEL|TIN"), ("size", "^(LARGE|ECONOMY)"), ("plated", "PLATED"))
-    return read(spark, d, "part").select("p_partkey", F.explode(F.array_compact(F.array(*[F.when(F.col("p_type").rlike(p), k) for k, p in rules]))).alias("label"))
+    rules = (("metal", "p_name", "bolt|gear"), ("size", "p_type", "^(LARGE|ECONOMY)"), ("red", "p_name", "red"))
+    return read(spark, d, "part").select("p_partkey", F.explode(F.array_compact(F.array(*[F.when(F.col(c).rlike(p), k) for k, c, p in rules]))).alias("label"))
 
 
 @query("j15_category_map", "SELECT CASE WHEN o_orderpriority LIKE '1%' OR o_orderpriority LIKE '2%' THEN 'high' ELSE 'low' END AS category, count(*) AS n FROM orders GROUP BY 1")

@@ -173,10 +173,10 @@ def j04(spark, d):
     return read(spark, d, "part").select("p_partkey", T.first_key(F.lower("p_name"), ["green", "blue", "red", "a"]).alias("key"))
 
 
-@query("j05_tag_match", "SELECT p_partkey, len([t FOR t IN string_split(lower(p_type), ' ') IF t = 'tin' OR contains(t, 'bras')]) > 0 AS hit FROM part")
+@query("j05_tag_match", "SELECT p_partkey, len([t FOR t IN string_split(lower(p_name), ' ') IF t = 'ring' OR contains(t, 'olt')]) > 0 AS hit FROM part")
 def j05(spark, d):
-    tags = F.split(F.lower("p_type"), " ")
-    return read(spark, d, "part").select("p_partkey", A.matching_tag(tags, ("bras",), ("tin",)).isNotNull().alias("hit"))
+    tags = F.split(F.lower("p_name"), " ")
+    return read(spark, d, "part").select("p_partkey", A.matching_tag(tags, ("olt",), ("ring",)).isNotNull().alias("hit"))
 
 
 REGIONS = Fixture("raw string", [("Sevilla",), ("  CATALONIA ",), ("País Vasco",), ("Principado de Asturias",), ("desconocido",), ("Canary Islands",), ("León",)])
@@ -247,9 +247,9 @@ def f01(spark, d):
     return WORDS.frame(spark).select("id", T.plain(F.col("text")).alias("text"))
 
 
-@query("f17_before_bracket", "SELECT p_partkey, string_split(p_type, ' ')[1] AS head FROM part")
+@query("f17_before_bracket", "SELECT p_partkey, string_split(p_name, ' ')[1] AS head FROM part")
 def f17(spark, d):
-    return read(spark, d, "part").select("p_partkey", F.substring_index("p_type", " ", 1).alias("head"))
+    return read(spark, d, "part").select("p_partkey", F.substring_index("p_name", " ", 1).alias("head"))
 
 
 @query("f33_figures", "SELECT n_nationkey, round_even(1 / p, 0)::BIGINT AS figures, round_even(1 / p, 0) > 100 AS compact FROM (SELECT n_nationkey, 1.0::DOUBLE / (3 + n_nationkey * n_nationkey) AS p FROM nation)")
