@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import itertools
 import uuid
 
 import numpy as np
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,45 +47,11 @@ def salts(n, rows_each: int):
     return F.greatest(F.lit(1), F.ceil(n / F.lit(rows_each))).cast("int")
 
 
-class WordHashes(dict):
-    """Word -> signed 64-bit hash, remembering at most `most` words."""
-
-    def __init__(self, strip: bytes = b"", most: int = 300_000):
-        super().__init__()
-        self.strip, self.most = strip, most
-
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh3_64_intdigest(word.strip(self.strip) if self.strip else word, seed=7)
-        h -= (h >> 63) << 64
-        if len(word) <= 64:
-            if len(self) >= self.most:
-                self.clear()
-            self[word] = h
-        return h
-
-
-#: Signs that a bare word sheds at its edges.
-EDGE_SIGNS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-_whole, _bare = WordHashes(), WordHashes(EDGE_SIGNS)
-
-
 def words_of(text: str | None) -> list[bytes]:
     """Words in UTF-8: A-Z lower-cased, cut at blank and \\t \\n \\v \\f \\r (what bytes.split takes as white space)."""
     return (text or "").encode("utf-8", "replace").lower().split()
 
 
-def word_hashes(texts: list[str | None], bare: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """uint64 hashes of the words of all texts, one after the other, and the number of words of each.
-
-    bare: words without the signs at their edges (a word of signs alone is an empty word).
-    """
-    known = _bare if bare else _whole
-    words = [words_of(t) for t in texts]
-    counts = np.array([len(w) for w in words], np.int64)
-    flat = itertools.chain.from_iterable(words)
-    return np.fromiter(map(known.__getitem__, flat), np.int64, int(counts.sum())).view(np.uint64), counts
-
-
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -100,6 +64,74 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_BLANK = np.zeros(256, bool)
+_BLANK[[32, 9, 10, 11, 12, 13]] = True
+#: Signs that a bare word sheds at its edges.
+_SIGN = np.zeros(256, bool)
+_SIGN[list(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")] = True
+#: Bytes that are hashed at once.
+SEGMENT = 1 << 20
+
+
+class _Powers:
+    """Powers of an odd number and of its inverse, modulo 2**64."""
+
+    up = down = np.ones(1, np.uint64)
+
+    @classmethod
+    def to(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(cls.up) < n:
+            base = 0xD1342543DE82EF95
+            for name, factor in (("up", base), ("down", pow(base, -1, 1 << 64))):
+                table = np.full(n, factor, np.uint64)
+                table[0] = 1
+                setattr(cls, name, np.cumprod(table))
+        return cls.up, cls.down
+
+
+def _segment_hashes(x: np.ndarray, bare: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, hashes) of the words in bytes that begin and end between words: differences of one running sum."""
+    blank = _BLANK[x]
+    edge = np.flatnonzero(np.diff(np.concatenate([[True], blank, [True]]).astype(np.int8)))
+    start, end = edge[::2], edge[1::2]
+    s, e = start, end
+    if bare:
+        core = np.flatnonzero(~(blank | _SIGN[x]))
+        i, j = np.searchsorted(core, s), np.searchsorted(core, e) - 1
+        some = i <= j
+        s, e = np.where(some, core[np.minimum(i, len(core) - 1)] if len(core) else s, s), np.where(some, core[j] + 1 if len(core) else s, s)
+    up, down = _Powers.to(len(x) + 1)
+    total = np.zeros(len(x) + 1, np.uint64)
+    np.cumsum((_LOWER[x].astype(np.uint64) + np.uint64(1)) * up[: len(x)], out=total[1:])
+    return start, mixed((total[e] - total[s]) * down[s] + (e - s).astype(np.uint64) * _MULT)
+
+
+def word_hashes(texts: list[str | None], bare: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """uint64 hashes of the words of all texts, one after the other, and the number of words of each.
+
+    bare: words without the signs at their edges (a word of signs alone is an empty word).
+    """
+    blobs = [(t or "").encode("utf-8", "replace") for t in texts]
+    sizes = np.array([len(b) + 1 for b in blobs], np.int64)
+    x = np.frombuffer(b" ".join(blobs), np.uint8)
+    starts, hashes, a = [], [], 0
+    while a < len(x):
+        z = min(len(x), a + SEGMENT)
+        while z < len(x) and not _BLANK[x[z]]:  # to the end of the word
+            step = np.flatnonzero(_BLANK[x[z : z + 4096]])
+            z += int(step[0]) if len(step) else min(4096, len(x) - z)
+        at, h = _segment_hashes(x[a:z], bare)
+        starts.append(at + a)
+        hashes.append(h)
+        a = z
+    if not starts:
+        return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
+    who = np.searchsorted(np.cumsum(sizes), np.concatenate(starts), "right")
+    return np.concatenate(hashes), np.bincount(who, minlength=len(texts))
+
+
 def ngram_hashes(h: np.ndarray, n: int) -> np.ndarray:
     """Order-sensitive uint64 hashes of the n consecutive values that start at each place."""
     h = h.view(np.uint64)

@@ -180,6 +180,13 @@ def alike(n, m):
     return 100 * F.least(n, m) >= PERCENT * F.greatest(n, m)
 
 
+def enough(c, n, l, m, k):
+    """Whether sets of n and m n-grams that share c within prefixes for l and k can be similar: the smaller of l and k at
+    least, and with all that lies behind the prefix that ends first as many as a similar pair shares."""
+    behind = F.greatest(F.ceil(n * PERCENT / 100) - l, F.ceil(m * PERCENT / 100) - k)
+    return (c >= F.least(l, k)) & (c + behind >= F.ceil((n + m) * PERCENT / (100 + PERCENT)))
+
+
 def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, n_shingles, component_id (the smallest id that can be reached by links)."""
     spark = session_of(docs)
@@ -192,8 +199,10 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     pivots = met.groupBy("token").agg(F.min("node").alias("p"), F.max("node").alias("q")).filter("p < q").select("token", "p")
     shared = stored(met.join(pivots, "token"), "ngram-shared")
     sizes = rows.filter("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.min("_id").alias("least"))
-    stars = shared.filter("node != p").groupBy("node", "p").agg(F.first("n").alias("n"))
-    stars = stars.join(sizes.select(F.col("node").alias("p"), F.col("n").alias("m")), "p").filter(alike(F.col("n"), F.col("m")))
+    own = shared.select("node", "n", "l").distinct()
+    stars = shared.filter("node != p").groupBy("node", "p", "n", "l").agg(F.count("*").alias("c"))
+    stars = stars.join(own.select(F.col("node").alias("p"), F.col("n").alias("m"), F.col("l").alias("k")), "p")
+    stars = stars.filter(alike(F.col("n"), F.col("m")) & enough(*map(F.col, ("c", "n", "l", "m", "k"))))
     first = verified(docs, text_col, stars.select(F.least("p", "node").alias("a"), F.greatest("p", "node").alias("b")).distinct(), "ngram-star")
     roots = components(first, "ngram-roots")
     # what is left: pairs of different components that share enough of their prefixes
@@ -203,7 +212,8 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     a = left.select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("l").alias("la"), F.col("root").alias("ra"))
     b = left.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("l").alias("lb"), F.col("root").alias("rb"))
     rest = a.join(b, "token").filter((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & alike(F.col("na"), F.col("nb")))
-    rest = rest.groupBy("a", "b").agg(F.count("*").alias("c"), F.min(F.least("la", "lb")).alias("l")).filter("c >= l").select("a", "b")
+    rest = rest.groupBy("a", "b", "na", "la", "nb", "lb").agg(F.count("*").alias("c"))
+    rest = rest.filter(enough(*map(F.col, ("c", "na", "la", "nb", "lb")))).select("a", "b")
     tried = stars.select(F.least("p", "node").alias("a"), F.greatest("p", "node").alias("b")).distinct()
     second = verified(docs, text_col, rest.join(tried, ["a", "b"], "left_anti"), "ngram-rest")
     roots = components(first.unionByName(second), "ngram-roots")
