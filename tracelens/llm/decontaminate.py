@@ -157,8 +157,8 @@ def against(rows: DataFrame, items: list, schema: str, threshold: float, rare: f
         for b in batches:
             h, counts = word_hashes(b["_t"].tolist(), bare=True)
             who, _, seed = index.hits(h, counts)
-            at = np.unique(np.stack([who, np.searchsorted(index.unique, seed)]), axis=1)[1]
-            np.add.at(seen, at, 1)
+            if len(who):  # each text counts once for a seed
+                np.add.at(seen, np.unique(np.stack([who, np.searchsorted(index.unique, seed)]), axis=1)[1], 1)
             docs += len(b)
         k = np.flatnonzero(seen)
         yield pd.DataFrame({"k": np.append(k, -1), "n": np.append(seen[k], docs)})
@@ -179,6 +179,8 @@ def against(rows: DataFrame, items: list, schema: str, threshold: float, rare: f
             h, counts = word_hashes(b["_t"].tolist(), bare=True)
             first = np.cumsum(counts) - counts
             who, place, seed = index.hits(h, counts)
+            if not len(who):
+                continue
             order = np.argsort(who, kind="stable")
             who, place, seed = who[order], place[order], seed[order]
             found, ids = [], b["_id"].tolist() if b["_id"].isna().any() else b["_id"].array
