@@ -2,7 +2,7 @@
 
 A rule is host/path; it fits its host and all subdomains of it where the path begins with the rule's, and of the fitting
 rules the longest decides (of equally long ones the first in the list). Other urls are judged by words: names in a host
-are cut into words by unigram Viterbi (counts of all words of the pages and of the hosts' own parts), and multinomial
+are cut into words by unigram Viterbi (counts of all words of the pages and of the hyphenated parts of hosts), and multinomial
 naive Bayes scores the words of host and path. Its examples are all pages: those with a word of a seed lexicon are of the
 class block, the others of the class allow.
 
@@ -60,8 +60,10 @@ def path_words(path):
 
 
 def unigrams(pages: DataFrame, html_col: str | None, hosts: DataFrame) -> DataFrame:
-    """word, n: counts of all lower-case words of the pages' text and of the parts that hosts have by themselves."""
-    parts = hosts.select(F.explode(names_of(F.col("host"))).alias("word"), F.col("n"))
+    """word, n: counts of all lower-case words of the pages' text and of the words that hosts part with hyphens (a name
+    without one may be several words and is no evidence)."""
+    parted = F.filter(F.split("host", r"\."), lambda x: F.contains(x, F.lit("-")))
+    parts = hosts.select(F.explode(names_of(F.array_join(parted, "-"))).alias("word"), F.col("n"))
     if html_col:
         plain = F.lower(F.regexp_replace(F.coalesce(F.col(html_col), F.lit("")), "(?s)<[^>]*>", " "))
         parts = parts.unionByName(pages.select(F.explode(F.regexp_extract_all(plain, F.lit(r"([a-z]+)"), F.lit(1))).alias("word"), F.lit(1).cast("long").alias("n")))
