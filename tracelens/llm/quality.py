@@ -47,19 +47,30 @@ class Network:
         }
         self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
 
-    def answers(self, b: np.ndarray) -> np.ndarray:
-        """Filter answers at each step of whole halves: (halves, steps in a half, filters)."""
-        e = self.p["emb"][np.concatenate([b, np.zeros(WIDTH, np.uint8)])].reshape(-1)
+    def answers(self, b: np.ndarray, first: np.ndarray, ahead: np.ndarray | None = None) -> np.ndarray:
+        """Filter answers at each step of whole halves: (halves, steps in a half, filters). first: the halves with which
+        documents begin; the last step of a document would reach into the next one and doesn't count. ahead: what
+        follows b, where b is a piece of a longer text."""
+        after = np.zeros(WIDTH, np.uint8)
+        if ahead is not None:
+            after[: len(ahead)] = ahead[:WIDTH]
+        e = self.p["emb"][np.concatenate([b, after])].reshape(-1)
         n, row = len(b) // WIDTH, WIDTH * DIM
-        out = np.empty((n, WIDTH // STEP, FILTERS), np.float32)
+        out = np.empty((n, WIDTH // STEP, FILTERS), e.dtype)
         for k in range(WIDTH // STEP):
             a = k * STEP * DIM
             out[:, k] = e[a : a + n * row].reshape(n, row) @ self.p["conv"]
-        return out.reshape(len(b) // HALF, HALF // STEP, FILTERS)
-
-    def halves(self, b: np.ndarray) -> np.ndarray:
-        """Largest answer of each filter in each half, in pieces so that memory is bounded for any length."""
-        return np.concatenate([self.answers(b[i : i + PIECE]).max(axis=1) for i in range(0, len(b), PIECE)])
+        out = out.reshape(len(b) // HALF, HALF // STEP, FILTERS)
+        ends = (np.append(first[1:], len(out)) if ahead is None else first[1:]) - 1
+        out[ends, -1] = -np.inf
+        return out
+
+    def halves(self, b: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Largest answer of each filter in each half; a text longer than PIECE goes in pieces, so that memory is bounded."""
+        if len(b) <= PIECE:
+            return self.answers(b, first).max(axis=1)
+        parts = [self.answers(b[i : i + PIECE], first[:1], b[i + PIECE : i + PIECE + WIDTH] if i + PIECE < len(b) else None).max(axis=1) for i in range(0, len(b), PIECE)]
+        return np.concatenate(parts)
 
     @staticmethod
     def joined(h: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -77,9 +88,9 @@ class Network:
             while j < len(docs) and (j == i or size + len(docs[j]) <= PIECE):
                 size += len(docs[j])
                 j += 1
-            h = self.halves(np.concatenate(docs[i:j]))
             counts = np.array([len(d) // HALF for d in docs[i:j]])
             first = np.cumsum(counts) - counts
+            h = self.halves(np.concatenate(docs[i:j]), first)
             c = np.maximum(np.maximum(h, h[self.joined(h, first)]) + self.p["bias"], 0)
             f = np.concatenate([np.maximum.reduceat(c, first), np.add.reduceat(c, first) / counts[:, None]], axis=1)
             out[i:j] = f.astype(np.float64) @ self.p["out"].astype(np.float64) + float(self.p["out_bias"][0])
@@ -90,7 +101,7 @@ class Network:
         b = np.concatenate(docs)
         counts = np.array([len(d) // HALF for d in docs])
         first, n = np.cumsum(counts) - counts, len(b) // HALF
-        a = self.answers(b)
+        a = self.answers(b, first)
         best = a.argmax(axis=1)
         h = np.take_along_axis(a, best[:, None], 1)[:, 0]
         nxt = self.joined(h, first)
