@@ -85,8 +85,11 @@ def voted(neighbours: DataFrame, k: int) -> DataFrame:
     )
 
 
-def nearest_place(points: DataFrame, places: DataFrame) -> DataFrame:
-    """Of each point the place with the smallest distance: places are a small stated table and go to the points."""
+def nearest_place(points: DataFrame, places: DataFrame, most: int = 10_000) -> DataFrame:
+    """Of each point the place with the smallest distance: places are a stated table of at most `most` rows, which goes to
+    the points; ValueError beyond that."""
+    if places.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} places")
     each = points.join(F.broadcast(places.select(F.col("region"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon"))), how="cross")
     each = each.withColumn("km", F.coalesce(haversine_km(F.col("lat"), F.col("lon"), F.col("_lat"), F.col("_lon")), F.lit(float("inf"))))
     return each.groupBy("point_id").agg(F.min(F.struct("km", "region")).alias("b")).select("point_id", "b.region", "b.km")

@@ -29,7 +29,7 @@ def completed(rounded: list[Column]) -> Column:
 def allocated(parts: DataFrame, totals: DataFrame, branch: str, value: str, total: str, population: float) -> DataFrame:
     """A branch's total, in proportion to its parts, as a share of the population."""
     sums = parts.groupBy(branch).agg(F.sum(value).alias("_sum"))
-    out = parts.join(F.broadcast(sums), branch).join(F.broadcast(totals), branch)
+    out = parts.join(sums, branch).join(totals, branch)
     return out.withColumn("share", F.col(total) * F.col(value) / F.col("_sum") / F.lit(population)).drop("_sum")
 
 

@@ -140,7 +140,7 @@ def j01(spark, d):
     c = read(spark, d, "customer")
     n = c.count()
     s = c.filter("c_mktsegment <> 'BUILDING'").groupBy("c_mktsegment").agg((F.count("*") / n).alias("share"))
-    return c.join(F.broadcast(s), "c_mktsegment", "left").select("c_custkey", F.round("share", 9).alias("share"))
+    return c.join(s, "c_mktsegment", "left").select("c_custkey", F.round("share", 9).alias("share"))
 
 
 WIDE = Fixture("id long, sexo string, estado string", [(1, "mujer", "soltero"), (2, "hombre", "viudo"), (3, None, "casado"), (4, "otro", "soltero"), (5, "mujer", "raro"), (6, None, "raro")])
