@@ -61,12 +61,19 @@ def a04(spark, d):
     return A.richness(posts_of_documents(spark, d))
 
 
-@query("a03_sentence_length")
+@query(
+    "a03_sentence_length",
+    r"""WITH s AS (SELECT source AS profile_id, unnest(string_split_regex(regexp_replace(text, '([.!?…])\s+', '\1' || chr(10), 'g'), '\n+')) AS s FROM documents)
+    SELECT profile_id, avg(len(regexp_extract_all(s, '\p{L}+|[0-9]+|[^\s\p{L}0-9]'))) AS avg_sentence_length, count(*) AS sentences FROM s WHERE trim(s) <> '' GROUP BY 1""",
+)
 def a03(spark, d):
     return A.sentence_lengths(posts_of_documents(spark, d))
 
 
-@query("a05_emoji_rate")
+@query(
+    "a05_emoji_rate",
+    r"""SELECT source AS profile_id, sum(len(regexp_extract_all(text, '[\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}]')))::DOUBLE / greatest(sum(length(text)), 1) AS emoji_rate FROM documents GROUP BY 1""",
+)
 def a05(spark, d):
     return A.emoji_rate(posts_of_documents(spark, d), T.EMOJI)
 
