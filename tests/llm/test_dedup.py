@@ -77,7 +77,9 @@ def test_repeated_strings_edges(spark, no_docs):
     assert got == [(-1, 130, 129), (1, 130, 130), (1, 130, 130), (2, 131, 130), (3, 0, 0)]
 
 
-def test_suffix_arrays():
+@pytest.mark.parametrize("few", [0, 10**6])
+def test_suffix_arrays(monkeypatch, few):
+    monkeypatch.setattr(suffix_dedup, "FEW", few)
     r = random.Random(3)
     for _ in range(150):
         blocks = []
@@ -194,3 +196,12 @@ def test_key_filter(spark):
     other = np.random.default_rng(1).integers(0, 2**63, 20000).astype(np.uint64)
     assert common.passing(bits, own).all() and common.passing(bits, other).mean() < 0.2
     assert common.key_filter(keys, 10**9, most_bytes=1024).value is None
+
+
+def test_stored_tables_can_be_discarded(spark):
+    import glob
+
+    before = common.stored(spark.range(3), "gone")
+    assert before.count() == 3 and glob.glob(f"{common.shared_dir(spark)}/tracelens-gone-*")
+    common.discard(spark)
+    assert not glob.glob(f"{common.shared_dir(spark)}/tracelens-gone-*")

@@ -29,14 +29,26 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
 
 
+_written: list[str] = []
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: the lineage ends there, and lost executors cost a read."""
+    """Write df as a table in the shared folder and read it back: the lineage ends there, and lost executors cost a read.
+    The tables stay until discard(), as results are read from them lazily."""
     spark = session_of(df)
     path = f"{shared_dir(spark)}/tracelens-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession) -> None:
+    """Delete the tables that this process has stored; call it when the results that rest on them are written."""
+    while _written:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def sized_broadcast(df: DataFrame, rows: int, width: int, most_bytes: int) -> DataFrame:
     """df with a broadcast hint if rows * width bytes fit the bound, else df as it is (a shuffled join)."""
     return F.broadcast(df) if rows * width <= most_bytes else df
