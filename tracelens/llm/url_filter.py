@@ -113,7 +113,8 @@ def judged(pages: DataFrame, rules=RULES, seeds=SEEDS, id_col: str = "page_id",
     names = hosts.select(F.explode(names_of(F.col("host"))).alias("name")).distinct()
     cut = stored(segmented(names, words, total), "url-names")
     of_host = hosts.select("host", F.explode(names_of(F.col("host"))).alias("name")).join(sized_broadcast(cut, cut.count(), 96, BROADCAST_BYTES), "name")
-    of_host = of_host.groupBy("host").agg(F.flatten(F.collect_list("words")).alias("host_words"))
+    of_host = stored(of_host.groupBy("host").agg(F.flatten(F.collect_list("words")).alias("host_words")), "url-host-words")
+    of_host = sized_broadcast(of_host, of_host.count(), 160, BROADCAST_BYTES)  # beyond that a skewed host is split by the join
     held = addresses.join(of_host, "host", "left").select("host", "path", "n", F.concat(F.coalesce("host_words", F.array().cast("array<string>")), path_words(F.col("path"))).alias("words"))
     seeded = F.arrays_overlap("words", F.array(*map(F.lit, seeds)))
     held = stored(held.withColumn("bad", F.coalesce(seeded, F.lit(False)).cast("long")), "url-words")
