@@ -37,6 +37,10 @@ LENGTH, GRAM = 100, 24
 HOT, HOT_SHARE = 20_000, 100_000
 #: Starts in one run at most (longer ones are cut), bytes of texts that are sorted at once, and rows of an output batch.
 RUN, SORT_BYTES, ROWS = 256, 2 << 20, 20_000
+#: Bytes of a group from which on it is cut again by other grams, and how often.
+GROUP_BYTES, LEVELS = 1024, 3
+#: Texts of one length from which on they are sorted side by side.
+FEW = 32
 NULL_ID = -(2**63)
 _BYTE = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _STEP = np.uint64(0xD6E8FEB86659FD93)
@@ -52,26 +56,84 @@ def _ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def suffix_arrays(text: np.ndarray, base: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Suffix arrays of the texts that lie at base, one after the other; each ends with its one smallest symbol."""
+    """Suffix arrays of the texts that lie at base, one after the other; each ends with its one smallest symbol.
+
+    Side by side a step costs about as much for one text as for many, so few texts go one by one."""
+    if len(text) < FEW * int(size.max()):
+        return np.concatenate([np.array(suffix_array(text[b : b + n].tolist())) + b for b, n in zip(base.tolist(), size.tolist(), strict=True)])
     n = len(text)
     block = np.repeat(np.arange(len(base)), size)
     key = block * (int(text.max()) + 1) + text
-    sa = np.argsort(key, kind="stable")
-    slot = np.empty(n, np.int64)
-    slot[sa] = np.arange(n)
-    opens = np.flatnonzero(np.r_[True, np.diff(key[sa]) != 0])
-    held = np.zeros(n, np.int64)  # suffixes in the group that begins at a slot
+    order = np.argsort(key, kind="stable")
+    sa, slot = order.astype(np.int32), np.empty(n, np.int32)
+    slot[order] = np.arange(n)
+    opens = np.flatnonzero(np.r_[True, np.diff(key[order]) != 0])
+    del key, block
+    held = np.zeros(n, np.int32)  # suffixes in the group that begins at a slot
     held[opens] = np.diff(np.r_[opens, n])
-    group = np.empty(n, np.int64)  # first slot of a suffix's group
-    group[sa] = np.repeat(opens, held[opens])
-    smaller = np.arange(n) - 1  # previous-smaller pointers, once known
+    group = np.empty(n, np.int32)  # first slot of a suffix's group
+    group[order] = np.repeat(opens, held[opens])
+    del order
+    smaller = np.arange(n, dtype=np.int32) - 1  # previous-smaller pointers, once known
     smaller[base] = -1
     _group(sa, slot, group, held, smaller, base, base + size - 1)
     return _emit(group, smaller, base, size)
 
 
+def suffix_array(text: list[int]) -> list[int]:
+    """The suffix array of one text by the same two phases, one suffix at a time."""
+    n = len(text)
+    sa = sorted(range(n), key=text.__getitem__)
+    slot, group, held = [0] * n, [0] * n, [0] * n
+    first = 0
+    for i, s in enumerate(sa):
+        slot[s] = i
+        if i and text[s] != text[sa[i - 1]]:
+            first = i
+        group[s] = first
+        held[first] += 1
+    smaller = list(range(-1, n - 1))
+    last = n - 1
+    while last >= 0:
+        first = group[sa[last]]
+        times: dict[int, int] = {}
+        for s in sorted(sa[first : last + 1]):
+            p = smaller[s]
+            while p >= 0 and group[p] >= first:
+                p = smaller[p]
+            smaller[s] = p
+            if p >= 0:
+                times[p] = times.get(p, 0) + 1
+        for k in sorted(set(times.values()), reverse=True):
+            lifted: dict[int, list[int]] = {}
+            for p, c in times.items():
+                if c == k:
+                    lifted.setdefault(group[p], []).append(p)
+            for g, ps in lifted.items():
+                end = g + held[g]
+                for p in ps:
+                    end -= 1
+                    q, i = sa[end], slot[p]
+                    sa[i], slot[q], sa[end], slot[p] = q, i, p, end
+                    group[p] = g + held[g] - len(ps)
+                held[g] -= len(ps)
+                held[end] = len(ps)
+        last = first - 1
+    out, placed, free = [-1] * n, [False] * n, list(range(n))
+    out[0], placed[n - 1] = n - 1, True
+    free[group[n - 1]] += 1
+    for i in range(n):
+        s = out[i] - 1
+        while s >= 0 and not placed[s]:
+            g = group[s]
+            out[free[g]], placed[s] = s, True
+            free[g] += 1
+            s = smaller[s]
+    return out
+
+
 def _group(sa, slot, group, held, smaller, base, last) -> None:
-    count, moved = np.zeros(len(sa), np.int64), np.zeros(len(sa), bool)
+    count, moved = np.zeros(len(sa), np.int32), np.zeros(len(sa), bool)
     low, last = base.copy(), last.copy()
     while len(last):
         first = group[sa[last]]
@@ -123,7 +185,7 @@ def _lift(chosen, sa, slot, group, held, moved) -> None:
 
 def _emit(group, smaller, base, size) -> np.ndarray:
     n = len(group)
-    sa, placed, free = np.full(n, -1, np.int64), np.zeros(n, bool), np.arange(n)
+    sa, placed, free = np.full(n, -1, np.int32), np.zeros(n, bool), np.arange(n, dtype=np.int32)
     end = base + size
     first = end - 1  # the last symbol is the smallest suffix
     sa[base], placed[first] = first, True
@@ -309,22 +371,25 @@ def removed_spans(docs: DataFrame) -> DataFrame:
     dealt = found.repartition(parts, place).sortWithinPartitions("gram", "_id", "key", "start")
 
     def judged(batches):
-        gram, own, groups, size, rows = None, {}, [], 0, []
+        gram, own, rows = None, {}, []
+        groups, size = [[], []], [0, 0]  # small ones, and large ones, which take many steps and so go many together
 
         def close():
-            nonlocal own, size
-            if len(own) > 1 or own and repeats_within(next(iter(own))):
-                groups.append(list(own.items()))
-                size += sum(map(len, own))
+            nonlocal own
+            found, copies = divided(own)
+            rows.extend(copies)
+            for g in found:
+                n = sum(len(b) for b, _ in g)
+                groups[n > GROUP_BYTES].append(g)
+                size[n > GROUP_BYTES] += n
             own = {}
 
-        def sort():
-            nonlocal groups, size
-            for big in _by_size(groups):
+        def sort(which):
+            for big in _by_size(groups[which]):
                 flat = [x for g in big for x in g]
                 for (_, (i, k, a)), s in zip(flat, repeated_starts([[b for b, _ in g] for g in big]), strict=True):
                     rows.extend((i, k, a + x, a + y) for x, y in spans_of(s))
-            groups, size = [], 0
+            groups[which], size[which] = [], 0
 
         def full():
             nonlocal rows
@@ -339,8 +404,11 @@ def removed_spans(docs: DataFrame) -> DataFrame:
                 if x != gram:
                     close()
                     gram = x
-                    if size > SORT_BYTES:
-                        sort()
+                    for n in (0, 1):
+                        if size[n] > SORT_BYTES:
+                            sort(n)
+                            if len(rows) >= ROWS:
+                                yield full()
                 if stretch not in own:
                     own[stretch] = (i, k, a)
                 elif own[stretch] != (i, k, a):
@@ -348,14 +416,98 @@ def removed_spans(docs: DataFrame) -> DataFrame:
             if len(rows) >= ROWS:
                 yield full()
         close()
-        if groups:
-            sort()
+        sort(0)
+        sort(1)
         if rows:
             yield full()
 
     return dealt.mapInPandas(judged, SPANS)
 
 
+def _common(a: bytes, b: bytes) -> int:
+    """Bytes that two strings have in common at their beginnings."""
+    n = min(len(a), len(b))
+    if a[:n] == b[:n]:
+        return n
+    low, high = 0, n  # a[:low] is common, a[:high] isn't
+    while high - low > 1:
+        mid = (low + high) // 2
+        if a[low:mid] == b[low:mid]:
+            low = mid
+        else:
+            high = mid
+    return low
+
+
+def _furthest(parts: list[bytes]) -> list[int]:
+    """For each string the most bytes that it has in common with another one: neighbours in their order have the most."""
+    order = sorted(range(len(parts)), key=parts.__getitem__)
+    out = [0] * len(parts)
+    for i, j in zip(order, order[1:], strict=False):
+        n = _common(parts[i], parts[j])
+        out[i], out[j] = max(out[i], n), max(out[j], n)
+    return out
+
+
+def _level_grams(b: bytes, level: int) -> np.ndarray:
+    """Gram hashes by which texts are cut at first, and anew at each further level."""
+    g = grams(np.frombuffer(b, np.uint8))
+    return mixed(g + np.uint64((0xD6E8FEB86659FD93 * (level + 1)) & 0xFFFFFFFFFFFFFFFF)) if level else g
+
+
+def trimmed(group: list[tuple[bytes, tuple[int, int, int]]], level: int) -> list[tuple[bytes, tuple[int, int, int]]]:
+    """The group's stretches without the ends in which no string can equal one of another stretch.
+
+    All strings of a group hold its gram. Where each stretch holds it once, equal strings of two stretches lie within what
+    those have in common on both sides of it, and a stretch that has less than LENGTH in common with all others goes.
+    """
+    first = group[0][0]
+    at = int(_level_grams(first, level).argmin())
+    gram = first[at : at + GRAM]
+    places = [b.find(gram) for b, _ in group]
+    if any(p < 0 or b.find(gram, p + 1) >= 0 for p, (b, _) in zip(places, group, strict=True)):
+        return group
+    left = _furthest([b[:p][::-1] for p, (b, _) in zip(places, group, strict=True)])
+    right = _furthest([b[p:] for p, (b, _) in zip(places, group, strict=True)])
+    return [(b[p - x : p + y], (i, k, a + p - x)) for p, x, y, (b, (i, k, a)) in zip(places, left, right, group, strict=True) if x + y >= LENGTH]
+
+
+def divided(own: dict[bytes, tuple[int, int, int]], level: int = 0) -> tuple[list[list[tuple[bytes, tuple[int, int, int]]]], list[tuple[int, int, int, int]]]:
+    """The stretches under one gram, in their order, as groups to be sorted; and (id, key, start, end) of what is a copy.
+
+    A large group is cut again by other smallest grams, as long as that makes it smaller: equal strings stay together,
+    and what its stretches have in common becomes equal parts, of which the first stays.
+    """
+    copies: list[tuple[int, int, int, int]] = []
+    if len(own) > 1:
+        group, own = trimmed(list(own.items()), level), {}
+        for part, at in group:  # stretches that are equal now: the first in the order stays
+            if part in own:
+                copies.append((at[0], at[1], at[2], at[2] + len(part)))
+            else:
+                own[part] = at
+    if sum(map(len, own)) <= GROUP_BYTES or level == LEVELS:
+        return ([list(own.items())] if len(own) > 1 or own and repeats_within(next(iter(own))) else []), copies
+    parts: dict[int, dict[bytes, tuple[int, int, int]]] = {}
+    groups = []
+    for stretch, (i, k, a) in own.items():
+        g = _level_grams(stretch, level + 1)
+        low = sliding(g, LENGTH - GRAM + 1)
+        first = np.flatnonzero(np.r_[True, low[1:] != low[:-1]])
+        for x, f, e in zip(low[first].tolist(), first.tolist(), [*first[1:].tolist(), len(low)], strict=True):
+            part = stretch[f : e + LENGTH - 1]
+            held = parts.setdefault(x, {})
+            if part in held:
+                copies.append((i, k, a + f, a + f + len(part)))
+            else:
+                held[part] = (i, k, a + f)
+    for held in parts.values():
+        more, gone = divided(held, level + 1)
+        groups += more
+        copies += gone
+    return groups, copies
+
+
 def _by_size(groups: list) -> list[list]:
     """Groups of about equal size together, as they take about equally many steps."""
     out: dict[int, list] = {}
