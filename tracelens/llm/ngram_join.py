@@ -3,11 +3,13 @@
 All n-grams have one order: by the class of their frequency (a count sketch over all documents, on a log scale), then by
 hash. Two sets of n_a and n_b n-grams with Jaccard similarity from 3/4 on share at least ceil(3 n / 4) of either, so among
 the first n - ceil(3 n / 4) + l of each they share l. A document whose first n-grams are frequent would meet many others:
-its l grows, with its prefix, by the estimated cost of its candidates, and a pair is a candidate only if its prefixes share
-the smaller l of the two. Candidates are verified on the whole sets.
+its l grows, with its prefix, by the estimated cost of its candidates, and a pair is a candidate only if it shares so many
+n-grams (the smaller l of the two, or more where both prefixes are long enough for the pair's sizes) so early in both sets
+as sets of their sizes must. Candidates are verified on the whole sets.
 
-Equal sets are one node. The nodes with a shared prefix n-gram are first compared with the n-gram's smallest node, which
-finds most links of large groups of near copies in as many comparisons as they have nodes; then every candidate pair that
+Equal sets are one node. Each n-gram has a representative, its smallest node, and every node is first compared with the
+representatives of most of its n-grams, which finds most links of large groups of near copies in as many comparisons as
+they have nodes; then every candidate pair that
 is not in one component yet is verified, so that components are those of all links. The number of links is not counted.
 
 Sets hold 64-bit hashes of the n-grams; nodes are 64-bit hashes of sets.
@@ -23,7 +25,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelens.llm.common import components, doc_places, key_filter, mixed, ngram_hashes, passing, session_of, sized_broadcast, stored, word_hashes
@@ -32,6 +34,8 @@ N, PERCENT = 5, 75
 #: Counters of the sketch, and how many travel in one row.
 WIDTH, PART = 1 << 20, 1 << 16
 MOST_L, CHEAP = 4, 64.0
+#: Representatives that a node is compared with in the first round.
+STARS = 2
 
 
 def sets_of(texts: list[str | None], n: int = N) -> list[np.ndarray]:
@@ -59,21 +63,29 @@ def needed(n):
 
 
 class Order:
-    """The common order of n-grams and the length of each document's prefix."""
+    """The common order of n-grams and the length of each document's prefix.
+
+    A counter holds its n-gram's documents and a share of all others, the mean of all counters with its scatter. Counters
+    within three standard deviations of the mean say nothing (class 0); above them classes double.
+    """
 
     def __init__(self, counts: np.ndarray):
-        self.counts, self.mean = counts, max(1.0, float(counts.sum()) / WIDTH)
-        self.classes = np.log2(1 + counts / self.mean).astype(np.int8)
+        mean = float(counts.sum()) / WIDTH
+        noise = 3 * max(1.0, np.sqrt(mean))
+        over = (counts - mean) / noise
+        self.classes = np.where(over < 1, 0, 1 + np.log2(np.maximum(over, 1))).astype(np.uint64)
+        #: estimated other documents of a frequent n-gram
+        self.others = np.where(over < 1, 0.0, counts - mean).astype(np.float32)
 
     def prefix(self, s: np.ndarray) -> tuple[np.ndarray, int]:
         slot = (s & np.uint64(WIDTH - 1)).astype(np.int64)
-        order = np.lexsort((s, self.classes[slot]))
+        order = np.argsort(self.classes[slot] << np.uint64(56) | s >> np.uint64(8), kind="stable")
         least = needed(len(s))
-        extra = np.maximum(self.counts[slot[order]] / self.mean - 3, 0) * self.mean
+        others = self.others[slot[order]]
         first = len(s) - least + 1
-        l, cost = 1, float(extra[:first].sum())
+        l, cost = 1, float(others[:first].sum())
         if cost > CHEAP:  # each more shared n-gram asked for leaves a quarter of the candidates, and lengthens the prefix
-            price = [first - 1 + k + (cost + float(extra[first : first - 1 + k].sum())) / 4 ** (k - 1) for k in range(1, min(MOST_L, least) + 1)]
+            price = [first - 1 + k + (cost + float(others[first : first - 1 + k].sum())) / 4 ** (k - 1) for k in range(1, min(MOST_L, least) + 1)]
             l = int(np.argmin(price)) + 1
         return s[order[: len(s) - least + l]], l
 
@@ -122,7 +134,7 @@ def sketched(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, np
 
 
 def prefixes(docs: DataFrame, text_col: str, order, chosen=None) -> DataFrame:
-    """(node, n, l, token) for the prefix n-grams that pass the filter."""
+    """(node, n, l, pos, token) for the prefix n-grams that pass the filter; pos counts from 1 in the common order."""
 
     def run(batches):
         for b in batches:
@@ -132,14 +144,17 @@ def prefixes(docs: DataFrame, text_col: str, order, chosen=None) -> DataFrame:
                 if len(s) and node not in seen:
                     seen.add(node)
                     p, l = order.value.prefix(s)
-                    p = p if chosen is None else p[passing(chosen.value, p)]
-                    if len(p):
-                        rows.append((node, len(s), l, p.view(np.int64)))
+                    at = np.arange(len(p)) if chosen is None else np.flatnonzero(passing(chosen.value, p))
+                    if len(at):
+                        rows.append((node, len(s), l, at.astype(np.int32) + 1, p[at].view(np.int64)))
             if rows:
-                yield pd.DataFrame(rows, columns=["node", "n", "l", "tokens"])
+                yield pd.DataFrame(rows, columns=["node", "n", "l", "pos", "token"])
 
     texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
-    return texts.mapInPandas(run, "node long, n long, l int, tokens array<long>").select("node", "n", "l", F.explode("tokens").alias("token"))
+    out = texts.mapInPandas(run, "node long, n long, l int, pos array<int>, token array<long>")
+    if chosen is None:
+        return out.select(F.explode("token").alias("token"))
+    return out.select("node", "n", "l", F.explode(F.arrays_zip("pos", "token")).alias("e")).select("node", "n", "l", "e.pos", "e.token")
 
 
 def verified(docs: DataFrame, text_col: str, pairs: DataFrame, name: str) -> DataFrame:
@@ -180,11 +195,23 @@ def alike(n, m):
     return 100 * F.least(n, m) >= PERCENT * F.greatest(n, m)
 
 
-def enough(c, n, l, m, k):
-    """Whether sets of n and m n-grams that share c within prefixes for l and k can be similar: the smaller of l and k at
-    least, and with all that lies behind the prefix that ends first as many as a similar pair shares."""
-    behind = F.greatest(F.ceil(n * PERCENT / 100) - l, F.ceil(m * PERCENT / 100) - k)
-    return (c >= F.least(l, k)) & (c + behind >= F.ceil((n + m) * PERCENT / (100 + PERCENT)))
+def overlap(n, m):
+    """Least n-grams that similar sets of n and m share."""
+    return F.ceil((n + m) * PERCENT / (100 + PERCENT))
+
+
+def least_shared(n, l, m, k):
+    """How many n-grams a pair must share at the beginnings of its sets: as many as asked for by MOST_L, if both prefixes
+    are long enough for the overlap of sets of these sizes (they are for the smaller of l and k)."""
+    o = overlap(n, m)
+    return F.least(F.lit(MOST_L), o - F.ceil(n * PERCENT / 100) + l, o - F.ceil(m * PERCENT / 100) + k)
+
+
+def early(n, i, l, m, j, k):
+    """Whether an n-gram at places i and j counts for that: of sets that share o, the first c shared ones stand among the
+    first n - o + c and m - o + c."""
+    o, c = overlap(n, m), least_shared(n, l, m, k)
+    return (i <= n - o + c) & (j <= m - o + c)
 
 
 def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -196,26 +223,32 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     keys = stored(tokens.groupBy(F.col("token").alias("key")).count().filter("count > 1").select("key"), "ngram-keys")
     bits = key_filter(keys, keys.count())
     met = prefixes(docs, text_col, order, bits).distinct()
-    pivots = met.groupBy("token").agg(F.min("node").alias("p"), F.max("node").alias("q")).filter("p < q").select("token", "p")
+    # the representative of an n-gram is the node in which the fewest rarer ones come before it
+    pivots = met.groupBy("token").agg(F.min_by("node", "pos").alias("p"), F.min("pos").alias("j"), F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("token", "p", "j")
     shared = stored(met.join(pivots, "token"), "ngram-shared")
     sizes = rows.filter("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.min("_id").alias("least"))
-    own = shared.select("node", "n", "l").distinct()
-    stars = shared.filter("node != p").groupBy("node", "p", "n", "l").agg(F.count("*").alias("c"))
-    stars = stars.join(own.select(F.col("node").alias("p"), F.col("n").alias("m"), F.col("l").alias("k")), "p")
-    stars = stars.filter(alike(F.col("n"), F.col("m")) & enough(*map(F.col, ("c", "n", "l", "m", "k"))))
-    first = verified(docs, text_col, stars.select(F.least("p", "node").alias("a"), F.greatest("p", "node").alias("b")).distinct(), "ngram-star")
+    own = shared.select(F.col("node").alias("p"), F.col("n").alias("m"), F.col("l").alias("k")).distinct()
+    sides = [F.col(c) for c in ("n", "pos", "l", "m", "j", "k")]
+    stars = shared.filter("node != p").join(own, "p").filter(alike(F.col("n"), F.col("m")) & early(*sides))
+    asked = least_shared(F.col("n"), F.col("l"), F.col("m"), F.col("k"))
+    stars = stars.groupBy("node", "p").agg(F.count("*").alias("c"), F.first(asked).alias("asked")).filter("c >= asked")
+    # a node tries the representatives that it shares most with
+    near = Window.partitionBy("node").orderBy(F.desc("c"), "p")
+    stars = stars.withColumn("r", F.row_number().over(near)).filter(F.col("r") <= STARS)
+    stars = stored(stars.select(F.least("p", "node").alias("a"), F.greatest("p", "node").alias("b")).distinct(), "ngram-stars")
+    first = verified(docs, text_col, stars, "ngram-star")
     roots = components(first, "ngram-roots")
     # what is left: pairs of different components that share enough of their prefixes
-    at = stored(shared.select("token", "node", "n", "l").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "ngram-at")
+    at = stored(shared.select("token", "node", "n", "l", "pos").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "ngram-at")
     split = at.groupBy("token").agg(F.min("root").alias("r"), F.max("root").alias("s")).filter("r < s").select("token")
     left = stored(at.join(split, "token", "left_semi"), "ngram-left")
-    a = left.select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("l").alias("la"), F.col("root").alias("ra"))
-    b = left.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("l").alias("lb"), F.col("root").alias("rb"))
-    rest = a.join(b, "token").filter((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & alike(F.col("na"), F.col("nb")))
-    rest = rest.groupBy("a", "b", "na", "la", "nb", "lb").agg(F.count("*").alias("c"))
-    rest = rest.filter(enough(*map(F.col, ("c", "na", "la", "nb", "lb")))).select("a", "b")
-    tried = stars.select(F.least("p", "node").alias("a"), F.greatest("p", "node").alias("b")).distinct()
-    second = verified(docs, text_col, rest.join(tried, ["a", "b"], "left_anti"), "ngram-rest")
+    a = left.select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("l").alias("la"), F.col("pos").alias("pa"), F.col("root").alias("ra"))
+    b = left.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("l").alias("lb"), F.col("pos").alias("pb"), F.col("root").alias("rb"))
+    sides = [F.col(c) for c in ("na", "pa", "la", "nb", "pb", "lb")]
+    rest = a.join(b, (a["token"] == b["token"]) & (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & alike(F.col("na"), F.col("nb")) & early(*sides))
+    asked = least_shared(F.col("na"), F.col("la"), F.col("nb"), F.col("lb"))
+    rest = rest.groupBy("a", "b").agg(F.count("*").alias("c"), F.first(asked).alias("asked")).filter("c >= asked").select("a", "b")
+    second = verified(docs, text_col, rest.join(stars, ["a", "b"], "left_anti"), "ngram-rest")
     roots = components(first.unionByName(second), "ngram-roots")
     least = sizes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     ids = least.groupBy("root").agg(F.min("least").alias("component_id"))
