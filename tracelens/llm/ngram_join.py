@@ -223,8 +223,10 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     keys = stored(tokens.groupBy(F.col("token").alias("key")).count().filter("count > 1").select("key"), "ngram-keys")
     bits = key_filter(keys, keys.count())
     met = prefixes(docs, text_col, order, bits).distinct()
-    # the representative of an n-gram is the node in which the fewest rarer ones come before it
-    pivots = met.groupBy("token").agg(F.min_by("node", "pos").alias("p"), F.min("pos").alias("j"), F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("token", "p", "j")
+    # the representative of an n-gram is the node in which the fewest rarer ones come before it; of several the one with
+    # the smallest bits, so that n-grams of the same nodes have the same representative
+    first_of = F.shiftleft(F.col("pos").cast("long"), 32) + F.shiftrightunsigned("node", 32)
+    pivots = met.groupBy("token").agg(F.min_by("node", first_of).alias("p"), F.min("pos").alias("j"), F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("token", "p", "j")
     shared = stored(met.join(pivots, "token"), "ngram-shared")
     sizes = rows.filter("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.min("_id").alias("least"))
     own = shared.select(F.col("node").alias("p"), F.col("n").alias("m"), F.col("l").alias("k")).distinct()
