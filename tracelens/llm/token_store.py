@@ -29,7 +29,8 @@ MAGIC, CHUNK, BLOCK = b"DAC1", 8, 512
 NULL_ID = -(2**63)
 #: Ids in a file, at least, before the next one begins (a document is never cut).
 FILE_IDS = 1 << 20
-MEMORY = 250_000
+#: Stretches that a worker remembers at most, in two halves: when the newer is full, the older goes.
+MEMORY = 600_000
 
 
 def level_bits(more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -146,7 +147,9 @@ class Encoder:
         #: Only the byte-level pattern without an added blank, and no normaliser, allow the cuts.
         self.cuts = self.lib.normalizer is None and type(pre).__name__ == "ByteLevel" and not pre.add_prefix_space and getattr(pre, "use_regex", True)
         self.kind = "<u2" if model <= 65536 else "<u4"
+        self.pack = struct.Struct("<H" if model <= 65536 else "<I").pack
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.names = _byte_names()
         #: Added tokens are found in a text before anything else, so a text that holds one takes the whole path.
         self.added = [t.content for t in self.lib.get_added_tokens_decoder().values()]
@@ -160,23 +163,23 @@ class Encoder:
             else:
                 rest.append(p)
         out |= {p: e.ids for p, e in zip(rest, self.lib.encode_batch(rest, add_special_tokens=False), strict=True)}
-        return [np.array(out[p], self.kind).tobytes() for p in parts]
+        return [b"".join(map(self.pack, out[p])) for p in parts]
 
     def encoded(self, text: str) -> np.ndarray:
         if not self.cuts or any(t in text for t in self.added):
             return np.array(self.lib.encode(text, add_special_tokens=False).ids, np.uint32)
-        known, kind, parts = self.known, self.kind, STRETCH.findall(text)
-        try:
-            return np.frombuffer(b"".join([known[p] for p in parts]), kind)
-        except KeyError:
-            pass
-        if len(known) > MEMORY:
-            known.clear()
-        new = [p for p in dict.fromkeys(parts) if p not in known]
-        own = {}
-        for p, ids in zip(new, self._new(new), strict=True):
-            (known if len(p) <= 64 else own)[p] = ids
-        return np.frombuffer(b"".join([known[p] if p in known else own[p] for p in parts]), kind)
+        parts = STRETCH.findall(text)
+        got = list(map(self.known.get, parts))
+        if None in got:
+            lacking = dict.fromkeys(p for p, g in zip(parts, got, strict=True) if g is None)
+            fresh = {p: g for p in lacking if (g := self.older.get(p)) is not None}
+            new = [p for p in lacking if p not in fresh]
+            fresh.update(zip(new, self._new(new), strict=True))
+            got = [fresh[p] if g is None else g for p, g in zip(parts, got, strict=True)]
+            if len(self.known) > MEMORY // 2:
+                self.known, self.older = {}, self.known
+            self.known.update((p, g) for p, g in fresh.items() if len(p) <= 64)
+        return np.frombuffer(b"".join(got), self.kind)
 
 
 _encoders: dict[str, Encoder] = {}
