@@ -205,3 +205,19 @@ def test_stored_tables_can_be_discarded(spark):
     assert before.count() == 3 and glob.glob(f"{common.shared_dir(spark)}/tracelens-gone-*")
     common.discard(spark)
     assert not glob.glob(f"{common.shared_dir(spark)}/tracelens-gone-*")
+
+
+def test_edited_passages_are_found(spark):
+    """Single words replaced, at random, in passages of 50 words that stay SIMILAR: by the rate of edits, nearly all are found."""
+    for rate, least in ((0.1, 1.0), (0.15, 0.97), (0.2, 0.9)):
+        r = random.Random(11)
+        rows, n = [], 100
+        for k in range(n):
+            words = [f"p{r.randrange(10**6)}" for _ in range(50)]
+            edited = [f"q{r.randrange(10**6)}" if r.random() < rate else w for w in words]
+            while sum(a == b for a, b in zip(words, edited, strict=True)) < 40:
+                edited = [f"q{r.randrange(10**6)}" if r.random() < rate else w for w in words]
+            for i, w in ((2 * k, words), (2 * k + 1, edited)):
+                rows.append((i, " ".join([f"r{r.randrange(10**6)}" for _ in range(20)] + w + [f"r{r.randrange(10**6)}" for _ in range(20)])))
+        got = passages.shared_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+        assert len({min(x["doc_id"], x["other_id"]) // 2 for x in got}) >= least * n, rate
