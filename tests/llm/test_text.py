@@ -366,3 +366,21 @@ def test_pipeline(spark, tmp_path, clean):
 
 def test_all_numbered_queries_are_there():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+
+
+def test_leaks_do_not_depend_on_other_copies(spark):
+    """Edited copies are found whether or not many other documents hold the item."""
+    r = random.Random(12)
+    items = [[f"i{r.randrange(10**6)}" for _ in range(17)] for _ in range(60)]
+    rows = []
+    for k, item in enumerate(items):
+        w = list(item)
+        for at in (3, 8, 13):  # two of the 4-grams are left
+            w[at] = f"x{k}"
+        rows.append((k, " ".join([f"n{r.randrange(10**6)}" for _ in range(30)] + w + [f"n{r.randrange(10**6)}" for _ in range(30)])))
+    copies = [(1000 + 10 * k + j, " ".join(item)) for k, item in enumerate(items) for j in range(5)]
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    for more in ([], copies):
+        d = spark.createDataFrame(rows + more, "doc_id long, text string").repartition(4)
+        got = {(x["doc_id"], x["item_id"]) for x in decontaminate.contaminated(d, bench).collect()}
+        assert {(k, k) for k in range(len(items))} <= got

@@ -1,9 +1,9 @@
-"""Benchmark items in training texts: rare word n-grams as seeds, Smith-Waterman alignment as the judge.
+"""Benchmark items in training texts: word n-grams as seeds, Smith-Waterman alignment as the judge.
 
 The benchmark is the query set: it is taken in blocks of at most BLOCK_ITEMS items, each block's seeds go to all tasks,
-and all documents are read against each block. A seed's rarity is the number of documents that hold it, over all
-documents; an item keeps the rarer half of its seeds and all that stand in at most RARE of the documents. Where HITS of
-them (or all of a shorter item) meet within a window of a document, the window's words are aligned with the item's.
+and all documents are read against each block. Every seed of an item counts, however many documents hold it, so that a
+verdict on a document doesn't depend on the others: around each hit that shares enough words with the item, the window's
+words are aligned with the item's.
 
 Scores: +2 for equal words, -1 for unequal ones and for gaps, divided by twice the item's words; a score from THRESHOLD
 on is a leak. Words are A-Z lower-cased stretches between blanks and \\t\\n\\v\\f\\r, without signs at their edges.
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from tracelens.llm.common import doc_places, ngram_hashes, session_of, sized_broadcast, stored, word_hashes, words_of
 
-N, HITS, RARE, THRESHOLD = 4, 2, 0.001, 0.5
+N, THRESHOLD = 4, 0.5
 BLOCK_ITEMS = 20_000
 MATCH, MISMATCH, GAP = 2, -1, -1
 
@@ -59,18 +59,17 @@ def align(doc: np.ndarray, item: np.ndarray) -> tuple[int, int, int, int, int]:
 class Index:
     """Seeds of a block of items, sorted, with the items that have each."""
 
-    def __init__(self, items: list[tuple[int, str | None]], keep: set[tuple[int, int]] | None = None):
+    def __init__(self, items: list[tuple[int, str | None]]):
         self.ids = [i for i, _ in items]
         self.words = [word_hashes([t], bare=True)[0] for _, t in items]
         # short items have seeds of their own length
         self.lengths = sorted({min(N, len(w)) for w in self.words if len(w)})
-        pairs = sorted({(int(s), k) for k, (_, t) in enumerate(items) for s in seeds_of(t).tolist() if keep is None or (s, k) in keep})
+        pairs = sorted({(int(s), k) for k, (_, t) in enumerate(items) for s in seeds_of(t).tolist()})
         self.seeds = np.array([s for s, _ in pairs], np.uint64)
         self.items = np.array([k for _, k in pairs], np.int64)
         self.unique = np.unique(self.seeds)
         self.bits = np.zeros(1 << 20, bool)
         self.bits[(self.unique & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-        self.need = np.array([min(HITS, int((self.items == k).sum())) for k in range(len(items))]) if len(pairs) < 1 << 16 else np.minimum(HITS, np.bincount(self.items, minlength=len(items)))
 
     def hits(self, h: np.ndarray, counts: np.ndarray):
         """(text, place, seed) of all seeds in texts laid end to end."""
@@ -106,8 +105,9 @@ class Index:
                 j = i + 1
                 while j < len(p) and p[j] - p[j - 1] <= size:
                     j += 1
-                if j - i >= self.need[item]:
-                    lo, hi = max(0, int(p[i]) - size), min(len(words), int(p[j - 1]) + size + N)
+                lo, hi = max(0, int(p[i]) - size), min(len(words), int(p[j - 1]) + size + N)
+                # an alignment has at most as many equal words as words of the item occur
+                if np.isin(self.words[item], words[lo:hi]).sum() >= threshold * size:
                     for c in range(lo, max(lo + 1, hi), 8 * size):  # long stretches in overlapping pieces
                         s, x, y, u, v = align(words[c : min(hi, c + 10 * size + N)], self.words[item])
                         if best is None or s > best[0]:
@@ -117,7 +117,7 @@ class Index:
                 yield (item, best[0] / (MATCH * size), *best[1:])
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", rare: float = RARE, block_items: int = BLOCK_ITEMS) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", block_items: int = BLOCK_ITEMS) -> DataFrame:
     """id_col, item_col, score, start_word, end_word (in the document), item_start, item_end: one row per document row and item."""
     spark = session_of(docs)
     kind, item_kind = dict(docs.dtypes)[id_col], dict(benchmark.dtypes)[item_col]
@@ -126,7 +126,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     out = None
     texts = benchmark.select(F.col(item_col).alias("i"), F.col(text_col).alias("t"))
     for items in blocks(texts, block_items):
-        found = against(rows, items, schema, threshold, rare)
+        found = against(rows, items, schema, threshold)
         out = found if out is None else out.unionByName(found)
     if out is None:
         out = spark.createDataFrame([], schema)
@@ -146,32 +146,8 @@ def blocks(items: DataFrame, size: int):
         yield held
 
 
-def against(rows: DataFrame, items: list, schema: str, threshold: float, rare: float) -> DataFrame:
-    spark = rows.sparkSession
-    every = spark.sparkContext.broadcast(Index(items))
-
-    def count(batches):
-        index = every.value
-        seen = np.zeros(len(index.unique), np.int64)
-        docs = 0
-        for b in batches:
-            h, counts = word_hashes(b["_t"].tolist(), bare=True)
-            who, _, seed = index.hits(h, counts)
-            if len(who):  # each text counts once for a seed
-                np.add.at(seen, np.unique(np.stack([who, np.searchsorted(index.unique, seed)]), axis=1)[1], 1)
-            docs += len(b)
-        k = np.flatnonzero(seen)
-        yield pd.DataFrame({"k": np.append(k, -1), "n": np.append(seen[k], docs)})
-
-    # one row per seed of the block: as many as the block has at most
-    held = {r["k"]: r["n"] for r in stored(rows.select("_t").mapInPandas(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")), "seed-counts").collect()}
-    docs, index = held.get(-1, 0), every.value
-    n = {int(s): held.get(k, 0) for k, s in enumerate(index.unique.tolist())}
-    keep = set()
-    for k, (_, t) in enumerate(items):
-        own = sorted(set(seeds_of(t).tolist()), key=lambda s: (n[s], s))
-        keep |= {(s, k) for r, s in enumerate(own) if r < (len(own) + 1) // 2 or n[s] <= rare * docs}
-    chosen = spark.sparkContext.broadcast(Index(items, keep))
+def against(rows: DataFrame, items: list, schema: str, threshold: float) -> DataFrame:
+    chosen = rows.sparkSession.sparkContext.broadcast(Index(items))
 
     def run(batches):
         index = chosen.value
