@@ -384,3 +384,9 @@ def test_leaks_do_not_depend_on_other_copies(spark):
         d = spark.createDataFrame(rows + more, "doc_id long, text string").repartition(4)
         got = {(x["doc_id"], x["item_id"]) for x in decontaminate.contaminated(d, bench).collect()}
         assert {(k, k) for k in range(len(items))} <= got
+
+
+def test_grouped_and_short_numbers_are_found_whole(spark):
+    texts = [f"call me at +1 415 555 {1000 + k} now" for k in range(20)] + ["call me at 415 555 0132 now", "call me at (415) 555-0132 now", "call me at 7713 now"]
+    got = {r["doc_id"]: r["spans"] for r in pii.digests(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[k] for k in (20, 21, 22)] == ["phone:11:23", "phone:11:25", "phone:11:15"]

@@ -1,10 +1,11 @@
 """Personal data: base patterns, and identifiers found by bootstrapped contexts.
 
 Base spans are leftmost, non-overlapping matches of each kind's pattern that pass its check. They are the seeds. The
-words around each seed and around each other token with a digit or an @ are lexical patterns; patterns and the values
+words around each seed, around each other token with a digit or an @ and around each run of digit groups (joined by
+blank, dot, bracket or hyphen) are lexical patterns; patterns and the values
 seen in them form a graph. A pattern's confidence for a kind is the mean score of its values (with SMOOTH added to the
 count), a value's score is the best confidence of its patterns (a seed's is 1); ROUNDS turns of this are Spark joins and
-sums over the whole graph. Values whose score reaches ACCEPT become spans of that kind.
+sums over the whole graph. Values whose score reaches ACCEPT become spans of that kind; of those found that lie within a longer one, the longer one counts.
 
 Defined results: a null or empty text has no spans; positions count code points, ends are exclusive; rows that repeat
 give repeated rows; null ids stay null; an empty table gives an empty result; other columns play no part.
@@ -29,6 +30,7 @@ LOCAL_END = re.compile(r"[A-Za-z0-9._%+-]")
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+GROUPS = re.compile(r"(?<!\w)\(?[0-9]++(?:[\x20.()-]{1,3}+[0-9]++)++(?!\w)")
 DIGIT_OR_AT = re.compile("[0-9@]")
 SEPARATORS = re.compile("[^0-9]+")
 TOKEN_END = re.compile(r"\s|\Z")
@@ -81,8 +83,17 @@ def joined(spans) -> str:
 
 
 def tokens(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Stretches without blanks that hold a digit or an @ and touch no base span, without signs at their edges."""
+    """Stretches without blanks that hold a digit or an @, without signs at their edges, and runs of digit groups; none
+    touches a base span. Parts of a run of under 5 characters are no stretches of their own."""
     out, at = [], 0
+    runs = [(m.start() + (m[0][0] == "(" and ")" not in m[0]), m.end()) for m in GROUPS.finditer(text)]
+    bases, j = sorted((a, b) for a, _, b in taken), 0
+    for a, b in runs:
+        while j < len(bases) and bases[j][1] <= a:
+            j += 1
+        if j == len(bases) or bases[j][0] >= b:
+            out.append((a, b))
+    free, r = out[:], 0
     ends = iter(sorted((a, b) for a, _, b in taken))
     span = next(ends, None)
     while m := DIGIT_OR_AT.search(text, at):
@@ -97,9 +108,12 @@ def tokens(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int]
             a += 1
         while b > a and text[b - 1] in EDGE:
             b -= 1
-        if b - a >= 5 and not (span and span[0] < b):
+        while r < len(free) and free[r][1] <= a:
+            r += 1
+        part = r < len(free) and free[r][0] < b and (b - a < 5 or free[r] == (a, b))
+        if b > a and not part and not (span and span[0] < b):
             out.append((a, b))
-    return out
+    return sorted(out)
 
 
 def contexts(text: str, a: int, b: int) -> list[str]:
@@ -160,6 +174,8 @@ def found_in(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ro
     new = discovered(seen, rounds, accept)
     more = each.filter("v.kind < 0").select("_row", "v.start", "v.end", "v.value").join(new, "value")
     more = more.groupBy("_row").agg(F.collect_list(F.struct("start", "kind", "end")).alias("more"))
+    longer = lambda s: lambda o: (o["start"] <= s["start"]) & (o["end"] >= s["end"]) & (o["end"] - o["start"] > s["end"] - s["start"])
+    more = more.withColumn("more", F.filter("more", lambda s: ~F.exists("more", longer(s))))
     out = rows.select("_row", "_id", "base").join(more, "_row", "left")
     spans = F.array_sort(F.concat("base", F.coalesce("more", F.array().cast("array<struct<start:int,kind:int,end:int>>"))))
     return out.select(F.col("_id").alias(id_col), "base", spans.alias("spans"))
