@@ -54,6 +54,13 @@ def sized_broadcast(df: DataFrame, rows: int, width: int, most_bytes: int) -> Da
     return F.broadcast(df) if rows * width <= most_bytes else df
 
 
+def without_ids(docs: DataFrame, gone: DataFrame, id_col: str, most_bytes: int = 32 << 20) -> DataFrame:
+    """The rows of docs whose id (null is one, too) is not among the ids in the only column of gone, with all their columns."""
+    name = f"_{uuid.uuid4().hex}"  # docs may have a column of any other name
+    gone = sized_broadcast(gone.toDF(name), gone.count(), 16, most_bytes)
+    return docs.join(gone, docs[id_col].eqNullSafe(gone[name]), "left_anti")
+
+
 def salts(n, rows_each: int):
     """How many parts a group of n rows is split into."""
     return F.greatest(F.lit(1), F.ceil(n / F.lit(rows_each))).cast("int")

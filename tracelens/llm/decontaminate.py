@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelens.llm.common import doc_places, ngram_hashes, session_of, sized_broadcast, stored, word_hashes, words_of
+from tracelens.llm.common import doc_places, ngram_hashes, session_of, stored, without_ids, word_hashes, words_of
 
 N, THRESHOLD = 4, 0.5
 BLOCK_ITEMS = 20_000
@@ -172,6 +172,5 @@ def against(rows: DataFrame, items: list, schema: str, threshold: float) -> Data
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that hold no benchmark item; rows with a null id are judged by their id like all others."""
-    leaks = stored(contaminated(docs, benchmark, threshold, id_col, text_col).select(F.col(id_col).alias("_leak")).distinct(), "leaks")
-    leaks = sized_broadcast(leaks, leaks.count(), 16, 32 << 20)
-    return docs.join(leaks, F.col(id_col).eqNullSafe(F.col("_leak")), "left_anti")
+    leaks = contaminated(docs, benchmark, threshold, id_col, text_col).select(id_col).distinct()
+    return without_ids(docs, stored(leaks, "leaks"), id_col)

@@ -12,7 +12,8 @@ representatives of most of its n-grams, which finds most links of large groups o
 they have nodes; then every candidate pair that
 is not in one component yet is verified, so that components are those of all links. The number of links is not counted.
 
-Sets hold 64-bit hashes of the n-grams; nodes are 64-bit hashes of sets.
+Sets hold 64-bit hashes of the n-grams and nodes are 64-bit hashes of sets, which are trusted: different words, n-grams or
+sets with one hash would count as the same (one pair of sets among 10**10 with a chance of about one half).
 
 Defined results: words are stretches between blanks and \\t\\n\\v\\f\\r, A-Z lower-cased; a text of fewer words than n is one
 n-gram; without words the set is empty and linked with nothing; a null text counts as empty; null ids stay null and take
@@ -28,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelens.llm.common import components, doc_places, key_filter, mixed, ngram_hashes, passing, session_of, sized_broadcast, stored, word_hashes
+from tracelens.llm.common import components, doc_places, key_filter, mixed, ngram_hashes, passing, session_of, sized_broadcast, stored, without_ids, word_hashes
 
 N, PERCENT = 5, 75
 #: Counters of the sketch, and how many travel in one row.
@@ -101,15 +102,15 @@ def sketched(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, np
             sets = sets_of(b["_t"].tolist())
             if sets:
                 np.add.at(total, (np.concatenate(sets) & np.uint64(WIDTH - 1)).astype(np.int64), 1)
-            yield pd.DataFrame({"_row": b["_row"], "_id": b["_id"].array, "n": [len(s) for s in sets], "node": [node_of(s) for s in sets], "part": -1, "at": None, "counts": None})
+            yield pd.DataFrame({"_row": b["_row"], "_id": b["_id"], "n": [len(s) for s in sets], "node": [node_of(s) for s in sets], "part": -1, "at": None, "counts": None})
         for part in range(WIDTH // PART):
             x = total[part * PART : (part + 1) * PART]
             at = np.flatnonzero(x)
             if len(at):
-                yield pd.DataFrame({"_row": [-1], "_id": [None], "n": [0], "node": [0], "part": [part], "at": [at.astype("<u2").tobytes()], "counts": [x[at].astype("<u4").tobytes()]}).astype({"_id": "object"})
+                yield pd.DataFrame({"_row": [-1], "_id": [None], "n": [0], "node": [0], "part": [part], "at": [at.astype("<u2").tobytes()], "counts": [x[at].astype("<u4").tobytes()]})
 
-    rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
-    both = stored(rows.mapInPandas(run, f"_row long, _id {kind}, n long, node long, part int, at binary, counts binary"), "ngram-docs")
+    rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).cast("string").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
+    both = stored(rows.mapInPandas(run, "_row long, _id string, n long, node long, part int, at binary, counts binary"), "ngram-docs")
 
     def merge(table):
         x = np.zeros(PART, np.int64)
@@ -130,7 +131,7 @@ def sketched(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, np
     total = np.zeros(WIDTH, np.int64)
     for r in parts.collect():  # WIDTH counters, whatever the input
         total[r["part"] * PART : (r["part"] + 1) * PART] = np.frombuffer(r["counts"], "<i8")
-    return both.filter("part < 0").select("_row", "_id", "n", "node"), total
+    return both.filter("part < 0").select("_row", F.col("_id").cast(kind).alias("_id"), "n", "node"), total
 
 
 def prefixes(docs: DataFrame, text_col: str, order, chosen=None) -> DataFrame:
@@ -226,12 +227,12 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     # the representative of an n-gram is the node in which the fewest rarer ones come before it; of several the one with
     # the smallest bits, so that n-grams of the same nodes have the same representative
     first_of = F.shiftleft(F.col("pos").cast("long"), 32) + F.shiftrightunsigned("node", 32)
-    pivots = met.groupBy("token").agg(F.min_by("node", first_of).alias("p"), F.min("pos").alias("j"), F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("token", "p", "j")
+    best = [F.min_by(x, first_of).alias(y) for x, y in (("node", "p"), ("n", "m"), ("l", "k"), ("pos", "j"))]
+    pivots = met.groupBy("token").agg(*best, F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").drop("lo", "hi")
     shared = stored(met.join(pivots, "token"), "ngram-shared")
     sizes = rows.filter("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.min("_id").alias("least"))
-    own = shared.select(F.col("node").alias("p"), F.col("n").alias("m"), F.col("l").alias("k")).distinct()
     sides = [F.col(c) for c in ("n", "pos", "l", "m", "j", "k")]
-    stars = shared.filter("node != p").join(own, "p").filter(alike(F.col("n"), F.col("m")) & early(*sides))
+    stars = shared.filter("node != p").filter(alike(F.col("n"), F.col("m")) & early(*sides))
     asked = least_shared(F.col("n"), F.col("l"), F.col("m"), F.col("k"))
     stars = stars.groupBy("node", "p").agg(F.count("*").alias("c"), F.first(asked).alias("asked")).filter("c >= asked")
     # a node tries the representatives that it shares most with
@@ -239,17 +240,7 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     stars = stars.withColumn("r", F.row_number().over(near)).filter(F.col("r") <= STARS)
     stars = stored(stars.select(F.least("p", "node").alias("a"), F.greatest("p", "node").alias("b")).distinct(), "ngram-stars")
     first = verified(docs, text_col, stars, "ngram-star")
-    roots = components(first, "ngram-roots")
-    # what is left: pairs of different components that share enough of their prefixes
-    at = stored(shared.select("token", "node", "n", "l", "pos").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "ngram-at")
-    split = at.groupBy("token").agg(F.min("root").alias("r"), F.max("root").alias("s")).filter("r < s").select("token")
-    left = stored(at.join(split, "token", "left_semi"), "ngram-left")
-    a = left.select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("l").alias("la"), F.col("pos").alias("pa"), F.col("root").alias("ra"))
-    b = left.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("l").alias("lb"), F.col("pos").alias("pb"), F.col("root").alias("rb"))
-    sides = [F.col(c) for c in ("na", "pa", "la", "nb", "pb", "lb")]
-    rest = a.join(b, (a["token"] == b["token"]) & (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & alike(F.col("na"), F.col("nb")) & early(*sides))
-    asked = least_shared(F.col("na"), F.col("la"), F.col("nb"), F.col("lb"))
-    rest = rest.groupBy("a", "b").agg(F.count("*").alias("c"), F.first(asked).alias("asked")).filter("c >= asked").select("a", "b")
+    rest = left_pairs(shared.select("token", "node", "n", "l", "pos"), components(first, "ngram-roots"))
     second = verified(docs, text_col, rest.join(stars, ["a", "b"], "left_anti"), "ngram-rest")
     roots = components(first.unionByName(second), "ngram-roots")
     least = sizes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -259,9 +250,45 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return out.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("_id")).alias("component_id"))
 
 
+def left_pairs(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes of different components that share enough of their prefixes, each once.
+
+    The first n-gram that similar sets of n and m share stands among the first n - o + 1 and m - o + 1 (o: overlap()). A
+    node further back in all n-grams than that allows with the smallest possible partner leaves, and with it the n-grams
+    that only one component is left with. Of the n-grams that a pair shares only the first makes it a pair: the lists of
+    those before it have nothing in common.
+    """
+    at = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    at = stored(at, "ngram-at")
+    several = [F.min("root").alias("r"), F.max("root").alias("s")]
+    split = at.groupBy("token").agg(*several, F.min("n").alias("least_n")).filter("r < s").select("token", "least_n")
+    n, pos = F.col("n"), F.col("pos")
+    room = n - overlap(n, F.greatest("least_n", F.ceil(n * PERCENT / 100)))
+    left = stored(at.join(split, "token").filter(pos <= room + MOST_L).withColumn("lead", pos <= room + 1).drop("least_n"), "ngram-left")
+    split = left.groupBy("token").agg(*several).filter("r < s").select("token")
+    listed = left.join(split, "token", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first("l").alias("l"), F.first("root").alias("root"), F.sort_array(F.collect_list(F.struct("pos", "token", "lead"))).alias("seen"))
+    listed = stored(listed.filter(F.exists("seen", lambda x: x["lead"])), "ngram-listed")
+    each = listed.select("node", "n", "root", "seen", F.posexplode("seen").alias("i", "e")).filter("e.lead")
+    each = each.select("node", "n", "root", F.col("e.token").alias("token"), F.col("e.pos").alias("pos"), F.expr("slice(seen.token, 1, i)").alias("before"))
+    a, b = (each.select("token", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "root", "pos", "before"))) for x in "ab")
+    o = overlap(F.col("n_a"), F.col("n_b"))
+    met = (F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & alike(F.col("n_a"), F.col("n_b"))
+    met = met & (F.col("pos_a") <= F.col("n_a") - o + 1) & (F.col("pos_b") <= F.col("n_b") - o + 1) & ~F.arrays_overlap("before_a", "before_b")
+    pairs = a.join(b, (a["token"] == b["token"]) & met).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+    pairs = stored(pairs, "ngram-met")
+    known = sized_broadcast(listed, listed.count(), 2048, 16 << 20)
+    for x in "ab":
+        pairs = pairs.join(known.select(F.col("node").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n", "l", "seen"))), x)
+    sizes = [F.col(c) for c in ("n_a", "l_a", "n_b", "l_b")]
+    o, asked = overlap(F.col("n_a"), F.col("n_b")), least_shared(*sizes)
+
+    def first_of(x):
+        return F.transform(F.filter(f"seen_{x}", lambda e: e["pos"] <= F.col(f"n_{x}") - o + asked), lambda e: e["token"])
+
+    return pairs.filter(F.size(F.array_intersect(first_of("a"), first_of("b"))) >= asked).select("a", "b")
+
+
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that are not linked, by however many links, with one of a smaller id; with all their columns."""
-    gone = linked(docs, id_col, text_col).filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct()
-    gone = stored(gone, "ngram-gone")
-    gone = sized_broadcast(gone, gone.count(), 16, 32 << 20)
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    gone = linked(docs, id_col, text_col).filter(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
+    return without_ids(docs, stored(gone, "ngram-gone"), id_col)
