@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 
 import numpy as np
@@ -25,8 +26,11 @@ def session_of(df: DataFrame) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; one of our own only where the session names none."""
-    return spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    """The folder that all executors share; one of our own only where the session names none and runs on one machine."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return named or "/tmp/checkpoints"
 
 
 _written: list[str] = []
@@ -34,21 +38,45 @@ _written: list[str] = []
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: the lineage ends there, and lost executors cost a read.
-    The tables stay until discard(), as results are read from them lazily."""
+    The tables stay until discard(), or the end of scratch(), as results are read from them lazily."""
     spark = session_of(df)
-    path = f"{shared_dir(spark)}/tracelens-{name}-{uuid.uuid4().hex}"
+    path = shared_path(spark, name)
     df.write.parquet(path)
-    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(spark: SparkSession) -> None:
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new place in the shared folder, with its scheme."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tracelens-{name}-{uuid.uuid4().hex}")
+    out = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    _written.append(out)
+    return out
+
+
+def file_system(uri: str):
+    """(pyarrow file system, path in it) of a place in the shared folder, for tasks that write or seek in files."""
+    from pyarrow import fs
+
+    return (fs.LocalFileSystem(), "/" + uri[5:].lstrip("/")) if uri.startswith("file:") else fs.FileSystem.from_uri(uri)
+
+
+def discard(spark: SparkSession, since: int = 0) -> None:
     """Delete the tables that this process has stored; call it when the results that rest on them are written."""
-    while _written:
+    while len(_written) > since:
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_written.pop())
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Tables stored within are deleted at its end; what rests on them must be written before."""
+    since = len(_written)
+    try:
+        yield
+    finally:
+        discard(spark, since)
+
+
 def sized_broadcast(df: DataFrame, rows: int, width: int, most_bytes: int) -> DataFrame:
     """df with a broadcast hint if rows * width bytes fit the bound, else df as it is (a shuffled join)."""
     return F.broadcast(df) if rows * width <= most_bytes else df
@@ -210,12 +238,14 @@ def passing(bits: np.ndarray | None, keys: np.ndarray) -> np.ndarray:
     return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
-def key_filter(keys: DataFrame, n: int, most_bytes: int = 48 << 20):
-    """A broadcast bitmap of the long column `key` (n rows) for passing(); None, which passes all, where it would be larger
-    than most_bytes. Parts of the filter are built by Spark and no part holds more than 2**19 bits."""
+def key_filter(keys: DataFrame, n: int, most_bytes: int = 64 << 20):
+    """A broadcast bitmap of the long column `key` (n rows) for passing(). It has 16 bits a key, fewer beyond most_bytes, so
+    that other keys pass more and more often: with k keys in b bits a share of 1 - exp(-k / b). None, which passes all,
+    where a bit would have two keys: what passes is joined with the keys in any case, so only the rows that travel differ.
+    Parts of the filter are built by Spark and no part holds more than 2**19 bits."""
     spark = session_of(keys)
-    size = 1 << max(16, (n * 16 - 1).bit_length()) if n else 1 << 16
-    if size // 8 > most_bytes:
+    size = min(1 << max(16, (n * 16 - 1).bit_length()) if n else 1 << 16, 1 << (most_bytes * 8).bit_length() - 1)
+    if n > 2 * size:
         return spark.sparkContext.broadcast(None)
     part = min(size, 1 << 19)
 

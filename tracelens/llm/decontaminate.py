@@ -1,9 +1,10 @@
 """Benchmark items in training texts: word n-grams as seeds, Smith-Waterman alignment as the judge.
 
-The benchmark is the query set: it is taken in blocks of at most BLOCK_ITEMS items, each block's seeds go to all tasks,
-and all documents are read against each block. Every seed of an item counts, however many documents hold it, so that a
+The benchmark is the query set: it is taken in blocks of at most BLOCK_ITEMS items and BLOCK_BYTES bytes, each block's seeds
+go to all tasks, and all documents are read against each block. Every seed of an item counts, however many documents hold it, so that a
 verdict on a document doesn't depend on the others: around each hit that shares enough words with the item, the window's
-words are aligned with the item's.
+words are aligned with the item's. A copy that shares no n-gram with its item isn't found; with n=1 every shared word
+starts an alignment, and as a leak shares words with its item, none is missed.
 
 Scores: +2 for equal words, -1 for unequal ones and for gaps, divided by twice the item's words; a score from THRESHOLD
 on is a leak. Words are A-Z lower-cased stretches between blanks and \\t\\n\\v\\f\\r, without signs at their edges.
@@ -23,14 +24,14 @@ from pyspark.sql import functions as F
 from tracelens.llm.common import doc_places, ngram_hashes, session_of, stored, without_ids, word_hashes, words_of
 
 N, THRESHOLD = 4, 0.5
-BLOCK_ITEMS = 20_000
+BLOCK_ITEMS, BLOCK_BYTES = 20_000, 16 << 20
 MATCH, MISMATCH, GAP = 2, -1, -1
 
 
-def seeds_of(text: str | None) -> np.ndarray:
+def seeds_of(text: str | None, n: int = N) -> np.ndarray:
     """Hashes of an item's n-grams; of a shorter item, of all its words at once."""
     h, counts = word_hashes([text], bare=True)
-    return ngram_hashes(h, min(N, int(counts[0]))) if len(h) else h
+    return ngram_hashes(h, min(n, int(counts[0]))) if len(h) else h
 
 
 def align(doc: np.ndarray, item: np.ndarray) -> tuple[int, int, int, int, int]:
@@ -59,12 +60,13 @@ def align(doc: np.ndarray, item: np.ndarray) -> tuple[int, int, int, int, int]:
 class Index:
     """Seeds of a block of items, sorted, with the items that have each."""
 
-    def __init__(self, items: list[tuple[int, str | None]]):
+    def __init__(self, items: list[tuple[str, str | None]], n: int = N):
+        self.n = n
         self.ids = [i for i, _ in items]
         self.words = [word_hashes([t], bare=True)[0] for _, t in items]
         # short items have seeds of their own length
-        self.lengths = sorted({min(N, len(w)) for w in self.words if len(w)})
-        pairs = sorted({(int(s), k) for k, (_, t) in enumerate(items) for s in seeds_of(t).tolist()})
+        self.lengths = sorted({min(n, len(w)) for w in self.words if len(w)})
+        pairs = sorted({(int(s), k) for k, (_, t) in enumerate(items) for s in seeds_of(t, n).tolist()})
         self.seeds = np.array([s for s, _ in pairs], np.uint64)
         self.items = np.array([k for _, k in pairs], np.int64)
         self.unique = np.unique(self.seeds)
@@ -105,11 +107,11 @@ class Index:
                 j = i + 1
                 while j < len(p) and p[j] - p[j - 1] <= size:
                     j += 1
-                lo, hi = max(0, int(p[i]) - size), min(len(words), int(p[j - 1]) + size + N)
+                lo, hi = max(0, int(p[i]) - size), min(len(words), int(p[j - 1]) + size + self.n)
                 # an alignment has at most as many equal words as words of the item occur
                 if np.isin(self.words[item], words[lo:hi]).sum() >= threshold * size:
                     for c in range(lo, max(lo + 1, hi), 8 * size):  # long stretches in overlapping pieces
-                        s, x, y, u, v = align(words[c : min(hi, c + 10 * size + N)], self.words[item])
+                        s, x, y, u, v = align(words[c : min(hi, c + 10 * size + self.n)], self.words[item])
                         if best is None or s > best[0]:
                             best = (s, c + x, c + y, u, v)
                 i = j
@@ -117,37 +119,40 @@ class Index:
                 yield (item, best[0] / (MATCH * size), *best[1:])
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", block_items: int = BLOCK_ITEMS) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", block_items: int = BLOCK_ITEMS, block_bytes: int = BLOCK_BYTES, n: int = N) -> DataFrame:
     """id_col, item_col, score, start_word, end_word (in the document), item_start, item_end: one row per document row and item."""
     spark = session_of(docs)
     kind, item_kind = dict(docs.dtypes)[id_col], dict(benchmark.dtypes)[item_col]
-    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
-    schema = f"_id {kind}, _item {item_kind}, score double, start_word long, end_word long, item_start long, item_end long"
+    rows = docs.select(F.col(id_col).cast("string").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
+    # ids travel as text: as numbers beside nulls they would lose digits
+    schema = "_id string, _item string, score double, start_word long, end_word long, item_start long, item_end long"
     out = None
-    texts = benchmark.select(F.col(item_col).alias("i"), F.col(text_col).alias("t"))
-    for items in blocks(texts, block_items):
-        found = against(rows, items, schema, threshold)
+    texts = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(text_col).alias("t"))
+    for items in blocks(texts, block_items, block_bytes):
+        found = against(rows, items, schema, threshold, n)
         out = found if out is None else out.unionByName(found)
     if out is None:
         out = spark.createDataFrame([], schema)
-    return out.withColumnsRenamed({"_id": id_col, "_item": item_col})
+    return out.withColumns({"_id": F.col("_id").cast(kind), "_item": F.col("_item").cast(item_kind)}).withColumnsRenamed({"_id": id_col, "_item": item_col})
 
 
-def blocks(items: DataFrame, size: int):
-    """The benchmark in blocks of items, streamed partition by partition to the driver; no more than a block is held."""
-    held = []
+def blocks(items: DataFrame, size: int, most_bytes: int):
+    """The benchmark in blocks of items, streamed partition by partition to the driver; no more than a block is held. A block
+    ends with its size-th item, or the one with which it reaches most_bytes."""
+    held, n = [], 0
     for r in items.toLocalIterator():
         if words_of(r["t"]):
             held.append((r["i"], r["t"]))
-            if len(held) == size:
+            n += len(r["t"])
+            if len(held) == size or n >= most_bytes:
                 yield held
-                held = []
+                held, n = [], 0
     if held:
         yield held
 
 
-def against(rows: DataFrame, items: list, schema: str, threshold: float) -> DataFrame:
-    chosen = rows.sparkSession.sparkContext.broadcast(Index(items))
+def against(rows: DataFrame, items: list, schema: str, threshold: float, n: int) -> DataFrame:
+    chosen = rows.sparkSession.sparkContext.broadcast(Index(items, n))
 
     def run(batches):
         index = chosen.value
@@ -159,7 +164,7 @@ def against(rows: DataFrame, items: list, schema: str, threshold: float) -> Data
                 continue
             order = np.argsort(who, kind="stable")
             who, place, seed = who[order], place[order], seed[order]
-            found, ids = [], b["_id"].tolist() if b["_id"].isna().any() else b["_id"].array
+            found, ids = [], b["_id"].tolist()
             texts, begins = np.unique(who, return_index=True)
             for t, i, j in zip(texts.tolist(), begins.tolist(), [*begins[1:].tolist(), len(who)], strict=True):
                 words = h[first[t] : first[t] + counts[t]]

@@ -3,25 +3,26 @@
 Each byte has a learned vector; filters over 8 bytes move by 4 bytes; their largest answers within overlapping chunks
 (two halves of 256 bytes each, moving by one half) are pooled; the largest and the mean of all chunks of a document go
 into one probability. Every byte of a document is read. The network is fitted on the driver on a bounded sample of
-labelled rows (TRAIN_ROWS, those with the smallest hash of the id, texts of at most TRAIN_CHARS), the scoring is spread.
+labelled rows (TRAIN_ROWS, those with the smallest hash of the id, texts of at most TRAIN_CHARS, and of these as many as
+fit into TRAIN_BYTES; of an id that repeats, one text), the scoring is spread.
 
 Defined results: a null text counts as empty and gets a score; without labels of both kinds every score is the share of
-label 1 (0.5 without any label); null labels don't count; of rows that repeat an id in labels, all count; an empty table
+label 1 (0.5 without any label); null labels don't count; of rows that repeat an id in labels, each label counts once; an empty table
 gives an empty result; other columns play no part.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelens.llm.common import session_of
+from tracelens.llm.common import session_of, stored
 
 WIDTH, STEP, HALF = 8, 4, 256
 DIM, FILTERS = 8, 24
-TRAIN_ROWS, TRAIN_CHARS, EPOCHS = 4000, 65536, 8
+TRAIN_ROWS, TRAIN_CHARS, TRAIN_BYTES, EPOCHS = 4000, 65536, 64 << 20, 8
 #: Bytes that are put through the filters at once.
 PIECE = 1 << 20
 THRESHOLD = 0.7
@@ -165,7 +166,14 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
     known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y"))
     chosen = known.orderBy(F.xxhash64("_id"), "_id", "_y").limit(rows)
     text = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_t")).filter(F.length("_t") <= chars)
-    got = sorted((r["_id"], r["_y"], r["_t"]) for r in text.join(F.broadcast(chosen), "_id").collect())
+    held = text.join(F.broadcast(chosen), "_id").groupBy("_id", "_y").agg(F.min_by("_t", F.xxhash64("_t")).alias("_t"))
+    held = stored(held, "quality-rows")
+    sizes = held.select("_id", "_y", F.octet_length("_t").alias("n")).groupBy().agg(F.sum("n")).first()[0] or 0
+    if sizes > TRAIN_BYTES:  # at most `rows` rows without their texts
+        before = Window.orderBy(F.xxhash64("_id"), "_id", "_y").rowsBetween(Window.unboundedPreceding, 0)
+        fit = held.select("_id", "_y", F.octet_length("_t").alias("n")).withColumn("n", F.sum("n").over(before)).filter(F.col("n") <= TRAIN_BYTES)
+        held = held.join(F.broadcast(fit.drop("n")), ["_id", "_y"])
+    got = sorted((r["_id"], r["_y"], r["_t"]) for r in held.collect())
     y = [int(x[1] > 0) for x in got]
     if len(set(y)) < 2:
         return y[0] if y else 0.5
@@ -180,13 +188,13 @@ def score(docs: DataFrame, model: Network | float, id_col: str = "doc_id", text_
 
     def run(batches):
         for b in batches:
-            text = b.pop("_text_in")
-            b["_score_out"] = model.scores([padded(t) for t in text])
-            yield b
+            scores = model.scores([padded(t) for t in b.column("_text_in").to_pylist()])
+            rest = b.drop_columns(["_text_in"])
+            yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(scores, pa.float64())], names=[*rest.schema.names, "_score_out"])
 
     rows = docs.select(id_col, *keep, F.col(text_col).alias("_text_in"))
     schema = rows.drop("_text_in").withColumn("_score_out", F.lit(0.0)).schema
-    return rows.mapInPandas(run, schema).withColumnRenamed("_score_out", "score")
+    return rows.mapInArrow(run, schema).withColumnRenamed("_score_out", "score")
 
 
 def held_out(id_col):
@@ -210,6 +218,6 @@ def good_only(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD,
 
     def run(batches):
         for b in batches:
-            yield b[model.scores([padded(t) for t in b[text_col]]) >= threshold]
+            yield b.filter(pa.array(model.scores([padded(t) for t in b.column(text_col).to_pylist()]) >= threshold))
 
-    return docs.mapInPandas(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)

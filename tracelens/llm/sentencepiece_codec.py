@@ -342,6 +342,13 @@ def load(path: str) -> Model:
     return _models[path]
 
 
+def by_id(docs: DataFrame, id_col: str, text_col: str, run, columns: str) -> DataFrame:
+    """run over batches of _id (as text, as numbers beside nulls would lose digits) and _t; id_col and the columns."""
+    rows = docs.select(F.col(id_col).cast("string").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
+    out = rows.mapInPandas(run, f"_id string, {columns}")
+    return out.withColumn("_id", F.col("_id").cast(dict(docs.dtypes)[id_col])).withColumnRenamed("_id", id_col)
+
+
 def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", end: bool = True) -> DataFrame:
     """id_col, ids array<int>, begins and ends array<int> (source bytes of each id), decoded string."""
     session_of(docs)
@@ -356,15 +363,14 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
                 rows.append((i, ids, s[:, 0].astype(np.int32), s[:, 1].astype(np.int32), m.decoded(ids.tolist())))
             yield pd.DataFrame(rows, columns=["_id", "ids", "begins", "ends", "decoded"])
 
-    kind = dict(docs.dtypes)[id_col]
-    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
-    return rows.mapInPandas(run, f"_id {kind}, ids array<int>, begins array<int>, ends array<int>, decoded string").withColumnRenamed("_id", id_col)
+    return by_id(docs, id_col, text_col, run, "ids array<int>, begins array<int>, ends array<int>, decoded string")
 
 
 def digests(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
-    """id_col, n_tokens, ids_sha256, decoded_sha256, n_bytes (source bytes), covered_bytes (bytes that the pieces' spans cover); with_ids: and ids array<int>."""
+    """id_col, n_tokens, ids_sha256, decoded_sha256, n_bytes (source bytes), covered_bytes (bytes that the pieces' spans cover),
+    spans_sha256 (of the spans of all ids: begin and end as little-endian 32-bit integers); with_ids: and ids array<int>."""
     session_of(docs)
-    names = ["n_tokens", "ids_sha256", "decoded_sha256", "n_bytes", "covered_bytes", *["ids"] * with_ids]
+    names = ["n_tokens", "ids_sha256", "decoded_sha256", "n_bytes", "covered_bytes", "spans_sha256", *["ids"] * with_ids]
 
     def run(batches):
         m = load(model_path)
@@ -375,11 +381,9 @@ def digests(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col:
                 s = m.spans(t, ids)
                 listed = ids.tolist()
                 back = m.decoded(listed)
-                rows.append((len(ids), hashlib.sha256(m.text_of(listed)).hexdigest(), hashlib.sha256(back.encode()).hexdigest(), len(t.encode()), int((s[:, 1] - s[:, 0]).sum()), *[ids] * with_ids))
+                rows.append((len(ids), hashlib.sha256(m.text_of(listed)).hexdigest(), hashlib.sha256(back.encode()).hexdigest(), len(t.encode()), int((s[:, 1] - s[:, 0]).sum()), hashlib.sha256(s.astype("<i4").tobytes()).hexdigest(), *[ids] * with_ids))
             out = pd.DataFrame(rows, columns=names)
-            out.insert(0, "_id", b["_id"].array)
+            out.insert(0, "_id", b["_id"])
             yield out
 
-    kind = dict(docs.dtypes)[id_col]
-    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
-    return rows.mapInPandas(run, f"_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, n_bytes long, covered_bytes long" + ", ids array<int>" * with_ids).withColumnRenamed("_id", id_col)
+    return by_id(docs, id_col, text_col, run, "n_tokens long, ids_sha256 string, decoded_sha256 string, n_bytes long, covered_bytes long, spans_sha256 string" + ", ids array<int>" * with_ids)

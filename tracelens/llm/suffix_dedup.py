@@ -15,7 +15,8 @@ Many texts go through both phases side by side in numpy. Neighbours in the suffi
 same string; of each, the one with the smallest document id, then the smallest start, stays.
 
 Grams that occur in very many places (HOT of them at least, and one in 100,000 of all) are split by a second smallest
-gram, so that none gathers an unbounded group.
+gram. Copies of one passage have both in common: their equal stretches collapse within each task before they travel, but
+the stretches at the passage's ends differ and do meet, some 250 bytes for each document that holds it.
 
 Defined results: texts are UTF-8 bytes, a null text is empty; texts shorter than LENGTH lose nothing; ids are integers,
 a null id is the lowest; of rows with equal ids the order is by a hash of the text, and rows that repeat both id and text
@@ -523,7 +524,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = docs.select(whole.alias("_id"), F.xxhash64(whole, text).alias("key"), text.alias("_t"))
     spans = removed_spans(rows).groupBy("_id", "key").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     kind = dict(docs.dtypes)[id_col]
-    both = docs.select(F.col(id_col).alias("_own"), whole.alias("_id"), F.xxhash64(whole, text).alias("key"), text.alias("_t")).join(spans, ["_id", "key"], "left").select("_own", "_t", "spans")
+    both = docs.select(F.col(id_col).cast("string").alias("_own"), whole.alias("_id"), F.xxhash64(whole, text).alias("key"), text.alias("_t")).join(spans, ["_id", "key"], "left").select("_own", "_t", "spans")
 
     def run(batches):
         for b in batches:
@@ -544,8 +545,9 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 out.append((*row, [{"start": x, "end": y} for x, y in gone], kept) if texts else row)
             more = ["spans", "kept"] if texts else []
             d = pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", *more])
-            d.insert(0, "_own", b["_own"].array)
+            d.insert(0, "_own", b["_own"])
             yield d
 
     more = ", spans array<struct<start:int,end:int>>, kept binary" if texts else ""
-    return both.mapInPandas(run, f"_own {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string{more}").withColumnRenamed("_own", id_col)
+    out = both.mapInPandas(run, f"_own string, n_bytes long, n_removed long, n_spans long, kept_sha256 string{more}")
+    return out.withColumn("_own", F.col("_own").cast(kind)).withColumnRenamed("_own", id_col)

@@ -2,11 +2,14 @@
 
 An id is cut into chunks of CHUNK bits, the lowest first. Level k holds the k-th chunk of every id that has one, and one
 bit for each that says whether the id goes on in level k + 1. A rank directory counts the set bits before each block of
-512, so that id i is found by one rank per level and no other id is decoded.
+512, so that id i is found by one rank per level: three short reads in each, and no other part of the file is read.
 
-File format (little-endian): magic b"DAC1", u32 CHUNK bits (8), u64 ids, u32 levels, u32 documents; then, for each level,
-u64 entries, the chunks (u8), the bits (u64 words, lowest bit first) and the directory (u64 for each block of 512 bits);
-then the documents' starts (u64, one more than documents) and their doc ids (i64). A file holds whole documents.
+File format (little-endian): magic b"DAC2", u32 CHUNK bits (8), u64 ids, u32 levels, u32 documents, and for each level the
+u64 number of its entries; then, for each level, the chunks (u8), the bits (u64 words, lowest bit first, whole blocks) and
+the directory (u64 for each block of 512 bits); then the documents' starts (u64, one more than documents) and their doc
+ids (i64). A file holds whole documents. Files lie in the shared folder, and readers seek in them.
+
+Texts are encoded where they lie; only the ids are dealt by ranges of the document id.
 
 Defined results: a null or empty text has the end id alone; null doc ids stand first and are stored as -2**63; rows that
 repeat are stored again; an empty table gives no files; other columns play no part.
@@ -16,21 +19,26 @@ from __future__ import annotations
 
 import re
 import struct
+import uuid
 import zlib
+from array import array
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelens.llm.common import session_of, stored
+from tracelens.llm.common import file_system, session_of, shared_path, stored
 
-MAGIC, CHUNK, BLOCK = b"DAC1", 8, 512
+MAGIC, CHUNK, BLOCK = b"DAC2", 8, 512
 NULL_ID = -(2**63)
 #: Ids in a file, at least, before the next one begins (a document is never cut).
 FILE_IDS = 1 << 20
-#: Stretches that a worker remembers at most, in two halves: when the newer is full, the older goes.
+#: Stretches that a worker remembers at most.
 MEMORY = 600_000
+#: Documents of an output batch of the reader.
+ROWS = 4096
 
 
 def level_bits(more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -42,83 +50,73 @@ def level_bits(more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def pack(ids: np.ndarray, starts: np.ndarray, doc_ids: np.ndarray) -> bytes:
-    levels, rest = [], ids.astype(np.uint32)
+    levels, sizes, rest = [], [], ids.astype(np.uint32)
     while True:
         chunk, rest = (rest & ((1 << CHUNK) - 1)).astype(np.uint8), rest >> CHUNK
         more = rest > 0
         words, directory = level_bits(more)
-        levels.append(struct.pack("<Q", len(chunk)) + chunk.tobytes() + words.tobytes() + directory.tobytes())
+        sizes.append(len(chunk))
+        levels += [chunk.tobytes(), words.tobytes(), directory.tobytes()]
         rest = rest[more]
         if not len(rest):
             break
-    head = MAGIC + struct.pack("<IQII", CHUNK, len(ids), len(levels), len(doc_ids))
+    head = MAGIC + struct.pack("<IQII", CHUNK, len(ids), len(sizes), len(doc_ids)) + struct.pack(f"<{len(sizes)}Q", *sizes)
     return b"".join([head, *levels, starts.astype("<u8").tobytes(), doc_ids.astype("<i8").tobytes()])
 
 
 class TokenFile:
-    """Random access to the ids of one file."""
+    """Random access to the ids of one file; read(n, offset) gives n of its bytes, and only what is asked for is read."""
 
-    def __init__(self, blob: bytes):
-        chunk, self.n, levels, docs = struct.unpack_from("<IQII", blob, 4)
-        if blob[:4] != MAGIC or chunk != CHUNK:
+    def __init__(self, read):
+        self.read = read
+        head = read(24, 0)
+        chunk, self.n, levels, self.docs = struct.unpack_from("<IQII", head, 4)
+        if head[:4] != MAGIC or chunk != CHUNK:
             raise ValueError("not a token file")
-        at, self.levels = 24, []
-        for _ in range(levels):
-            (n,) = struct.unpack_from("<Q", blob, at)
-            blocks = (n + BLOCK - 1) // BLOCK
-            at += 8
-            chunks = np.frombuffer(blob, np.uint8, n, at)
-            at += n
-            words = np.frombuffer(blob, "<u8", blocks * BLOCK // 64, at)
-            at += words.nbytes
-            directory = np.frombuffer(blob, "<u8", blocks, at)
-            at += directory.nbytes
-            self.levels.append((chunks, words, directory))
-        self.starts = np.frombuffer(blob, "<u8", docs + 1, at).astype(np.int64)
-        self.doc_ids = np.frombuffer(blob, "<i8", docs, at + self.starts.nbytes)
-
-    @staticmethod
-    def rank(words: np.ndarray, directory: np.ndarray, i: np.ndarray) -> np.ndarray:
-        """Set bits before each place i: the directory's count, and those of the words of the block before i."""
-        word, first = i >> 6, (i >> 9) << 3
-        out = directory[i >> 9].astype(np.int64)
-        for k in range(BLOCK // 64 - 1):
-            w = first + k
-            full = w < word
-            if not full.any():
-                break
-            out[full] += np.bitwise_count(words[w[full]])
-        below = (np.uint64(1) << (i & 63).astype(np.uint64)) - np.uint64(1)
-        return out + np.bitwise_count(words[word] & below)
+        at, self.levels = 24 + 8 * levels, []
+        for n in struct.unpack(f"<{levels}Q", read(8 * levels, 24)):
+            blocks = -(-n // BLOCK)
+            self.levels.append((at, at + n, at + n + blocks * BLOCK // 8))
+            at += n + blocks * (BLOCK // 8 + 8)
+        self.index = at
 
-    def at(self, places: np.ndarray) -> np.ndarray:
-        """The ids at any places, each by one rank per level."""
-        out, who, i = np.zeros(len(places), np.uint32), np.arange(len(places)), np.asarray(places, np.int64)
-        for k, (chunks, words, directory) in enumerate(self.levels):
-            out[who] |= chunks[i].astype(np.uint32) << np.uint32(CHUNK * k)
-            on = (words[i >> 6] >> (i & 63).astype(np.uint64)) & np.uint64(1) == 1
-            if not on.any():
-                break
-            i, who = self.rank(words, directory, i[on]), who[on]
-        return out
+    def starts(self) -> np.ndarray:
+        """Where the documents begin, and the end of the last."""
+        return np.frombuffer(self.read(8 * (self.docs + 1), self.index), "<u8").astype(np.int64)
+
+    def doc_ids(self) -> np.ndarray:
+        return np.frombuffer(self.read(8 * self.docs, self.index + 8 * (self.docs + 1)), "<i8")
 
     def slice(self, a: int, b: int) -> np.ndarray:
-        """Ids a to b: two ranks per level, as neighbours in a level stay neighbours in the next."""
-        out, who = np.zeros(b - a, np.uint32), np.arange(b - a)
+        """Ids a to b: one rank per level, as neighbours in a level stay neighbours in the next."""
+        out, who = np.zeros(b - a, np.uint32), None
         for k, (chunks, words, directory) in enumerate(self.levels):
             if a == b:
                 break
-            out[who] |= chunks[a:b].astype(np.uint32) << np.uint32(CHUNK * k)
-            bits = np.unpackbits(words[a >> 6 : (b + 63) >> 6].view(np.uint8), bitorder="little")[a & 63 : (a & 63) + b - a] == 1
-            who = who[bits]
-            if not len(who):
+            part = np.frombuffer(self.read(b - a, chunks + a), np.uint8).astype(np.uint32) << np.uint32(CHUNK * k)
+            if who is None:
+                out |= part
+            else:
+                out[who] |= part
+            if k + 1 == len(self.levels):
                 break
-            a = int(self.rank(words, directory, np.array([a]))[0])
-            b = a + len(who)
+            block = a // BLOCK
+            first = block * BLOCK
+            bits = np.unpackbits(np.frombuffer(self.read(-(-(b - first) // 8), words + first // 8), np.uint8), bitorder="little")
+            on = np.flatnonzero(bits[a - first : b - first])
+            (before,) = struct.unpack("<Q", self.read(8, directory + 8 * block))
+            a = before + int(np.count_nonzero(bits[: a - first]))
+            b = a + len(on)
+            who = on if who is None else who[on]
         return out
 
+    def at(self, i: int) -> int:
+        """The id at a place."""
+        return int(self.slice(i, i + 1)[0])
+
     def document(self, k: int) -> np.ndarray:
-        return self.slice(int(self.starts[k]), int(self.starts[k + 1]))
+        a, b = struct.unpack("<QQ", self.read(16, self.index + 8 * k))
+        return self.slice(a, b)
 
 
 #: White space as the byte-level pattern knows it, letters and other signs of common texts. A text is cut where that
@@ -146,40 +144,45 @@ class Encoder:
         pre, model = self.lib.pre_tokenizer, self.lib.get_vocab_size()
         #: Only the byte-level pattern without an added blank, and no normaliser, allow the cuts.
         self.cuts = self.lib.normalizer is None and type(pre).__name__ == "ByteLevel" and not pre.add_prefix_space and getattr(pre, "use_regex", True)
-        self.kind = "<u2" if model <= 65536 else "<u4"
-        self.pack = struct.Struct("<H" if model <= 65536 else "<I").pack
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.kind = "=u2" if model <= 65536 else "=u4"
+        self.code = "H" if model <= 65536 else "I"
+        self.known = Memory(self)
         self.names = _byte_names()
         #: Added tokens are found in a text before anything else, so a text that holds one takes the whole path.
         self.added = [t.content for t in self.lib.get_added_tokens_decoder().values()]
 
-    def _new(self, parts: list[str]) -> list[bytes]:
+    def fresh(self, part: str) -> bytes:
         """A run of letters is one word of the pattern and goes to the model alone; the rest takes the whole path."""
-        out, rest, model = {}, [], self.lib.model
-        for p in parts:
-            if WORD.fullmatch(p):
-                out[p] = [x.id for x in model.tokenize(p.encode().decode("latin-1").translate(self.names))]
-            else:
-                rest.append(p)
-        out |= {p: e.ids for p, e in zip(rest, self.lib.encode_batch(rest, add_special_tokens=False), strict=True)}
-        return [b"".join(map(self.pack, out[p])) for p in parts]
-
-    def encoded(self, text: str) -> np.ndarray:
+        if WORD.fullmatch(part):
+            ids = [x.id for x in self.lib.model.tokenize(part.encode().decode("latin-1").translate(self.names))]
+        else:
+            ids = self.lib.encode(part, add_special_tokens=False).ids
+        return array(self.code, ids).tobytes()
+
+    def encoded(self, text: str) -> bytes:
+        """The ids, as numbers of the type `kind`."""
         if not self.cuts or any(t in text for t in self.added):
-            return np.array(self.lib.encode(text, add_special_tokens=False).ids, np.uint32)
-        parts = STRETCH.findall(text)
-        got = list(map(self.known.get, parts))
-        if None in got:
-            lacking = dict.fromkeys(p for p, g in zip(parts, got, strict=True) if g is None)
-            fresh = {p: g for p in lacking if (g := self.older.get(p)) is not None}
-            new = [p for p in lacking if p not in fresh]
-            fresh.update(zip(new, self._new(new), strict=True))
-            got = [fresh[p] if g is None else g for p, g in zip(parts, got, strict=True)]
-            if len(self.known) > MEMORY // 2:
-                self.known, self.older = {}, self.known
-            self.known.update((p, g) for p, g in fresh.items() if len(p) <= 64)
-        return np.frombuffer(b"".join(got), self.kind)
+            return np.array(self.lib.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+        return b"".join(map(self.known.__getitem__, STRETCH.findall(text)))
+
+
+class Memory(dict):
+    """Ids of stretches; what is missing is encoded and remembered, in two halves: when the newer is full, the older goes."""
+
+    def __init__(self, encoder: Encoder):
+        super().__init__()
+        self.encoder, self.older = encoder, {}
+
+    def __missing__(self, part: str) -> bytes:
+        got = self.older.get(part)
+        if got is None:
+            got = self.encoder.fresh(part)
+        if len(self) > MEMORY // 2:
+            self.older = dict(self)
+            self.clear()
+        if len(part) <= 64:
+            self[part] = got
+        return got
 
 
 _encoders: dict[str, Encoder] = {}
@@ -194,24 +197,46 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+def encoded(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
+    """_id, _row, _ids and _wide: the ids of each text and the end id as little-endian unsigned integers of 16 bits, or of 32
+    where _wide says so."""
+    session_of(docs)
+
+    def run(batches):
+        enc = encoder(tokenizer_path)
+        wide = enc.code == "I" or end_id > 0xFFFF
+        end, kind = struct.pack("<I" if wide else "<H", end_id), np.dtype("<u4" if wide else "<u2")
+        for b in batches:
+            ids = [np.frombuffer(enc.encoded(t), enc.kind).astype(kind).tobytes() + end for t in b.column("_t").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("_row"), pa.array(ids, pa.binary()), pa.array([wide] * len(ids))], names=["_id", "_row", "_ids", "_wide"])
+
+    text = F.coalesce(F.col(text_col), F.lit("")).alias("_t")
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("_id"), F.monotonically_increasing_id().alias("_row"), text)
+    return rows.mapInArrow(run, "_id long, _row long, _ids binary, _wide boolean")
+
+
 def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None, file_ids: int = FILE_IDS) -> DataFrame:
-    """Files in ascending order of id: a table (part, file, first, n_ids, blob) in the shared folder; first counts the
-    ids of the same part before the file. The documents are dealt by ranges of their ids."""
+    """Files in ascending order of id, and a table of them (part, file, first, n_ids, n_docs, path); first counts the ids of
+    the same part before the file. A task that runs again writes files of other names; the table has those of one run."""
     spark = session_of(docs)
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    folder = shared_path(spark, "token-files")
 
     def run(batches):
-        enc, ids, docs_, starts, held, first, file, part = encoder(tokenizer_path), [], [], [0], 0, 0, 0, 0
-        end = np.array([end_id], np.uint32)
+        system, at = file_system(folder)
+        system.create_dir(at, recursive=True)
+        run_, ids, docs_, starts, held, first, file, part = uuid.uuid4().hex, [], [], [0], 0, 0, 0, 0
 
         def full():
-            return pd.DataFrame({"part": [part], "file": [file], "first": [first], "n_ids": [held], "blob": [pack(np.concatenate(ids), np.array(starts), np.array(docs_, np.int64))]})
+            name = f"{part:06d}-{file:06d}-{run_}.dac"
+            with system.open_output_stream(f"{at}/{name}") as f:
+                f.write(pack(np.concatenate(ids), np.array(starts), np.array(docs_, np.int64)))
+            return pd.DataFrame({"part": [part], "file": [file], "first": [first], "n_ids": [held], "n_docs": [len(docs_)], "path": [f"{folder}/{name}"]})
 
         for b in batches:
-            for i, t, part in zip(b["_id"], b["_t"], b["_part"], strict=True):  # noqa: B007
-                got = enc.encoded(t)
-                ids += [got.astype(np.uint32), end]
-                held += len(got) + 1
+            for i, x, wide, part in zip(b["_id"], b["_ids"], b["_wide"], b["_part"], strict=True):  # noqa: B007
+                ids.append(np.frombuffer(x, "<u4" if wide else "<u2"))
+                held += len(ids[-1])
                 starts.append(held)
                 docs_.append(i)
                 if held >= file_ids:
@@ -220,33 +245,41 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str
         if docs_:
             yield full()
 
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
-    rows = rows.repartitionByRange(parts, "_id").sortWithinPartitions("_id", "_t").withColumn("_part", F.spark_partition_id())
-    return stored(rows.mapInPandas(run, "part int, file int, first long, n_ids long, blob binary"), "tokens")
+    rows = stored(encoded(docs, tokenizer_path, end_id, id_col, text_col), "token-ids")
+    # rows without an id are dealt by their content and place, so that they don't meet in one range
+    tie = F.when(F.col("_id") == NULL_ID, F.xxhash64("_ids", "_row")).otherwise(F.lit(0)).alias("_tie")
+    rows = rows.select("_id", tie, "_ids", "_wide").repartitionByRange(parts, "_id", "_tie").sortWithinPartitions("_id", "_tie", "_ids")
+    rows = rows.select("_id", "_ids", "_wide", F.spark_partition_id().alias("_part"))
+    return stored(rows.mapInPandas(run, "part int, file int, first long, n_ids long, n_docs long, path string"), "token-table")
 
 
 def read_tokens(files: DataFrame, what=None, columns: str = "ids array<int>") -> DataFrame:
-    """doc_id, start (ids of all documents before it) and, for each document, what(ids) as `columns`."""
-    session_of(files)
+    """doc_id, start (ids of all documents before it) and, for each document, what(ids) as `columns`. Each document is
+    looked up in its file by the directories; the file is not decoded as a whole."""
+    spark = session_of(files)
     what = what or (lambda ids: (ids.astype(np.int32),))
     # one row a part, at most as many as the writer had parts; their running sum is the parts' starts
-    sums = sorted((r["part"], r["n"]) for r in files.groupBy("part").agg(F.sum("n_ids").alias("n")).collect())
-    before = {p: int(s) for (p, _), s in zip(sums, np.cumsum([0, *(n for _, n in sums)]), strict=False)}
+    sums = sorted((r["part"], r["n"], r["files"]) for r in files.groupBy("part").agg(F.sum("n_ids").alias("n"), F.count("*").alias("files")).collect())
+    before = {p: int(s) for (p, *_), s in zip(sums, np.cumsum([0, *(n for _, n, _ in sums)]), strict=False)}
     names = [c.split()[0] for c in columns.split(", ")]
 
     def run(batches):
         for b in batches:
-            for part, first, blob in zip(b["part"], b["first"], b["blob"], strict=True):
-                f = TokenFile(blob)
-                ids, s = f.slice(0, f.n), f.starts.tolist()
-                got = [what(ids[a:b]) for a, b in zip(s, s[1:], strict=False)]
-                out = pd.DataFrame(got, columns=names)
-                out.insert(0, "start", before[part] + int(first) + f.starts[:-1])
-                out.insert(0, "doc_id", pd.array(np.where(f.doc_ids == NULL_ID, 0, f.doc_ids), "Int64"))
-                out.loc[f.doc_ids == NULL_ID, "doc_id"] = pd.NA
-                yield out
-
-    return files.select("part", "first", "blob").mapInPandas(run, f"doc_id long, start long, {columns}")
+            for part, first, path in zip(b["part"], b["first"], b["path"], strict=True):
+                system, at = file_system(path)
+                with system.open_input_file(at) as source:
+                    f = TokenFile(source.read_at)
+                    ids, starts = f.doc_ids(), f.starts()
+                    for i in range(0, f.docs, ROWS):
+                        j = min(f.docs, i + ROWS)
+                        out = pd.DataFrame([what(f.document(k)) for k in range(i, j)], columns=names)
+                        out.insert(0, "start", before[part] + int(first) + starts[i:j])
+                        out.insert(0, "doc_id", ids[i:j])
+                        yield out
+
+    few = min(sum(n for *_, n in sums), 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    out = files.select("part", "first", "path").repartition(max(1, few)).mapInPandas(run, f"doc_id long, start long, {columns}")
+    return out.withColumn("doc_id", F.nullif("doc_id", F.lit(NULL_ID)))
 
 
 def digest(ids: np.ndarray) -> tuple[int, int]:
