@@ -1,14 +1,17 @@
 """Personal data: base patterns, and identifiers found by bootstrapped contexts.
 
-Base spans are leftmost, non-overlapping matches of each kind's pattern that pass its check. They are the seeds. The
-words around each seed, around each other token with a digit or an @ and around each run of digit groups (joined by
-blank, dot, bracket or hyphen) are lexical patterns; patterns and the values
-seen in them form a graph. A pattern's confidence for a kind is the mean score of its values (with SMOOTH added to the
-count), a value's score is the best confidence of its patterns (a seed's is 1); ROUNDS turns of this are Spark joins and
-sums over the whole graph. Values whose score reaches ACCEPT become spans of that kind; of those found that lie within a longer one, the longer one counts.
+Base spans are leftmost, non-overlapping matches of each kind's pattern that pass its check. They are the seeds, beside
+secrets (SECRET: long runs of letters and digits mixed), which only the method knows as a kind. The words around each seed,
+around each other token with a digit or an @, each run of digit groups (joined by blank, dot, bracket or hyphen) and each
+address with its @ or dots written out are lexical patterns: one or two words on one side, one on both, and one word with
+the value's shape. Patterns and the values seen in them form a graph. A pattern's confidence for a kind is the mean score of
+its values (with SMOOTH added to the count), a value's score is the best confidence of its patterns (a seed's is 1); ROUNDS
+turns of this are Spark joins and sums over the whole graph. Values whose score reaches ACCEPT become spans of that kind; of
+those found that lie within a longer one, the longer one counts.
 
 Defined results: a null or empty text has no spans; positions count code points, ends are exclusive; rows that repeat
-give repeated rows; null ids stay null; an empty table gives an empty result; other columns play no part.
+give repeated rows; null ids stay null; an empty table gives an empty result; other columns play no part. A value of more
+than LONG characters stands in the graph for itself by a digest.
 """
 
 from __future__ import annotations
@@ -20,9 +23,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelens.llm.common import session_of, sized_broadcast, stored
+from tracelens.llm.common import session_of, stored
 
-KINDS = ("email", "ip", "card", "phone")
+#: The base kinds, in their order, and what the method finds beside them.
+BASE = ("email", "ip", "card", "phone")
+KINDS = (*BASE, "secret")
 #: Domain from the @ on; the local part is what stands before it.
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 LOCAL_END = re.compile(r"[A-Za-z0-9._%+-]")
@@ -32,10 +37,15 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 GROUPS = re.compile(r"(?<!\w)\(?[0-9]++(?:[\x20.()-]{1,3}+[0-9]++)++(?!\w)")
 DIGIT_OR_AT = re.compile("[0-9@]")
+SECRET = re.compile(r"(?<![A-Za-z0-9])(?=[A-Za-z0-9]*[0-9])(?=[A-Za-z0-9]*[A-Za-z])[A-Za-z0-9]{32,128}+(?![A-Za-z0-9])")
+#: name at host dot com, with or without brackets around the words
+SPELT = re.compile(r"(?i)(?<!\w)[\w.+-]{1,64}+\s?(?:[(\[{]\s?at\s?[)\]}]|\sat\s)\s?[\w-]{1,64}+(?:\s?(?:[(\[{]\s?dot\s?[)\]}]|\sdot\s)\s?[\w-]{1,64}+)++")
+WRITTEN = re.compile(r"(?i)\bdot\b")
 SEPARATORS = re.compile("[^0-9]+")
 TOKEN_END = re.compile(r"\s|\Z")
 EDGE = "\"'()[]{}<>.,;:!?#$%&*|="
 ROUNDS, ACCEPT, SMOOTH, SUPPORT = 3, 0.75, 1.0, 3
+LONG = 200
 
 
 def luhn(digits: str) -> bool:
@@ -78,6 +88,12 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def secrets(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Runs of letters and digits mixed, that touch no base span."""
+    out = [(m.start(), KINDS.index("secret"), m.end()) for m in SECRET.finditer(text)] if DIGIT_OR_AT.search(text) else []
+    return [x for x in out if not any(a < x[2] and x[0] < b for a, _, b in taken)]
+
+
 def joined(spans) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
@@ -87,6 +103,8 @@ def tokens(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int]
     touches a base span. Parts of a run of under 5 characters are no stretches of their own."""
     out, at = [], 0
     runs = [(m.start() + (m[0][0] == "(" and ")" not in m[0]), m.end()) for m in GROUPS.finditer(text)]
+    if WRITTEN.search(text):
+        runs = sorted(runs + [m.span() for m in SPELT.finditer(text)])
     bases, j = sorted((a, b) for a, _, b in taken), 0
     for a, b in runs:
         while j < len(bases) and bases[j][1] <= a:
@@ -116,15 +134,26 @@ def tokens(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int]
     return sorted(out)
 
 
+def shape(value: str) -> str:
+    """A value's signs, with a for letters and 0 for digits, however many."""
+    return re.sub("[0-9]+", "0", re.sub(r"[^\W\d_]+", "a", value[:LONG]))
+
+
 def contexts(text: str, a: int, b: int) -> list[str]:
-    """The lexical patterns around a stretch: two words before it, one word on each side, two words after it."""
+    """The lexical patterns around a stretch: two words or one before it, one on each side, two or one after it, and one word
+    with the shape of the stretch."""
 
     def plain(words: list[str]) -> list[str]:
         return [re.sub("[0-9]+", "0", w.strip(EDGE).lower()) or w[:1] for w in words]
 
     left = plain(text[max(0, a - 80) : a].split()[-2:])
     right = plain(text[b : b + 80].split()[:2])
-    return [f"{' '.join(left)} _", f"{' '.join(left[-1:])} _ {' '.join(right[:1])}", f"_ {' '.join(right)}"]
+    last, first, form = " ".join(left[-1:]), " ".join(right[:1]), shape(text[a:b])
+    return [f"{' '.join(left)} _", f"{last} _ {first}", f"_ {' '.join(right)}", f".. {last} _", f"_ {first} ..", f"{last} {form}", f"{form} {first}"]
+
+
+def named(value: str) -> str:
+    return value.lower() if len(value) <= LONG else hashlib.md5(value.encode(), usedforsecurity=False).hexdigest()
 
 
 def scanned(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -138,14 +167,16 @@ def scanned(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             base, values = [], []
             for t in b["_t"]:
                 spans = base_spans(t)
-                found = [*spans, *((x, -1, y) for x, y in tokens(t, spans))]
+                more = secrets(t, spans)
+                found = [*spans, *more, *((x, -1, y) for x, y in tokens(t, sorted(spans + more)))]
                 base.append([{"start": x, "kind": k, "end": y} for x, k, y in spans])
-                values.append([{"start": x, "kind": k, "end": y, "value": t[x:y].lower(), "patterns": contexts(t, x, y)} for x, k, y in found])
+                values.append([{"start": x, "kind": k, "end": y, "value": named(t[x:y]), "patterns": contexts(t, x, y)} for x, k, y in found])
             yield pd.DataFrame({"_row": b["_row"], "_id": b["_id"], "base": base, "values": values})
 
-    kind = dict(docs.dtypes)[id_col]
-    rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
-    return stored(rows.mapInPandas(run, f"_row long, _id {kind}, base {span}, values {seen}"), "pii")
+    # ids travel as text: as numbers beside nulls they would lose digits
+    rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).cast("string").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
+    out = rows.mapInPandas(run, f"_row long, _id string, base {span}, values {seen}")
+    return stored(out.withColumn("_id", F.col("_id").cast(dict(docs.dtypes)[id_col])), "pii")
 
 
 def discovered(seen: DataFrame, rounds: int = ROUNDS, accept: float = ACCEPT, support: int = SUPPORT) -> DataFrame:
@@ -159,7 +190,6 @@ def discovered(seen: DataFrame, rounds: int = ROUNDS, accept: float = ACCEPT, su
         trust = known.groupBy("pattern", "kind").agg(F.sum("score").alias("s"), F.count("*").alias("m")).filter(F.col("m") >= support - 1)
         trust = trust.join(size, "pattern").select("pattern", "kind", (F.col("s") / (F.col("n") + SMOOTH)).alias("trust")).filter(F.col("trust") >= accept / 2)
         trust = stored(trust, "pii-patterns")
-        trust = sized_broadcast(trust, trust.count(), 64, 32 << 20)
         found = edges.filter("kind < 0").join(trust, "pattern").groupBy("value", trust["kind"]).agg(F.max("trust").alias("score"))
         scores = stored(seeds.unionByName(found.filter(F.col("score") >= accept / 2)), "pii-scores")
     best = scores.filter(F.col("score") >= accept).groupBy("value").agg(F.max(F.struct("score", -F.col("kind"))).alias("b"))
@@ -172,8 +202,9 @@ def found_in(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ro
     each = rows.select("_row", F.explode("values").alias("v"))
     seen = each.select("v.value", "v.kind", F.explode("v.patterns").alias("pattern"))
     new = discovered(seen, rounds, accept)
+    own = each.filter(F.col("v.kind") >= len(BASE)).select("_row", "v.start", "v.kind", "v.end")
     more = each.filter("v.kind < 0").select("_row", "v.start", "v.end", "v.value").join(new, "value")
-    more = more.groupBy("_row").agg(F.collect_list(F.struct("start", "kind", "end")).alias("more"))
+    more = more.select("_row", "start", "kind", "end").unionByName(own).groupBy("_row").agg(F.collect_list(F.struct("start", "kind", "end")).alias("more"))
     longer = lambda s: lambda o: (o["start"] <= s["start"]) & (o["end"] >= s["end"]) & (o["end"] - o["start"] > s["end"] - s["start"])
     more = more.withColumn("more", F.filter("more", lambda s: ~F.exists("more", longer(s))))
     out = rows.select("_row", "_id", "base").join(more, "_row", "left")
@@ -187,10 +218,14 @@ def span_text(spans):
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, n_email, n_ip, n_card, n_phone, base_sha256, spans."""
+    """id_col, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans, n_spans (all, those of the method included)."""
     out = found_in(docs, id_col, text_col)
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
-    return out.select(id_col, *counts, F.sha2(span_text(F.col("base")), 256).alias("base_sha256"), span_text(F.col("spans")).alias("spans"))
+
+    def of_kind(k):
+        return F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
+
+    counts = [of_kind(k).alias(f"n_{name}") for k, name in enumerate(BASE)]
+    return out.select(id_col, *counts, F.sha2(span_text(F.col("base")), 256).alias("base_sha256"), span_text(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
 def brute_sha(text: str) -> str:
