@@ -193,6 +193,68 @@ def test_url_rules(spark):
     assert url_filter.judged(pages.filter("page_id < 0")).count() == 0
 
 
+def brute_judged(pages, rounds=url_filter.ROUNDS):
+    """(host, path): log odds, plainly: counts, the best of all cuts of each name, and the turns of naive Bayes."""
+    import itertools
+    import math
+    from collections import Counter
+
+    address = Counter(brute_url(u)[:2] for _, u, _ in pages)
+    unigrams = Counter(w for _, _, h in pages for w in re.findall("[a-z]+", re.sub("(?s)<[^>]*>", " ", h or "").lower()))
+    for (host, _), n in address.items():
+        for w in re.findall("[a-z]+", "-".join(x for x in host.split(".") if "-" in x)):
+            unigrams[w] += n
+    total = sum(unigrams.values())
+
+    def cut(name):
+        best = None
+        for k in range(len(name)):
+            for at in itertools.combinations(range(1, len(name)), k):
+                parts = [name[i:j] for i, j in zip((0, *at), (*at, len(name)), strict=True)]
+                s = sum(math.log(unigrams.get(w, 10.0 ** -len(w)) / (total + 1)) for w in parts)
+                if best is None or s > best[0] + 1e-9:
+                    best = (s, parts)
+        return best[1]
+
+    known, words = {}, {}
+    for host, path in address:
+        names = [known.setdefault(x, cut(x)) if x not in known else known[x] for x in re.findall("[a-z]+", host)]
+        words[host, path] = sum(names, []) + [w for w in re.split("[^a-z0-9]+", path.lower()) if w and not w.isdigit()]
+    bad = {x: float(bool(set(words[x]) & set(url_filter.SEEDS))) for x in address}
+    seeded, vocabulary = dict(bad), set().union(*words.values())
+    for turn in range(rounds + 1):
+        b, a = Counter(), Counter()
+        for x, n in address.items():
+            for w in words[x]:
+                b[w] += n * bad[x]
+                a[w] += n * (1 - bad[x])
+        big, n = sum(address[x] * bad[x] for x in address), sum(address.values())
+        prior, v = math.log((big + 1) / (n - big + 1)), len(vocabulary)
+        tb, ta = sum(b.values()), sum(a.values())
+        odds = {x: prior + sum(math.log((b[w] + 1) / (tb + v + 1)) - math.log((a[w] + 1) / (ta + v + 1)) for w in words[x]) for x in address}
+        bad = {x: 1.0 if seeded[x] else 1 / (1 + math.exp(-max(-40, min(40, odds[x])))) for x in address}
+    return odds
+
+
+def test_words_beside_the_seeds_judge_hosts_of_no_listed_word(spark):
+    r = random.Random(3)
+    text = "<p>free bets now cheap pills buy garden music news casino win big</p>" * 3
+    urls = [f"http://{h}.org/fr/{k}" for k in range(12) for h in ("freebets", "cheappills", "free-bets-now", "bigcasino")]
+    urls += [f"http://{h}.org/fr/{k}" for k in range(25) for h in ("garden-news", "musicnews", "gardenmusic")]
+    new = ["http://freenow.org/fr/1", "http://cheapbuy.org/fr/2", "http://bigfreewin.org/fr/3", "http://musicgarden.org/fr/4", "http://news.org/fr/5", None, ""]
+    urls += new
+    r.shuffle(urls)
+    rows = [(k, u, text) for k, u in enumerate(urls)]
+    got = url_filter.judged(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()
+    odds = brute_judged(rows)
+    for x in got:
+        assert abs(x["log_odds"] - odds[x["host"], x["path"]]) < 1e-6, x
+        assert x["rule"] is not None or x["verdict"] == ("block" if x["log_odds"] > 0 else "allow")
+    verdicts = {u: x["verdict"] for x in got for u in [urls[x["page_id"]]]}
+    assert [verdicts[u] for u in new] == ["block", "block", "block", "allow", "allow", "allow", "allow"]
+    assert not any(s in u for u in new[:3] for s in url_filter.SEEDS)
+
+
 def test_names_are_cut_into_words():
     counts = {"free": 50, "bets": 20, "freeb": 1, "casino": 30}
 
