@@ -7,7 +7,8 @@ address with its @ or dots written out are lexical patterns: one or two words on
 the value's shape. Patterns and the values seen in them form a graph. A pattern's confidence for a kind is the mean score of
 its values (with SMOOTH added to the count), a value's score is the best confidence of its patterns (a seed's is 1); ROUNDS
 turns of this are Spark joins and sums over the whole graph. Values whose score reaches ACCEPT become spans of that kind; of
-those found that lie within a longer one, the longer one counts.
+those found that lie within a longer one, the longer one counts. Numbers in a card's or an address's form that fail its check
+are no seeds and are never found, but speak against their patterns.
 
 Defined results: a null or empty text has no spans; positions count code points, ends are exclusive; rows that repeat
 give repeated rows; null ids stay null; an empty table gives an empty result; other columns play no part. A value of more
@@ -88,6 +89,13 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def refuted(value: str) -> bool:
+    """Whether a value has a base kind's form and fails its check: it counts in its patterns but is never found."""
+    if IP.fullmatch(value):
+        return all(len(p) <= 3 for p in value.split("."))
+    return bool(CARD.fullmatch(value)) and 14 <= len(d := SEPARATORS.sub("", value)) <= 19 and not luhn(d)
+
+
 def secrets(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Runs of letters and digits mixed, that touch no base span."""
     out = [(m.start(), KINDS.index("secret"), m.end()) for m in SECRET.finditer(text)] if DIGIT_OR_AT.search(text) else []
@@ -168,7 +176,7 @@ def scanned(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             for t in b["_t"]:
                 spans = base_spans(t)
                 more = secrets(t, spans)
-                found = [*spans, *more, *((x, -1, y) for x, y in tokens(t, sorted(spans + more)))]
+                found = [*spans, *more, *((x, -2 if refuted(t[x:y]) else -1, y) for x, y in tokens(t, sorted(spans + more)))]
                 base.append([{"start": x, "kind": k, "end": y} for x, k, y in spans])
                 values.append([{"start": x, "kind": k, "end": y, "value": named(t[x:y]), "patterns": contexts(t, x, y)} for x, k, y in found])
             yield pd.DataFrame({"_row": b["_row"], "_id": b["_id"], "base": base, "values": values})
@@ -180,7 +188,7 @@ def scanned(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def discovered(seen: DataFrame, rounds: int = ROUNDS, accept: float = ACCEPT, support: int = SUPPORT) -> DataFrame:
-    """(value, kind, score): values that high-confidence patterns vouch for. seen: value, kind (-1: no seed), pattern."""
+    """(value, kind, score): values that high-confidence patterns vouch for. seen: value, kind (-1: no seed, -2: none and refuted), pattern."""
     edges = stored(seen.groupBy("pattern", "value").agg(F.max("kind").alias("kind")), "pii-graph")
     size = edges.groupBy("pattern").agg(F.count("*").alias("n")).filter(F.col("n") >= support)
     seeds = edges.filter("kind >= 0").select("value", "kind").distinct().withColumn("score", F.lit(1.0))
@@ -190,7 +198,7 @@ def discovered(seen: DataFrame, rounds: int = ROUNDS, accept: float = ACCEPT, su
         trust = known.groupBy("pattern", "kind").agg(F.sum("score").alias("s"), F.count("*").alias("m")).filter(F.col("m") >= support - 1)
         trust = trust.join(size, "pattern").select("pattern", "kind", (F.col("s") / (F.col("n") + SMOOTH)).alias("trust")).filter(F.col("trust") >= accept / 2)
         trust = stored(trust, "pii-patterns")
-        found = edges.filter("kind < 0").join(trust, "pattern").groupBy("value", trust["kind"]).agg(F.max("trust").alias("score"))
+        found = edges.filter("kind = -1").join(trust, "pattern").groupBy("value", trust["kind"]).agg(F.max("trust").alias("score"))
         scores = stored(seeds.unionByName(found.filter(F.col("score") >= accept / 2)), "pii-scores")
     best = scores.filter(F.col("score") >= accept).groupBy("value").agg(F.max(F.struct("score", -F.col("kind"))).alias("b"))
     return best.select("value", (-F.col("b.col2")).cast("int").alias("kind"), F.col("b.score").alias("score"))
@@ -203,7 +211,7 @@ def found_in(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ro
     seen = each.select("v.value", "v.kind", F.explode("v.patterns").alias("pattern"))
     new = discovered(seen, rounds, accept)
     own = each.filter(F.col("v.kind") >= len(BASE)).select("_row", "v.start", "v.kind", "v.end")
-    more = each.filter("v.kind < 0").select("_row", "v.start", "v.end", "v.value").join(new, "value")
+    more = each.filter("v.kind = -1").select("_row", "v.start", "v.end", "v.value").join(new, "value")
     more = more.select("_row", "start", "kind", "end").unionByName(own).groupBy("_row").agg(F.collect_list(F.struct("start", "kind", "end")).alias("more"))
     longer = lambda s: lambda o: (o["start"] <= s["start"]) & (o["end"] >= s["end"]) & (o["end"] - o["start"] > s["end"] - s["start"])
     more = more.withColumn("more", F.filter("more", lambda s: ~F.exists("more", longer(s))))
