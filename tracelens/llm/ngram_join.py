@@ -253,39 +253,28 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 def left_pairs(shared: DataFrame, roots: DataFrame) -> DataFrame:
     """Pairs (a, b) of nodes of different components that share enough of their prefixes, each once.
 
-    The first n-gram that similar sets of n and m share stands among the first n - o + 1 and m - o + 1 (o: overlap()). A
-    node further back in all n-grams than that allows with the smallest possible partner leaves, and with it the n-grams
-    that only one component is left with. Of the n-grams that a pair shares only the first makes it a pair: the lists of
-    those before it have nothing in common.
+    The c-th n-gram that similar sets of n and m share stands among the first n - o + c and m - o + c (o: overlap()). A
+    node further back in an n-gram than that allows with the smallest of those who have it leaves it, and the n-grams that
+    only one component is left with go. A pair is made where the n-gram is its c-th, c being what least_shared() asks for:
+    the lists of those before it have c - 1 in common.
     """
     at = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    at = stored(at, "ngram-at")
     several = [F.min("root").alias("r"), F.max("root").alias("s")]
     split = at.groupBy("token").agg(*several, F.min("n").alias("least_n")).filter("r < s").select("token", "least_n")
-    n, pos = F.col("n"), F.col("pos")
+    n = F.col("n")
     room = n - overlap(n, F.greatest("least_n", F.ceil(n * PERCENT / 100)))
-    left = stored(at.join(split, "token").filter(pos <= room + MOST_L).withColumn("lead", pos <= room + 1).drop("least_n"), "ngram-left")
+    left = stored(at.join(split, "token").filter(F.col("pos") <= room + MOST_L).drop("least_n"), "ngram-left")
     split = left.groupBy("token").agg(*several).filter("r < s").select("token")
-    listed = left.join(split, "token", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first("l").alias("l"), F.first("root").alias("root"), F.sort_array(F.collect_list(F.struct("pos", "token", "lead"))).alias("seen"))
-    listed = stored(listed.filter(F.exists("seen", lambda x: x["lead"])), "ngram-listed")
-    each = listed.select("node", "n", "root", "seen", F.posexplode("seen").alias("i", "e")).filter("e.lead")
-    each = each.select("node", "n", "root", F.col("e.token").alias("token"), F.col("e.pos").alias("pos"), F.expr("slice(seen.token, 1, i)").alias("before"))
-    a, b = (each.select("token", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "root", "pos", "before"))) for x in "ab")
-    o = overlap(F.col("n_a"), F.col("n_b"))
-    met = (F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & alike(F.col("n_a"), F.col("n_b"))
-    met = met & (F.col("pos_a") <= F.col("n_a") - o + 1) & (F.col("pos_b") <= F.col("n_b") - o + 1) & ~F.arrays_overlap("before_a", "before_b")
-    pairs = a.join(b, (a["token"] == b["token"]) & met).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
-    pairs = stored(pairs, "ngram-met")
-    known = sized_broadcast(listed, listed.count(), 2048, 16 << 20)
-    for x in "ab":
-        pairs = pairs.join(known.select(F.col("node").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n", "l", "seen"))), x)
-    sizes = [F.col(c) for c in ("n_a", "l_a", "n_b", "l_b")]
-    o, asked = overlap(F.col("n_a"), F.col("n_b")), least_shared(*sizes)
-
-    def first_of(x):
-        return F.transform(F.filter(f"seen_{x}", lambda e: e["pos"] <= F.col(f"n_{x}") - o + asked), lambda e: e["token"])
-
-    return pairs.filter(F.size(F.array_intersect(first_of("a"), first_of("b"))) >= asked).select("a", "b")
+    own = [F.first(c).alias(c) for c in ("n", "l", "root")]
+    listed = left.join(split, "token", "left_semi").groupBy("node").agg(*own, F.sort_array(F.collect_list(F.struct("pos", "token"))).alias("seen"))
+    each = listed.select("node", "n", "l", "root", "seen", F.posexplode("seen").alias("i", "e"))
+    each = each.select("node", "n", "l", "root", F.col("e.token").alias("token"), F.col("e.pos").alias("pos"), F.expr("slice(seen.token, 1, i)").alias("before"))
+    a, b = (each.select("token", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "l", "root", "pos", "before"))) for x in "ab")
+    sides = [F.col(c) for c in ("n_a", "pos_a", "l_a", "n_b", "pos_b", "l_b")]
+    asked = least_shared(*(F.col(c) for c in ("n_a", "l_a", "n_b", "l_b")))
+    met = (F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & alike(F.col("n_a"), F.col("n_b")) & early(*sides)
+    met = met & (F.size(F.array_intersect("before_a", "before_b")) == asked - 1)
+    return a.join(b, (a["token"] == b["token"]) & met).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
