@@ -147,7 +147,7 @@ def test_random_access():
 def test_many_rows_without_an_id(spark):
     d = spark.createDataFrame([(None, f"text {k % 7}") for k in range(300)] + [(k, "x") for k in range(20)], "doc_id long, text string").repartition(3)
     files = token_store.write_tokens(d, BYTES, 2, parts=4)
-    assert files.count() == 4 and files.agg({"n_docs": "max"}).first()[0] < 200
+    assert 4 < files.count() <= 8 and files.agg({"n_docs": "max"}).first()[0] < 200
     got = token_store.read_tokens(files, lambda ids: (len(ids),), "n long").collect()
     assert len(got) == 320 and sorted(r["start"] for r in got) == np.cumsum([0, *(r["n"] for r in sorted(got, key=lambda r: r["start"])[:-1])]).tolist()
     assert [r["doc_id"] for r in sorted(got, key=lambda r: r["start"])][-20:] == list(range(20))
@@ -354,7 +354,7 @@ def brute_discovered(seen):
     """The graph's scores, plainly."""
     kind = {}
     for v, k, p in seen:
-        kind[p, v] = max(kind.get((p, v), -1), k)
+        kind[p, v] = max(kind.get((p, v), -9), k)
     seeds = {(v, k): 1.0 for (_, v), k in kind.items() if k >= 0}
     values = {}
     for p, v in kind:

@@ -37,6 +37,8 @@ NULL_ID = -(2**63)
 FILE_IDS = 1 << 20
 #: Stretches that a worker remembers at most.
 MEMORY = 600_000
+#: Ranges of ids for each task, so that those which fall to one task are about as many for all.
+PARTS_A_TASK = 4
 #: Documents of an output batch of the reader.
 ROWS = 4096
 
@@ -197,9 +199,16 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def encoded(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
-    """_id, _row, _ids and _wide: the ids of each text and the end id as little-endian unsigned integers of 16 bits, or of 32
-    where _wide says so."""
+def ranges_of(docs: DataFrame, id_col: str, parts: int) -> np.ndarray:
+    """Ids that cut the documents into about equal parts, from one pass over the ids."""
+    at = [k / parts for k in range(1, parts)]
+    found = docs.agg(F.percentile_approx(F.col(id_col).cast("long"), at, 20 * parts).alias("at")).first()["at"] if at else None
+    return np.unique(np.array(found or [], np.int64))
+
+
+def encoded(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str, text_col: str, bounds: np.ndarray, parts: int) -> DataFrame:
+    """_id, _part, _ids and _wide: the ids of each text and the end id as little-endian unsigned integers of 16 bits, or of
+    32 where _wide says so. Rows without an id have parts below 0, dealt by their place, so that they don't meet in one."""
     session_of(docs)
 
     def run(batches):
@@ -208,48 +217,50 @@ def encoded(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str, text
         end, kind = struct.pack("<I" if wide else "<H", end_id), np.dtype("<u4" if wide else "<u2")
         for b in batches:
             ids = [np.frombuffer(enc.encoded(t), enc.kind).astype(kind).tobytes() + end for t in b.column("_t").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("_row"), pa.array(ids, pa.binary()), pa.array([wide] * len(ids))], names=["_id", "_row", "_ids", "_wide"])
+            key = b.column("_id").to_numpy(zero_copy_only=False)
+            part = np.where(key == NULL_ID, b.column("_row").to_numpy(zero_copy_only=False) % parts - parts, np.searchsorted(bounds, key, "right"))
+            yield pa.RecordBatch.from_arrays([b.column("_id"), pa.array(part, pa.int32()), pa.array(ids, pa.binary()), pa.array([wide] * len(ids))], names=["_id", "_part", "_ids", "_wide"])
 
     text = F.coalesce(F.col(text_col), F.lit("")).alias("_t")
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("_id"), F.monotonically_increasing_id().alias("_row"), text)
-    return rows.mapInArrow(run, "_id long, _row long, _ids binary, _wide boolean")
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("_id"), F.xxhash64(F.monotonically_increasing_id()).alias("_row"), text)
+    return rows.mapInArrow(run, "_id long, _part int, _ids binary, _wide boolean")
 
 
 def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None, file_ids: int = FILE_IDS) -> DataFrame:
     """Files in ascending order of id, and a table of them (part, file, first, n_ids, n_docs, path); first counts the ids of
     the same part before the file. A task that runs again writes files of other names; the table has those of one run."""
     spark = session_of(docs)
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts or PARTS_A_TASK * tasks
     folder = shared_path(spark, "token-files")
 
     def run(batches):
         system, at = file_system(folder)
         system.create_dir(at, recursive=True)
-        run_, ids, docs_, starts, held, first, file, part = uuid.uuid4().hex, [], [], [0], 0, 0, 0, 0
+        run_, ids, docs_, starts, held, first, file, part = uuid.uuid4().hex, [], [], [0], 0, 0, 0, None
 
         def full():
-            name = f"{part:06d}-{file:06d}-{run_}.dac"
+            name = f"{part + parts:06d}-{file:06d}-{run_}.dac"
             with system.open_output_stream(f"{at}/{name}") as f:
                 f.write(pack(np.concatenate(ids), np.array(starts), np.array(docs_, np.int64)))
             return pd.DataFrame({"part": [part], "file": [file], "first": [first], "n_ids": [held], "n_docs": [len(docs_)], "path": [f"{folder}/{name}"]})
 
         for b in batches:
-            for i, x, wide, part in zip(b["_id"], b["_ids"], b["_wide"], b["_part"], strict=True):  # noqa: B007
+            for i, x, wide, p in zip(b["_id"], b["_ids"], b["_wide"], b["_part"], strict=True):
+                if p != part or held >= file_ids:
+                    if docs_:
+                        yield full()
+                    first, file = (first + held, file + 1) if p == part else (0, 0)
+                    part, ids, docs_, starts, held = p, [], [], [0], 0
                 ids.append(np.frombuffer(x, "<u4" if wide else "<u2"))
                 held += len(ids[-1])
                 starts.append(held)
                 docs_.append(i)
-                if held >= file_ids:
-                    yield full()
-                    first, file, ids, docs_, starts, held = first + held, file + 1, [], [], [0], 0
         if docs_:
             yield full()
 
-    rows = stored(encoded(docs, tokenizer_path, end_id, id_col, text_col), "token-ids")
-    # rows without an id are dealt by their content and place, so that they don't meet in one range
-    tie = F.when(F.col("_id") == NULL_ID, F.xxhash64("_ids", "_row")).otherwise(F.lit(0)).alias("_tie")
-    rows = rows.select("_id", tie, "_ids", "_wide").repartitionByRange(parts, "_id", "_tie").sortWithinPartitions("_id", "_tie", "_ids")
-    rows = rows.select("_id", "_ids", "_wide", F.spark_partition_id().alias("_part"))
+    rows = encoded(docs, tokenizer_path, end_id, id_col, text_col, ranges_of(docs, id_col, parts), parts)
+    rows = rows.repartition(tasks, "_part").sortWithinPartitions("_part", "_id", "_ids")
     return stored(rows.mapInPandas(run, "part int, file int, first long, n_ids long, n_docs long, path string"), "token-table")
 
 
