@@ -112,3 +112,37 @@ def test_final_population_without_estimates(spark):
     f = spark.createDataFrame([("q", "empresa", "Acme", "texto", None, ["1"])], "profile_id string, field string, value string, source string, confidence double, evidence array<string>")
     r = narrowing.final_population(narrowing.narrowed(f)).first()
     assert r["final_population"] is None and r["estimated_steps"] == 0
+
+
+def test_nearest_with_many_queries_holds_few_similarities(spark, monkeypatch):
+    import numpy as np
+
+    r = np.random.default_rng(5)
+    v = np.round(r.normal(size=(3000, 8)), 1)
+    index = spark.createDataFrame([(i, x) for i, x in enumerate(v.tolist())], "vec_id long, embedding array<double>").repartition(3)
+    queries = spark.createDataFrame([(i, x) for i, x in enumerate(v[:700].tolist())], "query_id long, embedding array<double>")
+    monkeypatch.setattr(geo, "TILE", 20_000)  # tiles of a few queries
+    got = {}
+    for x in geo.nearest(queries, index, 5, block=300).collect():
+        got.setdefault(x["query_id"], []).append((x["rank"], x["vec_id"]))
+    sims = v[:700] @ v.T
+    for q in range(700):
+        want = sorted(range(3000), key=lambda i: (-sims[q, i], i))[:5]
+        near = [i for _, i in sorted(got[q])]
+        assert np.allclose(sims[q, near], sims[q, want])
+    assert geo.nearest(queries, index.filter("vec_id < 3"), 5).count() == 2100
+
+
+def test_best_of_keeps_the_smallest_of_equals():
+    import numpy as np
+
+    sims, vecs = np.full((2, 3), -np.inf), np.full((2, 3), np.iinfo(np.int64).max)
+    s, v = geo.best_of(np.array([[1.0, 1, 1, 1], [4, 2, 2, 2]]), np.array([9, 7, 5, 8]), sims, vecs)
+    assert v.tolist() == [[5, 7, 8], [9, 5, 7]] and s.tolist() == [[1, 1, 1], [4, 2, 2]]
+
+
+def test_nearest_place_in_blocks(spark):
+    points = spark.createDataFrame([(1, 40.0, -3.0), (2, 36.0, -6.0)], "point_id long, lat double, lon double")
+    places = spark.createDataFrame([(f"r{k}", 35.0 + k, -8.0 + k) for k in range(9)], "region string, lat double, lon double")
+    a, b = (sorted(map(tuple, geo.nearest_place(points, places, most).collect())) for most in (2, 100))
+    assert a == b and len(a) == 2

@@ -17,6 +17,16 @@ def plain(c: Column) -> Column:
     return F.translate(F.lower(c), _ACCENTED, _BARE)
 
 
+def titled(c: Column) -> Column:
+    """A capital at the beginning of each run of letters, small letters after it."""
+    return F.array_join(F.transform(F.regexp_extract_all(c, F.lit(r"(\p{L}+|[^\p{L}]+)"), F.lit(1)), F.initcap), "")
+
+
+def unended(c: Column) -> Column:
+    """Without blanks around it and dots at its end."""
+    return F.rtrim(F.trim(c), F.lit("."))
+
+
 def first_key(text: Column, keys: Iterable[str]) -> Column:
     """The first of the keys, in their order, that the text holds; null if none."""
     found = F.filter(F.array(*map(F.lit, list(keys))), lambda k: F.contains(text, k))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracelens.operators.shared import stored
+
 # Tags that hint at a place or an occupation; the short ones count only when they are the whole tag.
 PLACE_TAGS = ("madrid", "barcelona", "spain", "espana", "valencia", "sevilla", "argentina", "mexico", "vzla", "malaga", "bilbao", "zaragoza", "galicia", "andalucia", "catalunya", "asturias")
 PLACE_EXACT = ("es", "askspain")
@@ -114,7 +116,8 @@ def keywords(posts: DataFrame, features: int = 500, top: int = 20, shortest: int
     """
     long = posts.filter(F.length("text") > shortest)
     enough = long.groupBy("profile_id").agg(F.count("*").alias("docs")).filter(F.col("docs") >= least_posts)
-    tf = ngrams(long.join(enough.select("profile_id"), "profile_id", "left_semi"), stop)
+    # counted once, read three times
+    tf = stored(ngrams(long.join(enough.select("profile_id"), "profile_id", "left_semi"), stop), "keyword-terms")
     terms = tf.groupBy("profile_id", "term").agg(F.sum("tf").alias("n"), F.count("*").alias("df"))
     w = Window.partitionBy("profile_id").orderBy(F.desc("n"), "term")
     kept = terms.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= features).join(enough, "profile_id")
@@ -129,8 +132,11 @@ def keywords(posts: DataFrame, features: int = 500, top: int = 20, shortest: int
 def language(posts: DataFrame, markers: tuple[str, ...], tokens: int = 300, hits: int = 3) -> DataFrame:
     """es where three markers or more are among the profile's first words, else en."""
     w = Window.partitionBy("profile_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    words = F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))
-    p = posts.withColumn("_w", words).withColumn("_before", F.coalesce(F.sum(F.size("_w")).over(w), F.lit(0)))
+    words = F.slice(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1)), 1, tokens)
+    # every post with words has one at least, so the first `tokens` of these hold all that count; each task keeps its own first
+    first = Window.partitionBy("profile_id").orderBy((F.size("_w") == 0).cast("int"), "seq")
+    p = posts.select("profile_id", "seq", words.alias("_w")).withColumn("_k", F.row_number().over(first)).filter(F.col("_k") <= tokens)
+    p = p.withColumn("_before", F.coalesce(F.sum(F.size("_w")).over(w), F.lit(0)))
     # a post counts with the words that are still among the first ones
     head = F.slice("_w", F.lit(1), F.greatest(F.lit(0), F.lit(tokens) - F.col("_before")).cast("int"))
     seen = p.select("profile_id", F.explode_outer(F.array_intersect(head, F.array(*map(F.lit, markers)))).alias("m"))

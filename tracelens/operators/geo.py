@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 EARTH_KM, SPREAD_KM, LEAST_LOCATED = 6371.0, 300.0, 3
 HIGH, HIGH_PHOTOS, MODERATE, MODERATE_PHOTOS = 0.8, 2, 0.6, 4
-#: Queries that go to all tasks at once; more are taken in blocks.
-BLOCK = 20_000
+#: Queries that go to all tasks at once; more are taken in blocks. Similarities that a task holds at once.
+BLOCK, TILE = 20_000, 4_000_000
 
 
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
@@ -27,6 +27,20 @@ def normalized(v: Column, eps: float = 1e-8) -> Column:
     return F.transform(v, lambda x: x.cast("double") / size)
 
 
+def best_of(new: np.ndarray, vec: np.ndarray, sims: np.ndarray, vecs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The best k of each row of new similarities (to vec) and the k held so far; of equals those of the smallest vec_id."""
+    rows, k = sims.shape
+    every = np.concatenate([sims, new], axis=1)
+    least = -np.partition(-every, k - 1, axis=1)[:, k - 1]
+    row, col = np.nonzero(every >= least[:, None])  # those of the k-th similarity all count
+    s, v = every[row, col], np.where(col < k, vecs[row, np.minimum(col, k - 1)], vec[np.maximum(col - k, 0)])
+    order = np.lexsort((v, -s, row))
+    row, s, v = row[order], s[order], v[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    keep = place < k
+    return s[keep].reshape(rows, k), v[keep].reshape(rows, k)
+
+
 def nearest(queries: DataFrame, index: DataFrame, k: int = 15, block: int = BLOCK) -> DataFrame:
     """query_id, vec_id, similarity, rank: the k index rows with the largest inner product, the smallest vec_id of equals.
 
@@ -40,17 +54,17 @@ def nearest(queries: DataFrame, index: DataFrame, k: int = 15, block: int = BLOC
         shared = spark.sparkContext.broadcast(np.array([r[1] for r in rows], np.float64))
 
         def run(batches):
-            q, best = shared.value, None
+            q = shared.value
+            sims, vecs = np.full((len(q), k), -np.inf), np.full((len(q), k), np.iinfo(np.int64).max)
             for b in batches:
-                m = np.stack(b["embedding"].to_numpy()).astype(np.float64)
-                sims, vec = q @ m.T, np.broadcast_to(b["vec_id"].to_numpy(), (len(q), len(b)))
-                if best is not None:
-                    sims, vec = np.concatenate([best[0], sims], axis=1), np.concatenate([best[1], vec], axis=1)
-                order = np.lexsort((vec, -sims), axis=1)[:, :k]
-                best = np.take_along_axis(sims, order, 1), np.take_along_axis(vec, order, 1)
-            if best is not None:
-                n = best[0].shape[1]
-                yield pd.DataFrame({"query_id": np.repeat(ids, n), "vec_id": best[1].reshape(-1), "similarity": best[0].reshape(-1)})
+                m, vec = np.stack(b["embedding"].to_numpy()).astype(np.float64), b["vec_id"].to_numpy()
+                step = max(1, TILE // (len(b) + k))
+                for i in range(0, len(q), step):
+                    s, v = best_of(q[i : i + step] @ m.T, vec, sims[i : i + step], vecs[i : i + step])
+                    sims[i : i + step], vecs[i : i + step] = s, v
+            at = np.flatnonzero(sims.reshape(-1) > -np.inf)
+            if len(at):
+                yield pd.DataFrame({"query_id": np.repeat(ids, k)[at], "vec_id": vecs.reshape(-1)[at], "similarity": sims.reshape(-1)[at]})
 
         return index.select("vec_id", "embedding").mapInPandas(run, "query_id long, vec_id long, similarity double")
 
@@ -86,13 +100,23 @@ def voted(neighbours: DataFrame, k: int) -> DataFrame:
 
 
 def nearest_place(points: DataFrame, places: DataFrame, most: int = 10_000) -> DataFrame:
-    """Of each point the place with the smallest distance: places are a stated table of at most `most` rows, which goes to
-    the points; ValueError beyond that."""
-    if places.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} places")
-    each = points.join(F.broadcast(places.select(F.col("region"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon"))), how="cross")
-    each = each.withColumn("km", F.coalesce(haversine_km(F.col("lat"), F.col("lon"), F.col("_lat"), F.col("_lon")), F.lit(float("inf"))))
-    return each.groupBy("point_id").agg(F.min(F.struct("km", "region")).alias("b")).select("point_id", "b.region", "b.km")
+    """Of each point the place with the smallest distance. Places are a stated table that goes to the points in blocks of
+    `most` rows; each point keeps the best of each block, and the best of these."""
+    spark, held, out = points.sparkSession, [], None
+
+    def among(rows):
+        block = spark.createDataFrame(rows, "region string, _lat double, _lon double")
+        each = points.join(F.broadcast(block), how="cross")
+        each = each.withColumn("km", F.coalesce(haversine_km(F.col("lat"), F.col("lon"), F.col("_lat"), F.col("_lon")), F.lit(float("inf"))))
+        return each.groupBy("point_id").agg(F.min(F.struct("km", "region")).alias("b"))
+
+    for r in places.select("region", F.col("lat").cast("double"), F.col("lon").cast("double")).toLocalIterator():
+        held.append(tuple(r))
+        if len(held) == most:
+            out, held = among(held) if out is None else out.unionByName(among(held)), []
+    if held or out is None:
+        out = among(held) if out is None else out.unionByName(among(held))
+    return out.groupBy("point_id").agg(F.min("b").alias("b")).select("point_id", "b.region", "b.km")
 
 
 def consensus(estimates: DataFrame, places: DataFrame, aliases: DataFrame, provinces: DataFrame, travel: DataFrame | None = None) -> DataFrame:
@@ -103,12 +127,12 @@ def consensus(estimates: DataFrame, places: DataFrame, aliases: DataFrame, provi
     e = estimates.filter("representative AND NOT is_avatar")
     if travel is not None:
         e = e.join(travel, ["profile_id", "permalink"], "left_anti")
-    e = e.join(F.broadcast(provinces.select(F.col("key").alias("_p"))), F.col("region") == F.col("_p"), "left")
-    e = e.join(F.broadcast(aliases.select("alias", F.col("community").alias("_c"))), F.col("region") == F.col("alias"), "left")
+    e = e.join(provinces.select(F.col("key").alias("_p")), F.col("region") == F.col("_p"), "left")
+    e = e.join(aliases.select("alias", F.col("community").alias("_c")), F.col("region") == F.col("alias"), "left")
     only = places.filter("provinces_in_community = 1").select(F.col("community").alias("_oc"), F.col("province").alias("_only"))
-    e = e.join(F.broadcast(only), F.col("_c") == F.col("_oc"), "left")
+    e = e.join(only, F.col("_c") == F.col("_oc"), "left")
     e = e.withColumn("_province", F.coalesce("_p", "_only"))
-    e = e.join(F.broadcast(places.select(F.col("province").alias("_pp"), F.col("community").alias("_pc"))), F.col("_province") == F.col("_pp"), "left")
+    e = e.join(places.select(F.col("province").alias("_pp"), F.col("community").alias("_pc")), F.col("_province") == F.col("_pp"), "left")
     e = e.withColumn("community", F.coalesce("_pc", "_c")).filter("community IS NOT NULL")
     some = F.col("confidence") > MODERATE
     g = e.groupBy("profile_id", "community").agg(

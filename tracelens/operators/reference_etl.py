@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracelens.operators.shared import stored
+
 
 def latest(series: DataFrame, key: str, value: str, order: str | Column) -> DataFrame:
     """The value with the greatest order of each key."""
@@ -44,8 +48,23 @@ def differences(old: DataFrame, new: DataFrame, key: str, value: str) -> DataFra
 def upserted(old: DataFrame, new: DataFrame, key: str, value: str) -> DataFrame:
     """New values where there are some, the old ones elsewhere; the old order (`ord`) stays, new keys come last."""
     both = old.select(key, F.col(value).alias("_o"), "ord").join(new.select(key, F.col(value).alias("_n")), key, "full")
-    w = Window.orderBy(F.col("ord").asc_nulls_last(), key)
-    return both.select(key, F.coalesce("_n", "_o").alias(value), (F.row_number().over(w) - 1).alias("ord"))
+    rows = both.select(key, F.coalesce("_n", "_o").alias(value), "ord")
+    # numbers by ranges: each range counts on from the sum of those before it
+    rows = rows.repartitionByRange(F.col("ord").asc_nulls_last(), key).sortWithinPartitions(F.col("ord").asc_nulls_last(), key)
+    rows = stored(rows.withColumns({"_p": F.spark_partition_id(), "_i": F.monotonically_increasing_id()}), "upserted")
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = rows.groupBy("_p").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    within_range = F.row_number().over(Window.partitionBy("_p").orderBy("_i"))
+    return rows.join(ranges, "_p").select(key, value, (F.col("_before") + within_range - 1).alias("ord"))
+
+
+def sample_names(names: DataFrame, col: str, parts: tuple[str, ...], n: int) -> DataFrame:
+    """The first n names that hold one of the parts, whatever its case; of all names where none does."""
+    low = F.lower(col)
+    hit = reduce(lambda a, b: a | b, [F.contains(low, F.lit(p.lower())) for p in parts], F.lit(False))
+    each = names.select(col, F.coalesce(hit, F.lit(False)).alias("_hit")).distinct()
+    some = each.agg(F.coalesce(F.bool_or("_hit"), F.lit(False)).alias("_some"))
+    return each.crossJoin(some).filter(F.col("_hit") | ~F.col("_some")).select(col).orderBy(col).limit(n)
 
 
 def within(check: Column, low: float, high: float, name: str) -> Column:

@@ -28,7 +28,7 @@ def shares(findings: DataFrame, special: bool = False) -> DataFrame:
     spark = findings.sparkSession
     wide = findings.groupBy("profile_id").agg(*[F.max(F.when(F.col("field") == f, F.col("value"))).alias(f"_{f}") for f in ("sexo", "edad", "municipio", "provincia", "comunidad_autonoma")])
     geo = R.places(spark)
-    wide = wide.join(F.broadcast(geo.select(F.col("province").alias("_provincia"), F.col("community").alias("_of"))), "_provincia", "left")
+    wide = wide.join(geo.select(F.col("province").alias("_provincia"), F.col("community").alias("_of")), "_provincia", "left")
     wide = wide.withColumn("_community", F.coalesce("_comunidad_autonoma", "_of"))
     f = findings.join(wide, "profile_id")
     level = F.when(F.col("_municipio").isNotNull(), "municipio").when(F.col("_provincia").isNotNull(), "provincia").otherwise("comunidad_autonoma")
@@ -45,9 +45,9 @@ def shares(findings: DataFrame, special: bool = False) -> DataFrame:
     given = F.when((F.col("field") == "estado_civil") & sexed, F.col("_sexo")).when(F.col("field") == "lengua_materna", F.coalesce("_community", F.lit("")))
     f = f.withColumn("_key", key).withColumn("_given", given)
     d = R.distributions(spark).select(F.col("field").alias("_f"), F.col("key").alias("_k"), F.col("given").alias("_g"), "p")
-    f = f.join(F.broadcast(d), (F.col("field") == F.col("_f")) & (F.col("_key") == F.col("_k")) & F.col("_given").eqNullSafe(F.col("_g")), "left")
+    f = f.join(d, (F.col("field") == F.col("_f")) & (F.col("_key") == F.col("_k")) & F.col("_given").eqNullSafe(F.col("_g")), "left")
     n = R.populations(spark).select(F.col("level").alias("_l"), F.col("key").alias("_pk"), "population")
-    f = f.join(F.broadcast(n), (F.col("field") == F.col("_l")) & (F.col("value") == F.col("_pk")), "left")
+    f = f.join(n, (F.col("field") == F.col("_l")) & (F.col("value") == F.col("_pk")), "left")
     p = F.when(is_place, F.col("population") / F.lit(float(R.TOTAL_POPULATION))).otherwise(F.col("p"))
     return f.select("profile_id", "step_no", "category", "value", "location_level", p.alias("share"), "source", "confidence", "evidence")
 

@@ -85,6 +85,9 @@ def a05(spark, d):
 )
 def a06(spark, d):
     c = read(spark, d, "conversations").filter("text IS NOT NULL")
+    # turns that begin beyond the cut are not gathered
+    before = Window.partitionBy("conv_id").orderBy("turn", "text").rowsBetween(Window.unboundedPreceding, -1)
+    c = c.withColumn("_at", F.coalesce(F.sum(F.length("text") + 1).over(before), F.lit(0))).filter("_at < 200000")
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "\n")
     c = c.groupBy(F.col("conv_id").alias("profile_id")).agg(F.substring(joined, 1, 200000).alias("t"))
     return c.select("profile_id", F.md5("t").alias("text_md5"), F.length("t").alias("chars"))
@@ -105,11 +108,11 @@ def a07(spark, d):
 
 @query(
     "a08_capped_confidence",
-    "SELECT event_type, count(*) AS n, least(0.3 + 0.05 * count(*), 0.8)::DOUBLE AS confidence FROM events WHERE user_id < 5 GROUP BY 1",
+    "SELECT user_id AS profile_id, event_type, count(*) AS n, least(0.3 + 0.05 * count(*), 0.8)::DOUBLE AS confidence FROM events GROUP BY 1, 2",
 )
 def a08(spark, d):
-    e = read(spark, d, "events").filter("user_id < 5")
-    return e.groupBy("event_type").agg(F.count("*").alias("n")).withColumn("confidence", F.least(F.lit(0.3) + 0.05 * F.col("n"), F.lit(0.8)))
+    e = read(spark, d, "events")
+    return e.groupBy(F.col("user_id").alias("profile_id"), "event_type").agg(F.count("*").alias("n")).withColumn("confidence", F.least(F.lit(0.3) + 0.05 * F.col("n"), F.lit(0.8)))
 
 
 @query(

@@ -265,7 +265,7 @@ def s20(spark, d):
 @query("j14_canonical_names", "SELECT n_nationkey, CASE n_name WHEN 'NATION_0' THEN 'cero' WHEN 'NATION_1' THEN 'uno' ELSE lower(n_name) END AS name FROM nation")
 def j14(spark, d):
     m = spark.createDataFrame([("NATION_0", "cero"), ("NATION_1", "uno")], "n_name string, own string")
-    return read(spark, d, "nation").join(F.broadcast(m), "n_name", "left").select("n_nationkey", F.coalesce("own", F.lower("n_name")).alias("name"))
+    return read(spark, d, "nation").join(m, "n_name", "left").select("n_nationkey", F.coalesce("own", F.lower("n_name")).alias("name"))
 
 
 @query("f31_multi_label", r"SELECT p_partkey, unnest([x FOR x IN [CASE WHEN regexp_matches(p_name, 'bolt|gear') THEN 'metal' END, CASE WHEN regexp_matches(p_type, '^(LARGE|ECONOMY)') THEN 'size' END, CASE WHEN contains(p_name, 'red') THEN 'red' END] IF x IS NOT NULL]) AS label FROM part")

@@ -124,7 +124,7 @@ def d01(spark, d):
 @query("a24_community_population", "SELECT r_name AS community, count(*) AS provinces, sum(c)::BIGINT AS population FROM region JOIN nation ON r_regionkey = n_regionkey JOIN (SELECT c_nationkey, count(*) AS c FROM customer GROUP BY 1) ON c_nationkey = n_nationkey GROUP BY 1")
 def a24(spark, d):
     n = read(spark, d, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count("*").alias("c"))
-    by = read(spark, d, "nation").join(n, "n_nationkey").join(F.broadcast(read(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    by = read(spark, d, "nation").join(n, "n_nationkey").join(read(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     return by.groupBy(F.col("r_name").alias("community")).agg(F.count("*").alias("provinces"), F.sum("c").alias("population"))
 
 
@@ -154,7 +154,7 @@ WIDE = Fixture("id long, sexo string, estado string", [(1, "mujer", "soltero"),
 def j02(spark, d):
     w = WIDE.frame(spark).withColumn("g", F.when(F.col("sexo").isin(*R.SEX), F.col("sexo")))
     s = R.distributions(spark).filter("field = 'estado_civil'").select(F.col("key").alias("estado"), F.col("given").alias("h"), F.col("p").alias("share"))
-    return w.join(F.broadcast(s), (w["estado"] == s["estado"]) & w["g"].eqNullSafe(s["h"]), "left").select("id", "share")
+    return w.join(s, (w["estado"] == s["estado"]) & w["g"].eqNullSafe(s["h"]), "left").select("id", "share")
 
 
 PLACES = Fixture("id long, text string", [(1, "Vivo en Castilla y León"), (2, "vivo en la comunidad valenciana"), (3, "vivo en Islas Canarias"), (4, "vivo en euskadi"), (5, "vivo en marte"), (6, "vivo en Navarra"), (7, "nada")])
@@ -187,7 +187,7 @@ def j06(spark, d):
     p = R.populations(spark).filter("level = 'provincia'").select(F.col("key").alias("_p"))
     only = R.places(spark).filter("provinces_in_community = 1").select(F.col("community").alias("_oc"), F.col("province").alias("_only"))
     r = REGIONS.frame(spark).withColumn("n", F.trim(T.plain(F.col("raw"))))
-    r = r.join(F.broadcast(p), F.col("n") == F.col("_p"), "left").join(F.broadcast(R.aliases(spark)), F.col("n") == F.col("alias"), "left").join(F.broadcast(only), F.col("community") == F.col("_oc"), "left")
+    r = r.join(p, F.col("n") == F.col("_p"), "left").join(R.aliases(spark), F.col("n") == F.col("alias"), "left").join(only, F.col("community") == F.col("_oc"), "left")
     level = F.when(F.col("_p").isNotNull() | F.col("_only").isNotNull(), "provincia").when(F.col("community").isNotNull(), "comunidad_autonoma")
     return r.select("raw", level.alias("level"), F.coalesce("_p", "_only", "community").alias("key"))
 
@@ -195,7 +195,7 @@ def j06(spark, d):
 @query("j18_alias_lookup", "SELECT * FROM (VALUES ('Sevilla', NULL), ('  CATALONIA ', 'cataluna'), ('País Vasco', 'pais vasco'), ('Principado de Asturias', 'asturias'), ('desconocido', NULL), ('Canary Islands', 'canarias'), ('León', NULL)) AS t(raw, community)")
 def j18(spark, d):
     r = REGIONS.frame(spark).withColumn("alias", F.trim(T.plain(F.col("raw"))))
-    return r.join(F.broadcast(R.aliases(spark)), "alias", "left").select("raw", "community")
+    return r.join(R.aliases(spark), "alias", "left").select("raw", "community")
 
 
 @query(

@@ -55,6 +55,28 @@ def write_reports(reports: DataFrame, path: str) -> None:
     reports.write.mode("overwrite").json(path)
 
 
+def write_details(details: DataFrame, path: str) -> None:
+    """One JSON line a detail row."""
+    details.write.mode("overwrite").json(path)
+
+
+def present_files(spark: SparkSession, path: str) -> DataFrame:
+    """id (the name before the first dot) of the files, or folders of files, that a pattern matches; no content is read."""
+    found = spark.read.format("binaryFile").load(path).select("path")
+    return found.select(F.regexp_extract("path", r"/([^/.]+)\.[a-z]\w*(?:/[^/]*)?$", 1).alias("id")).distinct()
+
+
+def with_files(df: DataFrame, files: DataFrame) -> DataFrame:
+    """The rows whose id has a file."""
+    return df.join(files.select("id"), "id", "left_semi")
+
+
+def shard_list(files: DataFrame, most: int | None = None) -> DataFrame:
+    """The shards in the order of their names, the first `most` of them."""
+    ordered = files.select("id").orderBy("id")
+    return ordered if most is None else ordered.limit(most)
+
+
 def extracted(spark: SparkSession, path: str, wanted: DataFrame, done: DataFrame | None = None) -> DataFrame:
     """(shard, id, bytes) of the members of zip shards whose stem is a wanted id; shards that are done are left out."""
     shards = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("shard"), "content")

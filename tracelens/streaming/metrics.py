@@ -7,11 +7,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-LATE = "10 minutes"
-
+from tracelens.operators.shared import shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    return spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+LATE = "10 minutes"
 
 
 def file_stream(spark: SparkSession, folder: str, name: str, schema) -> DataFrame:
