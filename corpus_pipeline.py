@@ -1,9 +1,8 @@
 """From documents to token ids in five stages; each is written as Parquet and read again by the next.
 
 Defined results: a null or empty text is scored as any other, counts as equal to all empty ones (one stays), is linked with
-nothing, holds no benchmark item and is encoded as the end id; rows without an id are kept or dropped as their text is,
-and, as a filter by id can't tell them apart, leave together where one of them holds an item; of rows that repeat both id
-and text one stays; empty documents give an empty result, and without labels of both kinds every score is their share.
+nothing, holds no benchmark item and is encoded as the end id; rows without an id stay as near copies, and leave together
+where one of them holds a benchmark item, as that filter goes by id; of rows that repeat both id and text one stays; empty documents give an empty result, and without labels of both kinds every score is their share.
 Columns of documents with any names pass through all stages but the last, which returns the id and its own columns.
 """
 
