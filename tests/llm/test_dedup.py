@@ -221,3 +221,49 @@ def test_edited_passages_are_found(spark):
                 rows.append((i, " ".join([f"r{r.randrange(10**6)}" for _ in range(20)] + w + [f"r{r.randrange(10**6)}" for _ in range(20)])))
         got = passages.shared_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
         assert len({min(x["doc_id"], x["other_id"]) // 2 for x in got}) >= least * n, rate
+
+
+def common_stretches(a: list[str], b: list[str], least: int) -> list[tuple[int, int]]:
+    """Maximal stretches of a, of `least` words or more, that b holds too."""
+    begin = {}
+    for j in range(len(b) - least + 1):
+        begin.setdefault(tuple(b[j : j + least]), j)
+    hit = [i for i in range(len(a) - least + 1) if tuple(a[i : i + least]) in begin]
+    return [(i, i + least) for i in hit]
+
+
+def test_passages_of_frequent_lines(spark):
+    """Lines of 15 to 30 words that many documents hold, in any order: whatever 40 words two documents share, both report
+    (against all pairs), though most k-mers of it are represented by documents that hold one line of it."""
+    rng = np.random.default_rng(61)
+    lines = [[f"l{i}w{k}" for k in range(rng.integers(15, 31))] for i in range(14)]
+    texts = []
+    for d in range(90):
+        words = []
+        for i in rng.permutation(14)[: rng.integers(1, 4)]:
+            words += lines[i] + [f"own{d}x{rng.integers(1 << 30)}" for _ in range(rng.integers(0, 2) * 30)]
+        texts.append(words)
+    two = [lines[0] + lines[1] + lines[2]]
+    texts += [[f"p{d}x{k}" for k in range(50)] + two[0] + [f"q{d}x{k}" for k in range(50)] for d in range(2)]
+    rows = [(d, " ".join(t)) for d, t in enumerate(texts)]
+    got = passages.shared_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    covered = [np.zeros(len(t), bool) for t in texts]
+    for r in got:
+        covered[r["doc_id"]][r["start_word"] : r["end_word"]] = True
+        covered[r["other_id"]][r["other_start"] : r["other_end"]] = True
+    shared = 0
+    for d, t in enumerate(texts):
+        for e, u in enumerate(texts):
+            for i, j in common_stretches(t, u, passages.LEAST) if e != d else []:
+                shared += 1
+                assert covered[d][i:j].all(), (d, e, i, j)
+    assert shared > 20 and covered[-1].any() and covered[-2].any()
+
+
+def test_two_passages_of_one_pair(spark):
+    """Two passages of 45 words, 60 or 400 words apart, are found one by one, though their chain is less than SIMILAR."""
+    for between in (60, 400):
+        one, other = [f"s{k}" for k in range(45)], [f"t{k}" for k in range(45)]
+        rows = [(d, " ".join([*one, *[f"d{d}x{k}" for k in range(between)], *other])) for d in range(2)]
+        got = passages.shared_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert sorted((r["start_word"], r["end_word"], r["similarity"]) for r in got) == [(0, 45, 1.0), (45 + between, 90 + between, 1.0)]
