@@ -246,18 +246,29 @@ def test_passages_of_frequent_lines(spark):
     two = [lines[0] + lines[1] + lines[2]]
     texts += [[f"p{d}x{k}" for k in range(50)] + two[0] + [f"q{d}x{k}" for k in range(50)] for d in range(2)]
     rows = [(d, " ".join(t)) for d, t in enumerate(texts)]
-    got = passages.shared_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
-    covered = [np.zeros(len(t), bool) for t in texts]
-    for r in got:
-        covered[r["doc_id"]][r["start_word"] : r["end_word"]] = True
-        covered[r["other_id"]][r["other_start"] : r["other_end"]] = True
-    shared = 0
-    for d, t in enumerate(texts):
-        for e, u in enumerate(texts):
-            for i, j in common_stretches(t, u, passages.LEAST) if e != d else []:
-                shared += 1
-                assert covered[d][i:j].all(), (d, e, i, j)
-    assert shared > 20 and covered[-1].any() and covered[-2].any()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for apart in (1, passages.APART):
+        covered = [np.zeros(len(t), bool) for t in texts]
+        for r in passages.shared_passages(docs, apart=apart).collect():
+            covered[r["doc_id"]][r["start_word"] : r["end_word"]] = True
+            covered[r["other_id"]][r["other_start"] : r["other_end"]] = True
+        shared = 0
+        for d, t in enumerate(texts):
+            for e, u in enumerate(texts):
+                for i, j in common_stretches(t, u, passages.LEAST + apart - 1) if e != d else []:
+                    shared += 1
+                    assert covered[d][i:j].all(), (d, e, i, j)
+        assert shared > 20 and covered[-1].any() and covered[-2].any()
+
+
+def test_lowest_places():
+    rng = np.random.default_rng(3)
+    at = np.flatnonzero(rng.random(400) < 0.8)
+    value = rng.integers(0, 1 << 63, len(at)).astype(np.uint64)
+    chosen = set(passages.lowest(at, value, 5).tolist())
+    for i in range(len(at) - 4):
+        if at[i + 4] - at[i] == 4:
+            assert i + int(value[i : i + 5].argmin()) in chosen
 
 
 def test_two_passages_of_one_pair(spark):
