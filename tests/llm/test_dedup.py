@@ -278,3 +278,38 @@ def test_two_passages_of_one_pair(spark):
         rows = [(d, " ".join([*one, *[f"d{d}x{k}" for k in range(between)], *other])) for d in range(2)]
         got = passages.shared_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
         assert sorted((r["start_word"], r["end_word"], r["similarity"]) for r in got) == [(0, 45, 1.0), (45 + between, 90 + between, 1.0)]
+
+
+def test_hot_representatives_are_spread(spark, monkeypatch):
+    """The chains of one representative go to tasks in parts; what is found doesn't depend on their size."""
+    rng = random.Random(8)
+    shared = " ".join(f"s{rng.randrange(9999)}" for _ in range(60))
+    rows = [(d, " ".join([*(f"w{rng.randrange(10**6)}" for _ in range(20)), shared, f"e{d}"])) for d in range(30)]
+    docs = spark.createDataFrame([*rows, (None, shared), (99, None)], "doc_id long, text string")
+    once = sorted(passages.shared_passages(docs).collect(), key=str)
+    monkeypatch.setattr(passages, "ROWS_EACH", 4)
+    assert sorted(passages.shared_passages(docs).collect(), key=str) == once
+    assert len({r[c] for r in once for c in ("doc_id", "other_id")}) == 31
+
+
+def test_alignments_beyond_ends():
+    """Of many lanes side by side each has the best score of its own plain alignment, and as many equal words."""
+    rng = np.random.default_rng(4)
+    a = rng.integers(2, 6, (passages.MARGIN, 60)).astype(np.uint32) | 2
+    b = np.where(rng.random(a.shape) < rng.random(60), a, rng.integers(10, 14, a.shape).astype(np.uint32) | 2)
+    scores, i, j = passages.extended(a, b)
+    same = passages.equal_in(scores, a, b, i, j)
+    for k in range(60):
+        best, row, top = 0, [-q for q in range(len(b) + 1)], (0, 0)
+        for p in range(1, len(a) + 1):
+            new = [row[0] - 1]
+            for q in range(1, len(b) + 1):
+                new.append(max(row[q] - 1, new[-1] - 1, row[q - 1] + (1 if a[p - 1, k] == b[q - 1, k] else -1)))
+            row = new
+            if max(row) > best:
+                best, top = max(row), (p, row.index(max(row)))
+            if max(row) < best - passages.DROP:
+                break
+        assert (i[k], j[k]) == top
+        assert scores[i[k], j[k], k] == best
+        assert max(i[k], j[k]) - best <= 2 * max(i[k], j[k]) - same[k] and same[k] >= best
