@@ -18,7 +18,15 @@ def _reddit(pages: DataFrame, kind: str, most: int) -> DataFrame:
     """pages: profile_id, page, json."""
     item = pages.select("profile_id", "page", F.posexplode(F.from_json("json", REDDIT)["data"]["children"]).alias("i", "c")).select("profile_id", "page", "i", "c.data.*")
     w = Window.partitionBy("profile_id").orderBy("page", "i")
-    item = item.withColumn("seq", (F.row_number().over(w) - 1).cast("long")).filter(F.col("seq") < min(most, PAGE))
+    return _reddit_model(item.withColumn("seq", (F.row_number().over(w) - 1).cast("long")).filter(F.col("seq") < min(most, PAGE)), kind)
+
+
+def reddit_items(items: DataFrame, kind: str = "post") -> DataFrame:
+    """items: profile_id, seq, json of one post or comment."""
+    return _reddit_model(items.select("profile_id", "seq", F.from_json("json", f"struct<{ITEM}>").alias("c")).select("profile_id", "seq", "c.*"), kind)
+
+
+def _reddit_model(item: DataFrame, kind: str) -> DataFrame:
     text = F.coalesce(F.nullif("selftext", F.lit("")), "title") if kind == "post" else F.col("body")
     return item.select(
         "profile_id", "seq", "id", F.lit("reddit").alias("platform"), F.lit(kind).alias("type"), F.col("subreddit").alias("group"), F.array(F.lower("subreddit")).alias("tags"),
@@ -74,7 +82,15 @@ def instagram_media(pages: DataFrame, most: int = MOST_MEDIA) -> DataFrame:
     """pages: profile_id, page, json; the pages of a profile in the order of their cursors."""
     item = pages.select("profile_id", "page", F.posexplode(F.from_json("json", INSTAGRAM)["data"]).alias("i", "c"))
     w = Window.partitionBy("profile_id").orderBy("page", "i")
-    item = item.withColumn("seq", (F.row_number().over(w) - 1).cast("long")).filter(F.col("seq") < most)
+    return _instagram_model(item.withColumn("seq", (F.row_number().over(w) - 1).cast("long")).filter(F.col("seq") < most))
+
+
+def instagram_posts(items: DataFrame) -> DataFrame:
+    """items: profile_id, seq, json of one picture, video or album."""
+    return _instagram_model(items.select("profile_id", "seq", F.from_json("json", f"struct<{MEDIA}>").alias("c")))
+
+
+def _instagram_model(item: DataFrame) -> DataFrame:
     c = F.col("c")
     caption = F.coalesce(c["caption"], F.lit(""))
     tags = hashtags(caption)
