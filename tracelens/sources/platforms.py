@@ -122,7 +122,7 @@ class PageReader(DataSourceReader):
         return [Bucket(f"{root}/{n}", tuple(sorted(own[n]))) for n in names if n in own]
 
     def read(self, partition):
-        if self.limit <= 0:
+        if self.limit <= 0 or partition is None:  # no bucket at all
             return
         pages = Pages(partition.folder)
         for profile in pages.profiles() if partition.wanted is None else partition.wanted:

@@ -1,14 +1,10 @@
-"""Service metrics and progress of runs over streams of events (ts, run_id, route, code, seconds, stage)."""
+"""Service metrics over streams of events (event_id, ts, route, code, seconds)."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelens.operators.shared import shared_dir
-
 LATE = "10 minutes"
 
 
@@ -30,42 +26,28 @@ def durations(events: DataFrame, length: str = "10 minutes") -> DataFrame:
     )
 
 
-def track_progress(events: DataFrame) -> DataFrame:
-    """Of each run and track how many photos are done and whether all are."""
-    done = events.groupBy("run_id", "track").agg(F.max("done").alias("done"), F.max("total").alias("total"))
-    return done.withColumn("complete", (F.col("done") >= F.col("total")) & (F.col("total") > 0))
-
+def distinct_requests(events: DataFrame, late: str = LATE) -> DataFrame:
+    """Events without those that come again, which is remembered until the watermark has passed them."""
+    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
 
-def once(stream: DataFrame, mode: str = "complete") -> DataFrame:
-    """Run a stream over all that is there now and return what it wrote last: a table in the shared folder."""
-    spark = stream.sparkSession
-    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
-    def keep(batch: DataFrame, n: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{base}/out")
+def sliding_requests(events: DataFrame, length: str = "1 minute", slide: str = "5 seconds", late: str = LATE) -> DataFrame:
+    """Requests in each window of `length` that begins every `slide`, once the watermark has passed its end; repeats count once, rows
+    behind the watermark don't count. State holds the ids and windows that the watermark hasn't passed."""
+    e = distinct_requests(events, late)
+    return e.groupBy(F.window("ts", length, slide).alias("w")).agg(F.count("*").alias("requests"))
 
-    q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).foreachBatch(keep).start()
-    q.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{base}/out")
 
+#: Size of a sketch: a value's rank is known to RANK_ERROR of all rows, with 99 % confidence.
+SKETCH, RANK_ERROR = 400, 0.0085
 
-def stage_changes(events: DataFrame) -> DataFrame:
-    """Streaming change detector: (run_id, ts, stage, previous) each time a run's stage differs from the one before.
 
-    Each run's last stage is state; rows of a batch are taken in the order of their times.
-    """
-    import pandas as pd
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+def duration_sketches(events: DataFrame, length: str = "10 minutes", size: int = SKETCH) -> DataFrame:
+    """Of each window and route the rows and a mergeable sketch of their seconds, to be stored."""
+    return events.withWatermark("ts", LATE).groupBy(F.window("ts", length).alias("w"), "route").agg(F.count("*").alias("n"), F.kll_sketch_agg_double("seconds", F.lit(size)).alias("sketch"))
 
-    def step(key, frames, state: GroupState):
-        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-        last = state.get[0] if state.exists else None
-        out = []
-        for ts, i, stage in zip(rows["ts"], rows["event_id"], rows["stage"], strict=True):
-            if stage != last:
-                out.append((key[0], i, ts, stage, last))
-                last = stage
-        state.update((last,))
-        yield pd.DataFrame(out, columns=["run_id", "event_id", "ts", "stage", "previous"])
 
-    return events.groupBy("run_id").applyInPandasWithState(step, "run_id long, event_id long, ts timestamp, stage string, previous string", "stage string", "append", GroupStateTimeout.NoTimeout)
+def quantiles_over(sketches: DataFrame, length: str, at: tuple[float, ...] = (0.5, 0.9)) -> DataFrame:
+    """Quantiles over any longer windows, from stored sketches alone: w, route, n, q."""
+    merged = sketches.groupBy(F.window(F.col("w.start"), length).alias("w"), "route").agg(F.sum("n").alias("n"), F.kll_merge_agg_double("sketch").alias("sketch"))
+    return merged.select("w", "route", "n", F.array(*(F.kll_sketch_get_quantile_double("sketch", F.lit(x)) for x in at)).alias("q"))
