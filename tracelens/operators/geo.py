@@ -41,8 +41,9 @@ def best_of(new: np.ndarray, vec: np.ndarray, sims: np.ndarray, vecs: np.ndarray
     return s[keep].reshape(rows, k), v[keep].reshape(rows, k)
 
 
-def nearest(queries: DataFrame, index: DataFrame, k: int = 15, block: int = BLOCK) -> DataFrame:
+def nearest(queries: DataFrame, index: DataFrame, k: int = 15, block: int = BLOCK, digits: int | None = None) -> DataFrame:
     """query_id, vec_id, similarity, rank: the k index rows with the largest inner product, the smallest vec_id of equals.
+    digits: similarities that are equal to so many decimals are equal (those of equal vectors may differ in their last bits).
 
     The queries are a stated set: they go to the tasks in blocks, each task keeps k rows of its part of the index for each
     query, and the parts' bests are ranked again. The index is read once a block and never moves.
@@ -60,7 +61,8 @@ def nearest(queries: DataFrame, index: DataFrame, k: int = 15, block: int = BLOC
                 m, vec = np.stack(b["embedding"].to_numpy()).astype(np.float64), b["vec_id"].to_numpy()
                 step = max(1, TILE // (len(b) + k))
                 for i in range(0, len(q), step):
-                    s, v = best_of(q[i : i + step] @ m.T, vec, sims[i : i + step], vecs[i : i + step])
+                    new = q[i : i + step] @ m.T
+                    s, v = best_of(new if digits is None else new.round(digits), vec, sims[i : i + step], vecs[i : i + step])
                     sims[i : i + step], vecs[i : i + step] = s, v
             at = np.flatnonzero(sims.reshape(-1) > -np.inf)
             if len(at):

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tracelens.operators import geo, labels
+from tracelens.operators.progress import Progress
 from tracelens.operators.shared import shared_path
-from tracelens.plans.registry import query, read
-from tracelens.sources import platforms
+from tracelens.plans.registry import Fixture, query, read
+from tracelens.plans.report import flagship_report
+from tracelens.sources import index, platforms, shards
 
 
 def landed_conversations(spark, d, per_page: int = 3) -> str:
@@ -47,3 +50,102 @@ def s01_landed(spark, d):
     platforms.land(docs.select(F.col("source").alias("profile_id"), F.col("doc_id").alias("seq"), item.alias("json")), path, 25, "reddit")
     posts = platforms.read_platform(spark, "reddit", path, limit=40)
     return posts.select("profile_id", "seq", "id", "platform", "group", "text", "score")
+
+
+LETTERS = "[(length(text) - length(replace(replace(text, chr((97 + i)::INT), ''), chr((65 + i)::INT), '')))::DOUBLE FOR i IN range(26)]"
+
+
+@query(
+    "x05_index_build",
+    f"""WITH c AS (SELECT doc_id, source, {LETTERS} AS n FROM documents WHERE text IS NOT NULL AND doc_id % 7 <> 3),
+    p AS (SELECT doc_id, source, [list_sum([n[i + 1] * ((7 * i + 13 * j + i * j) % 11 - 5) FOR i IN range(26)]) FOR j IN range(16)] AS v FROM c),
+    u AS (SELECT doc_id, source, [x / sqrt(list_inner_product(v, v)) FOR x IN v] AS v FROM p WHERE list_inner_product(v, v) > 0)
+    SELECT q.doc_id AS query_id, i.doc_id AS vec_id, 's' || i.source AS region, i.doc_id / 100.0 AS lat, row_number() OVER (PARTITION BY q.doc_id ORDER BY round(list_inner_product(q.v, i.v), 9) DESC, i.doc_id) AS rank,
+    round(list_inner_product(q.v, i.v), 6) AS similarity FROM u q, u i WHERE q.doc_id % 100 = 0 QUALIFY rank <= 10""",
+)
+def x05(spark, d):
+    """An index of documents with a sidecar, read back for the neighbours of every hundredth; every seventh has no file."""
+    docs = read(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), "text", F.concat(F.lit("s"), "source").alias("region"), (F.col("doc_id") / 100).alias("lat"), F.lit(None).cast("double").alias("lon"))
+    path = shared_path(spark, "index")
+    index.build(docs, path, index.LetterProjection, files=docs.filter("vec_id % 7 <> 3").select(F.col("vec_id").cast("string").alias("id")))
+    built = index.load(spark, path)
+    queries = built.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    near = geo.nearest(queries, built, 10, digits=9).join(built.select("vec_id", "region", "lat"), "vec_id")
+    return near.select("query_id", "vec_id", "region", "lat", "rank", F.round("similarity", 6).alias("similarity"))
+
+
+def shards_of(spark, d, per_shard: int = 40) -> str:
+    path = shared_path(spark, "shards")
+    docs = read(spark, d, "documents").select(F.col("doc_id").alias("id"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("bytes"))
+    shards.packed(docs, path, per_shard).write.format("noop").mode("overwrite").save()
+    return path
+
+
+BUDGET_SQL = """WITH s AS (SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 40 AS k, strlen(coalesce(text, '')) AS bytes, coalesce(text, '') AS text FROM documents),
+    p AS (SELECT k, coalesce(sum(bytes) FILTER (doc_id % 3 = 0), 0)::BIGINT AS size FROM s WHERE k % 5 <> 1 GROUP BY k),
+    b AS (SELECT k, size, coalesce(sum(size) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT + 1000 AS before FROM p),
+    c AS (SELECT * FROM b WHERE before < (SELECT sum(bytes) // 10 FROM s))
+    """
+
+
+def shards_in_budget(spark, d):
+    """Shards of documents of which every third is wanted and every fifth shard is done; the budget is a tenth of all bytes, 1000 of them used."""
+    path = shards_of(spark, d)
+    found = shards.listing(spark, f"{path}/*.zip")
+    done = found.filter(F.substring("shard", 1, 6).cast("int") % 5 == 1)
+    docs = read(spark, d, "documents")
+    wanted = docs.filter("doc_id % 3 = 0").select(F.col("doc_id").cast("string").alias("id"))
+    budget = docs.agg(F.expr("sum(octet_length(coalesce(text, ''))) div 10")).first()[0]
+    return shards.within_budget(found.join(done.select("shard"), "shard", "left_anti"), wanted, budget, 1000), wanted
+
+
+@query("a42_shards_in_budget", BUDGET_SQL + "SELECT printf('%06d.zip', k) AS shard, size, before FROM c")
+def a42(spark, d):
+    return shards_in_budget(spark, d)[0].select("shard", "size", "before")
+
+
+@query("s10_wanted_members", BUDGET_SQL + "SELECT printf('%06d.zip', k) AS shard, doc_id::VARCHAR AS id, bytes AS n_bytes, sha256(text) AS sha FROM s JOIN c USING (k) WHERE doc_id % 3 = 0")
+def s10(spark, d):
+    chosen, wanted = shards_in_budget(spark, d)
+    return shards.taken(chosen, wanted).select("shard", "id", F.octet_length("bytes").cast("long").alias("n_bytes"), F.sha2("bytes", 256).alias("sha"))
+
+
+TRANSLATIONS = Fixture(
+    "lang string, key string, text string",
+    [
+        ("es", "attribute.ubicacion_provincia", "Vive en la provincia de {{value}}"), ("en", "attribute.ubicacion_provincia", "Lives in the province of {{value}}"), ("en", "attribute.view", "Has seen: {{value}}, {{value}}"),
+        ("es", "attribute.view", "Ha visto: {{value}}"), ("en", "attribute.click", "Clicked {{value}} in {{place}}"), ("en", "value.view.3", "three"), ("es", "value.view.3", "tres"), ("en", "value.click.7", "seven"),
+        ("es", "note.2", "nota dos"), ("en", "note.2", "note two"), ("en", "note.4", "note four"),
+    ],
+)
+
+
+@query(
+    "f36_labels",
+    f"""WITH e AS (SELECT event_id, CASE event_type WHEN 'error' THEN 'ubicacion' ELSE event_type END AS category, CASE WHEN event_type = 'error' THEN CASE event_id % 3 WHEN 0 THEN 'provincia' WHEN 1 THEN 'municipio' END END AS level,
+        CASE WHEN event_id % 13 = 0 THEN NULL ELSE (user_id % 10)::VARCHAR END AS value, 'evento ' || event_id AS attribute_label, CASE WHEN event_id % 2 = 0 THEN (event_id % 7)::VARCHAR END AS code, 'nota ' || (event_id % 9) AS note FROM events),
+    l AS (SELECT e.*, lang, CASE WHEN category = 'ubicacion' AND level IS NOT NULL THEN 'ubicacion_' || level ELSE category END AS k FROM e, (VALUES ('es'), ('en')) AS v(lang)), t AS (SELECT * FROM {TRANSLATIONS.sql()})
+    SELECT event_id, lang, coalesce(replace((SELECT any_value(text) FROM t WHERE t.lang = l.lang AND key = 'attribute.' || k), '{{{{value}}}}', coalesce((SELECT any_value(text) FROM t WHERE t.lang = l.lang AND key = 'value.' || category || '.' || value), value)), attribute_label) AS label,
+    coalesce((SELECT any_value(text) FROM t WHERE t.lang = l.lang AND key = 'note.' || code), note) AS shown_note FROM l""",
+)
+def f36(spark, d):
+    """Events as steps in two languages, with values, templates and notes that only one of them knows, or none."""
+    level = F.when(F.col("event_type") == "error", F.when(F.col("event_id") % 3 == 0, "provincia").when(F.col("event_id") % 3 == 1, "municipio"))
+    steps = read(spark, d, "events").select(
+        "event_id", F.when(F.col("event_type") == "error", "ubicacion").otherwise(F.col("event_type")).alias("category"), level.alias("location_level"), F.when(F.col("event_id") % 13 != 0, (F.col("user_id") % 10).cast("string")).alias("value_raw"),
+        F.concat(F.lit("evento "), "event_id").alias("attribute_label"), F.when(F.col("event_id") % 2 == 0, (F.col("event_id") % 7).cast("string")).alias("note_code"), F.concat(F.lit("nota "), F.col("event_id") % 9).alias("note"),
+    )
+    return labels.labelled(steps, TRANSLATIONS.frame(spark), spark.createDataFrame([("es",), ("en",)], "lang string")).select("event_id", "lang", "label", "shown_note")
+
+
+@query(
+    "x03_progress_counts",
+    r"""WITH p AS (SELECT source, doc_id, lang FROM documents WHERE regexp_extract(source, '(\d+)', 1)::INT % 3 <> 0)
+    SELECT 'reading_posts' AS stage, count(*) AS rows FROM p UNION ALL SELECT s, (SELECT count(DISTINCT source) FROM p) FROM (VALUES ('analyzing_writing_style'), ('computing_score'), ('generating_report')) AS t(s)""",
+)
+def x03(spark, d):
+    """Rows by stage of a run of the report, counted as they pass."""
+    progress = Progress()
+    flagship_report(spark, d, progress).write.format("noop").mode("overwrite").save()
+    rows = [(stage, figures["rows"]) for stage, figures in progress.counts().items() if stage != "detecting_attributes"]
+    return spark.createDataFrame(rows, "stage string, rows long")

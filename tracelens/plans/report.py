@@ -8,16 +8,21 @@ from pyspark.sql import functions as F
 from tracelens.functions import text as T
 from tracelens.operators import activity as A
 from tracelens.operators import findings as O
+from tracelens.operators.progress import Progress
 from tracelens.plans import narrowing, scoring
 from tracelens.plans.queries_persons import tag_attributes
 
 
-def exposure_report(posts: DataFrame, consents: DataFrame, special: bool = False) -> DataFrame:
+def exposure_report(posts: DataFrame, consents: DataFrame, special: bool = False, progress: Progress | None = None) -> DataFrame:
     """profile_id, n_posts, language, richness, peak_hour, hours, top_groups, keywords, attributes, narrowing,
     final_population, score, recommendations. Profiles without consent or without posts have none.
 
-    posts: profile_id, seq, permalink, text, created_utc, group, tags.
+    posts: profile_id, seq, permalink, text, created_utc, group, tags. progress: gets the rows of each stage as they pass.
     """
+
+    def at(stage: str, df: DataFrame) -> DataFrame:
+        return progress.at(stage, df) if progress else df
+
     posts = O.consented(posts, consents)
     hours = A.hour_shares(posts)
     peak = A.peak_hours(hours)
@@ -31,23 +36,23 @@ def exposure_report(posts: DataFrame, consents: DataFrame, special: bool = False
         return df.groupBy("profile_id").agg(F.array_sort(F.collect_list(F.struct(*cols))).alias(name))
 
     parts = [
-        A.language(posts, T.SPANISH_MARKERS),
+        at("analyzing_writing_style", A.language(posts, T.SPANISH_MARKERS)),
         hours.groupBy("profile_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("hour", "share")))).alias("hours")),
-        nested(A.top_groups(posts), "top_groups", "rank", "group", "posts"),
+        nested(A.top_groups(at("reading_posts", posts)), "top_groups", "rank", "group", "posts"),
         nested(A.keywords(posts), "keywords", "rank", "term", "score"),
-        nested(attributes, "attributes", "category", "value", "confidence", "evidence"),
+        nested(at("detecting_attributes", attributes), "attributes", "category", "value", "confidence", "evidence"),
         nested(steps, "narrowing", "step_no", "category", "value", "remaining_population", "risk_level", "reduction_percent"),
         narrowing.final_population(steps).select("profile_id", "final_population"),
-        scores.select("profile_id", F.struct(F.bround("overall_score", 1).alias("overall"), F.bround("geolocation_risk", 1).alias("geolocation"), F.bround("inferable_data_risk", 1).alias("data"), F.bround("deanonymization_ease", 1).alias("ease")).alias("score")),
+        at("computing_score", scores).select("profile_id", F.struct(F.bround("overall_score", 1).alias("overall"), F.bround("geolocation_risk", 1).alias("geolocation"), F.bround("inferable_data_risk", 1).alias("data"), F.bround("deanonymization_ease", 1).alias("ease")).alias("score")),
         scoring.recommendations(scores).withColumnRenamed("codes", "recommendations"),
     ]
     out = base.select("profile_id", F.col("posts").alias("n_posts"), "richness", "peak_hour")
     for p in parts:
         out = out.join(p, "profile_id", "left")
-    return out
+    return at("generating_report", out)
 
 
-def flagship_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+def flagship_report(spark: SparkSession, sf_dir: str, progress: Progress | None = None) -> DataFrame:
     """Documents as posts of their sources; every third source has not agreed."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     posts = docs.select(
@@ -55,4 +60,4 @@ def flagship_report(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.timestamp_seconds(F.lit(1735689600) + F.col("doc_id") * 5400).alias("created_utc"), F.col("lang").alias("group"), F.array("lang").alias("tags"),
     )
     consents = docs.select(F.col("source").alias("profile_id")).distinct().filter(F.regexp_extract("profile_id", r"(\d+)", 1).cast("int") % 3 != 0)
-    return exposure_report(posts, consents)
+    return exposure_report(posts, consents, progress=progress)

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import io
-import zipfile
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracelens.sources import shards
+
 ALIASES = {"lat": ("lat", "latitude"), "lon": ("lon", "lng", "longitude"), "region": ("region", "state", "province", "admin1", "city"), "id": ("id",)}
 SPAIN = ("ES", "ESP", "SPAIN")
 RUN_LOG = "timestamp double, platform string, n_posts int, n_comments int, n_media_items int, n_photos int, ai_enabled boolean, scene_analysis_enabled boolean, geolocation_available boolean, total_seconds double, stages_seconds map<string,double>"
@@ -79,20 +77,7 @@ def shard_list(files: DataFrame, most: int | None = None) -> DataFrame:
 
 def extracted(spark: SparkSession, path: str, wanted: DataFrame, done: DataFrame | None = None) -> DataFrame:
     """(shard, id, bytes) of the members of zip shards whose stem is a wanted id; shards that are done are left out."""
-    shards = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("shard"), "content")
-    if done is not None:
-        shards = shards.join(done.select("shard"), "shard", "left_anti")
-
-    def run(batches):
-        for b in batches:
-            for shard, content in zip(b["shard"], b["content"], strict=True):
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    for name in z.namelist():
-                        if not name.endswith("/"):
-                            stem = name.rsplit("/", 1)[-1].rsplit(".", 1)[0]
-                            yield pd.DataFrame({"shard": [shard], "id": [stem], "bytes": [z.read(name)]})
-
-    return shards.mapInPandas(run, "shard string, id string, bytes binary").join(wanted.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
+    return shards.taken(shards.listing(spark, path, done), wanted)
 
 
 def folder_gib(spark: SparkSession, path: str) -> DataFrame:
