@@ -6,11 +6,11 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from tests.fixture_queries import FINDINGS
 from tracelens.functions import reference as R
 from tracelens.operators import activity, findings, geo
 from tracelens.operators import reference_etl as E
 from tracelens.plans import narrowing
-from tracelens.plans.queries_persons import FINDINGS
 from tracelens.sources import files, social
 
 

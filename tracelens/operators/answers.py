@@ -21,7 +21,8 @@ def number(v: Column) -> Column:
 
 
 def clamped(v: Column, default: float = 0.5) -> Column:
-    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), number(v))), F.lit(default))
+    # least and greatest pass over nulls
+    return F.when(number(v).isNull(), F.lit(default)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), number(v))))
 
 
 def from_model(answers: DataFrame) -> DataFrame:
@@ -49,3 +50,19 @@ def soft_inferences(answers: DataFrame) -> DataFrame:
     listed = F.slice(F.from_json(F.get_json_object("json", "$.inferencias_blandas"), SOFT), 1, MOST_SOFT)
     each = answers.select("profile_id", F.explode(listed).alias("i")).filter("trim(i.valor) <> ''")
     return each.select("profile_id", F.col("i.categoria").alias("category"), F.trim("i.valor").alias("value"), clamped(F.col("i.confianza")).alias("confidence"))
+
+
+# Answers that say that there is nothing.
+NOTHING = ("ninguno", "ninguna", "none", "n/a", "no")
+
+
+def from_photos(answers: DataFrame) -> DataFrame:
+    """photo, persons, hobby, couple, visible_text, inferred_hobby of answers of four lines (photo, answer), each null where the line is absent
+    or says nothing. A hobby is inferred where one person or none is seen."""
+
+    def line(name: str, nothing: tuple[str, ...] = ()) -> Column:
+        v = F.lower(F.rtrim(F.trim(F.nullif(F.regexp_extract("answer", rf"(?im)^{name}:[ \t]*([^\n]*)", 1), F.lit(""))), F.lit(".")))
+        return F.when((v != "") & ~v.isin(*nothing), v) if nothing else F.when(v != "", v)
+
+    a = answers.select("photo", line("PERSONAS").alias("persons"), line("AFICION", NOTHING).alias("hobby"), line("PAREJA").alias("couple"), line("TEXTO_VISIBLE", NOTHING).alias("visible_text"))
+    return a.withColumn("inferred_hobby", F.when(F.col("persons").isin("ninguna", "una"), F.col("hobby")))

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracelens.functions.text import plain
+
 EARTH_KM, SPREAD_KM, LEAST_LOCATED = 6371.0, 300.0, 3
 HIGH, HIGH_PHOTOS, MODERATE, MODERATE_PHOTOS = 0.8, 2, 0.6, 4
 #: Queries that go to all tasks at once; more are taken in blocks. Similarities that a task holds at once.
@@ -121,6 +123,22 @@ def nearest_place(points: DataFrame, places: DataFrame, most: int = 10_000) -> D
     return out.groupBy("point_id").agg(F.min("b").alias("b")).select("point_id", "b.region", "b.km")
 
 
+def decimal_degrees(degrees: Column, minutes: Column, seconds: Column, ref: Column) -> Column:
+    """Degrees, minutes and seconds as a number; south and west are negative."""
+    return (degrees + minutes / 60 + seconds / 3600) * F.when(ref.isin("S", "W"), -1).otherwise(1)
+
+
+def resolved(regions: DataFrame, places: DataFrame, aliases: DataFrame, provinces: DataFrame, raw: str = "raw") -> DataFrame:
+    """regions with level and key of the name in `raw`, whatever its case and accents: a province, else a community by any of its names (its
+    province, if it has one only); null where it is neither."""
+    p = provinces.select(F.col("key").alias("_p"))
+    only = places.filter("provinces_in_community = 1").select(F.col("community").alias("_oc"), F.col("province").alias("_only"))
+    r = regions.withColumn("_n", F.trim(plain(F.col(raw)))).join(p, F.col("_n") == F.col("_p"), "left")
+    r = r.join(aliases.select(F.col("alias").alias("_a"), F.col("community").alias("_c")), F.col("_n") == F.col("_a"), "left").join(only, F.col("_c") == F.col("_oc"), "left")
+    level = F.when(F.coalesce("_p", "_only").isNotNull(), "provincia").when(F.col("_c").isNotNull(), "comunidad_autonoma")
+    return r.withColumns({"level": level, "key": F.coalesce("_p", "_only", "_c"), "community": F.col("_c")}).drop("_n", "_p", "_a", "_c", "_oc", "_only")
+
+
 def consensus(estimates: DataFrame, places: DataFrame, aliases: DataFrame, provinces: DataFrame, travel: DataFrame | None = None) -> DataFrame:
     """profile_id, level, key, n_photos, confidence, evidence: the region in which enough photos agree.
 

@@ -69,3 +69,14 @@ def percent(confidence: Column) -> Column:
 def footnotes(steps: DataFrame, sources: tuple[str, ...] = ("imagen", "ia_nombre")) -> DataFrame:
     """profile_id, note: the sources that need a footnote, where any step has them."""
     return steps.filter(F.col("source").isin(*sources)).select("profile_id", F.col("source").alias("note")).distinct()
+
+
+def photo_links(posts: DataFrame) -> DataFrame:
+    """permalink, photo_index (from 1), photo_total, photo_link, url: a row a photo. The photos of an album have links of their own.
+
+    posts: permalink, type, media_urls; only pictures and albums have photos.
+    """
+    p = posts.filter(F.col("type").isin("image", "carousel_album")).select("permalink", F.size("media_urls").alias("photo_total"), F.posexplode("media_urls").alias("_i", "url"))
+    n = F.col("_i") + 1
+    own = F.concat("permalink", F.when(F.contains("permalink", F.lit("?")), "&").otherwise("?"), F.lit("img_index="), n.cast("string"))
+    return p.select("permalink", n.alias("photo_index"), "photo_total", F.when(F.col("photo_total") > 1, own).otherwise(F.col("permalink")).alias("photo_link"), "url")

@@ -78,3 +78,8 @@ def long_series(raw: DataFrame) -> DataFrame:
     s = raw.select(F.explode(F.from_json("json", kind)).alias("s"))
     variables = F.map_from_entries(F.transform("s.MetaData", lambda m: F.struct(m["T3_Variable"], m["Nombre"])))
     return s.select(F.col("s.Nombre").alias("name"), variables.alias("variables"), F.explode("s.Data").alias("d")).select("name", "variables", F.col("d.Valor").alias("value"), F.col("d.Fecha").alias("fecha"), F.col("d.Anyo").alias("anyo"), F.col("d.FK_Periodo").alias("periodo"))
+
+
+def stale(tables: DataFrame, today: Column, days: Column) -> DataFrame:
+    """name, verified, age: the tables (name, verified) whose last check is more than `days` ago; one that was never checked isn't judged."""
+    return tables.withColumn("age", F.datediff(today, F.col("verified")).cast("long")).filter(F.col("age") > days).select("name", "verified", "age")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracelens.plans import queries_activity, queries_data, queries_persons, queries_photos, queries_places, queries_sources, queries_streams  # noqa: F401
+from tracelens.plans import queries_activity, queries_data, queries_flagship, queries_persons, queries_photos, queries_places, queries_sources, queries_streams  # noqa: F401
 from tracelens.plans.registry import ORACLE_SQL, QUERIES
 from tracelens.plans.report import flagship_report
 

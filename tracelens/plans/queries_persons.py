@@ -1,84 +1,14 @@
-"""Queries on declared attributes, narrowing and answers of language models, over small literal tables."""
+"""Queries on lookups, bands and merges of findings."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracelens.functions import reference as R
 from tracelens.functions import text as T
 from tracelens.operators import activity as A
-from tracelens.operators import answers
 from tracelens.operators import findings as O
 from tracelens.plans import narrowing
-from tracelens.plans.registry import Fixture, query, read
-
-POSTS = Fixture(
-    "profile_id string, seq long, permalink string, text string",
-    [
-        ("ana", -1, "bio", "Soy una chica de ciudad. Estudiante de enfermería ♌"), ("ana", 1, "a1", "Tengo 24 años y vivo en León, cerca del río"), ("ana", 2, "a2", "Con 30 años todo cambia"),
-        ("ana", 3, "a3", "Trabajo en Indra desde ayer"), ("ana", 4, "a4", "vivo con mi pareja"), ("ana", 5, "a5", "mis hijos y yo"), ("ana", 6, "a6", "Estoy en paro y antes trabajo como docente"),
-        ("beto", 1, "b1", "Soy un chico normal, vivo en Canarias"), ("beto", 2, "b2", "Universidad de Sevilla, graduado en ingeniería informática"), ("beto", 3, "b3", "soy marroquí; hablo catalán"), ("beto", 4, "b4", "200 años de historia"),
-        ("cruz", 1, "c1", "vivo en Asturias, soy piscis"), ("cruz", 2, "c2", "vivo sola"), ("cruz", 3, "c3", ""), ("cruz", 4, "c4", "soy jubilada, nacionalidad española, hablo gallego"),
-        ("dani", 1, "d1", "vivo en Cuenca, muy lejos"), ("dani", 2, "d2", "ocupada con 17 años"), ("dani", 3, "d3", "madre soltera"), ("eva", 1, "e1", "nada que decir"),
-    ],
-)
-
-FOUND = [
-    ("ana", "edad", "24", ["a1"]), ("ana", "sexo", "mujer", ["bio"]), ("ana", "municipio", "leon", ["a1"]), ("ana", "estudios", "enfermeria", ["bio"]), ("ana", "ocupacion", "docente", ["a6"]), ("ana", "empresa", "Indra", ["a3"]),
-    ("ana", "situacion_laboral", "activo", ["a3"]), ("ana", "signo_zodiacal", "leo (23 jul - 22 ago)", ["bio"]), ("ana", "tipo_hogar", "pareja_con_hijos", ["a4", "a5"]),
-    ("beto", "sexo", "hombre", ["b1"]), ("beto", "comunidad_autonoma", "canarias", ["b1"]), ("beto", "universidad", "Sevilla", ["b2"]), ("beto", "estudios", "ingenieria informatica", ["b2"]), ("beto", "nacionalidad", "extranjera", ["b3"]), ("beto", "lengua_materna", "catalan", ["b3"]),
-    ("cruz", "provincia", "asturias", ["c1"]), ("cruz", "signo_zodiacal", "piscis (19 feb - 20 mar)", ["c1"]), ("cruz", "tipo_hogar", "unipersonal", ["c2"]), ("cruz", "situacion_laboral", "jubilado", ["c4"]), ("cruz", "nacionalidad", "espanola", ["c4"]), ("cruz", "lengua_materna", "gallego", ["c4"]),
-    ("dani", "provincia", "cuenca", ["d1"]), ("dani", "edad", "17", ["d2"]), ("dani", "tipo_hogar", "monoparental", ["d3"]),
-]
-EXPECTED = Fixture("profile_id string, field string, value string, evidence array<string>", FOUND)
-
-
-@query("a10_declared_findings", f"SELECT * FROM {EXPECTED.sql()}")
-def a10f(spark, d):
-    return O.declared(POSTS.frame(spark)).select("profile_id", "field", "value", "evidence")
-
-
-@query(
-    "f08_household_table",
-    """SELECT p, a, c, s, CASE WHEN s OR (c AND a) THEN 'monoparental' WHEN a THEN 'unipersonal' WHEN p AND c THEN 'pareja_con_hijos' WHEN p THEN 'pareja_sin_hijos' END AS household
-    FROM (SELECT unnest([true, false]) AS p) CROSS JOIN (SELECT unnest([true, false]) AS a) CROSS JOIN (SELECT unnest([true, false]) AS c) CROSS JOIN (SELECT unnest([true, false]) AS s)""",
-)
-def f08(spark, d):
-    bits = spark.range(16).select(*[F.expr(f"shiftright(id, {k}) % 2 = 1").alias(n) for k, n in enumerate("pacs")])
-    return bits.withColumn("household", O.household(F.col("p"), F.col("a"), F.col("c"), F.col("s")))
-
-
-FINDINGS = Fixture(
-    "profile_id string, field string, value string, source string, confidence double, evidence array<string>",
-    [
-        ("x", "sexo", "mujer", "texto", None, ["1"]), ("x", "edad", "24", "texto", None, ["2"]), ("x", "provincia", "barcelona", "imagen", None, ["3"]), ("x", "lengua_materna", "catalan", "texto", None, ["4"]), ("x", "estado_civil", "soltero", "ia_simbolica", 0.6, ["5"]),
-        ("y", "ocupacion", "astronauta", "texto", None, ["6"]), ("y", "municipio", "soria", "texto", None, ["7"]), ("y", "signo_zodiacal", "leo (23 jul - 22 ago)", "texto", None, ["8"]), ("y", "tipo_hogar", "monoparental", "texto", None, ["9"]), ("y", "universidad", "Soria", "texto", None, ["10"]),
-        ("z", "edad_rango", "25-29", "ia_estimada", 0.8, ["11"]), ("z", "estado_civil", "casado", "ia_simbolica", None, ["12"]), ("z", "lengua_materna", "euskera", "texto", None, ["13"]), ("z", "empresa", "Acme", "texto", None, ["14"]), ("z", "religion", "islam", "texto", None, ["15"]),
-    ],
-)
-
-NARROW_SQL = f"""
-WITH s AS (SELECT * FROM (VALUES
- ('x', 1, 'sexo', 0.508::DOUBLE), ('x', 2, 'edad', 0.045::DOUBLE / 5), ('x', 3, 'ubicacion', 5959941::DOUBLE / {R.TOTAL_POPULATION}), ('x', 9, 'lengua_materna', 0.555), ('x', 13, 'estado_civil', 0.136),
- ('y', 3, 'ubicacion', 39000::DOUBLE / {R.TOTAL_POPULATION}), ('y', 5, 'ocupacion', NULL), ('y', 8, 'tipo_hogar', 0.1), ('y', 12, 'signo_zodiacal', 1.0::DOUBLE / 12), ('y', 14, 'universidad', NULL),
- ('z', 2, 'edad', 0.052), ('z', 9, 'lengua_materna', NULL), ('z', 13, 'estado_civil', 0.458), ('z', 15, 'empresa', NULL)) AS t(profile_id, step_no, category, p)),
-r AS (SELECT *, {R.TOTAL_POPULATION}::DOUBLE * product(coalesce(p, 1)) OVER (PARTITION BY profile_id ORDER BY step_no) AS l FROM s)
-"""
-
-
-@query(
-    "a12_narrowing",
-    NARROW_SQL
-    + """SELECT profile_id, step_no, category, CASE WHEN p IS NOT NULL THEN round_even(l, 0)::BIGINT END AS remaining_population,
-    CASE WHEN p IS NULL THEN 'no_estimable' WHEN l >= 100000 THEN 'bajo' WHEN l >= 1000 THEN 'medio' WHEN l >= 20 THEN 'alto' ELSE 'critico' END AS risk_level, round_even((1 - p) * 100, 1)::DOUBLE AS reduction_percent FROM r""",
-)
-def a12(spark, d):
-    return narrowing.narrowed(FINDINGS.frame(spark)).select("profile_id", "step_no", "category", "remaining_population", "risk_level", "reduction_percent")
-
-
-@query("a13_final_population", NARROW_SQL + "SELECT profile_id, arg_max(round_even(l, 0)::BIGINT, step_no) FILTER (p IS NOT NULL) AS final_population, count(p) AS estimated_steps FROM r GROUP BY 1")
-def a13(spark, d):
-    return narrowing.final_population(narrowing.narrowed(FINDINGS.frame(spark)))
+from tracelens.plans.registry import query, read
 
 
 @query(
@@ -112,15 +42,6 @@ def a25(spark, d):
     return b.select(F.explode(F.sequence("lo", F.col("lo") + 4)).alias("age"), F.round(F.col("p") / 5, 8).alias("p"))
 
 
-AGE_TABLE = Fixture("age int, share double", [(a, p) for a, p in R.one_year_ages().items() if a % 10 == 3 or a > 95])
-
-
-@query("d01_age_shares", f"SELECT age, round(share, 10) AS share FROM {AGE_TABLE.sql()}")
-def d01(spark, d):
-    ages = R.distributions(spark).filter("field = 'edad'").select(F.col("key").cast("int").alias("age"), F.round("p", 10).alias("share"))
-    return ages.filter("age % 10 = 3 OR age > 95")
-
-
 @query("a24_community_population", "SELECT r_name AS community, count(*) AS provinces, sum(c)::BIGINT AS population FROM region JOIN nation ON r_regionkey = n_regionkey JOIN (SELECT c_nationkey, count(*) AS c FROM customer GROUP BY 1) ON c_nationkey = n_nationkey GROUP BY 1")
 def a24(spark, d):
     n = read(spark, d, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count("*").alias("c"))
@@ -143,28 +64,6 @@ def j01(spark, d):
     return c.join(s, "c_mktsegment", "left").select("c_custkey", F.round("share", 9).alias("share"))
 
 
-WIDE = Fixture("id long, sexo string, estado string", [(1, "mujer", "soltero"), (2, "hombre", "viudo"), (3, None, "casado"), (4, "otro", "soltero"), (5, "mujer", "raro"), (6, None, "raro")])
-
-
-@query(
-    "j02_marital_given_sex",
-    f"""SELECT id, CASE WHEN sexo IN ('hombre', 'mujer') THEN CASE sexo || estado WHEN 'mujersoltero' THEN 0.136 WHEN 'hombreviudo' THEN 0.025 END
-    ELSE CASE estado WHEN 'casado' THEN 0.458 WHEN 'soltero' THEN 0.152 END END::DOUBLE AS share FROM {WIDE.sql()}""",
-)
-def j02(spark, d):
-    w = WIDE.frame(spark).withColumn("g", F.when(F.col("sexo").isin(*R.SEX), F.col("sexo")))
-    s = R.distributions(spark).filter("field = 'estado_civil'").select(F.col("key").alias("estado"), F.col("given").alias("h"), F.col("p").alias("share"))
-    return w.join(s, (w["estado"] == s["estado"]) & w["g"].eqNullSafe(s["h"]), "left").select("id", "share")
-
-
-PLACES = Fixture("id long, text string", [(1, "Vivo en Castilla y León"), (2, "vivo en la comunidad valenciana"), (3, "vivo en Islas Canarias"), (4, "vivo en euskadi"), (5, "vivo en marte"), (6, "vivo en Navarra"), (7, "nada")])
-
-
-@query("f07_location", "SELECT * FROM (VALUES (1, 'municipio', 'leon'), (2, 'municipio', 'valencia'), (3, 'comunidad_autonoma', 'canarias'), (4, 'comunidad_autonoma', 'pais vasco'), (5, NULL, NULL), (6, 'provincia', 'navarra'), (7, NULL, NULL)) AS t(id, level, key)")
-def f07(spark, d):
-    return PLACES.frame(spark).withColumn("l", O.location(F.col("text"))).select("id", "l.level", "l.key")
-
-
 @query(
     "j04_first_key_in_text",
     "SELECT p_partkey, [k FOR k IN ['green', 'blue', 'red', 'a'] IF contains(lower(p_name), k)][1] AS key FROM part",
@@ -179,25 +78,6 @@ def j05(spark, d):
     return read(spark, d, "part").select("p_partkey", A.matching_tag(tags, ("olt",), ("ring",)).isNotNull().alias("hit"))
 
 
-REGIONS = Fixture("raw string", [("Sevilla",), ("  CATALONIA ",), ("País Vasco",), ("Principado de Asturias",), ("desconocido",), ("Canary Islands",), ("León",)])
-
-
-@query("j06_resolve_region", "SELECT * FROM (VALUES ('Sevilla', 'provincia', 'sevilla'), ('  CATALONIA ', 'comunidad_autonoma', 'cataluna'), ('País Vasco', 'comunidad_autonoma', 'pais vasco'), ('Principado de Asturias', 'provincia', 'asturias'), ('desconocido', NULL, NULL), ('Canary Islands', 'comunidad_autonoma', 'canarias'), ('León', 'provincia', 'leon')) AS t(raw, level, key)")
-def j06(spark, d):
-    p = R.populations(spark).filter("level = 'provincia'").select(F.col("key").alias("_p"))
-    only = R.places(spark).filter("provinces_in_community = 1").select(F.col("community").alias("_oc"), F.col("province").alias("_only"))
-    r = REGIONS.frame(spark).withColumn("n", F.trim(T.plain(F.col("raw"))))
-    r = r.join(p, F.col("n") == F.col("_p"), "left").join(R.aliases(spark), F.col("n") == F.col("alias"), "left").join(only, F.col("community") == F.col("_oc"), "left")
-    level = F.when(F.col("_p").isNotNull() | F.col("_only").isNotNull(), "provincia").when(F.col("community").isNotNull(), "comunidad_autonoma")
-    return r.select("raw", level.alias("level"), F.coalesce("_p", "_only", "community").alias("key"))
-
-
-@query("j18_alias_lookup", "SELECT * FROM (VALUES ('Sevilla', NULL), ('  CATALONIA ', 'cataluna'), ('País Vasco', 'pais vasco'), ('Principado de Asturias', 'asturias'), ('desconocido', NULL), ('Canary Islands', 'canarias'), ('León', NULL)) AS t(raw, community)")
-def j18(spark, d):
-    r = REGIONS.frame(spark).withColumn("alias", F.trim(T.plain(F.col("raw"))))
-    return r.join(R.aliases(spark), "alias", "left").select("raw", "community")
-
-
 @query(
     "j17_merge",
     """SELECT coalesce(a.o_custkey, b.o_custkey) AS profile_id, coalesce(a.v, b.v) AS value, CASE WHEN a.o_custkey IS NOT NULL THEN 'texto' ELSE 'ia' END AS source FROM
@@ -211,42 +91,6 @@ def j17(spark, d):
     return O.merged(side("F", "texto"), side("O", "ia")).select("profile_id", "value", "source")
 
 
-AI = Fixture(
-    "profile_id string, json string",
-    [
-        ("m", '{"sexo": "mujer", "edad": 31, "situacion_laboral": "activo", "inferencias_blandas": [{"categoria": "aficion", "valor": "ciclismo", "confianza": 0.8}, {"categoria": "x", "valor": "", "confianza": 2}]}'),
-        ("n", '{"sexo": "otro", "edad": 140, "edad_rango": {"valor": "30-34", "confianza": 0.9}}'), ("o", "not json"), ("p", '{"edad": true, "edad_rango": {"valor": "30-34", "confianza": 0.5}, "nacionalidad": "espanola"}'),
-    ],
-)
-
-
-@query("f29_model_answers", "SELECT * FROM (VALUES ('m', 'edad', '31', NULL), ('m', 'sexo', 'mujer', NULL), ('m', 'situacion_laboral', 'activo', NULL), ('n', 'edad_rango', '30-34', 0.9::DOUBLE), ('p', 'nacionalidad', 'espanola', NULL)) AS t(profile_id, field, value, confidence)")
-def f29(spark, d):
-    return answers.from_model(AI.frame(spark)).select("profile_id", "field", "value", "confidence")
-
-
-@query("t06_soft_inferences", "SELECT * FROM (VALUES ('m', 'aficion', 'ciclismo', 0.8::DOUBLE)) AS t(profile_id, category, value, confidence)")
-def t06(spark, d):
-    return answers.soft_inferences(AI.frame(spark))
-
-
-STALE = Fixture("name string, verified string, days long", [(k, v, n or R.DEFAULT_STALE_DAYS) for k, (v, n) in R.VERIFIED.items()])
-
-
-@query("d05_stale_tables", f"SELECT name, verified, date_diff('day', verified::DATE, DATE '2027-01-15') AS age FROM {STALE.sql()} WHERE verified IS NOT NULL AND date_diff('day', verified::DATE, DATE '2027-01-15') > days")
-def d05(spark, d):
-    s = STALE.frame(spark).withColumn("verified", F.to_date("verified"))
-    return s.withColumn("age", F.datediff(F.lit("2027-01-15").cast("date"), F.col("verified")).cast("long")).filter("age > days").select("name", F.col("verified").cast("string").alias("verified"), "age")
-
-
-WORDS = Fixture("id long, text string", [(1, "Ávila y CÓRDOBA"), (2, "niño pingüino"), (3, "façade Übung"), (4, "plain")])
-
-
-@query("f01_strip_accents", f"SELECT id, lower(strip_accents(text)) AS text FROM {WORDS.sql()}")
-def f01(spark, d):
-    return WORDS.frame(spark).select("id", T.plain(F.col("text")).alias("text"))
-
-
 @query("f17_before_bracket", "SELECT p_partkey, string_split(p_name, ' ')[1] AS head FROM part")
 def f17(spark, d):
     return read(spark, d, "part").select("p_partkey", F.substring_index("p_name", " ", 1).alias("head"))
@@ -258,24 +102,6 @@ def f33(spark, d):
     return n.withColumn("compact", F.col("figures") > 100)
 
 
-TAGGED = Fixture(
-    "profile_id string, seq long, permalink string, text string, tags array<string>, group string",
-    [
-        ("r", 1, "r1", "madrugo siempre", ["amanecemosMadrid", "x"], "g"), ("r", 2, "r2", "", [], "Madrid"), ("r", 3, "r3", "", ["es"], "g"), ("r", 4, "r4", "night shift", ["nurselife"], "g"),
-        ("s", 1, "s1", "", ["espresso"], "cafe"), ("s", 2, "s2", "WFH hoy", ["devlife"], "g"), ("s", 3, "s3", "", ["devlife"], "g"), ("s", 4, "s4", "", [], "teachers"),
-    ],
-)
-
-
-@query(
-    "u08_tag_attributes",
-    """SELECT * FROM (VALUES ('r', 'ubicacion', 'amanecemosmadrid', 0.45::DOUBLE, ['r1', 'r2', 'r3']), ('r', 'ocupacion', 'nurselife', 0.35::DOUBLE, ['r4']), ('r', 'rutina', NULL, 0.6::DOUBLE, ['r1', 'r4']),
-    ('s', 'ocupacion', 'devlife', 0.4::DOUBLE, ['s2', 's3', 's4']), ('s', 'rutina', NULL, 0.6::DOUBLE, ['s2'])) AS t(profile_id, category, value, confidence, evidence)""",
-)
-def u08(spark, d):
-    return tag_attributes(TAGGED.frame(spark)).select("profile_id", "category", "value", "confidence", "evidence")
-
-
 def tag_attributes(posts):
     """The union of the three kinds of attributes that tags and phrases hint at."""
     return (

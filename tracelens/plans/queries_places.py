@@ -1,13 +1,11 @@
-"""Queries on photo places: neighbours, votes, distances, consensus, captions."""
+"""Queries on photo places: neighbours, votes, distances."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracelens.functions import reference as R
-from tracelens.functions import text as T
 from tracelens.operators import geo as G
-from tracelens.plans.registry import Fixture, query, read
+from tracelens.plans.registry import query, read
 
 K = 15
 # a made-up place for each label, the same in SQL
@@ -98,82 +96,3 @@ def p01(spark, d):
     return index_of(spark, d).groupBy((F.col("lat").isNotNull() & F.col("lon").isNotNull()).alias("mappable")).agg(F.count("*").alias("n"))
 
 
-ESTIMATES = Fixture(
-    "profile_id string, seq long, permalink string, region string, confidence double, representative boolean, is_avatar boolean",
-    [
-        ("a", 1, "a1", "sevilla", 0.85, True, False), ("a", 2, "a2", "sevilla", 0.9, True, False), ("a", 3, "a3", "madrid", 0.95, True, False),
-        ("b", 1, "b1", "canarias", 0.65, True, False), ("b", 2, "b2", "las palmas", 0.7, True, False), ("b", 3, "b3", "canary islands", 0.61, True, False), ("b", 4, "b4", "santa cruz de tenerife", 0.75, True, False),
-        ("c", 1, "c1", "asturias", 0.99, True, False), ("c", 2, "c2", "asturias", 0.99, False, False), ("c", 3, "c3", "asturias", 0.99, True, True),
-        ("d", 1, "d1", "principado de asturias", 0.9, True, False), ("d", 2, "d1", "principado de asturias", 0.91, True, False), ("d", 3, "d2", "desconocido", 1.0, True, False),
-        ("e", 1, "e1", "madrid", 0.81, True, False), ("e", 2, "e2", "madrid", 0.82, True, False), ("e", 3, "t1", "sevilla", 0.9, True, False), ("e", 4, "t1", "cadiz", 0.9, True, False), ("e", 5, "t1", "sevilla", 0.9, True, False),
-    ],
-)
-
-
-@query(
-    "d04_home_region",
-    """SELECT * FROM (VALUES ('a', 'provincia', 'sevilla', 2, 0.875::DOUBLE, ['a1', 'a2']), ('b', 'comunidad_autonoma', 'canarias', 4, 0.6775::DOUBLE, ['b1', 'b2', 'b3', 'b4']),
-    ('d', 'provincia', 'asturias', 2, 0.905::DOUBLE, ['d1', 'd1']), ('e', 'provincia', 'madrid', 2, 0.815::DOUBLE, ['e1', 'e2'])) AS t(profile_id, level, key, n_photos, confidence, evidence)""",
-)
-def d04(spark, d):
-    travel = spark.createDataFrame([("e", "t1")], "profile_id string, permalink string")
-    out = G.consensus(ESTIMATES.frame(spark), R.places(spark), R.aliases(spark), R.populations(spark).filter("level = 'provincia'"), travel)
-    return out.withColumn("confidence", F.round("confidence", 6))
-
-
-CAPTIONS = Fixture(
-    "post string, text string",
-    [("p1", "De viaje por la costa"), ("p2", "Hoy en casa"), ("p3", "Unos días en Roma"), ("p4", ""), ("p5", "visitando a mi abuela"), ("p6", "viajes baratos")],
-)
-
-
-@query("f12_travel_posts", f"SELECT post FROM {CAPTIONS.sql()} WHERE regexp_matches(lower(text), '(de viaje|unos d[ií]as en|visitando)')")
-def f12(spark, d):
-    return CAPTIONS.frame(spark).filter(F.col("text").rlike(T.TRAVEL)).select("post").distinct()
-
-
-PHOTOS = Fixture("permalink string, kind string, urls array<string>", [("https://x/1", "image", ["u1"]), ("https://x/2", "carousel_album", ["u2", "u3"]), ("https://x/3?a=1", "carousel_album", ["u4", "u5", "u6"]), ("https://x/4", "video", ["v"]), ("https://x/5", "image", [])])
-
-
-@query(
-    "f15_photo_links",
-    f"""SELECT permalink, i AS photo_index, len(urls) AS photo_total, CASE WHEN len(urls) > 1 THEN permalink || CASE WHEN contains(permalink, '?') THEN '&' ELSE '?' END || 'img_index=' || i ELSE permalink END AS photo_link, urls[i] AS url
-    FROM (SELECT *, unnest(range(1, len(urls) + 1)) AS i FROM {PHOTOS.sql()} WHERE kind IN ('image', 'carousel_album'))""",
-)
-def f15(spark, d):
-    p = PHOTOS.frame(spark).filter(F.col("kind").isin("image", "carousel_album")).select("permalink", F.size("urls").alias("photo_total"), F.posexplode("urls").alias("i", "url"))
-    n = (F.col("i") + 1).alias("photo_index")
-    link = F.when(F.col("photo_total") > 1, F.concat("permalink", F.when(F.contains("permalink", F.lit("?")), "&").otherwise("?"), F.lit("img_index="), (F.col("i") + 1).cast("string"))).otherwise(F.col("permalink"))
-    return p.select("permalink", n, "photo_total", link.alias("photo_link"), "url")
-
-
-DMS = Fixture("id long, d double, m double, s double, ref string", [(1, 40.0, 25.0, 0.0, "N"), (2, 3.0, 42.0, 9.0, "W"), (3, 33.0, 52.0, 10.0, "S"), (4, 151.0, 12.0, 30.5, "E")])
-
-
-@query("f19_dms_to_decimal", f"SELECT id, round((d + m / 60 + s / 3600) * CASE WHEN ref IN ('S', 'W') THEN -1 ELSE 1 END, 8) AS degrees FROM {DMS.sql()}")
-def f19(spark, d):
-    return DMS.frame(spark).select("id", F.round((F.col("d") + F.col("m") / 60 + F.col("s") / 3600) * F.when(F.col("ref").isin("S", "W"), -1).otherwise(1), 8).alias("degrees"))
-
-
-VQA = Fixture(
-    "photo string, answer string",
-    [
-        ("f1", "PERSONAS: una.\nAFICION: ciclismo\nPAREJA: no\nTEXTO_VISIBLE: ninguno"), ("f2", "PERSONAS: varias\nAFICION: cocina.\nPAREJA: sí\nTEXTO_VISIBLE: Bar Pepe"),
-        ("f3", "PERSONAS: ninguna\nAFICION: N/A\nTEXTO_VISIBLE:"), ("f4", "sin formato"),
-    ],
-)
-
-
-@query(
-    "f27_photo_answers",
-    """SELECT * FROM (VALUES ('f1', 'una', 'ciclismo', 'no', NULL, 'ciclismo'), ('f2', 'varias', 'cocina', 'sí', 'bar pepe', NULL), ('f3', 'ninguna', NULL, NULL, NULL, NULL), ('f4', NULL, NULL, NULL, NULL, NULL))
-    AS t(photo, persons, hobby, couple, visible_text, inferred_hobby)""",
-)
-def f27(spark, d):
-    def line(name, negative=()):
-        v = F.lower(F.rtrim(F.trim(T.captured(F.col("answer"), rf"(?im)^{name}:[ \t]*([^\n]*)")), F.lit(".")))
-        return F.when((v != "") & ~v.isin(*negative), v) if negative else F.when(v != "", v)
-
-    none = ("ninguno", "ninguna", "none", "n/a", "no")
-    a = VQA.frame(spark).select("photo", line("PERSONAS").alias("persons"), line("AFICION", none).alias("hobby"), line("PAREJA").alias("couple"), line("TEXTO_VISIBLE", none).alias("visible_text"))
-    return a.withColumn("inferred_hobby", F.when(F.col("persons").isin("ninguna", "una"), F.col("hobby")))

@@ -9,7 +9,7 @@ from tracelens.operators.progress import Progress
 from tracelens.operators.shared import shared_path
 from tracelens.plans.registry import Fixture, query, read
 from tracelens.plans.report import flagship_report
-from tracelens.sources import index, platforms, shards
+from tracelens.sources import files, index, platforms, shards, social
 
 
 def landed_conversations(spark, d, per_page: int = 3) -> str:
@@ -34,13 +34,8 @@ def x01(spark, d):
     return posts.select("profile_id", "seq", "id", "platform", "type", "group", "text", F.col("created_utc").cast("timestamp_ntz").alias("created_utc"), "score", F.col("media_urls")[0].alias("media_url"))
 
 
-@query(
-    "s01_landed_posts",
-    """SELECT source AS profile_id, row_number() OVER w - 1 AS seq, doc_id::VARCHAR AS id, 'reddit' AS platform, lang AS "group", coalesce(nullif(text, ''), 'doc ' || doc_id) AS text, coalesce(len(text), 0) AS score
-    FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id) QUALIFY row_number() OVER w <= 40""",
-)
-def s01_landed(spark, d):
-    """Documents as posts of their source, of which a reader takes the first 40."""
+def landed_documents(spark, d) -> str:
+    """Documents as posts of a Reddit account a source."""
     docs = read(spark, d, "documents")
     item = F.to_json(F.struct(
         F.col("doc_id").cast("string").alias("id"), F.col("lang").alias("subreddit"), F.concat(F.lit("doc "), "doc_id").alias("title"), F.col("text").alias("selftext"),
@@ -48,8 +43,121 @@ def s01_landed(spark, d):
     ))
     path = shared_path(spark, "landed")
     platforms.land(docs.select(F.col("source").alias("profile_id"), F.col("doc_id").alias("seq"), item.alias("json")), path, 25, "reddit")
-    posts = platforms.read_platform(spark, "reddit", path, limit=40)
-    return posts.select("profile_id", "seq", "id", "platform", "group", "text", "score")
+    return path
+
+
+def landed_comments(spark, d) -> str:
+    """Turns of conversations as comments of twenty accounts that are named as sources are."""
+    c = read(spark, d, "conversations")
+    item = F.to_json(F.struct(F.concat_ws("-", "conv_id", "turn").alias("id"), F.col("role").alias("subreddit"), F.col("text").alias("body"), (F.lit(1735689600.0) + F.col("conv_id")).alias("created_utc"), F.col("turn").alias("score"), F.concat(F.lit("/c/"), "conv_id").alias("permalink")))
+    path = shared_path(spark, "landed")
+    platforms.land(c.select(F.concat(F.lit("src"), F.col("conv_id") % 20).alias("profile_id"), (F.col("conv_id") * 1000 + F.col("turn")).alias("seq"), item.alias("json")), path, 10, "reddit")
+    return path
+
+
+DOCUMENT_POSTS = """SELECT source AS profile_id, row_number() OVER w - 1 AS seq, doc_id::VARCHAR AS id, 'reddit' AS platform, 'post' AS type, lang AS "group", [lower(lang)] AS tags, 'doc ' || doc_id AS title, coalesce(nullif(text, ''), 'doc ' || doc_id) AS text,
+    TIMESTAMP '2025-01-01' + doc_id * INTERVAL 1 SECOND AS created_utc, coalesce(length(text), 0) AS score, 'https://www.reddit.com/d/' || doc_id AS permalink FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id) QUALIFY row_number() OVER w <= 40"""
+TURN_COMMENTS = """SELECT 'src' || conv_id % 20 AS profile_id, row_number() OVER w - 1 AS seq, conv_id || '-' || turn AS id, 'reddit' AS platform, 'comment' AS type, role AS "group", [lower(role)] AS tags, NULL AS title, coalesce(text, '') AS text,
+    TIMESTAMP '2025-01-01' + conv_id * INTERVAL 1 SECOND AS created_utc, turn AS score, 'https://www.reddit.com/c/' || conv_id AS permalink FROM conversations WINDOW w AS (PARTITION BY conv_id % 20 ORDER BY conv_id * 1000 + turn) QUALIFY row_number() OVER w <= 15"""
+
+
+def plain_posts(posts):
+    return posts.withColumn("created_utc", F.col("created_utc").cast("timestamp_ntz")).drop("media_urls")
+
+
+@query("s01_reddit_posts", DOCUMENT_POSTS)
+def s01(spark, d):
+    """Of each source the first 40 documents, as posts."""
+    return plain_posts(platforms.read_platform(spark, "reddit", landed_documents(spark, d), limit=40))
+
+
+@query("s02_reddit_comments", TURN_COMMENTS)
+def s02(spark, d):
+    return plain_posts(platforms.read_platform(spark, "reddit", landed_comments(spark, d), limit=15, kind="comment"))
+
+
+@query("u01_posts_then_comments", f"WITH p AS ({DOCUMENT_POSTS}), c AS ({TURN_COMMENTS}), l AS (SELECT profile_id, max(seq) + 1 AS n FROM p GROUP BY 1) SELECT profile_id, seq, id, type FROM p UNION ALL SELECT profile_id, seq + coalesce(n, 0), id, type FROM c LEFT JOIN l USING (profile_id)")
+def u01_posts(spark, d):
+    posts = platforms.read_platform(spark, "reddit", landed_documents(spark, d), limit=40)
+    comments = platforms.read_platform(spark, "reddit", landed_comments(spark, d), limit=15, kind="comment")
+    return social.activity(posts, comments).select("profile_id", "seq", "id", "type")
+
+
+@query("s03_avatar_unescape", """SELECT page_id, md5(replace(replace(replace(replace(replace(html, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&')) AS plain FROM pages WHERE html IS NOT NULL""")
+def s03(spark, d):
+    return read(spark, d, "pages").filter("html IS NOT NULL").select("page_id", F.md5(social.unescaped(F.col("html"))).alias("plain"))
+
+
+@query("s04_paged_limit", "SELECT conv_id::VARCHAR AS profile_id, conv_id || '-' || turn AS id FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) <= 2")
+def s04(spark, d):
+    return platforms.read_platform(spark, "instagram", landed_conversations(spark, d, 1), limit=2).select("profile_id", "id")
+
+
+MEDIA_TYPES = ["IMAGE", "VIDEO", "CAROUSEL_ALBUM"]
+
+
+def landed_media(spark, d) -> str:
+    """Documents as pictures, videos and albums of an account a source; captions hold tags."""
+    k = F.col("doc_id")
+    kind = F.element_at(F.array(*map(F.lit, MEDIA_TYPES)), (k % 3 + 1).cast("int"))
+    parts = F.transform(F.sequence(F.lit(0), (k % 4).cast("int")), lambda i: F.struct(F.concat(F.lit("m"), k.cast("string"), F.lit("_"), i.cast("string")).alias("media_url"), F.when(i == 1, "VIDEO").otherwise("IMAGE").alias("media_type")))
+    caption = F.when(k % 5 != 0, F.concat(F.substring(F.coalesce("text", F.lit("")), 1, 200), F.lit(" #"), "lang", F.lit(" #Año"), k % 7))
+    item = F.to_json(F.struct(
+        k.cast("string").alias("id"), caption.alias("caption"), F.date_format(F.timestamp_seconds(F.lit(1735689600) + k * 60), "yyyy-MM-dd'T'HH:mm:ssxx").alias("timestamp"), kind.alias("media_type"), F.concat(F.lit("p"), k).alias("permalink"),
+        F.when(k % 2 == 0, k).alias("like_count"), (k % 9).alias("comments_count"), F.when(kind != "CAROUSEL_ALBUM", F.concat(F.lit("u"), k)).alias("media_url"), F.when(kind == "CAROUSEL_ALBUM", F.struct(parts.alias("data"))).alias("children"),
+    ))
+    path = shared_path(spark, "landed")
+    platforms.land(read(spark, d, "documents").select(F.col("source").alias("profile_id"), k.alias("seq"), item.alias("json")), path, 20)
+    return path
+
+
+MEDIA_SQL = r"""WITH c AS (SELECT *, CASE WHEN doc_id % 5 <> 0 THEN coalesce(text, '')[1:200] || ' #' || lang || ' #Año' || doc_id % 7 ELSE '' END AS caption, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS seq FROM documents),
+    t AS (SELECT *, [lower(x) FOR x IN regexp_extract_all(caption, '#([\p{L}\p{N}_]+)', 1)] AS tags FROM c),
+    m AS (SELECT source AS profile_id, seq, doc_id::VARCHAR AS id, ['image', 'video', 'carousel_album'][doc_id % 3 + 1] AS type, coalesce(tags[1], 'sin_etiqueta') AS "group", array_to_string(tags, ',') AS tags, md5(caption) AS text, TIMESTAMP '2025-01-01' + doc_id * INTERVAL 1 MINUTE AS created_utc,
+      CASE WHEN doc_id % 2 = 0 THEN doc_id ELSE 0 END + doc_id % 9 AS score, 'p' || doc_id AS permalink, CASE doc_id % 3 WHEN 0 THEN 'u' || doc_id WHEN 1 THEN '' ELSE array_to_string(['m' || doc_id || '_' || i FOR i IN range(0, doc_id % 4 + 1) IF i <> 1], ',') END AS urls FROM t WHERE seq < 30)
+    """
+
+
+def media_of(spark, d):
+    return platforms.read_platform(spark, "instagram", landed_media(spark, d), limit=30)
+
+
+@query("s06_instagram_media", MEDIA_SQL + "SELECT * FROM m")
+def s06(spark, d):
+    m = media_of(spark, d)
+    return m.select("profile_id", "seq", "id", "type", "group", F.array_join("tags", ",").alias("tags"), F.md5("text").alias("text"), F.col("created_utc").cast("timestamp_ntz").alias("created_utc"), "score", "permalink", F.array_join("media_urls", ",").alias("urls"))
+
+
+@query("g15_type_counts", MEDIA_SQL + "SELECT profile_id, 0 AS n_comments, count(*) AS n_media_items, sum(CASE WHEN urls = '' THEN 0 ELSE len(string_split(urls, ',')) END)::BIGINT AS n_photos, 0 AS n_posts FROM m GROUP BY 1")
+def g15(spark, d):
+    return social.type_counts(media_of(spark, d))
+
+
+def odd_names(spark, d):
+    """Customers under column names as others write them."""
+    country = F.when(F.col("c_nationkey") % 3 == 0, " es ").when(F.col("c_nationkey") % 3 == 1, "Spain").otherwise("FR")
+    return read(spark, d, "customer").select(F.col("c_custkey").alias("ID"), (F.col("c_nationkey") + 0.5).alias("Latitude"), (F.col("c_nationkey") - 0.5).alias("LNG"), F.col("c_mktsegment").alias("State"), country.alias("country"))
+
+
+@query("s09_column_aliases", "SELECT c_custkey AS id, c_nationkey + 0.5::DOUBLE AS lat, c_nationkey - 0.5::DOUBLE AS lon, c_mktsegment AS region FROM customer")
+def s09(spark, d):
+    return files.resolved_columns(odd_names(spark, d))
+
+
+@query("g07_country_filter", "SELECT c_custkey AS id FROM customer WHERE c_nationkey % 3 < 2")
+def g07(spark, d):
+    return files.of_countries(odd_names(spark, d), "country").select(F.col("ID").alias("id"))
+
+
+@query("s16_run_log", "SELECT event_id % 5 AS n_photos, event_type AS platform, count(*) AS runs, count(*) FILTER (event_id % 3 = 0) AS with_ai, min(epoch_us(ts)) AS first_us FROM events WHERE event_id % 5 > 0 GROUP BY ALL")
+def s16(spark, d):
+    """A log that is appended to twice, the first time without one of the flags; runs without photos are not logged."""
+    e = read(spark, d, "events").select(F.expr("unix_micros(cast(ts AS timestamp)) / 1e6").alias("timestamp"), F.col("event_type").alias("platform"), (F.col("event_id") % 5).cast("int").alias("n_photos"), (F.col("event_id") % 3 == 0).alias("ai_enabled"))
+    log = shared_path(spark, "log")
+    files.append_run_log(e.filter("NOT ai_enabled").drop("ai_enabled"), log)
+    files.append_run_log(e.filter("ai_enabled"), log)
+    runs = files.read_run_log(spark, log)
+    return runs.groupBy(F.col("n_photos").cast("long").alias("n_photos"), "platform").agg(F.count("*").alias("runs"), F.count_if("ai_enabled").alias("with_ai"), F.min(F.expr("unix_micros(at)")).alias("first_us"))
 
 
 LETTERS = "[(length(text) - length(replace(replace(text, chr((97 + i)::INT), ''), chr((65 + i)::INT), '')))::DOUBLE FOR i IN range(26)]"
@@ -149,3 +257,15 @@ def x03(spark, d):
     flagship_report(spark, d, progress).write.format("noop").mode("overwrite").save()
     rows = [(stage, figures["rows"]) for stage, figures in progress.counts().items() if stage != "detecting_attributes"]
     return spark.createDataFrame(rows, "stage string, rows long")
+
+
+@query("j12_with_files", "SELECT doc_id FROM documents WHERE doc_id // 20 < (SELECT (count(*) + 39) // 40 FROM documents)")
+def j12(spark, d):
+    """Documents whose number by twenties has a shard; there are half as many shards."""
+    docs = read(spark, d, "documents").select("doc_id", F.lpad(F.expr("doc_id div 20").cast("string"), 6, "0").alias("id"))
+    return files.with_files(docs, files.present_files(spark, f"{shards_of(spark, d)}/*.zip")).select("doc_id")
+
+
+@query("t11_shards", "SELECT printf('%06d', k) AS id FROM (SELECT unnest(range((SELECT (count(*) + 39) // 40 FROM documents))) AS k) WHERE k < 3")
+def t11(spark, d):
+    return files.shard_list(files.present_files(spark, f"{shards_of(spark, d)}/*.zip"), 3)

@@ -24,11 +24,16 @@ def resolved_columns(df: DataFrame, aliases: dict[str, tuple[str, ...]] = ALIASE
     return df.select(*[F.col(f"`{c}`").alias(w) for w, c in out.items()])
 
 
+def of_countries(df: DataFrame, country_col: str, countries: tuple[str, ...] = SPAIN) -> DataFrame:
+    """The rows of some countries, whatever case and blanks their names have."""
+    return df.filter(F.upper(F.trim(F.col(country_col))).isin(*countries))
+
+
 def read_metadata(spark: SparkSession, path: str, country_col: str | None = None, countries: tuple[str, ...] = SPAIN) -> DataFrame:
     """CSV with a header, its columns by their aliases; with a country column only those countries."""
     raw = spark.read.csv(path, header=True, inferSchema=True)
     if country_col:
-        raw = raw.filter(F.upper(F.trim(F.col(country_col))).isin(*countries))
+        raw = of_countries(raw, country_col, countries)
     return resolved_columns(raw)
 
 
