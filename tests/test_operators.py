@@ -141,8 +141,53 @@ def test_best_of_keeps_the_smallest_of_equals():
     assert v.tolist() == [[5, 7, 8], [9, 5, 7]] and s.tolist() == [[1, 1, 1], [4, 2, 2]]
 
 
-def test_nearest_place_in_blocks(spark):
+def test_nearest_place_from_any_grid(spark):
     points = spark.createDataFrame([(1, 40.0, -3.0), (2, 36.0, -6.0)], "point_id long, lat double, lon double")
     places = spark.createDataFrame([(f"r{k}", 35.0 + k, -8.0 + k) for k in range(9)], "region string, lat double, lon double")
-    a, b = (sorted(map(tuple, geo.nearest_place(points, places, most).collect())) for most in (2, 100))
+    a, b = (sorted(map(tuple, geo.nearest_place(points, places, start).collect())) for start in (2, 12))
     assert a == b and len(a) == 2
+
+
+def test_nearest_places_equal_all_pairs(spark):
+    """Around the poles and the date line, in clusters, with equal coordinates and without any."""
+    import math
+    import random
+
+    r = random.Random(9)
+    spot = lambda: (r.choice([r.uniform(-90, 90), 89.9, -90.0, 40 + r.random() / 100]), r.choice([r.uniform(-180, 180), 179.99, -179.99, 180.0, -3 + r.random() / 100]))
+    places = [(f"r{k:03d}", *spot()) for k in range(80)] + [("a", 0.0, 0.0), ("b", 0.0, 0.0), ("nowhere", None, 1.0)]
+    points = [(k, *spot()) for k in range(300)] + [(900, places[5][1], places[5][2]), (901, None, 0.0), (902, 0.0, 0.0), (902, 0.0, 0.0)]
+
+    def km(a, b, c, d):
+        if None in (a, b, c, d):
+            return math.inf
+        h = math.sin(math.radians(c - a) / 2) ** 2 + math.cos(math.radians(a)) * math.cos(math.radians(c)) * math.sin(math.radians(d - b) / 2) ** 2
+        return 2 * geo.EARTH_KM * math.atan2(math.sqrt(h), math.sqrt(max(0.0, 1 - h)))
+
+    want = sorted((i, *min((round(km(a, b, c, d), 6), n) for n, c, d in places)) for i, a, b in points)
+    p, q = spark.createDataFrame(points, "point_id long, lat double, lon double"), spark.createDataFrame(places, "region string, lat double, lon double")
+    for start in (None, 1, 9):
+        got = sorted((x["point_id"], round(x["km"], 6), x["region"]) for x in geo.nearest_place(p, q, start).collect())
+        assert [g[0] for g in got] == [w[0] for w in want]
+        for g, w in zip(got, want, strict=True):
+            assert g[1] == w[1] or abs(g[1] - w[1]) < 1e-5, (g, w)
+            assert g[2] == w[2] or abs(g[1] - min(km(a, b, c, d) for i, a, b in points if i == g[0] for n, c, d in places if n == g[2])) < 1e-5
+
+
+def test_nearest_place_without_places(spark):
+    p = spark.createDataFrame([(1, 0.0, 0.0)], "point_id long, lat double, lon double")
+    none = spark.createDataFrame([], "region string, lat double, lon double")
+    assert geo.nearest_place(p, none).count() == 0 and geo.nearest_place(p.limit(0), none).count() == 0
+    lost = spark.createDataFrame([("x", None, None)], "region string, lat double, lon double")
+    assert [tuple(r) for r in geo.nearest_place(p, lost).collect()] == [(1, "x", float("inf"))]
+
+
+def test_points_are_compared_with_few_places(spark):
+    """On a lattice of 40 by 40 places a point meets a handful of them."""
+    places = spark.range(1600).selectExpr("concat('p', id) AS region", "30 + id div 40 * 0.5 AS lat", "-10 + id % 40 * 0.5 AS lon")
+    level = 1 + 6
+    near = geo.in_cells(spark.range(500).selectExpr("31 + id * 0.03 AS _lat", "-9 + id * 0.03 AS _lon"), 10, around=True)
+    here = geo.in_cells(places.selectExpr("region", "lat AS _plat", "lon AS _plon", "lat AS _lat", "lon AS _lon"), 10).drop("_lat", "_lon")
+    assert near.join(here, "_cell").count() <= 10 * 500 and level < 10
+    got = geo.nearest_place(spark.createDataFrame([(1, 40.2, 2.3)], "point_id long, lat double, lon double"), places)
+    assert got.first()["region"] == f"p{20 * 40 + 25}"

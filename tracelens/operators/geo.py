@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelens.functions.text import plain
+from tracelens.operators.shared import stored
 
 EARTH_KM, SPREAD_KM, LEAST_LOCATED = 6371.0, 300.0, 3
 HIGH, HIGH_PHOTOS, MODERATE, MODERATE_PHOTOS = 0.8, 2, 0.6, 4
@@ -103,24 +107,57 @@ def voted(neighbours: DataFrame, k: int) -> DataFrame:
     )
 
 
-def nearest_place(points: DataFrame, places: DataFrame, most: int = 10_000) -> DataFrame:
-    """Of each point the place with the smallest distance. Places are a stated table that goes to the points in blocks of
-    `most` rows; each point keeps the best of each block, and the best of these."""
-    spark, held, out = points.sparkSession, [], None
+def in_cells(df: DataFrame, level: int, around: bool = False) -> DataFrame:
+    """df (_lat, _lon) with the cell of each row in a grid of 2**level columns around the earth; around: once for each of the cells
+    beside it, too."""
+    size, columns = 360.0 / 2**level, 2**level
+    x = F.pmod(F.floor((F.col("_lon") + 180) / size), F.lit(columns)).cast("long")
+    y = F.floor((F.col("_lat") + 90) / size).cast("long")
+    if not around:
+        return df.withColumn("_cell", F.struct(x, y))
+    beside = F.array(*(F.struct(F.pmod(x + i, F.lit(columns)), y + j) for j in (-1, 0, 1) for i in (-1, 0, 1)))
+    return df.withColumn("_cell", F.explode(F.array_distinct(beside)))
 
-    def among(rows):
-        block = spark.createDataFrame(rows, "region string, _lat double, _lon double")
-        each = points.join(F.broadcast(block), how="cross")
-        each = each.withColumn("km", F.coalesce(haversine_km(F.col("lat"), F.col("lon"), F.col("_lat"), F.col("_lon")), F.lit(float("inf"))))
-        return each.groupBy("point_id").agg(F.min(F.struct("km", "region")).alias("b"))
 
-    for r in places.select("region", F.col("lat").cast("double"), F.col("lon").cast("double")).toLocalIterator():
-        held.append(tuple(r))
-        if len(held) == most:
-            out, held = among(held) if out is None else out.unionByName(among(held)), []
-    if held or out is None:
-        out = among(held) if out is None else out.unionByName(among(held))
-    return out.groupBy("point_id").agg(F.min("b").alias("b")).select("point_id", "b.region", "b.km")
+def safe_km(lat: Column, level: int) -> Column:
+    """All that is nearer than this to a place at `lat` lies in its cell or one beside it: a cell's height, or the way to the meridian a cell's width away."""
+    width = math.radians(min(360.0 / 2**level, 90.0))
+    return EARTH_KM * F.least(F.lit(width), F.asin(F.cos(F.radians(lat)) * math.sin(width))) * (1 - 1e-9)
+
+
+def nearest_place(points: DataFrame, places: DataFrame, start: int | None = None) -> DataFrame:
+    """point_id, region, km: of each point the place with the smallest distance, the first name of equals; a point or place
+    without coordinates is infinitely far.
+
+    Points meet the places of their own cell of a grid and of those beside it. Who finds one there that is nearer than anything outside can be is done, the others
+    go on in a grid of cells of twice the size. The first grid (2**start columns) has about a place a cell, so a point is compared with a few places,
+    and only points far from all of them reach the coarse grids. Points and places that share their coordinates are compared once.
+    """
+    p = points.select("point_id", F.col("lat").cast("double").alias("_lat"), F.col("lon").cast("double").alias("_lon"))
+    where = F.col("_lat").isNotNull() & F.col("_lon").isNotNull()
+    spots = places.select("region", F.col("lat").cast("double").alias("_lat"), F.col("lon").cast("double").alias("_lon")).groupBy("_lat", "_lon").agg(F.min("region").alias("region"))
+    spots = stored(spots, "places")
+    n = spots.filter(where).count()
+    level = start if start is not None else min(20, 1 + math.ceil(math.log(max(n, 1), 4)))
+    left, found = p.filter(where).select("_lat", "_lon").distinct(), []
+    while n:
+        here = in_cells(spots.filter(where), level).select("_cell", "region", F.col("_lat").alias("_plat"), F.col("_lon").alias("_plon"))
+        near = in_cells(left, level, around=True).join(here, "_cell")
+        km = haversine_km(F.col("_lat"), F.col("_lon"), F.col("_plat"), F.col("_plon"))
+        best = near.groupBy("_lat", "_lon").agg(F.min(F.struct(km.alias("km"), "region")).alias("b"))
+        best = stored(left.join(best, ["_lat", "_lon"], "left"), "nearest")
+        done = F.col("b.km") < safe_km(F.col("_lat"), level) if level > 1 else F.col("b").isNotNull()
+        found.append(best.filter(F.coalesce(done, F.lit(False))))
+        left = best.filter(~F.coalesce(done, F.lit(False))).select("_lat", "_lon")
+        if level <= 1 or left.isEmpty():  # two columns: all cells are beside each other
+            break
+        level -= 1
+    far = F.struct(F.lit(float("inf")).alias("km"), F.lit(spots.agg(F.min("region")).first()[0]).cast("string").alias("region"))
+    if not found:
+        return p.select("point_id", far["region"].alias("region"), far["km"].alias("km")) if not spots.isEmpty() else p.select("point_id", F.lit(None).cast("string").alias("region"), F.lit(None).cast("double").alias("km")).limit(0)
+    all_found = reduce(DataFrame.unionByName, found)
+    out = p.join(all_found, ["_lat", "_lon"], "left").withColumn("b", F.coalesce("b", far))
+    return out.select("point_id", "b.region", "b.km")
 
 
 def decimal_degrees(degrees: Column, minutes: Column, seconds: Column, ref: Column) -> Column:
