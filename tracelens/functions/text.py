@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -27,10 +27,15 @@ def unended(c: Column) -> Column:
     return F.rtrim(F.trim(c), F.lit("."))
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with the value worked out once however often it is used."""
+    return F.transform(F.array(value), then)[0]
+
+
 def first_key(text: Column, keys: Iterable[str]) -> Column:
     """The first of the keys, in their order, that the text holds; null if none."""
-    found = F.filter(F.array(*map(F.lit, list(keys))), lambda k: F.contains(text, k))
-    return F.try_element_at(found, F.lit(1))
+    known = F.array(*map(F.lit, list(keys)))
+    return let(text, lambda t: F.try_element_at(F.filter(known, lambda k: F.contains(t, k)), F.lit(1)))
 
 
 def captured(text: Column, pattern: str, group: int = 1) -> Column:
@@ -98,11 +103,12 @@ def zodiac(text: Column) -> Column:
     for k, (sign, days) in enumerate(zip(ZODIAC_SIGNS, ZODIAC_RANGES, strict=True)):
         hit, value = F.contains(text, F.lit(chr(0x2648 + k))), f"{sign} ({days})"
         out = F.when(hit, value) if out is None else out.when(hit, value)
-    word = captured(plain(text), ZODIAC_WORD)
-    named = F.lit(None).cast("string")
-    for sign, days in zip(ZODIAC_SIGNS, ZODIAC_RANGES, strict=True):
-        named = F.when(word == sign, f"{sign} ({days})").otherwise(named)
-    return F.coalesce(out, named)
+
+    def named(word: Column) -> Column:
+        days_of = F.create_map(*[F.lit(x) for sign, days in zip(ZODIAC_SIGNS, ZODIAC_RANGES, strict=True) for x in (sign, f"{sign} ({days})")])
+        return F.try_element_at(days_of, word)
+
+    return F.coalesce(out, let(captured(plain(text), ZODIAC_WORD), named))
 
 
 def religion(text: Column) -> Column:
@@ -111,21 +117,28 @@ def religion(text: Column) -> Column:
     for symbol, value in RELIGION_SYMBOLS:
         hit = F.contains(text, F.lit(symbol))
         out = F.when(hit, value) if out is None else out.when(hit, value)
-    word, named = captured(plain(text), RELIGION_WORD), None
-    for key, value in RELIGION_KEYS:
-        hit = F.startswith(word, F.lit(key))
-        named = F.when(hit, value) if named is None else named.when(hit, value)
-    return F.coalesce(out, named)
+
+    def named(word: Column) -> Column:
+        said = None
+        for key, value in RELIGION_KEYS:
+            hit = F.startswith(word, F.lit(key))
+            said = F.when(hit, value) if said is None else said.when(hit, value)
+        return said
+
+    return F.coalesce(out, let(captured(plain(text), RELIGION_WORD), named))
 
 
 def orientation(text: Column) -> Column:
-    word, out = F.lower(F.regexp_substr(text, F.lit(ORIENTATION))), None
-    for key, value in ORIENTATION_KEYS:
-        hit = F.contains(word, F.lit(key))
-        out = F.when(hit, value) if out is None else out.when(hit, value)
-    return out
+    def named(word: Column) -> Column:
+        out = None
+        for key, value in ORIENTATION_KEYS:
+            hit = F.contains(word, F.lit(key))
+            out = F.when(hit, value) if out is None else out.when(hit, value)
+        return out
+
+    return let(F.lower(F.regexp_substr(text, F.lit(ORIENTATION))), named)
 
 
 def age(text: Column) -> Column:
     years = F.coalesce(captured(text, AGE, 1), captured(text, AGE, 2)).cast("int")
-    return F.when(years.between(12, 100), years)
+    return let(years, lambda y: F.when(y.between(12, 100), y))

@@ -22,22 +22,24 @@ def consented(profiles: DataFrame, consents: DataFrame, key: str = "profile_id")
 
 def location(text: Column) -> Column:
     """(level, key) of the first "vivo en ...": a municipality, else a province, else a community (its province, if it has one only)."""
-    said = F.trim(T.captured(T.plain(text), T.LIVES_IN))
-    town, province = T.first_key(said, R.MUNICIPALITIES), T.first_key(said, R.PROVINCES)
-    alias = T.first_key(said, R.ALIASES)
-    community = F.try_element_at(F.create_map(*[F.lit(x) for kv in R.ALIASES.items() for x in kv]), alias)
     only = {c: ps[0] for c, (_, ps) in R.COMMUNITIES.items() if len(ps) == 1}
-    single = F.try_element_at(F.create_map(*[F.lit(x) for kv in only.items() for x in kv]), community)
+    of_alias, of_single = (F.create_map(*[F.lit(x) for kv in t.items() for x in kv]) for t in (R.ALIASES, only))
 
     def at(level: str, key: Column) -> Column:
         return F.struct(F.lit(level).alias("level"), key.alias("key"))
 
-    return (
-        F.when(town.isNotNull(), at("municipio", town))
-        .when(province.isNotNull(), at("provincia", province))
-        .when(single.isNotNull(), at("provincia", single))
-        .when(community.isNotNull(), at("comunidad_autonoma", community))
-    )
+    def in_community(c: Column) -> Column:
+        single = F.try_element_at(of_single, c)
+        return F.when(single.isNotNull(), at("provincia", single)).when(c.isNotNull(), at("comunidad_autonoma", c))
+
+    def found(keys: Column) -> Column:
+        town, province, alias = keys["town"], keys["province"], keys["alias"]
+        return F.when(town.isNotNull(), at("municipio", town)).when(province.isNotNull(), at("provincia", province)).otherwise(T.let(F.try_element_at(of_alias, alias), in_community))
+
+    def keys(said: Column) -> Column:
+        return F.struct(*(T.first_key(said, table).alias(name) for name, table in (("town", R.MUNICIPALITIES), ("province", R.PROVINCES), ("alias", R.ALIASES))))
+
+    return T.let(T.let(F.trim(T.captured(T.plain(text), T.LIVES_IN)), keys), found)
 
 
 def detectors(text: Column, special: bool = False) -> dict[str, Column]:
@@ -75,8 +77,8 @@ def declared(posts: DataFrame, special: bool = False) -> DataFrame:
     said = posts.filter(F.coalesce(text, F.lit("")) != "")
     fields = detectors(text, special)
     pairs = [F.struct(F.lit(f).alias("field"), v.alias("value")) for f, v in fields.items()]
-    place = location(text)
-    pairs.append(F.struct(F.lit("ubicacion").alias("field"), F.concat_ws("|", place["level"], place["key"]).alias("value")))
+    place = T.let(location(text), lambda p: F.concat_ws("|", p["level"], p["key"]))
+    pairs.append(F.struct(F.lit("ubicacion").alias("field"), place.alias("value")))
     each = said.select("profile_id", "seq", "permalink", F.explode(F.array(*pairs)).alias("f")).filter("f.value IS NOT NULL AND f.value <> ''")
     first = each.groupBy("profile_id", "f.field").agg(F.min(F.struct("seq", "f.value", "permalink")).alias("b"))
     is_place = F.col("field") == "ubicacion"

@@ -26,11 +26,10 @@ def risk(remaining: Column) -> Column:
 def shares(findings: DataFrame, special: bool = False) -> DataFrame:
     """findings with step_no, category, location_level, proportion_of_step (null: can't be estimated)."""
     spark = findings.sparkSession
-    wide = findings.groupBy("profile_id").agg(*[F.max(F.when(F.col("field") == f, F.col("value"))).alias(f"_{f}") for f in ("sexo", "edad", "municipio", "provincia", "comunidad_autonoma")])
-    geo = R.places(spark)
-    wide = wide.join(geo.select(F.col("province").alias("_provincia"), F.col("community").alias("_of")), "_provincia", "left")
-    wide = wide.withColumn("_community", F.coalesce("_comunidad_autonoma", "_of"))
-    f = findings.join(wide, "profile_id")
+    w = Window.partitionBy("profile_id")  # a profile has a finding a field at most
+    f = findings.withColumns({f"_{x}": F.max(F.when(F.col("field") == x, F.col("value"))).over(w) for x in ("sexo", "edad", "municipio", "provincia", "comunidad_autonoma")})
+    f = f.join(R.places(spark).select(F.col("province").alias("_provincia"), F.col("community").alias("_of")), "_provincia", "left")
+    f = f.withColumn("_community", F.coalesce("_comunidad_autonoma", "_of"))
     level = F.when(F.col("_municipio").isNotNull(), "municipio").when(F.col("_provincia").isNotNull(), "provincia").otherwise("comunidad_autonoma")
     is_place = F.col("field").isin("municipio", "provincia", "comunidad_autonoma")
     f = f.filter(~is_place | (F.col("field") == level)).filter((F.col("field") != "edad_rango") | F.col("_edad").isNull())
