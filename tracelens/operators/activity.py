@@ -141,3 +141,75 @@ def language(posts: DataFrame, markers: tuple[str, ...], tokens: int = 300, hits
     head = F.slice("_w", F.lit(1), F.greatest(F.lit(0), F.lit(tokens) - F.col("_before")).cast("int"))
     seen = p.select("profile_id", F.explode_outer(F.array_intersect(head, F.array(*map(F.lit, markers)))).alias("m"))
     return seen.groupBy("profile_id").agg(F.when(F.count_distinct("m") >= hits, "es").otherwise("en").alias("language"))
+
+
+# -- texts and orders -----------------------------------------------------------------------------------------------------
+
+
+def with_text(posts: DataFrame, longer_than: int = 0) -> DataFrame:
+    """Posts that say something, of more than so many characters."""
+    return posts.filter(F.length("text") > longer_than)
+
+
+def without_posts(profiles: DataFrame, posts: DataFrame, key: str = "profile_id") -> DataFrame:
+    """Profiles that have no posts."""
+    return profiles.join(posts.select(key).filter(F.col(key).isNotNull()), key, "left_anti")
+
+
+def joined_text(posts: DataFrame, most: int = 200_000) -> DataFrame:
+    """profile_id, text: the posts' texts in their order, a line each, cut at `most` characters. Posts that begin beyond the cut are not gathered."""
+    before = Window.partitionBy("profile_id").orderBy("seq", "text").rowsBetween(Window.unboundedPreceding, -1)
+    p = posts.filter("text IS NOT NULL").withColumn("_at", F.coalesce(F.sum(F.length("text") + 1).over(before), F.lit(0))).filter(F.col("_at") < most)
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), "\n")
+    return p.groupBy("profile_id").agg(F.substring(joined, 1, most).alias("text"))
+
+
+def capped(n: Column, base: float, step: float, most: float) -> Column:
+    """Confidence that grows with the number of hits, to a limit."""
+    return F.least(F.lit(base) + step * n, F.lit(most))
+
+
+def first_said(posts: DataFrame, value: Column, order: str = "seq") -> DataFrame:
+    """profile_id, value: of each profile the first value that isn't null; null where all are."""
+    return posts.groupBy("profile_id").agg(F.min_by(value, F.when(value.isNotNull(), F.col(order))).alias("value"))
+
+
+def signals(posts: DataFrame, **hits: Column) -> DataFrame:
+    """profile_id, and for each named condition whether any post meets it."""
+    return posts.groupBy("profile_id").agg(*(F.bool_or(c).alias(name) for name, c in hits.items()), *(F.count_if(c).alias(f"n_{name}") for name, c in hits.items()))
+
+
+def changes(events: DataFrame, by: str, stage: str, *order: str) -> DataFrame:
+    """The events at which a stage differs from the one before, with `previous_stage`."""
+    e = events.withColumn("previous_stage", F.lag(stage).over(Window.partitionBy(by).orderBy(*order)))
+    return e.filter(~F.col("previous_stage").eqNullSafe(F.col(stage)))
+
+
+def newest(posts: DataFrame, n: int, *order: Column, by: str = "profile_id") -> DataFrame:
+    """The first n posts of each profile in an order, as a rule the newest."""
+    return posts.withColumn("_r", F.row_number().over(Window.partitionBy(by).orderBy(*order))).filter(F.col("_r") <= n).drop("_r")
+
+
+def markers_in(text: Column, markers: tuple[str, ...]) -> Column:
+    """How many of the markers are among the words of a text."""
+    return F.size(F.array_intersect(F.split(F.lower(text), " "), F.array(*map(F.lit, markers))))
+
+
+def either(a: DataFrame, b: DataFrame) -> DataFrame:
+    """What is in one or the other, once."""
+    return a.unionByName(b).distinct()
+
+
+def only_first(a: DataFrame, b: DataFrame) -> DataFrame:
+    """What is in the first and not in the second, once; nulls are alike."""
+    return a.subtract(b.select(*a.columns))
+
+
+def first_of_each(*parts: DataFrame, key: str) -> DataFrame:
+    """All parts one after the other, a row a key: that of the first part that has it."""
+    every = None
+    for n, p in enumerate(parts):
+        p = p.withColumn("_part", F.lit(n))
+        every = p if every is None else every.unionByName(p)
+    rest = [c for c in parts[0].columns if c != key]
+    return every.groupBy(key).agg(F.min_by(F.struct(*rest), F.struct("_part", *rest)).alias("_b")).select(key, *[F.col(f"_b.{c}").alias(c) for c in rest]).select(*parts[0].columns)

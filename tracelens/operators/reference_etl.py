@@ -83,3 +83,91 @@ def long_series(raw: DataFrame) -> DataFrame:
 def stale(tables: DataFrame, today: Column, days: Column) -> DataFrame:
     """name, verified, age: the tables (name, verified) whose last check is more than `days` ago; one that was never checked isn't judged."""
     return tables.withColumn("age", F.datediff(today, F.col("verified")).cast("long")).filter(F.col("age") > days).select("name", "verified", "age")
+
+
+def category_of(value: Column, rules: tuple[tuple[str, str], ...], other: str) -> Column:
+    """The category of the first rule (pattern, category) that a value matches."""
+    out = None
+    for pattern, category in rules:
+        hit = value.rlike(pattern)
+        out = F.when(hit, category) if out is None else out.when(hit, category)
+    return out.otherwise(other)
+
+
+def sums_by_category(rows: DataFrame, dimension: DataFrame, key: str, value: str, category: str = "category") -> DataFrame:
+    """category, value: sums over the rows of each key's category. Rows are summed by key before they meet the dimension."""
+    part = rows.groupBy(key).agg(F.sum(value).alias(value))
+    return part.join(dimension.select(key, category), key).groupBy(category).agg(F.sum(value).alias(value))
+
+
+def counts_by_category(rows: DataFrame, column: str, category: Column) -> DataFrame:
+    """category, n: rows by the category of a column; each value of it is looked at once."""
+    each = rows.groupBy(column).agg(F.count("*").alias("_c"))
+    return each.groupBy(category.alias("category")).agg(F.sum("_c").alias("n"))
+
+
+#: What those who have no work and seek none are.
+INACTIVE = {"retired": 0.57, "students": 0.20, "others": 0.23}
+
+
+def activity_shares(active: Column, unemployed: Column, inactive: dict[str, float] = INACTIVE) -> dict[str, Column]:
+    """Shares of the population from the rate of activity and that of unemployment among the active."""
+    return {"active": active * (1 - unemployed), "unemployed": active * unemployed} | {k: (1 - active) * p for k, p in inactive.items()}
+
+
+def agrees(parts: DataFrame, value: str, total: Column | float, tolerance: float = 0.02) -> Column:
+    """For agg(): whether the sum of the parts is a known total, within a share of it."""
+    t = total if isinstance(total, Column) else F.lit(total)
+    return (F.abs(F.sum(value) - t) <= tolerance * t).alias("agrees")
+
+
+def age_band(age: Column, width: int = 5, open_from: int = 85) -> Column:
+    """The band of an age: 40-44, 85+."""
+    low = (F.floor(age / width) * width).cast("int")
+    return F.when(age >= open_from, f"{open_from}+").otherwise(F.concat_ws("-", low, low + width - 1))
+
+
+def years_of(bands: DataFrame, low: str, share: str, width: int = 5) -> DataFrame:
+    """age, p: a band's share in equal parts, a row a year."""
+    return bands.select(F.explode(F.sequence(low, F.col(low) + width - 1)).alias("age"), (F.col(share) / width).alias("p"))
+
+
+def populations_of(parts: DataFrame, group: str, population: str) -> DataFrame:
+    """group, parts, population: of each group how many parts it has and their people."""
+    return parts.groupBy(group).agg(F.count("*").alias("parts"), F.sum(population).alias("population"))
+
+
+def inverted(hierarchy: DataFrame, group: str, members: str, member: str) -> DataFrame:
+    """member, group: of a table group -> array of members."""
+    return hierarchy.select(F.explode(members).alias(member), group)
+
+
+def share_of(rows: DataFrame, column: str, shares_: DataFrame) -> DataFrame:
+    """rows with the share of their value, null where it isn't known. shares_: column, share."""
+    return rows.join(shares_.select(column, "share"), column, "left")
+
+
+def canonical(rows: DataFrame, column: str, names: DataFrame) -> DataFrame:
+    """rows with `name`: the own name of a value (names: column, own), else the value in small letters."""
+    return rows.join(names.select(column, "own"), column, "left").withColumn("name", F.coalesce("own", F.lower(column))).drop("own")
+
+
+def found_in(ids: DataFrame, have: DataFrame, key: str) -> DataFrame:
+    """ids with `found`: whether they are in the other table."""
+    there = have.select(F.col(key).alias("_k")).distinct()
+    return ids.join(there, ids[key] == F.col("_k"), "left").withColumn("found", F.col("_k").isNotNull()).drop("_k")
+
+
+def without(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """Rows whose key isn't in the other table."""
+    return rows.join(gone.select(key), key, "left_anti")
+
+
+def segments(label: Column, sep: str = " ") -> Column:
+    """The parts of a label."""
+    return F.split(label, sep)
+
+
+def scaled_percent(share: Column) -> Column:
+    """A share in per cent with one decimal, halves to even, as charts show it."""
+    return F.bround(share * 1000) / 10

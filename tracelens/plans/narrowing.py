@@ -51,10 +51,15 @@ def shares(findings: DataFrame, special: bool = False) -> DataFrame:
     return f.select("profile_id", "step_no", "category", "value", "location_level", p.alias("share"), "source", "confidence", "evidence")
 
 
+def running(share: Column, by: str, order: str) -> Column:
+    """The product of the shares up to each row; a null share passes it on."""
+    w = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return F.product(F.coalesce(share, F.lit(1.0))).over(w)
+
+
 def narrowed(findings: DataFrame, special: bool = False) -> DataFrame:
     """profile_id, step_no, category, value, location_level, remaining_population, risk_level, reduction_percent, proportion, ..."""
-    w = Window.partitionBy("profile_id").orderBy("step_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    left = F.lit(float(R.TOTAL_POPULATION)) * F.product(F.coalesce("share", F.lit(1.0))).over(w)
+    left = F.lit(float(R.TOTAL_POPULATION)) * running(F.col("share"), "profile_id", "step_no")
     f = shares(findings, special).withColumn("_left", F.when(F.col("share").isNotNull(), left))
     return f.select(
         "profile_id",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tracelens.functions import text as T
 from tracelens.operators import activity as A
+from tracelens.operators import reference_etl as E
 from tracelens.operators.findings import consented
 from tracelens.plans import scoring
 from tracelens.plans.registry import query, read
@@ -84,13 +85,8 @@ def a05(spark, d):
     length(substr(string_agg(text, chr(10) ORDER BY turn, text), 1, 200000)) AS chars FROM conversations WHERE text IS NOT NULL GROUP BY 1""",
 )
 def a06(spark, d):
-    c = read(spark, d, "conversations").filter("text IS NOT NULL")
-    # turns that begin beyond the cut are not gathered
-    before = Window.partitionBy("conv_id").orderBy("turn", "text").rowsBetween(Window.unboundedPreceding, -1)
-    c = c.withColumn("_at", F.coalesce(F.sum(F.length("text") + 1).over(before), F.lit(0))).filter("_at < 200000")
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "\n")
-    c = c.groupBy(F.col("conv_id").alias("profile_id")).agg(F.substring(joined, 1, 200000).alias("t"))
-    return c.select("profile_id", F.md5("t").alias("text_md5"), F.length("t").alias("chars"))
+    c = read(spark, d, "conversations").select(F.col("conv_id").alias("profile_id"), F.col("turn").alias("seq"), "text")
+    return A.joined_text(c).select("profile_id", F.md5("text").alias("text_md5"), F.length("text").alias("chars"))
 
 
 @query(
@@ -111,8 +107,8 @@ def a07(spark, d):
     "SELECT user_id AS profile_id, event_type, count(*) AS n, least(0.3 + 0.05 * count(*), 0.8)::DOUBLE AS confidence FROM events GROUP BY 1, 2",
 )
 def a08(spark, d):
-    e = read(spark, d, "events")
-    return e.groupBy(F.col("user_id").alias("profile_id"), "event_type").agg(F.count("*").alias("n")).withColumn("confidence", F.least(F.lit(0.3) + 0.05 * F.col("n"), F.lit(0.8)))
+    n = read(spark, d, "events").groupBy(F.col("user_id").alias("profile_id"), "event_type").agg(F.count("*").alias("n"))
+    return n.withColumn("confidence", A.capped(F.col("n"), 0.3, 0.05, 0.8))
 
 
 @query(
@@ -129,8 +125,7 @@ def a09(spark, d):
     """SELECT user_id AS profile_id, arg_min(CASE WHEN value > 50 THEN event_type END, CASE WHEN value > 50 THEN event_id END) AS first_high FROM events GROUP BY 1""",
 )
 def a10(spark, d):
-    said = F.when(F.col("value") > 50, F.col("event_type"))
-    return read(spark, d, "events").groupBy(F.col("user_id").alias("profile_id")).agg(F.min_by(said, F.when(said.isNotNull(), F.col("event_id"))).alias("first_high"))
+    return A.first_said(posts_of_events(spark, d), F.when(F.col("value") > 50, F.col("group"))).withColumnRenamed("value", "first_high")
 
 
 @query(
@@ -140,7 +135,8 @@ def a10(spark, d):
 )
 def a11(spark, d):
     t = F.col("text")
-    return read(spark, d, "documents").groupBy(F.col("source").alias("profile_id")).agg(F.bool_or(F.contains(t, F.lit("Apache"))).alias("apache"), F.bool_or(F.contains(t, F.lit("@"))).alias("at_sign"), F.bool_or(F.length(t) > 20000).alias("very_long"), F.count_if(F.contains(t, F.lit("@"))).alias("n_at"))
+    s = A.signals(posts_of_documents(spark, d), apache=F.contains(t, F.lit("Apache")), at=F.contains(t, F.lit("@")), very_long=F.length(t) > 20000)
+    return s.select("profile_id", "apache", F.col("at").alias("at_sign"), "very_long", "n_at")
 
 
 KEYWORDS_SQL = r"""
@@ -194,17 +190,18 @@ def g02(spark, d):
 
 @query("g03_empty_activity", "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
 def g03(spark, d):
-    return read(spark, d, "customer").join(read(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey", "c_name")
+    o = read(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    return A.without_posts(read(spark, d, "customer"), o, "c_custkey").select("c_custkey", "c_name")
 
 
 @query("g04_nonempty_text", "SELECT lang, count(*) AS n FROM documents WHERE text <> '' GROUP BY 1")
 def g04(spark, d):
-    return read(spark, d, "documents").filter("text <> ''").groupBy("lang").agg(F.count("*").alias("n"))
+    return A.with_text(read(spark, d, "documents")).groupBy("lang").agg(F.count("*").alias("n"))
 
 
 @query("g05_long_text", "SELECT lang, count(*) AS n, sum(n_chars)::BIGINT AS chars FROM documents WHERE length(text) > 20 GROUP BY 1")
 def g05(spark, d):
-    return read(spark, d, "documents").filter(F.length("text") > 20).groupBy("lang").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
+    return A.with_text(read(spark, d, "documents"), 20).groupBy("lang").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
 
 
 @query("g14_projection", "SELECT event_id, user_id AS profile_id, ts AS created_utc, event_type AS \"group\", value::BIGINT AS score FROM events WHERE value IS NOT NULL")
@@ -260,7 +257,7 @@ def f34(spark, d):
 
 @query("f35_chart_scale", "SELECT event_id, round_even(value * 1000, 0) / 10 AS scaled FROM events WHERE value IS NOT NULL")
 def f35(spark, d):
-    return read(spark, d, "events").filter("value IS NOT NULL").select("event_id", (F.bround(F.col("value") * 1000) / 10).alias("scaled"))
+    return read(spark, d, "events").filter("value IS NOT NULL").select("event_id", E.scaled_percent(F.col("value")).alias("scaled"))
 
 
 @query(
@@ -269,15 +266,13 @@ def f35(spark, d):
     WHERE previous_stage IS DISTINCT FROM event_type""",
 )
 def w07(spark, d):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    e = read(spark, d, "events").withColumn("previous_stage", F.lag("event_type").over(w))
-    return e.filter(~F.col("previous_stage").eqNullSafe(F.col("event_type"))).select("user_id", "event_id", F.col("event_type").alias("stage"), "previous_stage")
+    e = read(spark, d, "events").withColumnRenamed("event_type", "stage")
+    return A.changes(e, "user_id", "stage", "ts", "event_id").select("user_id", "event_id", "stage", "previous_stage")
 
 
 @query("t07_volume_limit", "SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 20")
 def t07(spark, d):
-    w = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))
-    return read(spark, d, "events").withColumn("r", F.row_number().over(w)).filter("r <= 20").select("user_id", "event_id")
+    return A.newest(read(spark, d, "events"), 20, F.desc("ts"), F.desc("event_id"), by="user_id").select("user_id", "event_id")
 
 
 @query("t08_head_of_text", "SELECT doc_id, substr(text, 1, 600) AS head FROM documents WHERE text IS NOT NULL")
@@ -295,13 +290,13 @@ def u01(spark, d):
 @query("u02_set_union", "SELECT user_id FROM events WHERE event_type = 'view' AND value > 90 UNION SELECT user_id FROM events WHERE event_type = 'click' AND value > 95")
 def u02(spark, d):
     e = read(spark, d, "events")
-    return e.filter("event_type = 'view' AND value > 90").select("user_id").unionByName(e.filter("event_type = 'click' AND value > 95").select("user_id")).distinct()
+    return A.either(e.filter("event_type = 'view' AND value > 90").select("user_id"), e.filter("event_type = 'click' AND value > 95").select("user_id"))
 
 
 @query("u05_set_difference", "SELECT p_brand FROM part EXCEPT SELECT p_brand FROM part WHERE p_size > 48")
 def u05(spark, d):
     p = read(spark, d, "part")
-    return p.select("p_brand").distinct().join(p.filter("p_size > 48").select("p_brand"), "p_brand", "left_anti")
+    return A.only_first(p.select("p_brand"), p.filter("p_size > 48").select("p_brand"))
 
 
 @query(
@@ -309,11 +304,10 @@ def u05(spark, d):
     "SELECT doc_id, len(list_intersect(string_split(lower(text), ' '), ['que','de','la','el','en','y','los','se','un','por'])) AS markers FROM documents WHERE text IS NOT NULL",
 )
 def u06(spark, d):
-    markers = F.array(*map(F.lit, T.SPANISH_MARKERS))
-    return read(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", F.size(F.array_intersect(F.split(F.lower("text"), " "), markers)).alias("markers"))
+    return read(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", A.markers_in(F.col("text"), T.SPANISH_MARKERS).alias("markers"))
 
 
 @query("u07_concat_dedupe", "SELECT DISTINCT n_nationkey AS id, n_name AS name FROM nation")
 def u07(spark, d):
     n = read(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"))
-    return n.unionByName(n.filter("id < 10")).dropDuplicates(["id"])
+    return A.first_of_each(n, n.filter("id < 10"), key="id")

@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracelens.operators import reference_etl as E
+from tracelens.operators import run_logs as L
+from tracelens.operators.shared import shared_path
 from tracelens.plans.registry import query, read
+from tracelens.sources import files
 
 
 @query("g09_label_segments", "SELECT p_partkey, string_split(p_name, ' ')[2] AS second FROM part WHERE len(string_split(p_name, ' ')) >= 2 AND starts_with(p_name, 's')")
 def g09(spark, d):
-    parts = F.split("p_name", " ")
+    parts = E.segments(F.col("p_name"))
     return read(spark, d, "part").filter((F.size(parts) >= 2) & F.startswith("p_name", F.lit("s"))).select("p_partkey", F.element_at(parts, 2).alias("second"))
 
 
@@ -34,9 +37,9 @@ def a27(spark, d):
 
 @query("a28_sum_by_category", "SELECT CASE WHEN contains(p_type, 'ARGE') THEN 'large' WHEN contains(p_type, 'SMA') THEN 'small' ELSE 'other' END AS category, sum(l_quantity)::DOUBLE AS quantity FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1")
 def a28(spark, d):
-    kind = F.when(F.contains("p_type", F.lit("ARGE")), "large").when(F.contains("p_type", F.lit("SMA")), "small").otherwise("other")
-    q = read(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.sum("l_quantity").alias("q"))
-    return q.join(read(spark, d, "part").select("p_partkey", kind.alias("category")), "p_partkey").groupBy("category").agg(F.sum("q").cast("double").alias("quantity"))
+    parts = read(spark, d, "part").select("p_partkey", E.category_of(F.col("p_type"), (("ARGE", "large"), ("SMA", "small")), "other").alias("category"))
+    lines = read(spark, d, "lineitem").select(F.col("l_partkey").alias("p_partkey"), F.col("l_quantity").alias("quantity"))
+    return E.sums_by_category(lines, parts, "p_partkey", "quantity").withColumn("quantity", F.col("quantity").cast("double"))
 
 
 @query("a29_residual_share", "WITH s AS (SELECT round(avg((o_orderstatus = 'F')::INT)::DOUBLE, 3) AS f, round(avg((o_orderstatus = 'O')::INT)::DOUBLE, 3) AS o FROM orders) SELECT f, o, round(1 - (f + o), 3) AS rest FROM s")
@@ -47,9 +50,8 @@ def a29(spark, d):
 
 @query("a30_rates_to_shares", "SELECT n_nationkey, round(a * (1 - u), 6) AS active, round(a * u, 6) AS unemployed, round((1 - a) * 0.57, 6) AS retired, round((1 - a) * 0.20, 6) AS students, round((1 - a) * 0.23, 6) AS others FROM (SELECT n_nationkey, 0.5::DOUBLE + n_nationkey / 100.0::DOUBLE AS a, 0.1::DOUBLE AS u FROM nation)")
 def a30(spark, d):
-    n = read(spark, d, "nation").select("n_nationkey", (F.lit(0.5) + F.col("n_nationkey") / 100.0).alias("a"), F.lit(0.1).alias("u"))
-    a, u = F.col("a"), F.col("u")
-    return n.select("n_nationkey", *[F.round(c, 6).alias(k) for k, c in (("active", a * (1 - u)), ("unemployed", a * u), ("retired", (1 - a) * 0.57), ("students", (1 - a) * 0.20), ("others", (1 - a) * 0.23))])
+    shares = E.activity_shares(F.lit(0.5) + F.col("n_nationkey") / 100.0, F.lit(0.1))
+    return read(spark, d, "nation").select("n_nationkey", *(F.round(c, 6).alias(k) for k, c in shares.items()))
 
 
 @query(
@@ -66,8 +68,7 @@ def a31(spark, d):
 @query("a32_control_total", "SELECT abs(sum(n) - (SELECT count(*) FROM part)) <= 0.02 * (SELECT count(*) FROM part) AS agrees FROM (SELECT p_brand, count(*) AS n FROM part GROUP BY 1)")
 def a32(spark, d):
     p = read(spark, d, "part")
-    s, t = p.groupBy("p_brand").agg(F.count("*").alias("n")).agg(F.sum("n").alias("s")), p.agg(F.count("*").alias("t"))
-    return s.crossJoin(t).select((F.abs(F.col("s") - F.col("t")) <= 0.02 * F.col("t")).alias("agrees"))
+    return p.groupBy("p_brand").agg(F.count("*").alias("n")).agg(E.agrees(p, "n", float(p.count())))
 
 
 @query(
@@ -77,62 +78,61 @@ def a32(spark, d):
 )
 def a33(spark, d):
     keys = ["event_type", F.hour("ts").alias("hour"), (F.col("user_id") % 2 == 0).alias("even"), (F.col("value") > 50).alias("high"), (F.col("user_id") % 3 == 0).alias("third")]
-    return read(spark, d, "events").groupBy(*keys).agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.median("value"), 6).alias("median"))
+    return L.stats(read(spark, d, "events"), keys, "value", ("n", "total", "mean", "median"))
 
 
 @query("a34_stage_stats", "SELECT event_type AS stage, count(*) AS n, round(avg(value), 6) AS mean, round(median(value), 6) AS median, max(value) AS most FROM events GROUP BY 1")
 def a34(spark, d):
-    return read(spark, d, "events").groupBy(F.col("event_type").alias("stage")).agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.median("value"), 6).alias("median"), F.max("value").alias("most"))
+    return L.stats(read(spark, d, "events"), [F.col("event_type").alias("stage")], "value", ("n", "mean", "median", "most"))
 
 
 @query("a35_platform_stats", "SELECT o_orderstatus AS platform, count(*) AS n, round(avg(o_totalprice)::DOUBLE, 4) AS mean, round(median(o_totalprice)::DOUBLE, 4) AS median FROM orders GROUP BY 1")
 def a35(spark, d):
     o = read(spark, d, "orders").withColumn("x", F.col("o_totalprice").cast("double"))
-    return o.groupBy(F.col("o_orderstatus").alias("platform")).agg(F.count("*").alias("n"), F.round(F.avg("x"), 4).alias("mean"), F.round(F.median("x"), 4).alias("median"))
+    return L.stats(o, [F.col("o_orderstatus").alias("platform")], "x", digits=4)
 
 
 @query("a36_correlation", "SELECT CASE WHEN count(DISTINCT l_quantity) > 1 THEN round(corr(l_quantity, l_extendedprice)::DOUBLE, 6) END AS r FROM lineitem")
 def a36(spark, d):
-    li = read(spark, d, "lineitem").select(F.col("l_quantity").cast("double").alias("x"), F.col("l_extendedprice").cast("double").alias("y"))
-    return li.agg(F.when(F.max("x") > F.min("x"), F.round(F.corr("x", "y"), 6)).alias("r"))
+    return L.correlation(read(spark, d, "lineitem"), "l_quantity", "l_extendedprice")
 
 
 @query("a37_distinct", "SELECT count(DISTINCT o_custkey) AS customers, count(DISTINCT o_orderpriority) AS priorities FROM orders")
 def a37(spark, d):
-    return read(spark, d, "orders").agg(F.count_distinct("o_custkey").alias("customers"), F.count_distinct("o_orderpriority").alias("priorities"))
+    return L.distinct(read(spark, d, "orders"), customers="o_custkey", priorities="o_orderpriority")
 
 
 @query("a38_stage_timer", "SELECT user_id AS run, event_type AS stage, round(sum(value), 6) AS seconds FROM events GROUP BY 1, 2")
 def a38(spark, d):
-    return read(spark, d, "events").groupBy(F.col("user_id").alias("run"), F.col("event_type").alias("stage")).agg(F.round(F.sum("value"), 6).alias("seconds"))
+    e = read(spark, d, "events")
+    return L.stats(e, [F.col("user_id").alias("run"), F.col("event_type").alias("stage")], "value", ("total",)).withColumnRenamed("total", "seconds")
 
 
 @query("a40_map_explode", "SELECT user_id AS run, event_type AS stage, round(max(value), 6) AS seconds FROM events WHERE value IS NOT NULL GROUP BY 1, 2")
 def a40(spark, d):
-    each = read(spark, d, "events").filter("value IS NOT NULL").groupBy("user_id", "event_type").agg(F.round(F.max("value"), 6).alias("s"))
-    runs = each.groupBy(F.col("user_id").alias("run")).agg(F.map_from_entries(F.collect_list(F.struct("event_type", "s"))).alias("m"))
-    return runs.select("run", F.explode("m").alias("stage", "seconds"))
+    steps = read(spark, d, "events").select(F.col("user_id").alias("run"), F.col("event_type").alias("stage"), F.round("value", 6).alias("seconds"))
+    return L.stages_of(L.stage_maps(steps))
 
 
 @query("a41_array_mean", "SELECT vec_id, round(list_avg([round(x, 3) FOR x IN embedding::DOUBLE[]]), 6) AS mean FROM embeddings")
 def a41(spark, d):
     v = F.transform("embedding", lambda x: F.round(x.cast("double"), 3))
-    return read(spark, d, "embeddings").select("vec_id", F.round(F.aggregate(v, F.lit(0.0), lambda s, x: s + x) / F.size(v), 6).alias("mean"))
+    return read(spark, d, "embeddings").select("vec_id", F.round(L.mean_of(v), 6).alias("mean"))
 
 
 @query("a43_labels_known", "SELECT DISTINCT p_brand AS label, p_brand IN ('Brand#1', 'Brand#2') AS known FROM part")
 def a43(spark, d):
-    return read(spark, d, "part").select(F.col("p_brand").alias("label"), F.col("p_brand").isin("Brand#1", "Brand#2").alias("known")).distinct()
+    return L.known_labels(read(spark, d, "part"), "p_brand", ("Brand#1", "Brand#2"))
 
 
 @query("a44_duplicate_series", "SELECT p_name AS name, count(*) AS n FROM part GROUP BY 1 HAVING count(*) > 1")
 def a44(spark, d):
-    return read(spark, d, "part").groupBy(F.col("p_name").alias("name")).agg(F.count("*").alias("n")).filter("n > 1")
+    return L.repeated(read(spark, d, "part"), "p_name")
 
 
 @query("j07_anti_join", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)")
 def j07(spark, d):
-    return read(spark, d, "documents").select("doc_id").join(read(spark, d, "labels").filter("toxic = 1").select("doc_id"), "doc_id", "left_anti")
+    return E.without(read(spark, d, "documents").select("doc_id"), read(spark, d, "labels").filter("toxic = 1"), "doc_id")
 
 
 @query("j08_left_lookup", "SELECT d.doc_id, l.quality, l.toxic FROM documents d LEFT JOIN labels l USING (doc_id)")
@@ -142,9 +142,7 @@ def j08(spark, d):
 
 @query("j11_semi_and_missing", "SELECT doc_id, EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = l.doc_id AND n_chars > 1000) AS found FROM labels l")
 def j11(spark, d):
-    have = read(spark, d, "documents").filter("n_chars > 1000").select("doc_id").distinct()
-    ids = read(spark, d, "labels").select("doc_id")
-    return ids.join(have, "doc_id", "left_semi").withColumn("found", F.lit(True)).unionByName(ids.join(have, "doc_id", "left_anti").withColumn("found", F.lit(False)))
+    return E.found_in(read(spark, d, "labels").select("doc_id"), read(spark, d, "documents").filter("n_chars > 1000"), "doc_id")
 
 
 DIFF_SQL = "a AS (SELECT c_nationkey AS k, count(*) AS v FROM customer GROUP BY 1), b AS (SELECT c_nationkey + 1 AS k, count(*) AS v FROM customer GROUP BY 1)"
@@ -166,8 +164,8 @@ def s20(spark, d):
 
 @query("j14_canonical_names", "SELECT n_nationkey, CASE n_name WHEN 'NATION_0' THEN 'cero' WHEN 'NATION_1' THEN 'uno' ELSE lower(n_name) END AS name FROM nation")
 def j14(spark, d):
-    m = spark.createDataFrame([("NATION_0", "cero"), ("NATION_1", "uno")], "n_name string, own string")
-    return read(spark, d, "nation").join(m, "n_name", "left").select("n_nationkey", F.coalesce("own", F.lower("n_name")).alias("name"))
+    names = spark.createDataFrame([("NATION_0", "cero"), ("NATION_1", "uno")], "n_name string, own string")
+    return E.canonical(read(spark, d, "nation"), "n_name", names).select("n_nationkey", "name")
 
 
 @query("f31_multi_label", r"SELECT p_partkey, unnest([x FOR x IN [CASE WHEN regexp_matches(p_name, 'bolt|gear') THEN 'metal' END, CASE WHEN regexp_matches(p_type, '^(LARGE|ECONOMY)') THEN 'size' END, CASE WHEN contains(p_name, 'red') THEN 'red' END] IF x IS NOT NULL]) AS label FROM part")
@@ -178,9 +176,7 @@ def f31(spark, d):
 
 @query("j15_category_map", "SELECT CASE WHEN o_orderpriority LIKE '1%' OR o_orderpriority LIKE '2%' THEN 'high' ELSE 'low' END AS category, count(*) AS n FROM orders GROUP BY 1")
 def j15(spark, d):
-    o = read(spark, d, "orders").groupBy("o_orderpriority").agg(F.count("*").alias("c"))
-    kind = F.when(F.col("o_orderpriority").rlike("^[12]"), "high").otherwise("low")
-    return o.groupBy(kind.alias("category")).agg(F.sum("c").alias("n"))
+    return E.counts_by_category(read(spark, d, "orders"), "o_orderpriority", E.category_of(F.col("o_orderpriority"), (("^[12]", "high"),), "low"))
 
 
 @query("w08_latest_non_null", "SELECT event_id, coalesce(CASE WHEN value > 80 THEN value END, CASE WHEN value > 40 THEN value / 2 END, -1)::DOUBLE AS v FROM events")
@@ -196,4 +192,8 @@ def t10(spark, d):
 
 @query("s18_report_json", "SELECT c_custkey, md5('{\"c_custkey\":' || c_custkey || ',\"c_name\":\"' || c_name || '\"}') AS json_md5 FROM customer")
 def s18(spark, d):
-    return read(spark, d, "customer").select("c_custkey", F.md5(F.to_json(F.struct("c_custkey", "c_name"))).alias("json_md5"))
+    """Reports as a JSON line each, read back as they stand there."""
+    path = shared_path(spark, "reports")
+    files.write_reports(read(spark, d, "customer").select("c_custkey", "c_name"), path)
+    lines = spark.read.text(path)
+    return lines.select(F.get_json_object("value", "$.c_custkey").cast("long").alias("c_custkey"), F.md5("value").alias("json_md5"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tracelens.functions import text as T
 from tracelens.operators import activity as A
 from tracelens.operators import findings as O
+from tracelens.operators import reference_etl as E
 from tracelens.plans import narrowing
 from tracelens.plans.registry import query, read
 
@@ -17,11 +18,8 @@ from tracelens.plans.registry import query, read
     (SELECT l_orderkey, l_linenumber, max(l_discount) AS l_discount FROM lineitem GROUP BY 1, 2)""",
 )
 def a12p(spark, d):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     lines = read(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_discount").alias("x"))
-    return lines.select("l_orderkey", "l_linenumber", F.round(F.product(1 - F.col("x").cast("double")).over(w), 9).alias("kept"))
+    return lines.select("l_orderkey", "l_linenumber", F.round(narrowing.running(1 - F.col("x").cast("double"), "l_orderkey", "l_linenumber"), 9).alias("kept"))
 
 
 @query("f21_risk_bands", "SELECT c_custkey, CASE WHEN c_acctbal >= 100000 THEN 'bajo' WHEN c_acctbal >= 1000 THEN 'medio' WHEN c_acctbal >= 20 THEN 'alto' ELSE 'critico' END AS risk FROM customer WHERE c_acctbal IS NOT NULL")
@@ -31,29 +29,27 @@ def f21(spark, d):
 
 @query("f25_age_band", "SELECT p_partkey, CASE WHEN p_size + 40 >= 85 THEN '85+' ELSE (p_size + 40) // 5 * 5 || '-' || ((p_size + 40) // 5 * 5 + 4) END AS band FROM part")
 def f25(spark, d):
-    a = F.col("p_size") + 40
-    low = (F.floor(a / 5) * 5).cast("int")
-    return read(spark, d, "part").select("p_partkey", F.when(a >= 85, "85+").otherwise(F.concat_ws("-", low, low + 4)).alias("band"))
+    return read(spark, d, "part").select("p_partkey", E.age_band(F.col("p_size") + 40).alias("band"))
 
 
 @query("a25_band_to_years", "WITH b AS (SELECT n_nationkey * 5 AS lo, n_nationkey * 5 + 4 AS hi, (1 + n_nationkey) / 100.0 AS p FROM nation) SELECT unnest(range(lo, hi + 1))::INT AS age, round(p / 5, 8)::DOUBLE AS p FROM b")
 def a25(spark, d):
-    b = read(spark, d, "nation").select((F.col("n_nationkey") * 5).cast("int").alias("lo"), ((1 + F.col("n_nationkey")) / 100).alias("p"))
-    return b.select(F.explode(F.sequence("lo", F.col("lo") + 4)).alias("age"), F.round(F.col("p") / 5, 8).alias("p"))
+    b = read(spark, d, "nation").select((F.col("n_nationkey") * 5).cast("int").alias("lo"), ((1 + F.col("n_nationkey")) / 100).alias("share"))
+    return E.years_of(b, "lo", "share").withColumn("p", F.round("p", 8))
 
 
 @query("a24_community_population", "SELECT r_name AS community, count(*) AS provinces, sum(c)::BIGINT AS population FROM region JOIN nation ON r_regionkey = n_regionkey JOIN (SELECT c_nationkey, count(*) AS c FROM customer GROUP BY 1) ON c_nationkey = n_nationkey GROUP BY 1")
 def a24(spark, d):
     n = read(spark, d, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count("*").alias("c"))
     by = read(spark, d, "nation").join(n, "n_nationkey").join(read(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    return by.groupBy(F.col("r_name").alias("community")).agg(F.count("*").alias("provinces"), F.sum("c").alias("population"))
+    return E.populations_of(by, "r_name", "c").withColumnsRenamed({"r_name": "community", "parts": "provinces"})
 
 
 @query("j16_hierarchy_inverted", "SELECT n_name AS province, r_name AS community FROM nation JOIN region ON n_regionkey = r_regionkey")
 def j16(spark, d):
     n = read(spark, d, "nation").groupBy("n_regionkey").agg(F.collect_list("n_name").alias("provinces"))
     r = read(spark, d, "region").join(n, F.col("r_regionkey") == F.col("n_regionkey"))
-    return r.select(F.explode("provinces").alias("province"), F.col("r_name").alias("community"))
+    return E.inverted(r, "r_name", "provinces", "province").withColumnRenamed("r_name", "community")
 
 
 @query("j01_share_lookup", "WITH s AS (SELECT c_mktsegment AS segment, count(*)::DOUBLE / (SELECT count(*) FROM customer) AS share FROM customer WHERE c_mktsegment <> 'BUILDING' GROUP BY 1) SELECT c_custkey, round(share, 9) AS share FROM customer LEFT JOIN s ON segment = c_mktsegment")
@@ -61,7 +57,7 @@ def j01(spark, d):
     c = read(spark, d, "customer")
     n = c.count()
     s = c.filter("c_mktsegment <> 'BUILDING'").groupBy("c_mktsegment").agg((F.count("*") / n).alias("share"))
-    return c.join(s, "c_mktsegment", "left").select("c_custkey", F.round("share", 9).alias("share"))
+    return E.share_of(c, "c_mktsegment", s).select("c_custkey", F.round("share", 9).alias("share"))
 
 
 @query(
