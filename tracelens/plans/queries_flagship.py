@@ -9,6 +9,7 @@ from tracelens.functions import text as T
 from tracelens.operators import activity as A
 from tracelens.operators import answers, geo, photos
 from tracelens.operators import findings as O
+from tracelens.operators import prompts as PR
 from tracelens.operators import reference_etl as E
 from tracelens.plans import narrowing
 from tracelens.plans.queries_persons import tag_attributes
@@ -457,3 +458,64 @@ def s13(spark, d):
 def g08(spark, d):
     s = E.long_series(series_of(spark, d)).filter("variables['Sexo'] = 'Total' AND size(variables) = 2")
     return E.latest(s.withColumn("province", F.col("variables")["Provincias"]), "province", "value", "fecha")
+
+
+# ---- models and pages
+
+
+@query(
+    "f30_prompts",
+    f"""WITH {POSTS_SQL}, s AS (SELECT profile_id, seq, '[' || permalink || '] ' || substr(trim(text, chr(32) || chr(9) || chr(10) || chr(13) || chr(11) || chr(12)), 1, 600) AS l FROM posts WHERE trim(text, chr(32) || chr(9) || chr(10) || chr(13) || chr(11) || chr(12)) <> ''),
+    t AS (SELECT profile_id, string_agg(l, chr(10) ORDER BY seq) AS said FROM (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY profile_id ORDER BY seq) <= 500) GROUP BY 1), c AS (SELECT 'p' || c_custkey AS profile_id, c_name, CASE WHEN c_custkey % 3 > 0 THEN c_mktsegment END AS full_name, CASE WHEN c_custkey % 4 = 0 THEN ' soy ' || c_nationkey ELSE '' END AS bio FROM customer)
+    SELECT profile_id, md5('Nombre de usuario/handle: ' || c_name || coalesce(chr(10) || 'Nombre público mostrado por la cuenta: ' || full_name, '') || CASE WHEN bio <> '' THEN chr(10) || 'Biografía: ' || trim(bio) ELSE '' END || coalesce(chr(10) || chr(10) || 'Publicaciones:' || chr(10) || said, '')) AS prompt FROM c LEFT JOIN t USING (profile_id)""",
+)
+def f30(spark, d):
+    k = F.col("c_custkey")
+    profiles = read(spark, d, "customer").select(F.concat(F.lit("p"), k).alias("profile_id"), F.col("c_name").alias("username"), F.when(k % 3 > 0, F.col("c_mktsegment")).alias("full_name"), F.when(k % 4 == 0, F.concat(F.lit(" soy "), "c_nationkey")).otherwise("").alias("bio"))
+    return PR.prompts(profiles, posts_of(spark, d)).select("profile_id", F.md5("prompt").alias("prompt"))
+
+
+@query(
+    "d09_summaries",
+    """SELECT c_custkey AS profile_id, CASE WHEN c_custkey % 11 = 0 OR c_custkey % 7 = 0 THEN '' ELSE c_mktsegment END AS verdict,
+    CASE WHEN c_custkey % 11 = 0 OR c_custkey % 5 = 0 THEN '' ELSE c_name || '|n' || c_nationkey END AS conclusions FROM customer""",
+)
+def d09(spark, d):
+    """Answers a customer: every 11th isn't JSON, every 7th has a number for its verdict, every 5th no list; lists hold blanks, numbers and nulls."""
+    k = F.col("c_custkey")
+    verdict = F.when(k % 7 == 0, "17").otherwise(F.concat(F.lit('" '), "c_mktsegment", F.lit(' "')))
+    listed = F.when(k % 5 == 0, '"none"').otherwise(F.concat(F.lit('["'), "c_name", F.lit(' ", 5, "  ", null, {"a": 1}, "n'), "c_nationkey", F.lit('"]')))
+    body = F.when(k % 11 == 0, "no answer").otherwise(F.concat(F.lit('{"veredicto": '), verdict, F.lit(', "conclusiones": '), listed, F.lit("}")))
+    return PR.summaries(read(spark, d, "customer").select(k.alias("profile_id"), body.alias("json"))).select("profile_id", "verdict", F.array_join("conclusions", "|").alias("conclusions"))
+
+
+@query("d13_answer_language", "SELECT doc_id, CASE WHEN lang IN ('es', 'en') THEN lang ELSE 'es' END AS lang FROM documents")
+def d13(spark, d):
+    return read(spark, d, "documents").select("doc_id", PR.language_of(F.col("lang")).alias("lang"))
+
+
+@query("g17_answers_in_time", "SELECT vec_id AS photo, CASE WHEN vec_id % 3 = 0 THEN 'h' || label END AS hobby, NULL::VARCHAR AS never FROM embeddings")
+def g17(spark, d):
+    """Two models, one that answers for every third photo and one that is switched off."""
+    e = read(spark, d, "embeddings").select(F.col("vec_id").alias("photo"), "label")
+    said = e.filter("photo % 3 = 0").select("photo", F.concat(F.lit("h"), "label").alias("hobby"))
+    out = PR.with_answers(e.select("photo"), said)
+    return PR.with_answers(out, said.withColumnRenamed("hobby", "never"), enabled=False)
+
+
+@query("p04_badges", f"WITH {NARROW_SQL} SELECT profile_id, category, CASE WHEN reduction_percent IS NULL THEN '' ELSE '-' || reduction_percent || '%' END || CASE WHEN step_no % 2 = 0 THEN CASE WHEN reduction_percent IS NULL THEN '' ELSE ' ' END || '~' || floor(step_no / 16.0 * 100 + 0.5)::INT || '%' ELSE '' END AS badges FROM n")
+def p04(spark, d):
+    """Badges of the steps of narrowing; every second has a confidence."""
+    n = narrowing.narrowed(O.declared(posts_of(spark, d)))
+    confidence = F.when(F.col("step_no") % 2 == 0, F.col("step_no") / 16)
+    return n.select("profile_id", "category", F.array_join(PR.badges(F.col("reduction_percent"), confidence), " ").alias("badges"))
+
+
+@query(
+    "p05_map_message",
+    """SELECT o_custkey AS profile_id, CASE WHEN o_custkey % 3 = 0 THEN 'redditNoPhotos' WHEN o_custkey % 7 = 0 THEN 'indexUnavailable' WHEN count(*) FILTER (o_orderstatus <> 'F') = 0 THEN 'noPhotos' WHEN count(*) FILTER (o_orderstatus = 'P') = 0 THEN 'noRepresentative' END AS message FROM orders GROUP BY 1""",
+)
+def p05(spark, d):
+    o = read(spark, d, "orders").groupBy(F.col("o_custkey").alias("profile_id")).agg(F.count_if(F.col("o_orderstatus") != "F").alias("points"), F.count_if(F.col("o_orderstatus") == "P").alias("good"))
+    k = F.col("profile_id")
+    return o.select("profile_id", PR.map_message(F.when(k % 3 == 0, "reddit").otherwise("instagram"), k % 7 != 0, F.col("points"), F.col("good")).alias("message"))

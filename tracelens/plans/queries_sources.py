@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracelens.operators import geo, labels
+from tracelens.operators import geo, labels, prompts
 from tracelens.operators.progress import Progress
 from tracelens.operators.shared import shared_path
 from tracelens.plans.registry import Fixture, query, read
@@ -269,3 +269,11 @@ def j12(spark, d):
 @query("t11_shards", "SELECT printf('%06d', k) AS id FROM (SELECT unnest(range((SELECT (count(*) + 39) // 40 FROM documents))) AS k) WHERE k < 3")
 def t11(spark, d):
     return files.shard_list(files.present_files(spark, f"{shards_of(spark, d)}/*.zip"), 3)
+
+
+@query("g16_available", "SELECT count(*) > 40 AS two_shards, false AS four_digits FROM documents")
+def g16(spark, d):
+    """Whether the files that a step needs are there."""
+    there = files.present_files(spark, f"{shards_of(spark, d)}/*.zip")
+    two = prompts.available(there, ("000000", "000001")).withColumnRenamed("available", "two_shards")
+    return two.withColumn("four_digits", F.lit(prompts.available(there, ("000000", "0001")).first()[0]))
