@@ -351,7 +351,7 @@ def removed_spans(docs: DataFrame) -> DataFrame:
                 ok = split | passing(bits.value, key)  # parts of hot grams were not counted
                 for x, a, m in zip(key[ok].view(np.int64).tolist(), first[ok].tolist(), many[ok].tolist(), strict=True):
                     stretch = t[a : a + m + LENGTH - 1]
-                    name = hashlib.md5(stretch, usedforsecurity=False).digest()
+                    name = hashlib.blake2b(stretch, digest_size=20).digest()  # nobody can make two stretches of one name
                     at = (i, k, a)
                     known = best.get(name)
                     if known is None or at < known:
