@@ -67,6 +67,31 @@ def discard(spark: SparkSession, since: int = 0) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def dropped(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete stored tables that nothing rests on any more."""
+    for folder in {f.rsplit("/", 1)[0] for t in tables for f in t.inputFiles()}:
+        known = [p for p in _written if p.rstrip("/").endswith(folder.rsplit("/", 1)[-1])]
+        for p in known:  # only what this process has stored
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            _written.remove(p)
+
+
+@contextlib.contextmanager
+def tidy(spark: SparkSession):
+    """Within, the shuffle files of a job are removed when it has ended, as what it made is stored. The setting is restored."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 @contextlib.contextmanager
 def scratch(spark: SparkSession):
     """Tables stored within are deleted at its end; what rests on them must be written before."""
