@@ -22,6 +22,18 @@ def test_sums_before_each_row(spark):
     assert shared.with_prefix(df.limit(0), ["k"]).count() == 0
 
 
+def test_stored_tables_go_with_their_scratch(spark):
+    import os
+
+    with shared.scratch(spark):
+        kept = shared.stored(spark.range(5), "kept")
+        with shared.scratch(spark):
+            gone = shared.stored(spark.range(7), "gone")
+            assert gone.count() == 7
+            path = gone.inputFiles()[0].removeprefix("file:").replace("///", "/").rsplit("/", 1)[0]
+        assert not os.path.exists(path) and kept.count() == 5
+
+
 @pytest.fixture(scope="module")
 def zips(spark, tmp_path_factory):
     """Ten shards of ten items of 100 bytes; item 5 stands in two of them."""

@@ -42,11 +42,12 @@ LANGUAGE_BY_COMMUNITY = {
 }
 ORIENTATION = {"heterosexual": 0.914, "gay": 0.022, "lesbiana": 0.015, "bisexual": 0.017, "pansexual": 0.002, "asexual": 0.002, "homosexual": 0.028}
 RELIGION = {"judaismo": 0.001, "islam": 0.022, "catolicismo": 0.63, "cristianismo": 0.67, "budismo": 0.005, "hinduismo": 0.003, "ateismo": 0.18, "agnosticismo": 0.08}
-ZODIAC_SIGNS = ("aries", "tauro", "geminis", "cancer", "leo", "virgo", "libra", "escorpio", "sagitario", "capricornio", "acuario", "piscis")
-ZODIAC_RANGES = (
-    "21 mar - 19 abr", "20 abr - 20 may", "21 may - 20 jun", "21 jun - 22 jul", "23 jul - 22 ago", "23 ago - 22 sep",
-    "23 sep - 22 oct", "23 oct - 21 nov", "22 nov - 21 dic", "22 dic - 19 ene", "20 ene - 18 feb", "19 feb - 20 mar",
+#: Symbol, sign, days.
+ZODIAC = (
+    ("♈", "aries", "21 mar - 19 abr"), ("♉", "tauro", "20 abr - 20 may"), ("♊", "geminis", "21 may - 20 jun"), ("♋", "cancer", "21 jun - 22 jul"), ("♌", "leo", "23 jul - 22 ago"), ("♍", "virgo", "23 ago - 22 sep"),
+    ("♎", "libra", "23 sep - 22 oct"), ("♏", "escorpio", "23 oct - 21 nov"), ("♐", "sagitario", "22 nov - 21 dic"), ("♑", "capricornio", "22 dic - 19 ene"), ("♒", "acuario", "20 ene - 18 feb"), ("♓", "piscis", "19 feb - 20 mar"),
 )
+# People by province and municipality.
 PROVINCES = {
     "madrid": 7_113_886, "barcelona": 5_959_941, "valencia": 2_763_996, "sevilla": 1_977_664, "alicante": 2_033_566, "malaga": 1_791_183,
     "murcia": 1_586_989, "cadiz": 1_261_420, "vizcaya": 1_167_233, "a coruna": 1_135_623, "baleares": 1_249_844, "las palmas": 1_171_547,
@@ -64,7 +65,7 @@ MUNICIPALITIES = {
     "burgos": 174_000, "santander": 172_000, "vitoria": 253_000, "gijon": 267_000, "oviedo": 220_000, "pamplona": 205_000,
     "santiago de compostela": 98_000, "logrono": 152_000, "caceres": 96_000, "segovia": 51_000, "soria": 39_000, "teruel": 35_000,
 }
-#: community -> (name to show, provinces)
+# Community -> (name to show, provinces).
 COMMUNITIES = {
     "andalucia": ("Andalucía", ["sevilla", "cadiz", "malaga", "granada", "cordoba", "jaen", "almeria", "huelva"]),
     "aragon": ("Aragón", ["zaragoza", "huesca", "teruel"]),
@@ -86,6 +87,7 @@ COMMUNITIES = {
     "ceuta": ("Ceuta", ["ceuta"]),
     "melilla": ("Melilla", ["melilla"]),
 }
+# Names of communities in use.
 ALIASES = {
     "andalucia": "andalucia", "andalusia": "andalucia", "aragon": "aragon", "asturias": "asturias", "principado de asturias": "asturias",
     "baleares": "baleares", "islas baleares": "baleares", "illes balears": "baleares", "balearic islands": "baleares",
@@ -101,7 +103,7 @@ ALIASES = {
     "pais vasco": "pais vasco", "euskadi": "pais vasco", "basque country": "pais vasco", "la rioja": "la rioja", "rioja": "la rioja",
     "ceuta": "ceuta", "melilla": "melilla",
 }
-#: table -> (day of its last check, days after which it is stale)
+# Table -> (day of its last check, days after which it is stale).
 VERIFIED = {
     "TOTAL_POPULATION_ES": ("2025-01-01", 400), "SEX_DISTRIBUTION": ("2025-01-01", 400), "MARITAL_STATUS_DISTRIBUTION": ("2026-08-11", 2190),
     "MARITAL_STATUS_BY_SEX": ("2026-08-11", 2190), "AGE_DISTRIBUTION_5Y": ("2025-01-01", 400), "PROVINCE_POPULATION": ("2026-08-11", 400),
@@ -111,7 +113,7 @@ VERIFIED = {
 DEFAULT_STALE_DAYS = 400
 
 SPECIAL_CATEGORIES = ("orientacion_sexual", "religion")
-#: The chained steps in their order, then those that are only listed.
+# The chained steps in their order, then those that are only listed.
 STEPS = (
     "sexo", "edad", "ubicacion", "estudios", "ocupacion", "nacionalidad", "situacion_laboral", "tipo_hogar", "lengua_materna",
     "orientacion_sexual", "religion", "signo_zodiacal", "estado_civil", "universidad", "empresa",
@@ -119,7 +121,7 @@ STEPS = (
 
 SINGLE = {
     "sexo": SEX, "estudios": STUDIES, "ocupacion": OCCUPATIONS, "nacionalidad": NATIONALITY, "situacion_laboral": EMPLOYMENT, "tipo_hogar": HOUSEHOLD,
-    "estado_civil": MARITAL, "edad_rango": AGE_BANDS, "orientacion_sexual": ORIENTATION, "religion": RELIGION, "signo_zodiacal": dict.fromkeys(ZODIAC_SIGNS, 1 / 12),
+    "estado_civil": MARITAL, "edad_rango": AGE_BANDS, "orientacion_sexual": ORIENTATION, "religion": RELIGION, "signo_zodiacal": {sign: 1 / 12 for _, sign, _ in ZODIAC},
 }
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tracelens.functions.reference import ZODIAC_RANGES, ZODIAC_SIGNS
+from tracelens.functions.reference import ZODIAC
 
 _ACCENTED, _BARE = "áàâäãåéèêëíìîïóòôöõúùûüñçýÿ", "aaaaaaeeeeiiiiooooouuuuncyy"
 
@@ -89,8 +89,12 @@ ORIENTATION = r"(?iu)\b(?:hetero(?:\s*-?\s*sex(?:ual|uial|uel))?|gay|lesbiana|pa
 ORIENTATION_KEYS = (("hetero", "heterosexual"), ("gay", "gay"), ("lesbiana", "lesbiana"), ("bisexual", "bisexual"), ("pansexual", "pansexual"), ("asexual", "asexual"), ("homosexual", "homosexual"))
 ZODIAC_WORD = r"\b(aries|tauro|geminis|cancer|leo|virgo|libra|escorpio|sagitario|capricornio|acuario|piscis)\b"
 RELIGION_SYMBOLS = (("✡", "judaismo"), ("🔯", "judaismo"), ("☪", "islam"), ("✝", "cristianismo"), ("☦", "cristianismo"), ("☸", "budismo"), ("🕉", "hinduismo"), ("ॐ", "hinduismo"), ("📿", "catolicismo"), ("🕊", "cristianismo"))
-RELIGION_WORD = r"\b(judi[oa]|musulman|musulmana|catolic[oa]|cristian[oa]|budista|hinduista|ate[oa]|agnostic[oa]|islam|judaismo)\b"
-RELIGION_KEYS = (("judi", "judaismo"), ("judaismo", "judaismo"), ("musulman", "islam"), ("islam", "islam"), ("catolic", "catolicismo"), ("cristian", "cristianismo"), ("budista", "budismo"), ("hinduista", "hinduismo"), ("ate", "ateismo"), ("agnostic", "agnosticismo"))
+#: The accepted words and what they stand for.
+RELIGION_WORDS = (
+    ("judio", "judaismo"), ("judia", "judaismo"), ("musulman", "islam"), ("musulmana", "islam"), ("catolico", "catolicismo"), ("catolica", "catolicismo"), ("cristiano", "cristianismo"), ("cristiana", "cristianismo"),
+    ("budista", "budismo"), ("hinduista", "hinduismo"), ("ateo", "ateismo"), ("atea", "ateismo"), ("agnostico", "agnosticismo"), ("agnostica", "agnosticismo"), ("islam", "islam"), ("judaismo", "judaismo"),
+)
+RELIGION_WORD = rf"\b({'|'.join(w for w, _ in RELIGION_WORDS)})\b"
 TRAVEL = r"(?iu)\b(de viaje|de vacaciones|de vacas|de escapada|de paso por|unos d[ií]as en|unas semanas en|turisteando|haciendo turismo|de turismo por|visitando)\b"
 ROUTINE = r"(?i)\b(turno de noche|madrugo|salgo del trabajo|entro a las|termino a las|night shift|wfh|trabajo desde casa)\b"
 SPANISH_MARKERS = ("que", "de", "la", "el", "en", "y", "los", "se", "un", "por")
@@ -100,13 +104,12 @@ EMOJI = "[\U0001f300-\U0001faff☀-➿]"
 def zodiac(text: Column) -> Column:
     """Sign and days: a symbol first, in the signs' order, else the first sign that is named."""
     out = None
-    for k, (sign, days) in enumerate(zip(ZODIAC_SIGNS, ZODIAC_RANGES, strict=True)):
-        hit, value = F.contains(text, F.lit(chr(0x2648 + k))), f"{sign} ({days})"
+    for symbol, sign, days in ZODIAC:
+        hit, value = F.contains(text, F.lit(symbol)), f"{sign} ({days})"
         out = F.when(hit, value) if out is None else out.when(hit, value)
 
     def named(word: Column) -> Column:
-        days_of = F.create_map(*[F.lit(x) for sign, days in zip(ZODIAC_SIGNS, ZODIAC_RANGES, strict=True) for x in (sign, f"{sign} ({days})")])
-        return F.try_element_at(days_of, word)
+        return F.try_element_at(F.create_map(*[F.lit(x) for _, sign, days in ZODIAC for x in (sign, f"{sign} ({days})")]), word)
 
     return F.coalesce(out, let(captured(plain(text), ZODIAC_WORD), named))
 
@@ -119,11 +122,7 @@ def religion(text: Column) -> Column:
         out = F.when(hit, value) if out is None else out.when(hit, value)
 
     def named(word: Column) -> Column:
-        said = None
-        for key, value in RELIGION_KEYS:
-            hit = F.startswith(word, F.lit(key))
-            said = F.when(hit, value) if said is None else said.when(hit, value)
-        return said
+        return F.try_element_at(F.create_map(*[F.lit(x) for pair in RELIGION_WORDS for x in pair]), word)
 
     return F.coalesce(out, let(captured(plain(text), RELIGION_WORD), named))
 

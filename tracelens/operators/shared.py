@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -16,8 +17,25 @@ def shared_dir(spark: SparkSession) -> str:
     return named or "/tmp/checkpoints"
 
 
+_written: list[str] = []
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tracelens-{name}-{uuid.uuid4().hex}"
+    """A new place in that folder; what stands there stays until the end of scratch()."""
+    path = f"{shared_dir(spark)}/tracelens-{name}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """What is stored within is deleted at its end; what rests on it must be written before."""
+    since = len(_written)
+    try:
+        yield
+    finally:
+        while len(_written) > since:
+            discard(spark, _written.pop())
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

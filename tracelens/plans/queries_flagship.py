@@ -73,10 +73,9 @@ def plain_sql(x: str) -> str:
 POSTS_SQL = f"""posts AS (SELECT 'p' || doc_id % {PROFILES} AS profile_id, doc_id AS seq, 'd' || doc_id AS permalink, coalesce(text, '') || ' ' || phrase AS text, tags, lang AS "group", 1735689600 + doc_id * 5400 AS moment
 FROM documents JOIN {SAID.sql('s')} ON n = doc_id * 7 % {len(SAID.rows)})"""
 AGE_SQL = f"try_cast(coalesce({captured_sql('text', T.AGE, 1)}, {captured_sql('text', T.AGE, 2)}) AS INT)"
-SIGNS = dict(zip(R.ZODIAC_SIGNS, R.ZODIAC_RANGES, strict=True))
 ZODIAC_SQL = (
-    "coalesce(CASE " + " ".join(f"WHEN contains(text, '{chr(0x2648 + k)}') THEN '{s} ({r})'" for k, (s, r) in enumerate(SIGNS.items())) + " END, "
-    + mapped_sql(captured_sql("plain", T.ZODIAC_WORD), {s: f"{s} ({r})" for s, r in SIGNS.items()}) + ")"
+    "coalesce(CASE " + " ".join(f"WHEN contains(text, '{symbol}') THEN '{sign} ({days})'" for symbol, sign, days in R.ZODIAC) + " END, "
+    + mapped_sql(captured_sql("plain", T.ZODIAC_WORD), {sign: f"{sign} ({days})" for _, sign, days in R.ZODIAC}) + ")"
 )
 SINGLE_PROVINCE = {c: ps[0] for c, (_, ps) in R.COMMUNITIES.items() if len(ps) == 1}
 DETECTORS = {
@@ -220,7 +219,7 @@ def f07(spark, d):
 
 
 WORD = captured_sql("plain", T.RELIGION_WORD)
-RELIGION_SQL = "coalesce(CASE " + " ".join(f"WHEN contains(text, '{s}') THEN '{v}'" for s, v in T.RELIGION_SYMBOLS) + " END, CASE " + " ".join(f"WHEN starts_with({WORD}, '{k}') THEN '{v}'" for k, v in T.RELIGION_KEYS) + " END)"
+RELIGION_SQL = "coalesce(CASE " + " ".join(f"WHEN contains(text, '{s}') THEN '{v}'" for s, v in T.RELIGION_SYMBOLS) + " END, " + mapped_sql(WORD, dict(T.RELIGION_WORDS)) + ")"
 ORIENTATION_SQL = "CASE " + " ".join(f"WHEN contains(o, '{k}') THEN '{v}'" for k, v in T.ORIENTATION_KEYS) + " END"
 
 
