@@ -532,7 +532,7 @@ def test_pipeline(spark, tmp_path, clean):
 
 
 def test_all_numbered_queries_are_there():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
 
 
 def test_leaks_do_not_depend_on_other_copies(spark):
