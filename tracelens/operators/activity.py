@@ -13,6 +13,8 @@ PLACE_EXACT = ("es", "askspain")
 WORK_TAGS = ("programming", "developer", "dev", "nurse", "enfermeria", "teacher", "docente", "legaladvice", "abogad", "accounting", "medlab", "medicina", "ingenieria", "arquitect")
 WORK_EXACT = ("cscareerquestions", "developerspain", "medlabprofessionals", "teachers", "nursing", "legaladvice", "accounting")
 EVIDENCE = 5
+#: Bytes that a term takes in a broadcast, and the most bytes of one.
+TERM_BYTES, BROADCAST_BYTES = 96, 32 << 20
 
 
 def hour_shares(posts: DataFrame) -> DataFrame:
@@ -98,14 +100,14 @@ def emoji_rate(posts: DataFrame, pattern: str) -> DataFrame:
     return posts.groupBy("profile_id").agg((F.sum(F.regexp_count("text", F.lit(pattern))) / F.greatest(F.sum(F.length("text")), F.lit(1))).alias("emoji_rate"))
 
 
-def ngrams(posts: DataFrame, stop: tuple[str, ...] = ()) -> DataFrame:
-    """profile_id, seq, term, tf: words of two letters or more, and pairs of them, of each post."""
+def terms(posts: DataFrame, stop: tuple[str, ...] = ()) -> DataFrame:
+    """profile_id, seq, term: words of two letters or more, and pairs of them, of each post, as often as they stand there."""
     w = F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}_]{2,})"), F.lit(1))
     if stop:
         w = F.filter(w, lambda x: ~x.isin(*stop))
     words = posts.select("profile_id", "seq", w.alias("w"))
     pairs = F.when(F.size("w") > 1, F.zip_with(F.slice("w", 1, F.size("w") - 1), F.slice("w", 2, F.size("w") - 1), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>"))
-    return words.select("profile_id", "seq", F.explode(F.concat("w", pairs)).alias("term")).groupBy("profile_id", "seq", "term").agg(F.count("*").alias("tf"))
+    return words.select("profile_id", "seq", F.explode(F.concat("w", pairs)).alias("term"))
 
 
 def keywords(posts: DataFrame, features: int = 500, top: int = 20, shortest: int = 20, least_posts: int = 3, stop: tuple[str, ...] = ()) -> DataFrame:
@@ -116,11 +118,14 @@ def keywords(posts: DataFrame, features: int = 500, top: int = 20, shortest: int
     """
     long = posts.filter(F.length("text") > shortest)
     enough = long.groupBy("profile_id").agg(F.count("*").alias("docs")).filter(F.col("docs") >= least_posts)
-    # counted once, read three times
-    tf = stored(ngrams(long.join(enough.select("profile_id"), "profile_id", "left_semi"), stop), "keyword-terms")
-    terms = tf.groupBy("profile_id", "term").agg(F.sum("tf").alias("n"), F.count("*").alias("df"))
+    every = terms(long.join(enough.select("profile_id"), "profile_id", "left_semi"), stop)
+    # the frequent terms of each profile first: only these are counted by post
     w = Window.partitionBy("profile_id").orderBy(F.desc("n"), "term")
-    kept = terms.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= features).join(enough, "profile_id")
+    frequent = every.groupBy("profile_id", "term").agg(F.count("*").alias("n")).withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= features)
+    frequent = stored(frequent.select("profile_id", "term"), "keyword-terms")
+    few = F.broadcast(frequent) if frequent.count() * TERM_BYTES <= BROADCAST_BYTES else frequent
+    tf = stored(every.join(few, ["profile_id", "term"]).groupBy("profile_id", "seq", "term").agg(F.count("*").alias("tf")), "keyword-counts")
+    kept = tf.groupBy("profile_id", "term").agg(F.count("*").alias("df")).join(enough, "profile_id")
     kept = kept.select("profile_id", "term", (F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1).alias("idf"))
     weighted = tf.join(kept, ["profile_id", "term"]).withColumn("x", F.col("tf") * F.col("idf"))
     norm = weighted.groupBy("profile_id", "seq").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
