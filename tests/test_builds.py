@@ -161,7 +161,7 @@ def test_labels_in_two_languages(spark):
         (4, "edad", None, None, "Edad", None, "x"), (5, "ubicacion", None, "León", "Lugar", "n1", None), (6, "sexo", None, "{{value}}", "?", None, None),
     ]
     df = spark.createDataFrame(steps, "n int, category string, location_level string, value_raw string, attribute_label string, note_code string, note string")
-    out = labels.labelled(df, spark.createDataFrame(t, "lang string, key string, text string"), spark.createDataFrame([("es",), ("en",), ("en",)], "lang string"))
+    out = labels.labelled(df, spark.createDataFrame(t, "lang string, key string, text string"), ["es", "en", "en"])
     got = {(r["n"], r["lang"]): (r["label"], r["shown_note"]) for r in out.collect()}
     assert len(got) == out.count() == 12
     assert got[1, "es"] == ("Tiene 30 años", "estimado") and got[1, "en"] == ("Is 30", "estimated")

@@ -21,12 +21,12 @@ def template_key(category: Column, level: Column) -> Column:
     return F.when((category == "ubicacion") & (F.coalesce(level, F.lit("")) != ""), F.concat(F.lit("attribute.ubicacion_"), level)).otherwise(F.concat(F.lit("attribute."), category))
 
 
-def labelled(steps: DataFrame, translations: DataFrame, languages: DataFrame) -> DataFrame:
+def labelled(steps: DataFrame, translations: DataFrame, languages: list[str]) -> DataFrame:
     """steps (category, location_level, value_raw, attribute_label, note_code, note, ...) once for each language, with label and shown_note.
 
     A step without a value or without a template keeps its attribute_label; a value without a translation (a proper name, a number) is put in as it is;
     a note without a code, or with an unknown one, stays."""
-    each = steps.join(F.broadcast(languages.select("lang").distinct()))  # a handful of rows
+    each = steps.withColumn("lang", F.explode(F.array(*(F.lit(x) for x in dict.fromkeys(languages)))))
     t = translations.select("lang", "key", "text")
 
     def told(df: DataFrame, key: Column, name: str) -> DataFrame:

@@ -17,9 +17,11 @@ def latest(series: DataFrame, key: str, value: str, order: str | Column) -> Data
 
 def shares(df: DataFrame, value: str, by: str | None = None, digits: int = 3) -> DataFrame:
     """value as a share of the total (of `by`), rounded."""
-    w = df.groupBy(*([by] if by else [])).agg(F.sum(value).alias("_total"))
-    out = df.join(w, by) if by else df.crossJoin(F.broadcast(w))
-    return out.withColumn("share", F.round(F.col(value) / F.col("_total"), digits)).drop("_total")
+    if by:
+        df, total = df.join(df.groupBy(by).agg(F.sum(value).alias("_total")), by), F.col("_total")
+    else:
+        total = F.lit(df.agg(F.sum(value)).first()[0])
+    return df.withColumn("share", F.round(F.col(value) / total, digits)).drop("_total")
 
 
 def completed(rounded: list[Column]) -> Column:
@@ -63,8 +65,8 @@ def sample_names(names: DataFrame, col: str, parts: tuple[str, ...], n: int) ->
     low = F.lower(col)
     hit = reduce(lambda a, b: a | b, [F.contains(low, F.lit(p.lower())) for p in parts], F.lit(False))
     each = names.select(col, F.coalesce(hit, F.lit(False)).alias("_hit")).distinct()
-    some = each.agg(F.coalesce(F.bool_or("_hit"), F.lit(False)).alias("_some"))
-    return each.crossJoin(some).filter(F.col("_hit") | ~F.col("_some")).select(col).orderBy(col).limit(n)
+    some = each.agg(F.bool_or("_hit")).first()[0]
+    return (each.filter("_hit") if some else each).select(col).orderBy(col).limit(n)
 
 
 def within(check: Column, low: float, high: float, name: str) -> Column:

@@ -21,10 +21,11 @@ _written: list[str] = []
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new place in that folder; what stands there stays until the end of scratch()."""
-    path = f"{shared_dir(spark)}/tracelens-{name}-{uuid.uuid4().hex}"
-    _written.append(path)
-    return path
+    """A new place in that folder, with its scheme, so that Spark and the tasks mean the same; what stands there stays until the end of scratch()."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tracelens-{name}-{uuid.uuid4().hex}")
+    out = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    _written.append(out)
+    return out
 
 
 @contextlib.contextmanager

@@ -243,7 +243,7 @@ def f36(spark, d):
         "event_id", F.when(F.col("event_type") == "error", "ubicacion").otherwise(F.col("event_type")).alias("category"), level.alias("location_level"), F.when(F.col("event_id") % 13 != 0, (F.col("user_id") % 10).cast("string")).alias("value_raw"),
         F.concat(F.lit("evento "), "event_id").alias("attribute_label"), F.when(F.col("event_id") % 2 == 0, (F.col("event_id") % 7).cast("string")).alias("note_code"), F.concat(F.lit("nota "), F.col("event_id") % 9).alias("note"),
     )
-    return labels.labelled(steps, TRANSLATIONS.frame(spark), spark.createDataFrame([("es",), ("en",)], "lang string")).select("event_id", "lang", "label", "shown_note")
+    return labels.labelled(steps, TRANSLATIONS.frame(spark), ["es", "en"]).select("event_id", "lang", "label", "shown_note")
 
 
 @query(
