@@ -247,7 +247,7 @@ def test_passages_of_frequent_lines(spark):
     texts += [[f"p{d}x{k}" for k in range(50)] + two[0] + [f"q{d}x{k}" for k in range(50)] for d in range(2)]
     rows = [(d, " ".join(t)) for d, t in enumerate(texts)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    for apart in (1, passages.APART):
+    for apart in (1, 5):
         covered = [np.zeros(len(t), bool) for t in texts]
         for r in passages.shared_passages(docs, apart=apart).collect():
             covered[r["doc_id"]][r["start_word"] : r["end_word"]] = True
@@ -261,6 +261,45 @@ def test_passages_of_frequent_lines(spark):
         assert shared > 20 and covered[-1].any() and covered[-2].any()
 
 
+def test_blocks_of_seeds():
+    """What travels in blocks comes out as it went in; holders are the first of each seed; the filter misses no repeated seed."""
+    rng = np.random.default_rng(12)
+    x = rng.integers(0, 1 << 40, 500).astype(np.uint64)
+    assert (passages.from_planes(passages.planes(x, 5), 5) == x).all() and len(passages.from_planes(b"", 4)) == 0
+    h = np.sort(rng.integers(0, 1 << 63, 4000).astype(np.uint64) * np.uint64(2))
+    for buckets in (16, 1000, 1 << 20):
+        bucket, within = passages.bucket_of(h, buckets)
+        assert (np.diff(bucket) >= 0).all() and bucket[-1] < buckets and (within[1:] >= within[:-1])[bucket[1:] == bucket[:-1]].all()
+    key, seed = np.sort(rng.integers(-20, 20, 3000)), rng.integers(0, 300, 3000).astype(np.uint64)
+    place = rng.integers(0, 1000, 3000).astype(np.int32)
+    first, plain = {}, []
+    for k, p, s in zip(key.tolist(), place.tolist(), seed.tolist(), strict=True):
+        o, y = first.setdefault(s, (k, p))
+        plain += [(k, o, p, y)] if o != k else []
+    holders, found = passages.Holders(), []
+    for i in range(0, 3000, 700):
+        found.append(holders.matches(key[i : i + 700], place[i : i + 700], seed[i : i + 700]))
+    assert sorted(zip(*(np.concatenate(c).tolist() for c in zip(*found, strict=True)), strict=True)) == sorted(plain)
+    blocks = passages.match_blocks(found, 8)
+    pairs = {(r["key"], r["other"]) for _, t in blocks.groupby("bucket") for _, r in passages.chains_of(t).iterrows()}
+    assert pairs == {(k, o) for k, o, _, _ in plain}
+
+
+def test_filter_of_repeated_seeds(spark):
+    rng = random.Random(5)
+    shared = [f"s{k}" for k in range(30)]
+    texts = [" ".join([*(f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(40))), *(shared if d % 3 else []), f"e{d}"]) for d in range(60)]
+    rows = spark.createDataFrame([(t,) for t in [*texts, "", "a b"]], "_t string").repartition(5)
+    _, _, one = passages.seeds_of([" ".join(shared)])
+    who, _, every = passages.seeds_of(texts)
+    for most in (1 << 20, 1 << 7):  # of few bits others pass, too, but none is missed
+        bits = passages.filter_of(rows, 1, 64, most).value
+        assert passages.in_several(bits, one, 64).all()
+        if most == 1 << 20:
+            known = set(one.tolist())
+            assert not passages.in_several(bits, np.array([s for s in every.tolist() if s not in known], np.uint64), 64).any()
+
+
 def test_lowest_places():
     rng = np.random.default_rng(3)
     at = np.flatnonzero(rng.random(400) < 0.8)
