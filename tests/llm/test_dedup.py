@@ -300,6 +300,19 @@ def test_filter_of_repeated_seeds(spark):
             assert not passages.in_several(bits, np.array([s for s in every.tolist() if s not in known], np.uint64), 64).any()
 
 
+def test_bare_words():
+    """Bare words hash as words without signs at their edges; a word of signs alone as an empty one."""
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("aBé1-,.( \n") for _ in range(rng.randrange(60))) for _ in range(300)] + ["", None, "...", "--a--"]
+    h, counts = common.word_hashes(texts, bare=True)
+    assert counts.tolist() == [len(common.words_of(t)) for t in texts]
+    words = [w.strip(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~") for t in texts for w in common.words_of(t)]
+    known = {}
+    assert all(known.setdefault(w, x) == x for w, x in zip(words, h.tolist(), strict=True)) and len(set(known.values())) == len(known)
+    plain, _ = common.word_hashes([w.decode("utf-8") for w in known if w])
+    assert [known[w] for w in known if w] == plain.tolist()
+
+
 def test_lowest_places():
     rng = np.random.default_rng(3)
     at = np.flatnonzero(rng.random(400) < 0.8)

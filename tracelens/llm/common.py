@@ -169,11 +169,14 @@ def _segment_hashes(x: np.ndarray, bare: bool) -> tuple[np.ndarray, np.ndarray]:
     edge = np.flatnonzero(np.diff(np.concatenate([[True], blank, [True]]).astype(np.int8)))
     start, end = edge[::2], edge[1::2]
     s, e = start, end
-    if bare:
+    if bare and len(start):
+        signed = np.flatnonzero(_SIGN[x[start]] | _SIGN[x[end - 1]])  # all others are bare
         core = np.flatnonzero(~(blank | _SIGN[x]))
-        i, j = np.searchsorted(core, s), np.searchsorted(core, e) - 1
+        i, j = np.searchsorted(core, s[signed]), np.searchsorted(core, e[signed]) - 1
         some = i <= j
-        s, e = np.where(some, core[np.minimum(i, len(core) - 1)] if len(core) else s, s), np.where(some, core[j] + 1 if len(core) else s, s)
+        a = s[signed]
+        s, e = s.copy(), e.copy()
+        s[signed], e[signed] = np.where(some, core[np.minimum(i, len(core) - 1)] if len(core) else a, a), np.where(some, core[j] + 1 if len(core) else a, a)
     up, down = _Powers.to(len(x) + 1)
     total = np.zeros(len(x) + 1, np.uint64)
     np.cumsum((_LOWER[x].astype(np.uint64) + np.uint64(1)) * up[: len(x)], out=total[1:])
