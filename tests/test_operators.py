@@ -191,3 +191,13 @@ def test_points_are_compared_with_few_places(spark):
     assert near.join(here, "_cell").count() <= 10 * 500 and level < 10
     got = geo.nearest_place(spark.createDataFrame([(1, 40.2, 2.3)], "point_id long, lat double, lon double"), places)
     assert got.first()["region"] == f"p{20 * 40 + 25}"
+
+
+def test_limits_of_scores_do_not_depend_on_the_order_of_sums(spark):
+    """Three times 0.8 is 40 of 100 in any order, which isn't above the limit of 40; in doubles it is 40.00000000000001."""
+    from tracelens.plans import scoring
+
+    profiles = spark.createDataFrame([("p", 1, 0.0, 0.0)], "profile_id string, posts long, richness double, peak_share double")
+    attributes = spark.createDataFrame([("p", c, 0.8) for c in "abc"], "profile_id string, category string, confidence double")
+    scores = scoring.scored(profiles, attributes)
+    assert scores.first()["inferable_data_risk"] == 40.0 and scoring.recommendations(scores).first()["codes"] == ["low_exposure"]

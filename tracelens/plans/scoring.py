@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 # Weights and limits of the score.
 GEO_WEIGHT, DATA_WEIGHT, EASE_WEIGHT = 0.35, 0.45, 0.20
 TYPICAL_RICHNESS, MANY_POSTS, ATTRIBUTES = 0.45, 200, 6
+#: Confidences are added in decimals: a sum of doubles depends on the order in which tasks send them, and limits are compared with it.
+EXACT = "decimal(28,15)"
 
 
 def ease(posts: Column, richness: Column, peak: Column) -> Column:
@@ -21,7 +23,7 @@ def scored(profiles: DataFrame, attributes: DataFrame) -> DataFrame:
     """profiles: profile_id, posts, richness, peak_share; attributes: profile_id, category, confidence."""
     a = attributes.groupBy("profile_id").agg(
         F.coalesce(F.max(F.when(F.col("category") == "ubicacion", F.col("confidence"))), F.lit(0.0)).alias("geo"),
-        F.sum("confidence").alias("sum"),
+        F.sum(F.col("confidence").cast(EXACT)).cast("double").alias("sum"),
         F.max(F.col("category") == "ocupacion").alias("works"),
     )
     p = profiles.join(a, "profile_id", "left").withColumns(
