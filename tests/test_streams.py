@@ -178,6 +178,16 @@ def test_sketches_merge_within_their_error(spark):
     assert metrics.quantiles_over(parts.limit(0), "1 day").count() == 0
 
 
+def test_quantiles_are_exact_beyond_a_sketch(spark):
+    """More values than an approximation of 10,000 keeps apart; nulls don't count, and a route of nulls has no quantiles."""
+    n = 40_001
+    e = spark.range(n).select(F.col("id").alias("event_id"), F.timestamp_seconds(F.lit(1735689600) + F.col("id") % 3600).alias("ts"), F.lit("r").alias("route"), (F.col("id") * 7919 % n).cast("double").alias("seconds"))
+    none = e.limit(10).withColumns({"route": F.lit("s"), "seconds": F.lit(None).cast("double")})
+    e = e.unionByName(none).unionByName(none.withColumn("route", F.lit("r")))
+    got = {(r["route"], r["n"], *r["q"]) for r in metrics.exact_quantiles(metrics.value_counts(e, "1 day"), ("0.5", "0.9", "0.123")).collect()}
+    assert got == {("r", n, 20_000.0, 36_000.0, 4920.0), ("s", 0, None, None, None)}
+
+
 def test_settings_are_restored(spark):
     name = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(name, None)
