@@ -201,3 +201,51 @@ def test_limits_of_scores_do_not_depend_on_the_order_of_sums(spark):
     attributes = spark.createDataFrame([("p", c, 0.8) for c in "abc"], "profile_id string, category string, confidence double")
     scores = scoring.scored(profiles, attributes)
     assert scores.first()["inferable_data_risk"] == 40.0 and scoring.recommendations(scores).first()["codes"] == ["low_exposure"]
+
+
+def test_every_match_holds_a_piece_of_its_pattern(spark):
+    """Texts that match patterns, as they stand, in capitals and with letters that only (?iu) takes for s, i and k, find the same with and without a look for pieces first."""
+    from tracelens.functions import text as T
+
+    said = [
+        "tengo 24 años", "99 años", "soy un chico", "soy un chaval", "soy hombre", "soy una chica", "soy mujer", "universidad de Soria", "Trabajo en Indra", "trabajo para Acme", "estudio derecho", "estudiante de historia", "graduada en arte", "soy español",
+        "soy española", "nacionalidad española", "soy extranjera", "nacionalidad extranjera", "soy marroquí", "soy colombiano", "soy rumana", "soy venezolano", "soy peruana", "soy ecuatoriano", "soy argentina", "soy boliviano", "soy china", "estoy en paro",
+        "desempleada", "buscando empleo", "busco trabajo", "jubilado", "pensionista", "soy estudiante", "estudiante a tiempo completo", "trabajo como médico", "trabajo de noche", "soy autónoma", "tengo trabajo", "mi lengua materna es el catalán", "hablo catalán",
+        "catalanoparlante", "hablo euskera", "euskaldun", "hablo gallego", "galegofalante", "hablo valenciano", "vivo en leon", "madre soltera", "padre soltero", "familia monoparental", "vivo sola", "vivo con mi marido", "mis hijos", "mi hija", "hetero", "gay",
+        "lesbiana", "pansexual", "asexual", "homosexual", "bi - sexual", "bisexuial", *(w for w, _ in T.RELIGION_WORDS), *(sign for _, sign, _ in T.ZODIAC), "nada",
+    ]
+    odd = str.maketrans("sik", "ſıK")
+    texts = [f"x {t}, y" for s in said for t in (s, s.upper(), s.title(), s.translate(odd), s.replace("i", "İ"))]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").withColumns({"low": F.lower("text"), "odd": T.is_odd(F.col("text"))})
+    may = T.pieces_in(F.col("low"), F.col("odd"))
+    wrong = [F.count_if(F.col("text").rlike(p) & ~may(p)) for p in T.PIECES]
+    assert df.agg(F.array(*wrong)).first()[0] == [0] * len(T.PIECES)
+    hits = df.agg(F.array(*(F.count_if(F.col("text").rlike(p)) for p in T.PIECES))).first()[0]
+    assert min(hits) > 0  # each pattern is tried
+
+
+def test_letters_that_only_a_pattern_folds(spark):
+    """Of all characters only FOLDED match a letter of the patterns in another case without being that letter in lower case."""
+    from tracelens.functions import text as T
+
+    letters = "abcdefghijklmnopqrstuvwxyzáéíóúñ"
+    chars = spark.createDataFrame([(chr(c),) for c in range(1, 0x30000) if not 0xD800 <= c < 0xE000], "c string")
+    found = chars.filter(F.col("c").rlike(rf"(?iu)^[{letters}]$") & ~F.lower("c").isin(*letters)).collect()
+    assert {r["c"] for r in found} <= set(T.FOLDED)
+
+
+def test_only_what_is_asked_for_is_looked_for(spark):
+    from tracelens.operators import findings as O
+
+    posts = spark.createDataFrame([("p", 1, "a", "soy budista y tengo 24 años"), ("p", 2, "b", "universidad de Soria, ateo")], "profile_id string, seq long, permalink string, text string")
+    every = O.declared(posts, special=True).filter("field = 'religion'")
+    one = O.declared(posts, special=True, only=("religion",))
+    assert one.collect() == every.collect() and one.count() == 1
+    assert "universidad" not in one._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_documents_as_posts_are_not_shuffled(spark):
+    from tests.test_catalog import SF
+    from tracelens.plans import queries_flagship
+
+    assert "Exchange hashpartitioning" not in queries_flagship.posts_of(spark, SF)._jdf.queryExecution().executedPlan().toString()

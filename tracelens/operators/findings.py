@@ -20,7 +20,7 @@ def consented(profiles: DataFrame, consents: DataFrame, key: str = "profile_id")
     return profiles.join(consents.select(key).distinct(), key, "left_semi")
 
 
-def location(text: Column) -> Column:
+def location(text: Column, low: Column | None = None) -> Column:
     """(level, key) of the first "vivo en ...": a municipality, else a province, else a community (its province, if it has one only)."""
     only = {c: ps[0] for c, (_, ps) in R.COMMUNITIES.items() if len(ps) == 1}
     of_alias, of_single = (F.create_map(*[F.lit(x) for kv in t.items() for x in kv]) for t in (R.ALIASES, only))
@@ -39,26 +39,29 @@ def location(text: Column) -> Column:
     def keys(said: Column) -> Column:
         return F.struct(*(T.first_key(said, table).alias(name) for name, table in (("town", R.MUNICIPALITIES), ("province", R.PROVINCES), ("alias", R.ALIASES))))
 
-    return T.let(T.let(F.trim(T.captured(T.plain(text), T.LIVES_IN)), keys), found)
+    low = T.plain(text) if low is None else low
+    return T.let(T.let(F.trim(T.captured(low, T.LIVES_IN, may=T.pieces_in(low))), keys), found)
 
 
-def detectors(text: Column, special: bool = False) -> dict[str, Column]:
-    """field -> value said in one text. special: also the two fields of special categories, where the person declares them."""
-    study = T.plain(T.captured(text, T.STUDY))
+def detectors(text: Column, special: bool = False, may: T.May = T.anything, low: Column | None = None) -> dict[str, Column]:
+    """field -> value said in one text. special: also the two fields of special categories, where the person declares them. may: whether
+    a text may match a pattern; low: the plain text, where it is known."""
+    low = T.plain(text) if low is None else low
+    study = T.plain(T.captured(text, T.STUDY, may=may))
     out = {
-        "edad": T.age(text).cast("string"),
-        "sexo": T.ordered(text, T.SEX),
+        "edad": T.age(text, may).cast("string"),
+        "sexo": T.ordered(text, T.SEX, may),
         "estudios": T.first_key(study, R.STUDIES),
-        "ocupacion": T.first_key(T.plain(text), R.OCCUPATIONS),
-        "universidad": T.captured(text, T.UNIVERSITY),
-        "empresa": T.captured(text, T.COMPANY),
-        "nacionalidad": T.ordered(text, T.NATIONALITY),
-        "situacion_laboral": T.ordered(text, T.EMPLOYMENT),
-        "lengua_materna": T.ordered(text, T.LANGUAGE),
-        "signo_zodiacal": T.zodiac(text),
+        "ocupacion": T.first_key(low, R.OCCUPATIONS),
+        "universidad": T.captured(text, T.UNIVERSITY, may=may),
+        "empresa": T.captured(text, T.COMPANY, may=may),
+        "nacionalidad": T.ordered(text, T.NATIONALITY, may),
+        "situacion_laboral": T.ordered(text, T.EMPLOYMENT, may),
+        "lengua_materna": T.ordered(text, T.LANGUAGE, may),
+        "signo_zodiacal": T.zodiac(text, low),
     }
     if special:
-        out |= {"orientacion_sexual": T.orientation(text), "religion": T.religion(text)}
+        out |= {"orientacion_sexual": T.orientation(text, may), "religion": T.religion(text, low)}
     return out
 
 
@@ -71,15 +74,17 @@ def household(partner: Column, alone: Column, children: Column, single_parent: C
     )
 
 
-def declared(posts: DataFrame, special: bool = False) -> DataFrame:
-    """Findings of all profiles. posts: profile_id, seq, permalink, text."""
-    text = F.col("text")
-    said = posts.filter(F.coalesce(text, F.lit("")) != "")
-    fields = detectors(text, special)
-    pairs = [F.struct(F.lit(f).alias("field"), v.alias("value")) for f, v in fields.items()]
-    place = T.let(location(text), lambda p: F.concat_ws("|", p["level"], p["key"]))
-    pairs.append(F.struct(F.lit("ubicacion").alias("field"), place.alias("value")))
-    each = said.select("profile_id", "seq", "permalink", F.explode(F.array(*pairs)).alias("f")).filter("f.value IS NOT NULL AND f.value <> ''")
+def declared(posts: DataFrame, special: bool = False, only: tuple[str, ...] | None = None) -> DataFrame:
+    """Findings of all profiles. posts: profile_id, seq, permalink, text. only: those of some of the detectors' fields, and no other is looked for."""
+    text, low, odd = F.col("text"), F.col("_low"), F.col("_odd")
+    said = posts.select("profile_id", "seq", "permalink", "text").filter(F.coalesce(text, F.lit("")) != "").withColumns({"_low": F.lower(text), "_odd": T.is_odd(text)})
+    may = T.pieces_in(low, odd)
+    fields = detectors(text, special, may, F.col("_plain"))
+    pairs = [F.struct(F.lit(f).alias("field"), v.alias("value")) for f, v in fields.items() if only is None or f in only]
+    if only is None:
+        place = T.let(location(text, F.col("_plain")), lambda p: F.concat_ws("|", p["level"], p["key"]))
+        pairs.append(F.struct(F.lit("ubicacion").alias("field"), place.alias("value")))
+    each = said.withColumn("_plain", T.bare(low)).select("profile_id", "seq", "permalink", F.explode(F.array(*pairs)).alias("f")).filter("f.value IS NOT NULL AND f.value <> ''")
     first = each.groupBy("profile_id", "f.field").agg(F.min(F.struct("seq", "f.value", "permalink")).alias("b"))
     is_place = F.col("field") == "ubicacion"
     first = first.select(
@@ -88,7 +93,10 @@ def declared(posts: DataFrame, special: bool = False) -> DataFrame:
         F.when(is_place, F.substring_index("b.value", "|", -1)).otherwise(F.col("b.value")).alias("value"),
         F.array("b.permalink").alias("evidence"),
     )
-    hits = {k: text.rlike(p) for k, p in T.HOUSEHOLD_SIGNALS.items()}
+    found = ["profile_id", "field", "value", F.lit("texto").alias("source"), F.lit(None).cast("double").alias("confidence"), "evidence"]
+    if only is not None:
+        return first.select(*found)
+    hits = {k: may(p) & text.rlike(p) for k, p in T.HOUSEHOLD_SIGNALS.items()}
     seen = said.withColumns(hits).filter(" OR ".join(hits))
     home = seen.groupBy("profile_id").agg(*[F.bool_or(k).alias(k) for k in hits], F.array_sort(F.collect_list(F.struct("seq", "permalink"))).alias("e"))
     home = home.select(
@@ -97,7 +105,7 @@ def declared(posts: DataFrame, special: bool = False) -> DataFrame:
         household(F.col("partner"), F.col("alone"), F.col("children"), F.col("single_parent")).alias("value"),
         F.array_distinct(F.col("e.permalink")).alias("evidence"),
     ).filter("value IS NOT NULL")
-    return first.unionByName(home).select("profile_id", "field", "value", F.lit("texto").alias("source"), F.lit(None).cast("double").alias("confidence"), "evidence")
+    return first.unionByName(home).select(*found)
 
 
 def merged(first: DataFrame, second: DataFrame) -> DataFrame:

@@ -33,7 +33,7 @@ PROFILES = 97
 
 def posts_of(spark, d):
     n = F.col("doc_id") * 7 % len(SAID.rows)
-    docs = read(spark, d, "documents").withColumn("n", n).join(SAID.frame(spark), "n")
+    docs = read(spark, d, "documents").withColumn("n", n).join(F.broadcast(SAID.frame(spark)), "n")
     return docs.select(
         F.concat(F.lit("p"), F.pmod("doc_id", F.lit(PROFILES)).cast("string")).alias("profile_id"), F.col("doc_id").alias("seq"), F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("permalink"),
         F.concat(F.coalesce("text", F.lit("")), F.lit(" "), "phrase").alias("text"), F.timestamp_seconds(F.lit(1735689600) + F.col("doc_id") * 5400).alias("created_utc"), F.col("lang").alias("group"), "tags",
@@ -224,7 +224,7 @@ ORIENTATION_SQL = "CASE " + " ".join(f"WHEN contains(o, '{k}') THEN '{v}'" for k
 
 
 def special_of(spark, d, field):
-    return O.declared(posts_of(spark, d), special=True).filter(F.col("field") == field).select("profile_id", "value", F.col("evidence")[0].alias("permalink"))
+    return O.declared(posts_of(spark, d), special=True, only=(field,)).select("profile_id", "value", F.col("evidence")[0].alias("permalink"))
 
 
 @query("f11_religion", f"WITH {FOUND_SQL}, w AS (SELECT profile_id, seq, permalink, {RELIGION_SQL} AS v FROM said) SELECT profile_id, arg_min(v, seq) AS value, arg_min(permalink, seq) AS permalink FROM w WHERE v IS NOT NULL GROUP BY 1")
