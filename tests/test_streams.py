@@ -201,3 +201,17 @@ def test_empty_streams(spark):
     assert feeds.fed(none, runs.lives).count() == feeds.fed(none, runs.stage_changes).count() == 0
     assert feeds.fed([none[0].select("event_id", "ts")], lambda s: metrics.sliding_requests(s, "1 hour", "1 hour")).count() == 0
     assert feeds.fed(none, runs.lives).filter(F.col("ending") == "done").columns == ["run_id", "began", "ended", "events", "stages", "ending"]
+
+
+def test_keys_make_no_calls_to_the_state_store(spark):
+    """Values travel with the rows; a value whose end the watermark has passed already is not kept."""
+    from types import SimpleNamespace
+
+    import pandas as pd
+
+    kept = []
+    held = SimpleNamespace(hasTimedOut=False, getOption=None, exists=False, getCurrentWatermarkMs=lambda: 5000, update=kept.append, setTimeoutTimestamp=kept.append)
+    rows = pd.DataFrame({"us": [1_000_001, 2_000_000], "event_id": [1, 2], "stage": ["a", None], "done": [False, False]})
+    out = pd.concat(list(runs.Life(1000)((7,), iter([rows]), held)))
+    assert not kept and out.to_dict("records") == [{"run_id": 7, "began": 1_000_001, "ended": 2_000_000, "events": 2, "stages": ["a"], "ending": "timed out"}]
+    assert not list(runs.Life(3_000_500)((7,), iter([rows]), held)) and kept == [(1_000_001, 2, ["a"], 2_000_000), 3_002_499]

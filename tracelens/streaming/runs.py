@@ -1,7 +1,7 @@
 """Runs as streams with state that ends: life of a run, changes of its stage, progress of its tracks, codes of its stages.
 
-Each processor keeps one small value a key and one timer on event time, which clears it when the watermark passes the last
-event by `idle`. Rows of a batch that belong to one key are taken in the order of their times; what a key holds
+Each function of state keeps one small value a key and one timeout on event time, which clears it when the watermark passes
+the last event by `idle`. Rows of a batch that belong to one key are taken in the order of their times; what a key holds
 between batches doesn't grow with its rows. Rows behind the watermark are dropped by Spark.
 
 Events: run_id, event_id, ts, stage, and what a function says beside these.
@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tracelens.streaming.metrics import LATE
 
@@ -24,142 +24,137 @@ CHANGES = "run_id long, event_id long, ts timestamp, stage string, previous stri
 PROGRESS = "run_id long, track string, done long, total long, complete boolean"
 
 
-def in_order(rows: Iterator[pd.DataFrame], *order: str) -> pd.DataFrame:
-    return pd.concat(list(rows), ignore_index=True).sort_values(list(order), ignore_index=True)
+def names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
 
 
-def millis(at: pd.Timestamp) -> int:
-    return at.value // 1_000_000
+def in_order(parts: Iterator[pd.DataFrame], *columns: str) -> list[tuple]:
+    """The rows of a key in the order of the first two of these columns; missing values are None, and last."""
+    rows: list[tuple] = []
+    for p in parts:
+        rows += zip(*([None if x is None or x != x else x for x in p[c].tolist()] for c in columns), strict=True)
+    return sorted(rows, key=lambda r: (r[0], r[1] is None, r[1]))
 
 
-class Timed(StatefulProcessor):
-    """One value and one timer a key."""
+class Timed:
+    """What a key holds between batches, one small value, and when it ends: `idle` after its last event, which is the value's last entry.
 
-    state = ""
+    An instance is the function of applyInPandasWithState: values come and go with the rows in Arrow batches, so a key costs no
+    calls of its own to the state store. Times are microseconds.
+    """
 
-    def __init__(self, idle_ms: int):
-        self.idle_ms = idle_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.value = handle.getValueState("value", self.state)
+    state, columns = "", ()
 
-    def hold(self, value: tuple, last: pd.Timestamp) -> None:
-        """Keep a value until `idle` after its last event."""
-        self.let_go()
-        self.value.update(value)
-        self.handle.registerTimer(millis(last) + self.idle_ms)
+    def __init__(self, idle_ms: int):
+        self.idle_ms, self.idle = idle_ms, idle_ms * 1000
 
-    def let_go(self) -> None:
-        for t in self.handle.listTimers():
-            self.handle.deleteTimer(t)
-        self.value.clear()
+    def came(self, key: tuple, parts: Iterator[pd.DataFrame], value: tuple | None) -> tuple[tuple | None, list[tuple]]:
+        """The value after the rows of a batch, None for none, and rows to write."""
+        raise NotImplementedError
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.value.clear()
-        return iter(())
+    def expired(self, key: tuple, value: tuple) -> list[tuple]:
+        return []
 
-    def close(self) -> None:
-        pass
+    def __call__(self, key: tuple, parts: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        if held.hasTimedOut:
+            value, out = None, self.expired(key, held.get)
+        else:
+            value, out = self.came(key, parts, held.getOption)
+        if value is not None:
+            end = -(-value[-1] // 1000) + self.idle_ms
+            if end > held.getCurrentWatermarkMs():
+                held.update(value)
+                held.setTimeoutTimestamp(end - 1)  # Spark ends what the watermark is later than
+            else:
+                out, value = out + self.expired(key, value), None
+        if value is None and held.exists:
+            held.remove()
+        if out:
+            yield pd.DataFrame(out, columns=self.columns)
 
 
 class Life(Timed):
     """A run ends with a terminal event, or when nothing comes for `idle`; what comes then is a new run."""
 
-    state = "began timestamp, last timestamp, events long, stages array<string>"
-
-    def ended(self, key, began, last, events, stages, how) -> tuple:
-        return key[0], began, last, events, sorted(stages), how
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        e = in_order(rows, "ts", "event_id")
-        gap = e["ts"].diff() > pd.Timedelta(milliseconds=self.idle_ms)
-        cut = gap | e["done"].shift(fill_value=False)
-        run = cut.cumsum().to_numpy()
-        parts = e.groupby(run).agg(began=("ts", "min"), last=("ts", "max"), events=("ts", "size"), stages=("stage", lambda s: set(s.dropna())), done=("done", "last"))
-        out, open_run = [], None
-        if self.value.exists():
-            began, last, events, stages = self.value.get()
-            open_run = [pd.Timestamp(began), pd.Timestamp(last), events, set(stages)]
-        for began, last, events, stages, done in parts.itertuples(index=False):
-            if open_run and millis(began) - millis(open_run[1]) > self.idle_ms:
-                out.append(self.ended(key, *open_run, "timed out"))
-                open_run = None
-            if open_run:
-                began, last, events, stages = min(open_run[0], began), max(open_run[1], last), open_run[2] + events, open_run[3] | stages
-            open_run = [began, last, events, stages]
+    state, columns = "began long, events long, stages array<string>, last long", names(RUNS)
+
+    def expired(self, key: tuple, value: tuple) -> list[tuple]:
+        began, events, stages, last = value
+        return [(key[0], began, last, events, sorted(stages), "timed out")]
+
+    def came(self, key: tuple, parts: Iterator[pd.DataFrame], value: tuple | None) -> tuple[tuple | None, list[tuple]]:
+        out: list[tuple] = []
+        run = value and (value[0], value[1], set(value[2]), value[3])
+        for at, _, stage, done in in_order(parts, "us", "event_id", "stage", "done"):
+            if run and at - run[3] > self.idle:
+                out += self.expired(key, run)
+                run = None
+            began, events, stages, last = run or (at, 0, set(), at)
+            run = (min(began, at), events + 1, stages if stage is None else stages | {stage}, max(last, at))
             if done:
-                out.append(self.ended(key, *open_run, "done"))
-                open_run = None
-        if open_run:
-            self.hold((open_run[0].to_pydatetime(), open_run[1].to_pydatetime(), int(open_run[2]), sorted(open_run[3])), open_run[1])
-        else:
-            self.let_go()
-        if out:
-            yield pd.DataFrame(out, columns=["run_id", "began", "ended", "events", "stages", "ending"])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.value.exists():
-            began, last, events, stages = self.value.get()
-            self.value.clear()
-            yield pd.DataFrame([self.ended(key, pd.Timestamp(began), pd.Timestamp(last), events, stages, "timed out")], columns=["run_id", "began", "ended", "events", "stages", "ending"])
+                out.append((key[0], run[0], run[3], run[1], sorted(run[2]), "done"))
+                run = None
+        return run and (run[0], run[1], sorted(run[2]), run[3]), out
 
 
 class Changes(Timed):
     """A row each time a key's stage differs from the one before."""
 
-    state = "stage string, last timestamp"
+    state, columns = "stage string, last long", names(CHANGES)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        e = in_order(rows, "ts", "event_id")
-        before, last = e["stage"].shift(), e["ts"].shift()
-        if self.value.exists():
-            before.iloc[0], last.iloc[0] = self.value.get()
-        before = before.mask(e["ts"] - last > pd.Timedelta(milliseconds=self.idle_ms))
-        same = (e["stage"] == before) | (e["stage"].isna() & before.isna())
-        self.hold((e["stage"].iloc[-1], e["ts"].iloc[-1].to_pydatetime()), e["ts"].iloc[-1])
-        out = e.assign(run_id=key[0], previous=before.astype(object).where(before.notna(), None))[~same]
-        if len(out):
-            yield out[["run_id", "event_id", "ts", "stage", "previous"]]
+    def came(self, key: tuple, parts: Iterator[pd.DataFrame], value: tuple | None) -> tuple[tuple | None, list[tuple]]:
+        out: list[tuple] = []
+        before, last = value or (None, None)
+        for at, event, stage in in_order(parts, "us", "event_id", "stage"):
+            if last is not None and at - last > self.idle:
+                before = None
+            if stage != before:
+                out.append((key[0], event, at, stage, before))
+            before, last = stage, at
+        return (before, last), out
 
 
 class Progress(Timed):
     """The most that a key has done of how many, each time it rises."""
 
-    state = "done long, total long"
+    state, columns = "done long, total long, last long", names(PROGRESS)
+
+    def came(self, key: tuple, parts: Iterator[pd.DataFrame], value: tuple | None) -> tuple[tuple | None, list[tuple]]:
+        now = value
+        for p in parts:  # no order needed: chunk by chunk
+            most = tuple(max(p[c].tolist()) for c in ("done", "total", "us"))
+            now = most if now is None else tuple(map(max, now, most))
+        if value is not None and now[:2] == tuple(value)[:2]:
+            return now, []
+        return now, [(*key, *now[:2], now[0] >= now[1] > 0)]
+
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        done = total = -1
-        last = None
-        for part in rows:  # no order needed: chunk by chunk
-            done, total = max(done, int(part["done"].max())), max(total, int(part["total"].max()))
-            last = part["ts"].max() if last is None else max(last, part["ts"].max())
-        known = self.value.get() if self.value.exists() else None
-        now = (max(done, known[0]), max(total, known[1])) if known else (done, total)
-        self.hold(now, last)
-        if now != known:
-            yield pd.DataFrame([(*key, *now, now[0] >= now[1] > 0)], columns=["run_id", "track", "done", "total", "complete"])
+def timed(events: DataFrame, by: tuple[str, ...], what: Timed, schema: str, late: str, mode: str = "append") -> DataFrame:
+    """The rows that `what` writes; its times, which are numbers, are timestamps again. Events without a time don't count."""
+    kinds = dict(c.split() for c in schema.split(", "))
+    e = events.filter("ts IS NOT NULL").withColumn("us", F.unix_micros("ts")).withWatermark("ts", late).groupBy(*by)
+    out = e.applyInPandasWithState(what, schema.replace("timestamp", "long"), what.state, mode, GroupStateTimeout.EventTimeTimeout)
+    return out.select(*(F.timestamp_micros(c).alias(c) if kind == "timestamp" else c for c, kind in kinds.items()))
 
 
 def lives(events: DataFrame, idle_ms: int = DAY_MS, late: str = LATE) -> DataFrame:
     """run_id, began, ended, events, stages, ending (done or timed out): a row a run that has ended, when it has. events also have
     done, true of a terminal event. An event out of order counts to the run that is open when it comes."""
-    e = events.select("run_id", "event_id", "ts", "stage", F.coalesce("done", F.lit(False)).alias("done")).withWatermark("ts", late)
-    return e.groupBy("run_id").transformWithStateInPandas(Life(idle_ms), RUNS, "append", "eventtime")
+    e = events.select("run_id", "event_id", "ts", "stage", F.coalesce("done", F.lit(False)).alias("done"))
+    return timed(e, ("run_id",), Life(idle_ms), RUNS, late)
 
 
 def stage_changes(events: DataFrame, idle_ms: int = DAY_MS, late: str = LATE) -> DataFrame:
     """run_id, event_id, ts, stage, previous, each time a run's stage differs from the one before; a run that was idle for longer has no
     stage before, and a null stage is none."""
-    e = events.select("run_id", "event_id", "ts", "stage").withWatermark("ts", late)
-    return e.groupBy("run_id").transformWithStateInPandas(Changes(idle_ms), CHANGES, "append", "eventtime")
+    return timed(events.select("run_id", "event_id", "ts", "stage"), ("run_id",), Changes(idle_ms), CHANGES, late)
 
 
 def track_progress(events: DataFrame, idle_ms: int = DAY_MS, late: str = LATE) -> DataFrame:
     """run_id, track, done, total, complete, each time that more is done; latest_progress() has the last of each. events also have
     track, done and total."""
-    e = events.select("run_id", "track", "ts", F.coalesce("done", F.lit(0)).cast("long").alias("done"), F.coalesce("total", F.lit(0)).cast("long").alias("total")).withWatermark("ts", late)
-    return e.groupBy("run_id", "track").transformWithStateInPandas(Progress(idle_ms), PROGRESS, "update", "eventtime")
+    e = events.select("run_id", "track", "ts", F.coalesce("done", F.lit(0)).cast("long").alias("done"), F.coalesce("total", F.lit(0)).cast("long").alias("total"))
+    return timed(e, ("run_id", "track"), Progress(idle_ms), PROGRESS, late, "update")
 
 
 def latest_progress(progress: DataFrame) -> DataFrame:
