@@ -199,3 +199,12 @@ def test_a_listener_counts_batches(spark):
     assert listener.totals() == {"read": 8, "left": 6} and [e for _, e in listener.ended] == [None, None]
     listener.rows += listener.rows[-2:]  # a batch that was run again
     assert listener.totals()["read"] == 8
+
+
+def test_a_model_gets_few_characters_at_once():
+    from tracelens.sources import index
+
+    texts = ["a" * n for n in (3, 4, 9, 1, 1, 0, 12, 2)]
+    parts = list(index.portions(texts, 8))
+    assert [t for p in parts for t in texts[p]] == texts
+    assert [sum(map(len, texts[p])) for p in parts] == [7, 9, 2, 12, 2] and list(index.portions([], 8)) == []

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from tracelens.operators.shared import file_system
 
 PARTS = 16
+#: Characters that a model gets at once (one text at least), so that what it holds beside them doesn't grow with the batch.
+CHARS = 1 << 20
 VECTORS = "vec_id long, embedding array<double>"
 
 
@@ -32,6 +34,18 @@ class LetterProjection:
         return counts @ self.matrix
 
 
+def portions(texts: list, most: int) -> Iterator[slice]:
+    """Consecutive parts of some texts, of `most` characters at most unless one text has more."""
+    start = held = 0
+    for i, t in enumerate(texts):
+        if i > start and held + len(t) > most:
+            yield slice(start, i)
+            start, held = i, 0
+        held += len(t)
+    if start < len(texts):
+        yield slice(start, len(texts))
+
+
 def embedded(items: DataFrame, model: Callable[[], Callable], input_col: str = "text", id_col: str = "vec_id") -> DataFrame:
     """(id_col, embedding): unit vectors of the items that the model can embed. The model is made once by each task and kept for all its
     batches; items whose input is null, or whose vector is all zeros, have none."""
@@ -39,10 +53,12 @@ def embedded(items: DataFrame, model: Callable[[], Callable], input_col: str = "
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         embed = model()
         for b in batches:
-            v = np.asarray(embed(b["_in"].tolist()), np.float64) if len(b) else np.zeros((0, 1))
-            size = np.sqrt((v * v).sum(axis=1))
-            keep = size > 0
-            yield pd.DataFrame({"_id": b["_id"][keep].to_numpy(), "embedding": list(v[keep] / size[keep, None])})
+            ids, texts = b["_id"].to_numpy(), b["_in"].tolist()
+            for part in portions(texts, CHARS):
+                v = np.asarray(embed(texts[part]), np.float64)
+                size = np.sqrt((v * v).sum(axis=1))
+                keep = size > 0
+                yield pd.DataFrame({"_id": ids[part][keep], "embedding": list(v[keep] / size[keep, None])})
 
     rows = items.filter(F.col(input_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("_id"), F.col(input_col).alias("_in"))
     return rows.mapInPandas(run, "_id long, embedding array<double>").withColumnRenamed("_id", id_col)
