@@ -249,3 +249,10 @@ def test_documents_as_posts_are_not_shuffled(spark):
     from tracelens.plans import queries_flagship
 
     assert "Exchange hashpartitioning" not in queries_flagship.posts_of(spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_posts_of_those_who_agreed_are_not_brought_together(spark):
+    posts = spark.createDataFrame([("a", 1), ("b", 2), ("b", 3)], "profile_id string, seq long")
+    agreed = findings.consented(posts, posts.select("profile_id").filter("profile_id = 'b'"))
+    assert "Exchange hashpartitioning" not in agreed._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r["seq"] for r in agreed.collect()) == [2, 3]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelens.operators.shared import stored
+from tracelens.operators.shared import small, stored
 
 # Tags that hint at a place or an occupation; the short ones count only when they are the whole tag.
 PLACE_TAGS = ("madrid", "barcelona", "spain", "espana", "valencia", "sevilla", "argentina", "mexico", "vzla", "malaga", "bilbao", "zaragoza", "galicia", "andalucia", "catalunya", "asturias")
@@ -13,8 +13,6 @@ PLACE_EXACT = ("es", "askspain")
 WORK_TAGS = ("programming", "developer", "dev", "nurse", "enfermeria", "teacher", "docente", "legaladvice", "abogad", "accounting", "medlab", "medicina", "ingenieria", "arquitect")
 WORK_EXACT = ("cscareerquestions", "developerspain", "medlabprofessionals", "teachers", "nursing", "legaladvice", "accounting")
 EVIDENCE = 5
-#: Bytes that a term takes in a broadcast, and the most bytes of one.
-TERM_BYTES, BROADCAST_BYTES = 96, 32 << 20
 
 
 def hour_shares(posts: DataFrame) -> DataFrame:
@@ -118,12 +116,12 @@ def keywords(posts: DataFrame, features: int = 500, top: int = 20, shortest: int
     """
     long = posts.filter(F.length("text") > shortest)
     enough = long.groupBy("profile_id").agg(F.count("*").alias("docs")).filter(F.col("docs") >= least_posts)
+    enough = small(enough, "keyword-profiles")
     every = terms(long.join(enough.select("profile_id"), "profile_id", "left_semi"), stop)
     # the frequent terms of each profile first: only these are counted by post
     w = Window.partitionBy("profile_id").orderBy(F.desc("n"), "term")
     frequent = every.groupBy("profile_id", "term").agg(F.count("*").alias("n")).withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= features)
-    frequent = stored(frequent.select("profile_id", "term"), "keyword-terms")
-    few = F.broadcast(frequent) if frequent.count() * TERM_BYTES <= BROADCAST_BYTES else frequent
+    few = small(frequent.select("profile_id", "term"), "keyword-terms")
     tf = stored(every.join(few, ["profile_id", "term"]).groupBy("profile_id", "seq", "term").agg(F.count("*").alias("tf")), "keyword-counts")
     kept = tf.groupBy("profile_id", "term").agg(F.count("*").alias("df")).join(enough, "profile_id")
     kept = kept.select("profile_id", "term", (F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1).alias("idf"))

@@ -11,13 +11,15 @@ from pyspark.sql import functions as F
 
 from tracelens.functions import reference as R
 from tracelens.functions import text as T
+from tracelens.operators.shared import small
 
 SCHEMA = "profile_id string, field string, value string, source string, confidence double, evidence array<string>"
 
 
 def consented(profiles: DataFrame, consents: DataFrame, key: str = "profile_id") -> DataFrame:
-    """Only the profiles whose owners have agreed; every plan over persons begins here."""
-    return profiles.join(consents.select(key).distinct(), key, "left_semi")
+    """Only the profiles whose owners have agreed; every plan over persons begins here. Who agreed is found once and goes to the tasks,
+    if it isn't too much, so that the posts of a large profile are not brought together in one of them."""
+    return profiles.join(small(consents.select(key).distinct(), "agreed"), key, "left_semi")
 
 
 def location(text: Column, low: Column | None = None) -> Column:

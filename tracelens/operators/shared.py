@@ -46,6 +46,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bytes that a row of a small table takes in a broadcast, and the most bytes of one.
+ROW_BYTES, BROADCAST_BYTES = 96, 32 << 20
+
+
+def small(df: DataFrame, name: str) -> DataFrame:
+    """df stored, with a broadcast hint if it is small: what is joined with it then stays where it is, in the parts in which it was read."""
+    kept = stored(df, name)
+    return F.broadcast(kept) if kept.count() * ROW_BYTES <= BROADCAST_BYTES else kept
+
+
 def file_system(uri: str):
     """(pyarrow file system, path in it) of a place in the shared folder, for tasks that read or write files themselves."""
     from pyarrow import fs
