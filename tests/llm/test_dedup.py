@@ -365,3 +365,43 @@ def test_alignments_beyond_ends():
         assert (i[k], j[k]) == top
         assert scores[i[k], j[k], k] == best
         assert max(i[k], j[k]) - best <= 2 * max(i[k], j[k]) - same[k] and same[k] >= best
+
+
+def test_pieces_of_other_documents(spark):
+    """Every k-mer that two documents share in an edited passage stands first in a document that holds this one only."""
+    words = [f"p{k}" for k in range(53)]
+    texts = [" ".join([f"a{i}", *words[k : k + 5], f"b{i}"]) for i, k in enumerate(range(0, 49, 6))]
+    texts += [" ".join(words), " ".join(w if k % 6 < 5 else f"q{k}" for k, w in enumerate(words))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = passages.shared_passages(docs).collect()
+    assert {frozenset((r["doc_id"], r["other_id"])) for r in got} == {frozenset((9, 10))} and max(r["n_words"] for r in got) == 53
+
+
+def test_repeated_words_are_one_passage(spark):
+    """Runs of a repeated word meet side by side: documents of such runs share one passage, not one for each place."""
+    own = [" ".join(f"{c}{k}" for k in range(20)) for c in "ab"]
+    many = [(d, f"o{d} " + "r " * 60) for d in range(20)]  # held by more documents than are matched in pairs
+    rows = [(0, own[0] + " x" * 500), (1, own[1] + " x" * 500), (2, "y z " * 200), (3, "y z " * 200)]
+    got = passages.shared_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((min(r["doc_id"], r["other_id"]), r["n_words"]) for r in got) == [(0, 500), (2, 400)]
+    got = passages.shared_passages(spark.createDataFrame(many, "doc_id long, text string")).collect()
+    assert len(got) == 19 and {r["n_words"] for r in got} == {60}
+
+
+def test_look_loses_no_passage():
+    """What is a passage by all bytes of its words can be one by the lowest, too."""
+    rng = np.random.default_rng(7)
+    a, b = [], []
+    for rate in rng.random(600) * 0.4:
+        u = rng.integers(2, 1 << 24, 85).astype(np.uint32)
+        v = np.where(rng.random(85) < rate, rng.integers(2, 1 << 24, 85).astype(np.uint32), u)
+        v[40:45] = u[40:45]
+        v = np.delete(v, rng.integers(0, 40, rng.integers(0, 4)))
+        a.append(u)
+        b.append(v)
+    x = [np.array([40])] * len(a)
+    y = [np.array([len(v) - 45]) for v in b]
+    good = {k for k, *_ in passages.judged_chains(a, b, x, y, passages.LEAST, passages.SIMILAR)}
+    low = [[(w & 255) + np.uint32(2) for w in side] for side in (a, b)]
+    hope = passages.hopeful(*low, x, y, passages.LEAST, passages.SIMILAR)
+    assert 100 < len(good) < 600 and hope[sorted(good)].all() and not hope.all()
