@@ -405,3 +405,55 @@ def test_look_loses_no_passage():
     low = [[(w & 255) + np.uint32(2) for w in side] for side in (a, b)]
     hope = passages.hopeful(*low, x, y, passages.LEAST, passages.SIMILAR)
     assert 100 < len(good) < 600 and hope[sorted(good)].all() and not hope.all()
+
+
+def test_words_that_are_not_there():
+    """Chains with no passage about them go without an alignment, and none with one does."""
+    rng = np.random.default_rng(9)
+    a, b, x, y = [], [], [], []
+    for rate in rng.random(900) * 0.8:
+        u = rng.integers(2, 1 << 24, 85).astype(np.uint32)
+        v = np.where(rng.random(85) < rate, rng.integers(2, 1 << 24, 85).astype(np.uint32), u)
+        v[40:45] = u[40:45]
+        v = np.delete(v, rng.integers(0, 40, rng.integers(0, 4)))
+        at = [40] + ([50] if rng.random() < 0.3 and (v[len(v) - 35 : len(v) - 30] == u[50:55]).all() else [])
+        cut = int(rng.integers(0, 41))  # texts begin and end anywhere
+        a.append(u[cut:])
+        b.append(v)
+        x.append(np.array(at) - cut)
+        y.append(np.array(at) + len(v) - 85)
+    good = {k for k, *_ in passages.judged_chains(a, b, x, y, passages.LEAST, passages.SIMILAR)}
+    (u, ua), (v, vb) = ((np.concatenate([(w & 255).astype(np.uint8) for w in side]), np.cumsum([len(w) for w in side])) for side in (a, b))
+    first, last = (np.array([p[i] for p in x]) for i in (0, -1))
+    left = passages.enough_in(u, ua, v, vb, first, last, passages.LEAST, passages.SIMILAR)
+    assert 100 < len(good) < 600 and left[sorted(good)].all() and left.sum() < 800
+    other = passages.enough_in(u, ua, rng.permutation(v), vb, np.minimum(first, ua[0] - 5), np.minimum(first, ua[0] - 5), passages.LEAST, passages.SIMILAR)
+    assert other.mean() < 0.05
+
+
+def test_chains_side_by_side():
+    """Pairs whose matches are on one diagonal have the chains that each would have alone."""
+    rng = np.random.default_rng(10)
+    key, x = np.sort(rng.integers(0, 200, 1500)), rng.integers(0, 300, 1500).astype(np.int32)
+    y = (x + rng.integers(0, 3, 200)[key] * rng.integers(0, 2, 1500)).astype(np.int32)
+    t = passages.match_blocks([(key, key + 1000, x, y)], 1)
+    got = sorted((r["key"], tuple(r["x"]), tuple(r["y"])) for _, r in passages.chains_of(t).iterrows())
+    want = []
+    for k in np.unique(key).tolist():
+        _, u, v = passages.thinned(np.zeros(int((key == k).sum()), np.int64), x[key == k], y[key == k])
+        for c in passages.chains(u, v):
+            want += [(k, tuple(u[c][r]), tuple(v[c][r])) for r in passages.reachable(u[c], v[c])]
+    assert got == sorted(want)
+
+
+def test_texts_stay_where_they_are_read(spark, monkeypatch):
+    """Of more documents than are broadcast only words travel, those of documents in chains, and the passages are the same."""
+    rng = random.Random(12)
+    shared = " ".join(f"s{rng.randrange(9999)}" for _ in range(60))
+    rows = [(d, " ".join([*(f"w{rng.randrange(10**6)}" for _ in range(20)), *([shared] if d % 2 else []), f"e{d}"])) for d in range(40)]
+    docs = spark.createDataFrame([*rows, (None, shared), (99, None)], "doc_id long, text string")
+    once = sorted(passages.shared_passages(docs).collect(), key=str)
+    monkeypatch.setattr(passages, "WANTED_BYTES", 0)
+    found = passages.shared_passages(docs)
+    assert sorted(found.collect(), key=str) == once and len(once) >= 20
+    assert "LeftSemi" not in found._jdf.queryExecution().optimizedPlan().toString()
