@@ -203,6 +203,24 @@ def test_limits_of_scores_do_not_depend_on_the_order_of_sums(spark):
     assert scores.first()["inferable_data_risk"] == 40.0 and scoring.recommendations(scores).first()["codes"] == ["low_exposure"]
 
 
+def test_recommendations_at_a_limit_are_those_of_their_sql(spark, tmp_path):
+    """Three confidences of 0.8, as doubles, are above the limit of 40 in any order."""
+    import duckdb
+
+    from tests.test_catalog import ORACLE_SQL, QUERIES
+
+    counts = {1: (50, 50, 50), 2: (60, 50, 70), 3: (49, 50, 50), 4: (1,)}
+    kinds = ("view", "click", "signup")
+    rows = [(user, kind) for user, n in counts.items() for kind, k in zip(kinds, n, strict=False) for _ in range(k)]
+    events = spark.createDataFrame(rows, "user_id long, event_type string").selectExpr("monotonically_increasing_id() AS event_id", "timestamp_ntz'2025-01-01 07:30:00' AS ts", "*", "1.0D AS value")
+    events.repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = {r[0]: list(r[1]) for r in c.sql(ORACLE_SQL["f24_recommendations"]).fetchall()}
+    got = {r["profile_id"]: r["codes"] for r in QUERIES["f24_recommendations"](spark, str(tmp_path)).collect()}
+    assert got == want and "review_history" in got[1] and "review_history" not in got[3]
+
+
 def test_every_match_holds_a_piece_of_its_pattern(spark):
     """Texts that match patterns, as they stand, in capitals and with letters that only (?iu) takes for s, i and k, find the same with and without a look for pieces first."""
     from tracelens.functions import text as T

@@ -226,8 +226,8 @@ def scores(spark, d):
     shares = A.peak_hours(A.hour_shares(posts)).select("profile_id", "peak_share")
     base = posts.groupBy("profile_id").agg(F.count("*").alias("posts"), (F.count_distinct("group") / F.count("*")).alias("richness")).join(shares, "profile_id")
     kind = F.when(F.col("group") == "view", "ubicacion").when(F.col("group") == "click", "ocupacion").otherwise("rutina")
-    attributes = posts.groupBy("profile_id", "group").agg(F.least(F.lit(0.3) + 0.01 * F.count("*"), F.lit(0.8)).alias("confidence")).select("profile_id", kind.alias("category"), "confidence")
-    return scoring.scored(base, attributes)
+    attributes = posts.groupBy("profile_id", "group").agg(F.round(F.least(F.lit(0.3) + 0.01 * F.count("*"), F.lit(0.8)), 2).alias("confidence")).select("profile_id", kind.alias("category"), "confidence")
+    return scoring.scored(base, attributes, scoring.double_sum)
 
 
 @query("f23_privacy_score", SCORE_SQL + "SELECT profile_id, round(geolocation_risk * 0.35 + inferable_data_risk * 0.45 + deanonymization_ease * 0.2, 6) AS overall_score, round(geolocation_risk, 6) AS geolocation_risk, round(inferable_data_risk, 6) AS inferable_data_risk, round(deanonymization_ease, 6) AS deanonymization_ease FROM s")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,11 +21,20 @@ def ease(posts: Column, richness: Column, peak: Column) -> Column:
     return F.least((volume * 0.4 + unusual * 0.3 + F.coalesce(peak, F.lit(0.0)) * 0.3) * 100, F.lit(100.0))
 
 
-def scored(profiles: DataFrame, attributes: DataFrame) -> DataFrame:
-    """profiles: profile_id, posts, richness, peak_share; attributes: profile_id, category, confidence."""
+def exact_sum(confidence: Column) -> Column:
+    return F.sum(confidence.cast(EXACT)).cast("double")
+
+
+def double_sum(confidence: Column) -> Column:
+    """The sum of a profile's few confidences as doubles, the largest first: where all orders agree it is what SQL has that adds doubles."""
+    return F.aggregate(F.sort_array(F.collect_list(confidence), asc=False), F.lit(0.0), lambda s, x: s + x)
+
+
+def scored(profiles: DataFrame, attributes: DataFrame, total: Callable[[Column], Column] = exact_sum) -> DataFrame:
+    """profiles: profile_id, posts, richness, peak_share; attributes: profile_id, category, confidence. total: how confidences are added."""
     a = attributes.groupBy("profile_id").agg(
         F.coalesce(F.max(F.when(F.col("category") == "ubicacion", F.col("confidence"))), F.lit(0.0)).alias("geo"),
-        F.sum(F.col("confidence").cast(EXACT)).cast("double").alias("sum"),
+        total(F.col("confidence")).alias("sum"),
         F.max(F.col("category") == "ocupacion").alias("works"),
     )
     p = profiles.join(a, "profile_id", "left").withColumns(
