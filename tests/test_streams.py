@@ -215,3 +215,17 @@ def test_keys_make_no_calls_to_the_state_store(spark):
     out = pd.concat(list(runs.Life(1000)((7,), iter([rows]), held)))
     assert not kept and out.to_dict("records") == [{"run_id": 7, "began": 1_000_001, "ended": 2_000_000, "events": 2, "stages": ["a"], "ending": "timed out"}]
     assert not list(runs.Life(3_000_500)((7,), iter([rows]), held)) and kept == [(1_000_001, 2, ["a"], 2_000_000), 3_002_499]
+
+
+def test_tracks_are_held_by_bucket(spark):
+    """Many tracks make few calls and few values of state; each rises, ends when idle and begins again on its own, nulls among the keys too."""
+    schema, progress, n = "run_id long, track string, ts timestamp, done long, total long", [], 700
+    many = [(i, "t", at(0), 1, 2) for i in range(n)]
+    own = [(2**60 + 1, "t"), (2**60, "t"), (None, "t"), (0, None), (0, ""), (None, None)]
+    parts = (many + [(*k, at(1), 2, 2) for k in own], [(*k, at(2), 1, 2) for k in own] + [(5, "t", at(2), 2, 2)], [(900, "t", at(60), 0, 0)], [(*own[0], at(61), 1, 2), (6, "t", at(61), 0, 0)])
+    out = feeds.fed(slices(spark, *parts, schema=schema), lambda s: runs.track_progress(s, buckets=16), "update", progress=progress)
+    got = sorted(((r["run_id"], r["track"], r["done"], r["total"], r["complete"]) for r in out.collect()), key=str)
+    want = [(i, "t", 1, 2, False) for i in range(n)] + [(*k, 2, 2, True) for k in own] + [(5, "t", 2, 2, True), (900, "t", 0, 0, False), (6, "t", 0, 0, False), (own[0][0], "t", 1, 2, False)]
+    assert got == sorted(want, key=str)
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in progress]
+    assert max(held) == 16 and held[-1] <= 3

@@ -1,7 +1,7 @@
 """Runs as streams with state that ends: life of a run, changes of its stage, progress of its tracks, codes of its stages.
 
-Each function of state keeps one small value a key and one timeout on event time, which clears it when the watermark passes
-the last event by `idle`. Rows of a batch that belong to one key are taken in the order of their times; what a key holds
+Each function of state keeps one small value a key (progress: a small table a bucket of keys) and one timeout on event time,
+which clears it when the watermark passes the last event by `idle`. Rows of a batch that belong to one key are taken in the order of their times; what a key holds
 between batches doesn't grow with its rows. Rows behind the watermark are dropped by Spark.
 
 Events: run_id, event_id, ts, stage, and what a function says beside these.
@@ -12,6 +12,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -21,7 +23,8 @@ from tracelens.streaming.metrics import LATE
 DAY_MS = 24 * 3600 * 1000
 RUNS = "run_id long, began timestamp, ended timestamp, events long, stages array<string>, ending string"
 CHANGES = "run_id long, event_id long, ts timestamp, stage string, previous string"
-PROGRESS = "run_id long, track string, done long, total long, complete boolean"
+#: Buckets of runs and tracks whose progress is held together.
+BUCKETS = 512
 
 
 def names(schema: str) -> list[str]:
@@ -114,19 +117,49 @@ class Changes(Timed):
         return (before, last), out
 
 
-class Progress(Timed):
-    """The most that a key has done of how many, each time it rises."""
+class Furthest:
+    """The most that each run and track has done of how many, each time it rises, for a bucket of runs and tracks at once: a call of
+    a function of state costs as much as thousands of rows.
 
-    state, columns = "done long, total long, last long", names(PROGRESS)
+    What is held of a bucket is a table of its runs and tracks that haven't been idle for `idle`, a row each, and one timeout, when the
+    first of them ends. Nulls among the keys are said by bits of `nulls`. Times are microseconds.
+    """
 
-    def came(self, key: tuple, parts: Iterator[pd.DataFrame], value: tuple | None) -> tuple[tuple | None, list[tuple]]:
-        now = value
-        for p in parts:  # no order needed: chunk by chunk
-            most = tuple(max(p[c].tolist()) for c in ("done", "total", "us"))
-            now = most if now is None else tuple(map(max, now, most))
-        if value is not None and now[:2] == tuple(value)[:2]:
-            return now, []
-        return now, [(*key, *now[:2], now[0] >= now[1] > 0)]
+    state, keys, most = "held binary", ["nulls", "run_id", "track"], ["done", "total", "us"]
+    schema = pa.schema([("nulls", pa.int32()), ("run_id", pa.int64()), ("track", pa.string()), ("done", pa.int64()), ("total", pa.int64()), ("us", pa.int64())])
+
+    def __init__(self, idle_ms: int):
+        self.idle_ms = idle_ms
+
+    def of_each(self, parts: list[pa.Table], most: list[str]) -> pa.Table:
+        t = pa.concat_tables(parts).group_by(self.keys).aggregate([(c, "max") for c in most])
+        return t.select([*self.keys, *(f"{c}_max" for c in most)]).rename_columns([*self.keys, *most])
+
+    def __call__(self, key: tuple, parts: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        before = pa.ipc.open_stream(bytes(held.get[0])).read_all() if held.exists else self.schema.empty_table()
+        now, was = before, ["was_done", "was_total"]
+        if not held.hasTimedOut:
+            # chunk by chunk: no more is held at once than the runs and tracks that a batch has of the bucket
+            new = [self.of_each([pa.Table.from_pandas(p[self.schema.names], self.schema, preserve_index=False)], self.most) for p in parts]
+            none = [pa.nulls(sum(len(t) for t in new), pa.int64())] * 2
+            new = pa.concat_tables(new) if new else self.schema.empty_table()
+            both = [t.append_column(was[0], a).append_column(was[1], b) for t, (a, b) in ((before, (before["done"], before["total"])), (new, none))]
+            all_ = self.of_each(both, [*self.most, *was])
+            rose = pc.or_(pc.not_equal(all_["done"], all_["was_done"]), pc.not_equal(all_["total"], all_["was_total"]))
+            rose = all_.filter(pc.fill_null(rose, True))  # null: not held before
+            now = all_.select(self.schema.names)
+            if len(rose):
+                yield rose.select([*self.keys, "done", "total"]).to_pandas()
+        ends = -(-now["us"].to_numpy() // 1000) + self.idle_ms
+        stay = ends > held.getCurrentWatermarkMs()
+        if stay.any():
+            out = pa.BufferOutputStream()
+            with pa.ipc.new_stream(out, self.schema) as w:
+                w.write_table(now.filter(pa.array(stay)).cast(self.schema).combine_chunks())
+            held.update((out.getvalue().to_pybytes(),))
+            held.setTimeoutTimestamp(int(ends[stay].min()) - 1)  # Spark ends what the watermark is later than
+        elif held.exists:
+            held.remove()
 
 
 def timed(events: DataFrame, by: tuple[str, ...], what: Timed, schema: str, late: str, mode: str = "append") -> DataFrame:
@@ -150,11 +183,16 @@ def stage_changes(events: DataFrame, idle_ms: int = DAY_MS, late: str = LATE) ->
     return timed(events.select("run_id", "event_id", "ts", "stage"), ("run_id",), Changes(idle_ms), CHANGES, late)
 
 
-def track_progress(events: DataFrame, idle_ms: int = DAY_MS, late: str = LATE) -> DataFrame:
+def track_progress(events: DataFrame, idle_ms: int = DAY_MS, late: str = LATE, buckets: int = BUCKETS) -> DataFrame:
     """run_id, track, done, total, complete, each time that more is done; latest_progress() has the last of each. events also have
-    track, done and total."""
-    e = events.select("run_id", "track", "ts", F.coalesce("done", F.lit(0)).cast("long").alias("done"), F.coalesce("total", F.lit(0)).cast("long").alias("total"))
-    return timed(e, ("run_id", "track"), Progress(idle_ms), PROGRESS, late, "update")
+    track, done and total. State is kept by bucket, so their number stays as it is as long as a stream goes on."""
+    many = {c: F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("done", "total")}
+    nulls = F.col("run_id").isNull().cast("int") + F.col("track").isNull().cast("int") * 2
+    keys = F.pmod(F.xxhash64("run_id", "track"), F.lit(buckets)).alias("bucket"), nulls.alias("nulls"), F.coalesce("run_id", F.lit(0)).cast("long").alias("run_id"), F.coalesce("track", F.lit("")).alias("track")
+    e = events.filter("ts IS NOT NULL").select(*keys, "ts", F.unix_micros("ts").alias("us"), *many.values()).withWatermark("ts", late).groupBy("bucket")
+    out = e.applyInPandasWithState(Furthest(idle_ms), "nulls int, run_id long, track string, done long, total long", Furthest.state, "update", GroupStateTimeout.EventTimeTimeout)
+    named = [F.when(F.col("nulls").bitwiseAND(bit) == 0, F.col(c)).alias(c) for bit, c in ((1, "run_id"), (2, "track"))]
+    return out.select(*named, "done", "total", ((F.col("done") >= F.col("total")) & (F.col("total") > 0)).alias("complete"))
 
 
 def latest_progress(progress: DataFrame) -> DataFrame:
