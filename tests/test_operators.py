@@ -274,3 +274,28 @@ def test_posts_of_those_who_agreed_are_not_brought_together(spark):
     agreed = findings.consented(posts, posts.select("profile_id").filter("profile_id = 'b'"))
     assert "Exchange hashpartitioning" not in agreed._jdf.queryExecution().executedPlan().toString()
     assert sorted(r["seq"] for r in agreed.collect()) == [2, 3]
+
+
+def test_frequent_terms_are_those_of_all_terms(spark):
+    """Against counting every word and pair, with many ties at the limit; pairs that can't be frequent are not gathered."""
+    import random
+    import re
+    from collections import Counter
+
+    r = random.Random(3)
+    rows = [(f"p{k % 3}", k, " ".join(r.choice("el la x1 ab Ab cd ef gh ij kl mn op qr st".split()) for _ in range(r.randrange(0, 30)))) for k in range(60)] + [("q", 60, "solo una"), ("q", 61, "")]
+    words = activity.words_of(spark.createDataFrame(rows, "profile_id string, seq long, text string"))
+    for features in (1, 5, 20, 500):
+        want = set()
+        for p in {row[0] for row in rows}:
+            each = [re.findall(r"\w{2,}", text.lower()) for who, _, text in rows if who == p]
+            n = Counter(t for w in each for t in [*w, *(f"{a} {b}" for a, b in zip(w, w[1:], strict=False))])
+            want |= {(p, t) for t, _ in sorted(n.items(), key=lambda x: (-x[1], x[0]))[:features]}
+        got = [(x["profile_id"], x["term"]) for x in activity.frequent_terms(words, features).collect()]
+        assert set(got) == want and len(got) == len(want)
+
+
+def test_posts_without_text_do_not_stand_before_those_with_words(spark):
+    rows = [("p", k, None) for k in range(4)] + [("p", 4, "que de la"), ("n", 1, None)]
+    got = {r["profile_id"]: r["language"] for r in activity.language(spark.createDataFrame(rows, "profile_id string, seq long, text string"), ("que", "de", "la"), tokens=3).collect()}
+    assert got == {"p": "es", "n": "en"}

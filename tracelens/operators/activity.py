@@ -98,18 +98,41 @@ def emoji_rate(posts: DataFrame, pattern: str) -> DataFrame:
     return posts.groupBy("profile_id").agg((F.sum(F.regexp_count("text", F.lit(pattern))) / F.greatest(F.sum(F.length("text")), F.lit(1))).alias("emoji_rate"))
 
 
-def terms(posts: DataFrame, stop: tuple[str, ...] = ()) -> DataFrame:
-    """profile_id, seq, term: words of two letters or more, and pairs of them, of each post, as often as they stand there."""
+def words_of(posts: DataFrame, stop: tuple[str, ...] = ()) -> DataFrame:
+    """profile_id, seq, w: the words of two letters or more of each post, in their order."""
     w = F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}_]{2,})"), F.lit(1))
     if stop:
         w = F.filter(w, lambda x: ~x.isin(*stop))
-    words = posts.select("profile_id", "seq", w.alias("w"))
-    pairs = F.when(F.size("w") > 1, F.zip_with(F.slice("w", 1, F.size("w") - 1), F.slice("w", 2, F.size("w") - 1), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>"))
-    return words.select("profile_id", "seq", F.explode(F.concat("w", pairs)).alias("term"))
+    return posts.select("profile_id", "seq", w.alias("w"))
+
+
+def neighbours(words: DataFrame) -> DataFrame:
+    """profile_id, seq, a, b: each word, and the one that follows it in its post, null after the last."""
+    pairs = F.arrays_zip("w", F.slice("w", F.lit(2), F.greatest(F.size("w"), F.lit(1))))
+    return words.select("profile_id", "seq", F.inline(pairs)).toDF("profile_id", "seq", "a", "b")
+
+
+def frequent_terms(words: DataFrame, features: int) -> DataFrame:
+    """profile_id, a, b, term: the words (b is null) and pairs of words that are the most frequent terms of each profile, of equal ones
+    the first by name.
+
+    A pair is no more frequent than its words. So the words that are among the most frequent words, equal ones of the last included, and
+    pairs of two such words are all that can be among the most frequent terms; other pairs, nearly all of which stand once, are not gathered."""
+    by_n = Window.partitionBy("profile_id").orderBy(F.desc("n"))
+    single = words.select("profile_id", F.explode("w").alias("a")).groupBy("profile_id", "a").agg(F.count("*").alias("n"))
+    single = small(single.withColumn("_r", F.rank().over(by_n)).filter(F.col("_r") <= features).drop("_r"), "keyword-words")
+    pairs = neighbours(words).filter("b IS NOT NULL").select("profile_id", "a", "b")
+    for side in ("a", "b"):
+        pairs = pairs.join(single.select("profile_id", F.col("a").alias(side)), ["profile_id", side], "left_semi")
+    pairs = pairs.groupBy("profile_id", "a", "b").agg(F.count("*").alias("n"))
+    every = single.withColumn("b", F.lit(None).cast("string")).unionByName(pairs).withColumn("term", F.concat_ws(" ", "a", "b"))  # nulls are left out
+    w = Window.partitionBy("profile_id").orderBy(F.desc("n"), "term")
+    return every.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= features).select("profile_id", "a", "b", "term")
 
 
 def keywords(posts: DataFrame, features: int = 500, top: int = 20, shortest: int = 20, least_posts: int = 3, stop: tuple[str, ...] = ()) -> DataFrame:
-    """profile_id, rank, term, score: summed TF-IDF of the most frequent terms, each post's weights scaled to length 1.
+    """profile_id, rank, term, score: summed TF-IDF of the most frequent terms, each post's weights scaled to length 1. Terms are words
+    of two letters or more and pairs of them.
 
     idf is ln((1 + posts) / (1 + posts with the term)) + 1. Profiles of fewer than least_posts texts longer than
     `shortest` have none.
@@ -117,12 +140,13 @@ def keywords(posts: DataFrame, features: int = 500, top: int = 20, shortest: int
     long = posts.filter(F.length("text") > shortest)
     enough = long.groupBy("profile_id").agg(F.count("*").alias("docs")).filter(F.col("docs") >= least_posts)
     enough = small(enough, "keyword-profiles")
-    every = terms(long.join(enough.select("profile_id"), "profile_id", "left_semi"), stop)
+    words = words_of(long.join(enough.select("profile_id"), "profile_id", "left_semi"), stop)
     # the frequent terms of each profile first: only these are counted by post
-    w = Window.partitionBy("profile_id").orderBy(F.desc("n"), "term")
-    frequent = every.groupBy("profile_id", "term").agg(F.count("*").alias("n")).withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= features)
-    few = small(frequent.select("profile_id", "term"), "keyword-terms")
-    tf = stored(every.join(few, ["profile_id", "term"]).groupBy("profile_id", "seq", "term").agg(F.count("*").alias("tf")), "keyword-counts")
+    few = small(frequent_terms(words, features), "keyword-terms")
+    ones, twos = few.filter("b IS NULL").select("profile_id", "a", F.col("term").alias("_one")), few.filter("b IS NOT NULL").select("profile_id", "a", "b", F.col("term").alias("_two"))
+    found = neighbours(words).join(ones, ["profile_id", "a"], "left").join(twos, ["profile_id", "a", "b"], "left")
+    found = found.filter("_one IS NOT NULL OR _two IS NOT NULL").select("profile_id", "seq", F.explode(F.array("_one", "_two")).alias("term")).filter("term IS NOT NULL")
+    tf = stored(found.groupBy("profile_id", "seq", "term").agg(F.count("*").alias("tf")), "keyword-counts")
     kept = tf.groupBy("profile_id", "term").agg(F.count("*").alias("df")).join(enough, "profile_id")
     kept = kept.select("profile_id", "term", (F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1).alias("idf"))
     weighted = tf.join(kept, ["profile_id", "term"]).withColumn("x", F.col("tf") * F.col("idf"))
@@ -136,10 +160,12 @@ def language(posts: DataFrame, markers: tuple[str, ...], tokens: int = 300, hits
     """es where three markers or more are among the profile's first words, else en."""
     w = Window.partitionBy("profile_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     words = F.slice(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1)), 1, tokens)
-    # every post with words has one at least, so the first `tokens` of these hold all that count; each task keeps its own first
-    first = Window.partitionBy("profile_id").orderBy((F.size("_w") == 0).cast("int"), "seq")
-    p = posts.select("profile_id", "seq", words.alias("_w")).withColumn("_k", F.row_number().over(first)).filter(F.col("_k") <= tokens)
-    p = p.withColumn("_before", F.coalesce(F.sum(F.size("_w")).over(w), F.lit(0)))
+    # every post with words has one at least, so the first `tokens` of these hold all that count; each task keeps its own first, and
+    # only these are cut into words
+    first = Window.partitionBy("profile_id").orderBy("_none", "seq")
+    none = (~F.lower("text").rlike(r"[\p{L}\p{N}_]")).cast("int")
+    p = posts.select("profile_id", "seq", "text", F.coalesce(none, F.lit(1)).alias("_none")).withColumn("_k", F.row_number().over(first)).filter(F.col("_k") <= tokens)
+    p = p.select("profile_id", "seq", words.alias("_w")).withColumn("_before", F.coalesce(F.sum(F.size("_w")).over(w), F.lit(0)))
     # a post counts with the words that are still among the first ones
     head = F.slice("_w", F.lit(1), F.greatest(F.lit(0), F.lit(tokens) - F.col("_before")).cast("int"))
     seen = p.select("profile_id", F.explode_outer(F.array_intersect(head, F.array(*map(F.lit, markers)))).alias("m"))
