@@ -377,6 +377,27 @@ def test_pieces_of_other_documents(spark):
     assert {frozenset((r["doc_id"], r["other_id"])) for r in got} == {frozenset((9, 10))} and max(r["n_words"] for r in got) == 53
 
 
+def test_pieces_that_many_documents_hold(spark):
+    """As before, but with 20 holders of each piece: by all pairs, and only by these, the edited passage is found."""
+    words = [f"p{k}" for k in range(53)]
+    texts = [" ".join([f"a{i}x{n}", *words[k : k + 5], f"b{i}x{n}"]) for n in range(20) for i, k in enumerate(range(0, 49, 6))]
+    texts += [" ".join(words), " ".join(w if k % 6 < 5 else f"q{k}" for k, w in enumerate(words))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = passages.shared_passages(docs, all_pairs=len(texts)).collect()
+    assert [({r["doc_id"], r["other_id"]}, r["n_words"]) for r in got] == [({180, 181}, 53)]
+
+
+def test_all_matches_of_a_seed_come_in_parts(monkeypatch):
+    """Texts of frequent seeds all meet, each pair once, and no more than HELD of them at a time."""
+    key, seed = np.arange(60, dtype=np.int64), np.array([7] * 40 + [9] * 15 + [11, 12, 12, 13, 13], np.uint64)
+    monkeypatch.setattr(passages, "HELD", 8)
+    parts = list(passages.all_matches(key, np.zeros(60, np.int32), seed, 40))
+    got = [(int(j), int(i)) for k, o, _, _ in parts for i, j in zip(k, o, strict=True)]
+    assert len(got) == len(set(got)) == 40 * 39 // 2 + 15 * 14 // 2 + 2 and all(seed[i] == seed[j] and i < j for i, j in got)
+    assert max(len(k) for k, *_ in parts) <= 8
+    assert not list(passages.all_matches(key[:0], np.zeros(0, np.int32), seed[:0], 40)) + list(passages.all_matches(key[:1], np.zeros(1, np.int32), seed[:1], 40))
+
+
 def test_repeated_words_are_one_passage(spark):
     """Runs of a repeated word meet side by side: documents of such runs share one passage, not one for each place."""
     own = [" ".join(f"{c}{k}" for k in range(20)) for c in "ab"]
